@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import langid, line_quality
+from ridgeline.llm import html_extract, langid, line_quality, url_filter
 from ridgeline.llm.common import table
 from ridgeline.llm.kd_shards import kd_shards
 from ridgeline.llm.mixing import cube_mix
@@ -17,6 +17,10 @@ def op1_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube_mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op2_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op3_naive_bayes_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -25,13 +29,17 @@ def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op8_min_cut_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = kd_shards(table(spark, sf_dir, "documents"), 40)
     return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cube_mixing, op3_naive_bayes_langid, op7_line_quality, op9_kd_sharding)}
+    return {f.__name__: f for f in (op1_cube_mixing, op2_link_trust, op3_naive_bayes_langid, op7_line_quality, op8_min_cut_extraction, op9_kd_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
