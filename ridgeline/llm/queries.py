@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import html_extract, langid, line_quality, url_filter
+from ridgeline.llm import html_extract, langid, line_quality, suffix_levels, url_filter
 from ridgeline.llm.common import table
 from ridgeline.llm.kd_shards import kd_shards
 from ridgeline.llm.mixing import cube_mix
@@ -38,8 +38,12 @@ def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op10_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_levels.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cube_mixing, op2_link_trust, op3_naive_bayes_langid, op7_line_quality, op8_min_cut_extraction, op9_kd_sharding)}
+    return {f.__name__: f for f in (op1_cube_mixing, op2_link_trust, op3_naive_bayes_langid, op7_line_quality, op8_min_cut_extraction, op9_kd_sharding, op10_suffix_levels)}
 
 
 def oracle_sql() -> dict[str, str]:
