@@ -50,5 +50,29 @@ def word_count(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: Size of the bit maps that are broadcast in place of keys: at most 2**18 rows of 16 bytes.
+FILTER_BITS = 1 << 24
+
+
+def _with_bits(rows: DataFrame, keys: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, Column]:
+    spot = F.pmod(F.xxhash64(*names, F.lit(3)), F.lit(FILTER_BITS))
+    word, bit = F.shiftright(spot, 6), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(spot, F.lit(64)).cast("int"))
+    words = keys.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    marked = rows.withColumns({"__spot": word, "__own": bit}).join(F.broadcast(words), F.col("__spot") == F.col("__word"), "left")
+    return marked, F.coalesce(F.col("__bits").bitwiseAND(F.col("__own")), F.lit(0)) != 0
+
+
+def maybe_among(rows: DataFrame, keys: DataFrame, *names: str) -> DataFrame:
+    """The rows whose key may be among keys; surely all that are. What is broadcast has a fixed size."""
+    marked, hit = _with_bits(rows, keys, names)
+    return marked.filter(hit).select(*rows.columns)
+
+
+def surely_not_among(rows: DataFrame, keys: DataFrame, *names: str) -> DataFrame:
+    """The other rows of ``maybe_among``."""
+    marked, hit = _with_bits(rows, keys, names)
+    return marked.filter(~hit).select(*rows.columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -20,8 +20,8 @@ parts as its spans need, dealt by window hash, and each task sends a window
 once. So neither a hot passage nor a group of copies gathers in one task.
 
 Texts are read twice: once for the anchors, and only those with a match once
-more, after a filter of FILTER_BITS bits (a fixed size) has dropped most of the
-others before the shuffle.
+more, after a bit map of fixed size has dropped most of the others before the
+shuffle.
 
 Defined results: null text is empty; a text shorter than ``length`` loses
 nothing; repeated rows repeat each other's text; repeats inside one text
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import saved
+from ridgeline.llm.common import maybe_among, saved
 from ridgeline.llm.text import mix, pieces, rolling, window_hash
 
 HEAD = 128
@@ -47,7 +47,6 @@ _AT_BITS = 28
 PART_SPANS = 1024
 #: Windows in a partition of the exact comparison.
 PART_WINDOWS = 4_000_000
-FILTER_BITS = 1 << 24
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -140,16 +139,6 @@ class LevelFamily:
         return out.distinct()
 
 
-def _within(rows: DataFrame, keys: DataFrame, *names: str) -> DataFrame:
-    """rows whose key may be among keys; a bit map of FILTER_BITS bits is what is broadcast."""
-    spot = F.pmod(F.xxhash64(*names, F.lit(3)), F.lit(FILTER_BITS))
-    word, bit = F.shiftright(spot, 6), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(spot, F.lit(64)).cast("int"))
-    words = keys.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
-    marked = rows.withColumns({"__spot": word, "__own": bit})
-    near = marked.join(F.broadcast(words), F.col("__spot") == F.col("__word"))
-    return near.filter(F.col("__bits").bitwiseAND(F.col("__own")) != 0).drop("__spot", "__own", "__word", "__bits")
-
-
 def _sent(length: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Window hashes of the asked spans by (head, part), each once a batch, and what repeats within the batch."""
@@ -277,7 +266,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, batches: int = 4) -> Data
     keys = saved(keys)
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     texts = rows.filter(F.octet_length("text") >= length).withColumns({"id": _id("doc_id"), "k": F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")})
-    texts = saved(_within(texts.select("id", "k", "text"), keys, "id", "k").join(keys, ["id", "k"]))
+    texts = saved(maybe_among(texts.select("id", "k", "text"), keys, "id", "k").join(keys, ["id", "k"]))
     windows = asked.select(F.sum(F.aggregate("asked", F.lit(0).cast("long"), lambda a, x: a + x["last"] - x["first"] + 1))).first()[0] or 0
     sent = saved(texts.join(asked, ["id", "k"]).mapInArrow(_sent(length), _SENT))
     met = sent.filter("not local").repartition(windows // PART_WINDOWS + 1, "head", "part").mapInArrow(_met, "id long, k long, first int, last int")
