@@ -74,5 +74,12 @@ def surely_not_among(rows: DataFrame, keys: DataFrame, *names: str) -> DataFrame
     return marked.filter(~hit).select(*rows.columns)
 
 
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id (null: -1) isn't among keys (column __id). Only what may be among them is shuffled."""
+    marked = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)))
+    near = maybe_among(marked, keys, "__id").join(keys.select("__id").distinct(), "__id", "left_anti")
+    return surely_not_among(marked, keys, "__id").select(*docs.columns).unionByName(near.select(*docs.columns))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

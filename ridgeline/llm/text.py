@@ -68,9 +68,9 @@ def window_hash(sums: np.ndarray, start: np.ndarray | slice, end: np.ndarray | s
     return mix((sums[end] - sums[start]) * powers(len(sums))[1][start])
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end, of): the words of a piece in order; of has each row's first word, and the count at its end."""
-    inside = ~_SPACE[data]
+    inside = ~separators[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()
