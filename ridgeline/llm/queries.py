@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import decontaminate, html_extract, langid, line_quality, ngram_join, suffix_levels, url_filter
+from ridgeline.llm import decontaminate, html_extract, langid, license_scan, line_quality, ngram_join, suffix_levels, url_filter
 from ridgeline.llm.common import table
 from ridgeline.llm.kd_shards import kd_shards
 from ridgeline.llm.mixing import cube_mix
@@ -33,6 +33,10 @@ def op5_prefix_orders_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_sets(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op6_minhash_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.judge(table(spark, sf_dir, "documents"))
 
@@ -51,8 +55,8 @@ def op10_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cube_mixing, op2_link_trust, op3_naive_bayes_langid, op4_template_decontamination, op5_prefix_orders_join, op7_line_quality, op8_min_cut_extraction, op9_kd_sharding, op10_suffix_levels)}
+    return {f.__name__: f for f in (op1_cube_mixing, op2_link_trust, op3_naive_bayes_langid, op4_template_decontamination, op5_prefix_orders_join, op6_minhash_license_scan, op7_line_quality, op8_min_cut_extraction, op9_kd_sharding, op10_suffix_levels)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_quality": line_quality.SQL}
+    return {"op6_minhash_license_scan": license_scan.sql(), "op7_line_quality": line_quality.SQL}
