@@ -3,25 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ridgeline.llm.common import saved, table
-from ridgeline.llm.kd_shards import with_shard
-from ridgeline.llm.mixing import apply_mix, cube_mix
+from ridgeline.llm import decontaminate, kd_shards, langid, mixing, ngram_join
+from ridgeline.llm.common import saved, table, without
 
 
-def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language: texts without a letter, and those no language explains better than all others together, go."""
+    return langid.keep_identified(docs, langid.learn(docs.filter(~langid.held_out())), least=0.5)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five words, similarity 0.8."""
+    return ngram_join.keep_one(docs, ngram_join.similar_sets(docs, k=5, percent=80))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return without(docs, saved(found.select(F.col("doc_id").alias("__id")).distinct()))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the balanced mix of sources takes it."""
-    return apply_mix(docs, cube_mix(docs))
+    return mixing.apply_mix(docs, mixing.cube_mix(docs))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their shard, 0 to 39, of nearly equal bytes."""
-    return with_shard(docs, 40)
+    return kd_shards.with_shard(docs, 40)
 
 
-STAGES = [("mixing", mixing), ("sharding", sharding)]
+STAGES = [
+    ("language_id", language_id),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("decontamination", decontamination),
+    ("source_mixing", source_mixing),
+    ("sharding", sharding),
+]
 
-#: The stages search, learn and sample; SQL can't express them. Tests hold them against brute force.
+#: The stages learn, search and sample; SQL can't express them. Tests hold them against brute force.
 ORACLE_SQL = None
 
 
