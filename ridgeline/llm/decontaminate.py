@@ -5,7 +5,8 @@ don't begin a sentence) and units (after a number) become typed placeholders,
 the rest is lower-cased; windows of WINDOW canonical tokens are hashed. A
 document is contaminated by an item if some passage of it holds at least
 ``least`` of the item's distinct windows and the slots agree: an item's value
-must stand for one value of the document wherever it occurs. So questions are
+must stand for one value of the document wherever it occurs (in ``least`` of
+the places of the values that stand more than once). So questions are
 caught whose numbers and names were changed throughout.
 
 A passage that holds 80 % of an item's windows holds one of any 20 % plus one
@@ -189,8 +190,9 @@ def aligned(doc: tuple, item: tuple, least: float) -> tuple | None:
             if item[1][i + x] and (i + x, j + x) not in seen:
                 seen.add((i + x, j + x))
                 pairs[int(item[1][i + x]), int(item[2][i + x])][int(doc[2][j + x])] += 1
-    slots = sum(sum(c.values()) for c in pairs.values())
-    agreement = sum(max(c.values()) for c in pairs.values()) / slots if slots else 1.0
+    repeated = [c for c in pairs.values() if sum(c.values()) > 1]  # a value that stands once agrees with itself
+    slots = sum(sum(c.values()) for c in repeated)
+    agreement = sum(max(c.values()) for c in repeated) / slots if slots else 1.0
     if agreement < least:
         return None
     verbatim = all(set(c) == {value} for (_, value), c in pairs.items())
