@@ -40,9 +40,10 @@ from ridgeline.llm.graph import components
 from ridgeline.llm.text import mix, shingle_sets
 
 ORDERS = 3
-#: Sets in a block, and tokens in a partition of the exchange.
+#: Sets in a block; tokens in a partition of the exchange, and its fewest partitions.
 BLOCK = 512
-PART_TOKENS = 3_000_000
+PART_TOKENS = 4_500_000
+LEAST_PARTS = 16
 
 
 def _node(tokens: np.ndarray) -> int:
@@ -121,7 +122,7 @@ def _shared(parts: int):
             _, once = np.unique(nodes, return_index=True)  # copies in other batches bring the same tokens
             keep = np.zeros(len(nodes), bool)
             keep[once] = True
-            of = np.repeat(np.arange(len(nodes)), counts)
+            of = np.repeat(np.arange(len(nodes), dtype=np.int32), counts)
             mask = keep[of]
             of, prints = of[mask], prints[mask]
             _, back, held = np.unique(prints, return_inverse=True, return_counts=True)
@@ -233,7 +234,7 @@ def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = saved(rows.mapInArrow(_named(k), "doc_id long, node long, n_shingles long"))
     total = named.agg(F.sum("n_shingles")).first()[0] or 0
-    parts = max(-(-total // PART_TOKENS), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(-(-total // PART_TOKENS), LEAST_PARTS)
     dealt = rows.select("text").mapInArrow(_dealt(k, parts), _PACK).repartition(parts, "part")
     shared = dealt.mapInArrow(_shared(parts), _PACK)
     sizes = named.filter("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n"))
