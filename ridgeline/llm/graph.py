@@ -21,10 +21,11 @@ def components(edges: DataFrame) -> DataFrame:
     mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     while mark[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # Aggregates are written before they are joined: then a hot node's edges can be split over tasks.
+        least = saved(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a != b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = saved(large.filter("a != b").distinct())
+        low = saved(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").select(F.inline(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))))
         now = saved(small.filter("a != b").distinct())
         before, mark = mark, now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

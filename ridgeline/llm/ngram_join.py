@@ -191,7 +191,7 @@ def _prefixed(percent: int):
 def _stars(entries: DataFrame, *keys: str) -> DataFrame:
     """Edges from each node to the smallest node with the same keys."""
     hubs = entries.groupBy(*keys).agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return entries.join(hubs, list(keys)).select(F.col("node").alias("a"), "b").distinct()
+    return entries.join(saved(hubs), list(keys)).select(F.col("node").alias("a"), "b").distinct()
 
 
 def _verified(percent: int):

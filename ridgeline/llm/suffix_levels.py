@@ -252,13 +252,13 @@ def remove_repeats(docs: DataFrame, length: int = 400, batches: int = 4) -> Data
     family = LevelFamily()
     for b in range(batches):
         family.add(index.filter(F.col("batch") == b).select(F.explode("heads").alias("head")))
-    matched = family.matches()
+    matched = saved(family.matches())  # written, so that the join can split a hot head
     entries = index.select("id", "k", F.inline(F.arrays_zip("heads", "spans", "firsts", "lasts"))).withColumnsRenamed({"heads": "head", "spans": "span", "firsts": "first", "lasts": "last"})
     entries = saved(entries.join(matched, "head"))
     spans = entries.groupBy("head", "span").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "k", "first", "last")).alias("one"))
     spans = saved(spans)
     whole = entries.join(spans.filter("times > 1").select("head", "span"), ["head", "span"], "left_semi").select("id", "k", "first", "last")
-    several = spans.groupBy("head").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    several = saved(spans.groupBy("head").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     asked = spans.join(several, "head").select("one.id", "one.k", F.struct("head", "one.first", "one.last", "n").alias("x"))
     asked = asked.groupBy("id", "k").agg(F.collect_list("x").alias("asked"))
     asked = saved(asked)
