@@ -241,7 +241,7 @@ def nearest_asof(spark, sf_dir):
 
 
 SESS = """l as (select *, case when t_us - lag(t_us) over (partition by user_id order by sample_idx) <= 43200000000 then 0 else 1 end as st from s),
-ss as (select user_id, seg, min(t_us) as a, max(t_us) as b, count(*) as n from (select *, sum(st) over (partition by user_id order by sample_idx) as seg from l) group by user_id, seg)"""
+ss as (select user_id, seg, min(t_us) as a, max(t_us) as b, count(*) as n from (select *, sum(st) over (partition by user_id order by sample_idx)::bigint as seg from l) group by user_id, seg)"""
 
 
 @query(f"""with {S}, {SESS}, f as (select (user_id + 1) % 150 as user_id, seg as file, a as fa, b as fb from ss where n > 2)
@@ -433,7 +433,7 @@ def numeric_clean(spark, sf_dir):
     return p.select("p_partkey", scalars.clean_number(F.concat(F.lit("$ "), F.col("p_retailprice").cast("string"), F.lit(" "), F.col("p_brand"))).alias("cleaned"))
 
 
-@query("select event_id, round((event_id % 24) * 3600 + (event_id % 60) * 60 + (event_id % 59) + 0.5, 3) as seconds from events")
+@query("select event_id, round((event_id % 24) * 3600 + (event_id % 60) * 60 + (event_id % 59) + 0.5, 3)::double as seconds from events")
 def clock_parse(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     text = F.concat_ws(":", *[(F.col("event_id") % n).cast("string") for n in (24, 60)], F.concat((F.col("event_id") % 59).cast("string"), F.lit(",5")))
@@ -446,7 +446,7 @@ def sensor_alias(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", scalars.sensor_id(raw).alias("sensor"))
 
 
-@query("select p_partkey, round(1.5 + 0.25 * p_size - 0.01 * p_size * p_size + 0.0002 * p_size * p_size * p_size, 6) as poly, round(case when p_size <= 5 then 0 when p_size < 20 then (p_size - 5) * (30.0 / 15) when p_size < 40 then 30 + (p_size - 20) * (5.0 / 20) else 35 end, 6) as lut from part")
+@query("select p_partkey, round(1.5 + 0.25 * p_size - 0.01 * p_size * p_size + 0.0002 * p_size * p_size * p_size, 6)::double as poly, round(case when p_size <= 5 then 0 when p_size < 20 then (p_size - 5) * (30.0 / 15) when p_size < 40 then 30 + (p_size - 20) * (5.0 / 20) else 35 end, 6) as lut from part")
 def poly_lut_transform(spark, sf_dir):
     x = F.col("p_size").cast("double")
     p = table(spark, sf_dir, "part")
