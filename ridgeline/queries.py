@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions import scalars
-from ridgeline.operators import joins, series, stats
+from ridgeline.operators import joins, selection, series, stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -494,3 +494,91 @@ def ema_deadband(spark, sf_dir):
 @query(f"with {S}, c as (select *, count(*) over (partition by user_id) as n from s), i as (select distinct user_id, ((k * (n - 1)) // 15)::bigint as sample_idx from c, unnest(range(0, 16)) as u(k) where n > 16 union select user_id, sample_idx from c where n <= 16) select user_id, sample_idx, event_id from i join s using (user_id, sample_idx)")
 def downsample(spark, sf_dir):
     return series.downsample(samples(spark, sf_dir), U, 16).select(*U, "sample_idx", "event_id")
+
+
+@query("select user_id, event_id, value from events where event_type <> 'error' and isfinite(value)")
+def masked_values(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("active_mask_qc", F.col("event_type") != "error")
+    return selection.masked_values(e, "value", ["user_id", "event_id"])
+
+
+@query("select event_type, round(a - case when b > a then 0.03 * (b - a) else 1 end, 6) as lo, round(b + case when b > a then 0.03 * (b - a) else 1 end, 6) as hi from (select event_type, min(value) as a, max(value) as b from events group by 1)")
+def y_range(spark, sf_dir):
+    return selection.y_range(table(spark, sf_dir, "events"), ["value"], ["event_type"]).withColumns(r6("lo", "hi"))
+
+
+@query(f"with {S} select user_id, (t_us // 86400000000)::bigint as cell, round(avg(value), 6) as mean, count(value) as n from s group by 1, 2")
+def capture_average(spark, sf_dir):
+    return selection.capture_average(samples(spark, sf_dir), U, "t_us", "value", 86_400_000).withColumns(r6("mean"))
+
+
+@query("select distinct event_type, user_id from events where event_type <> 'error'")
+def pair_options(spark, sf_dir):
+    return selection.options(table(spark, sf_dir, "events"), "event_type", "user_id", without=["error"])
+
+
+@query("select o_orderpriority as template_id, max(o_orderkey) as version from orders group by 1")
+def latest_template(spark, sf_dir):
+    return selection.latest(table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("template_id"), F.col("o_orderkey").alias("version")))
+
+
+@query("select coalesce(o_orderstatus, 'ok') as reason, count(*) as n from orders group by 1")
+def quality_summary(spark, sf_dir):
+    from ridgeline.plans.contracts import quality_summary as summary
+
+    return summary(table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("reason")))
+
+
+@query(f"""with {S}, l as (select *, lead(t_s) over w as nt, lead(value) over w as nv from s window w as (partition by user_id order by sample_idx)),
+c as (select *, case when (value + nv) / 2 >= 40 then 4 when (value + nv) / 2 >= 30 then 3 when (value + nv) / 2 >= 20 then 2 when (value + nv) / 2 >= 10 then 1 else 0 end as k from l where nt > t_s),
+r as (select *, sum(case when k = lag_k and sample_idx = lag_i + 1 then 0 else 1 end) over (partition by user_id order by sample_idx) as run from (select *, lag(k) over w as lag_k, lag(sample_idx) over w as lag_i from c window w as (partition by user_id order by sample_idx)))
+select user_id, run::bigint as run, k as speed_class, count(*) + 1 as n_points from r group by user_id, run, k""")
+def colour_runs(spark, sf_dir):
+    from ridgeline.sources.gps import colour_runs as runs
+
+    s = samples(spark, sf_dir).withColumns({"lat": F.col("t_s"), "lon": F.col("value")})
+    seg = series.route_segments(s, U, "t_s", "value", "lat", "lon").withColumn("ms", F.col("segment_speed") / 3.6)
+    return runs(seg, "lat", "lon", "ms", U).select(*U, "run", "speed_class", F.size("points").cast("long").alias("n_points"))
+
+
+@query(f"""with {S}, h as (select unnest([1, 2, 3]) as harmonic)
+select user_id, harmonic::int as harmonic, round(sqrt(pow(2 * avg(value * cos(t_s * 2 * pi() / 86400 * harmonic)), 2) + pow(2 * avg(value * sin(t_s * 2 * pi() / 86400 * harmonic)), 2)), 3) as amplitude from s, h group by 1, 2""")
+def harmonics(spark, sf_dir):
+    from ridgeline.operators.bench import harmonics as fitted
+
+    return fitted(samples(spark, sf_dir), U, "t_s", "value", 86400.0).select(*U, "harmonic", F.round("amplitude", 3).alias("amplitude"))
+
+
+@query()
+def savgol_vel_acc(spark, sf_dir):
+    from ridgeline.operators import signal
+
+    return signal.derivatives(samples(spark, sf_dir), U, "value", 1.0).select(*U, "sample_idx", F.round("vel", 6).alias("vel"), F.round("acc", 6).alias("acc"))
+
+
+@query()
+def butterworth(spark, sf_dir):
+    from ridgeline.operators import signal
+
+    return signal.smoothed(samples(spark, sf_dir), U, "value", 10.0, 1.0).select(*U, "sample_idx", F.round("smooth", 6).alias("smooth"))
+
+
+@query()
+def prominent_peaks(spark, sf_dir):
+    from ridgeline.operators import signal
+
+    return signal.peaks(samples(spark, sf_dir), U, "value", "max", 3, 20.0).select(*U, "sample_idx", F.round("strength", 6).alias("strength"))
+
+
+@query()
+def phased_crossing(spark, sf_dir):
+    from ridgeline.operators import signal
+
+    return signal.phased(samples(spark, sf_dir), U, "value", 20.0, 60.0, direction="either").select(*U, "sample_idx")
+
+
+@query()
+def capture_period(spark, sf_dir):
+    from ridgeline.operators.bench import periods
+
+    return periods(samples(spark, sf_dir).withColumn("n", F.col("sample_idx").cast("double")), U, "n", "value", 2.0, 20.0).select(*U, F.round("period_s", 6).alias("period_s"))
