@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 COMPARE = {">=": lambda a, b: a >= b, ">": lambda a, b: a > b, "<=": lambda a, b: a <= b, "<": lambda a, b: a < b}
@@ -88,3 +88,28 @@ def apply_conditions(windows: DataFrame, keys: Sequence[str], at: str, idx: str,
     for v in verdicts:
         out = out & v
     return rows.groupBy(*keys).agg(out.alias("__ok")).filter("__ok").drop("__ok")
+
+
+def flagged(samples: DataFrame, keys: Sequence[str], columns: Sequence[str], limits: Sequence[str] = ()) -> DataFrame:
+    """samples plus __null (one of the columns is unknown) and __edge (one of limits is at its least or greatest value within keys)."""
+    none = F.lit(False)
+    for c in columns:
+        none = none | F.col(f"`{c}`").isNull()
+    if not limits:
+        return samples.withColumns({"__null": none, "__edge": F.lit(False)})
+    w = Window.partitionBy(*keys)
+    edge = F.lit(False)
+    for c in limits:
+        y = F.col(f"`{c}`")
+        edge = edge | F.coalesce((y == F.min(y).over(w)) | (y == F.max(y).over(w)), F.lit(False))
+    return samples.withColumns({"__null": none, "__edge": edge})
+
+
+def quality_gate(windows: DataFrame, keys: Sequence[str], max_null_share: float | None = None, skip_edges: bool = False) -> DataFrame:
+    """The keys of events whose samples (of ``flagged``) have few enough unknowns and, if asked, touch no limit of the series."""
+    good = F.lit(True)
+    if max_null_share is not None:
+        good = good & (F.avg(F.col("__null").cast("int")) <= max_null_share)
+    if skip_edges:
+        good = good & ~F.bool_or("__edge")
+    return windows.groupBy(*keys).agg(good.alias("__ok")).filter("__ok").drop("__ok")

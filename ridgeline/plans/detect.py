@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions.naming import sensor_inputs
 from ridgeline.operators import joins, series, signal
-from ridgeline.operators.conditions import Block, Test, apply_conditions
+from ridgeline.operators.conditions import Block, Test, apply_conditions, flagged, quality_gate
 from ridgeline.plans.schema import Event, Schema, Trigger
 
 KEYS = ["session_key"]
@@ -77,6 +77,12 @@ def detect_one(samples: DataFrame, event: Event, sensor: str, inputs: Mapping[st
         near = joins.window_join(first, values, KEYS, F.col("trigger_idx") + lo, F.col("trigger_idx") + hi, "sample_idx", max(hi - lo, 1))
         good = apply_conditions(near, [*KEYS, "trigger_idx"], "trigger_idx", "sample_idx", blocks)
         first = first.join(good, [*KEYS, "trigger_idx"], "left_semi")
+    if event.max_null_share is not None or event.skip_if_clipped:
+        own = [c for c in samples.columns if c not in KEYS]
+        flags = flagged(samples, KEYS, own, sorted(set(inputs.values())) if event.skip_if_clipped else ()).select(*KEYS, "sample_idx", "__null", "__edge")
+        before, after = round(event.pre_s / dt), round(event.post_s / dt)
+        near = joins.window_join(first, flags, KEYS, F.col("trigger_idx") - before, F.col("trigger_idx") + after, "sample_idx", before + after + 1)
+        first = first.join(quality_gate(near, [*KEYS, "trigger_idx"], event.max_null_share, event.skip_if_clipped), [*KEYS, "trigger_idx"], "left_semi")
     out = first
     names = {event.trigger.id: "trigger"}
     for t in event.secondary:

@@ -50,6 +50,8 @@ class Event:
     post_s: float = 0.0
     metrics: tuple[Mapping, ...] = ()
     tags: tuple[str, ...] = ()
+    max_null_share: float | None = None
+    skip_if_clipped: bool = False
     segment: Mapping[str, Any] = field(default_factory=dict)
     params_hash: str = ""
 
@@ -85,6 +87,8 @@ def parse(text: str) -> Schema:
         first = e["trigger"]
         own = _debounce(defaults.get("debounce"), e.get("debounce"), first.get("debounce"))
         window = {**(defaults.get("window") or {}), **(e.get("window") or {})}
+        quality = e.get("quality") or {}
+        share = quality.get("max_nan_fraction")
         second = []
         for t in e.get("secondary_triggers") or []:
             inherited = {"gap_s": own.gap_s, "prefer_key": own.prefer_key, "prefer_abs": own.prefer_abs, "prefer_max": own.prefer_max}
@@ -102,6 +106,8 @@ def parse(text: str) -> Schema:
                 float(window.get("post_s", 0.0)),
                 tuple(e.get("metrics") or ()),
                 tuple(e.get("tags") or ()),
+                None if share is None else float(share),
+                bool(quality.get("skip_if_clipped", False)),
                 dict(e.get("segment_defaults") or {}),
                 params_hash(e, version),
             )

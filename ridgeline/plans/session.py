@@ -119,11 +119,16 @@ class Result:
 
 
 def run(spark: SparkSession, path: str, schema: str | Schema, profile: Profile | None = None, sidecar_path: str | None = None, check: bool = True) -> Result:
-    """One recording through the whole pipeline; schema is YAML text or parsed."""
+    """One recording through the whole pipeline; schema is YAML text or parsed.
+
+    Samples and events are persisted: every event definition reads the samples
+    several times, and their kernels run once. Unpersist them when done.
+    """
     session = canonicalise(read_csv(spark, path, sidecar_path=sidecar_path))
     prepared = preprocess(session, profile or Profile())
+    prepared = replace(prepared, samples=prepared.samples.persist())
     schema = parse(schema) if isinstance(schema, str) else schema
-    events = detect.detect(prepared.samples, schema, prepared.registry, 1 / prepared.rate_hz)
+    events = detect.detect(prepared.samples, schema, prepared.registry, 1 / prepared.rate_hz).persist()
     metrics = detect.metrics(prepared.samples, events, schema, prepared.registry)
     if check:
         contracts.check_session(prepared.samples)

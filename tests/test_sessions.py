@@ -72,6 +72,15 @@ def test_whole_pipeline(spark, recording, tmp_path):
     assert typed(stats) == {"samples_dropped": 0, "flush_max_ms": 3.5}
 
 
+@pytest.mark.parametrize(("quality", "n"), [("{max_nan_fraction: 1.0}", 5), ("{skip_if_clipped: true}", 0)])
+def test_quality_rules(spark, recording, quality, n):
+    from ridgeline.plans.session import Profile, run
+
+    profile = Profile({"rear_shock_dom_suspension [mm]": 60.0}, zeroing=False, active_disp="rear_shock_dom_suspension [mm]")
+    out = run(spark, recording, SCHEMA.replace("  tags: [air]", f"  quality: {quality}\n  tags: [air]"), profile, check=False)
+    assert out.events.count() == n  # every window holds samples at 0, the least value of the series
+
+
 def test_first_sample_is_dropped(spark, tmp_path):
     from ridgeline.sources.logger import read_csv
 
