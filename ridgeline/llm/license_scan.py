@@ -95,7 +95,8 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: float
     drawn = windows.groupBy("row", "c", "window").agg(*_minima()).select("row", "c", "window", _bands())
     asked = sizes.select("license", "n", "c", _bands())
     pairs = drawn.join(F.broadcast(asked), ["c", "band", "least"]).select("row", "c", "window", "license", "n").distinct()
-    found = windows.join(pairs, ["row", "c", "window"]).join(F.broadcast(known), ["license", "h"])
+    # Both sides grow with the input, and their compressed files hide their size: never a broadcast.
+    found = windows.join(pairs.hint("merge"), ["row", "c", "window"]).join(F.broadcast(known), ["license", "h"])
     found = found.groupBy("doc_id", "row", "window", "license", "n").agg(F.count_distinct("h").alias("n_matched"), F.min("at").alias("at"))
     found = found.filter(F.col("n_matched") >= F.col("n") * least)
     best = F.max(F.struct("n_matched", (-F.col("at")).alias("at"))).alias("x")
