@@ -16,13 +16,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five words, similarity 0.8."""
-    return ngram_join.keep_one(docs, ngram_join.similar_sets(docs, k=5, percent=80))
+    return ngram_join.keep_first(docs, ngram_join.similar_rows(docs, k=5, percent=80))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, saved(found.select(F.col("doc_id").alias("__id")).distinct()))
+    found = decontaminate.contaminated_rows(docs, table(spark, sf_dir, "benchmark"))
+    return without(docs, saved(found.select(F.col("key").alias("__key")).distinct()))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

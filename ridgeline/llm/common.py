@@ -74,11 +74,19 @@ def surely_not_among(rows: DataFrame, keys: DataFrame, *names: str) -> DataFrame
     return marked.filter(~hit).select(*rows.columns)
 
 
+def row_key() -> Column:
+    """64 bits for doc_id and text: rows without a doc_id, or with one that others have, are told apart by their text.
+
+    Only rows equal in both have one key; what is said of a row by its text holds for all of them.
+    """
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id (null: -1) isn't among keys (column __id). Only what may be among them is shuffled."""
-    marked = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)))
-    near = maybe_among(marked, keys, "__id").join(keys.select("__id").distinct(), "__id", "left_anti")
-    return surely_not_among(marked, keys, "__id").select(*docs.columns).unionByName(near.select(*docs.columns))
+    """The rows of docs whose ``row_key`` isn't among keys (column __key). Only what may be among them is shuffled."""
+    marked = docs.withColumn("__key", row_key())
+    near = maybe_among(marked, keys, "__key").join(keys.select("__key").distinct(), "__key", "left_anti")
+    return surely_not_among(marked, keys, "__key").select(*docs.columns).unionByName(near.select(*docs.columns))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import maybe_among, saved
+from ridgeline.llm.common import maybe_among, row_key, saved
 from ridgeline.llm.text import combined, pieces, window_hash, words
 from ridgeline.llm.text import rolling as _rolling
 
@@ -137,15 +137,15 @@ def _kept(least: float):
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, text, items in zip(*[batch.column(c).to_pylist() for c in ("id", "text", "items")], strict=True):
+            for key, doc, text, items in zip(*[batch.column(c).to_pylist() for c in ("id", "doc_id", "text", "items")], strict=True):
                 mine = _one(text)
                 for x in items:
                     hit = aligned(mine, _one(x["item"]), least)
                     if hit:
-                        out.append((doc, x["item_id"], *hit))
-            columns = list(zip(*out, strict=True)) or [()] * 7
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "n_windows", "n_matched", "containment", "slot_agreement", "verbatim"])
+                        out.append((key, doc, x["item_id"], *hit))
+            columns = list(zip(*out, strict=True)) or [()] * 8
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", "doc_id", "item_id", "n_windows", "n_matched", "containment", "slot_agreement", "verbatim"])
 
     return align
 
@@ -199,8 +199,8 @@ def aligned(doc: tuple, item: tuple, least: float) -> tuple | None:
     return total, matched, matched / total, agreement, verbatim
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
-    """doc_id, item_id, n_windows, n_matched, containment, slot_agreement, verbatim of each contaminated document and item."""
+def contaminated_rows(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
+    """key (``row_key``), doc_id, item_id, n_windows, n_matched, containment, slot_agreement, verbatim of contaminated rows, each judged by its own text."""
     id_ = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-1)).alias("id")
     items = benchmark.select(id_("item_id"), F.col("text").cast("string").alias("text")).distinct()
     held = items.mapInArrow(_hashed(), "id long, hash long").withColumnRenamed("id", "item_id").distinct()
@@ -215,13 +215,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> D
     words_ = keys.select(F.shiftright(spot, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(spot, F.lit(64)).cast("int")).alias("bit"))
     found = words_.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most KEY_BITS / 64 rows
     bits[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-    rows = docs.select(id_("doc_id"), F.col("text").cast("string").alias("text"))
-    hits = rows.mapInArrow(_hashed(docs.sparkSession.sparkContext.broadcast(bits)), "id long, hash long")
+    rows = docs.select(row_key().alias("id"), id_("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    hits = rows.select("id", "text").mapInArrow(_hashed(docs.sparkSession.sparkContext.broadcast(bits)), "id long, hash long")
     pairs = saved(hits.join(keys, "hash").select("id", "item_id").distinct())
     asked = pairs.join(items.withColumnsRenamed({"id": "item_id", "text": "item"}), "item_id")
     asked = asked.groupBy("id").agg(F.collect_list(F.struct("item_id", "item")).alias("items"))
     near = maybe_among(rows, pairs, "id").join(asked, "id")
-    schema = "doc_id long, item_id long, n_windows long, n_matched long, containment double, slot_agreement double, verbatim boolean"
-    out = near.mapInArrow(_kept(least), schema)
+    schema = "key long, doc_id long, item_id long, n_windows long, n_matched long, containment double, slot_agreement double, verbatim boolean"
+    return near.mapInArrow(_kept(least), schema)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
+    """doc_id, item_id, n_windows, n_matched, containment, slot_agreement, verbatim of each contaminated document and item."""
+    out = contaminated_rows(docs, benchmark, least)
     best = F.max(F.struct("containment", "slot_agreement", "n_matched", "n_windows", "verbatim")).alias("x")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.n_windows", "x.n_matched", "x.containment", "x.slot_agreement", "x.verbatim")

@@ -15,7 +15,8 @@ undecided rows about two-thousandfold.
 
 Defined results: null or wordless text has size 0 (and is sampled like any
 other, taking 0 words); null source is a source of its own, ordered last;
-repeated rows are sampled row by row; an empty table gives an empty result;
+repeated rows are sampled row by row (rows equal in doc_id and text walk in one
+block; a doc_id alone, or its absence, joins nothing); an empty table gives an empty result;
 a source without words has target 0. Other columns of the input are ignored
 by ``cube_mix`` and kept by ``apply_mix``.
 """
@@ -30,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import saved, word_count
+from ridgeline.llm.common import row_key, saved, word_count
 
 EPS = 1e-9
 #: Documents of each source, spread over the sizes, that wait for the landing.
@@ -96,23 +97,23 @@ def _walk(size: list[float], p: list[float], rng: np.random.Generator, land: boo
 
 def _flight(seed: int):
     def flight(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "spread", "doc_id"], ascending=[False, True, True], kind="stable", ignore_index=True)
+        pdf = pdf.sort_values(["size", "spread", "key"], ascending=[False, True, True], kind="stable", ignore_index=True)
         first = pdf.iloc[0]
         key = f"{seed}|{first['source']}|{first['level']}|{first['block']}|{first['blocks']}"
         rng = np.random.default_rng(zlib.crc32(key.encode()))
         p = _walk(pdf["size"].astype(float).tolist(), pdf["p"].tolist(), rng, first["blocks"] == 1)
-        return pdf.assign(p=p)[["doc_id", "source", "size", "source_size", "target", "whole", "spread", "p"]]
+        return pdf.assign(p=p)[["doc_id", "key", "source", "size", "source_size", "target", "whole", "spread", "p"]]
 
     return flight
 
 
-_STATE = "doc_id long, source string, size long, source_size long, target double, whole int, spread long, p double"
+_STATE = "doc_id long, key long, source string, size long, source_size long, target double, whole int, spread long, p double"
 
 
 def cube_mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), share: float = 1.0, max_repeat: float = 3.0, block_rows: int = 4096, seed: int = 7) -> DataFrame:
-    """doc_id, source, size, source_size, target, times, taken for every row of docs."""
-    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count("text").alias("size"))
-    sizes = saved(sizes.withColumn("spread", F.xxhash64("doc_id", F.lit(seed))))
+    """doc_id, key (``row_key``), source, size, source_size, target, times, taken for every row of docs."""
+    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("source").cast("string").alias("source"), word_count("text").alias("size"))
+    sizes = saved(sizes.withColumn("spread", F.xxhash64("key", F.lit(seed))))
     targets = source_targets(sizes, weights, share, max_repeat).withColumnRenamed("source", "of_source")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(max_repeat)))).otherwise(0.0)
     state = sizes.join(targets, sizes["source"].eqNullSafe(targets["of_source"])).withColumn("rate", rate)
@@ -141,7 +142,7 @@ def cube_mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), share: float
             done = [_union(done)]
     times = (F.col("whole") + F.col("p").cast("int")).cast("int")
     out = _union(done).withColumn("times", times)
-    return out.select("doc_id", "source", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).cast("long").alias("taken"))
+    return out.select("doc_id", "key", "source", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).cast("long").alias("taken"))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -154,13 +155,13 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def apply_mix(docs: DataFrame, mix: DataFrame) -> DataFrame:
     """The rows of docs, each as often as the mix takes it.
 
-    Rows that share a doc_id share the repeats of that doc_id evenly.
+    Rows equal in doc_id and text share the repeats of their key evenly.
     """
-    per = mix.groupBy(F.col("doc_id").alias("__mix_id")).agg(F.sum("times").alias("__mix_times"), F.count(F.lit(1)).alias("__mix_rows"))
+    per = mix.groupBy(F.col("key").alias("__mix_id")).agg(F.sum("times").alias("__mix_times"), F.count(F.lit(1)).alias("__mix_rows"))
     per = per.filter(F.col("__mix_times") > 0)
-    out = docs.join(per, docs["doc_id"].eqNullSafe(per["__mix_id"]))
+    out = docs.withColumn("__mix_key", row_key()).join(per, F.col("__mix_key") == F.col("__mix_id"))
     turn = F.row_number().over(Window.partitionBy("__mix_id").orderBy("__mix_id"))
     out = out.withColumn("__mix_turn", F.when(F.col("__mix_rows") > 1, turn).otherwise(F.lit(1)))
     own = F.floor(F.col("__mix_times") / F.col("__mix_rows")) + (F.col("__mix_turn") <= F.col("__mix_times") % F.col("__mix_rows")).cast("int")
     out = out.withColumn("__mix_copy", F.explode(F.when(own > 0, F.sequence(F.lit(1), own.cast("int"))).otherwise(F.array().cast("array<int>"))))
-    return out.select(*[docs[c] for c in docs.columns])
+    return out.select(*docs.columns)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import maybe_among, saved, surely_not_among
+from ridgeline.llm.common import WORD, maybe_among, row_key, saved, surely_not_among
 from ridgeline.llm.graph import components
 from ridgeline.llm.text import mix, shingle_sets
 
@@ -56,7 +56,7 @@ def _named(k: int):
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [(len(s), _node(s) if len(s) else None) for s in shingle_sets(batch.column("text"), k)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[1] for x in sets], pa.int64()), pa.array([x[0] for x in sets], pa.int64())], ["doc_id", "node", "n_shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array([x[1] for x in sets], pa.int64()), pa.array([x[0] for x in sets], pa.int64())], ["doc_id", "key", "node", "n_shingles"])
 
     return name
 
@@ -229,10 +229,14 @@ def _verified(percent: int):
     return verify
 
 
-def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs (columns doc_id, text)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    named = saved(rows.mapInArrow(_named(k), "doc_id long, node long, n_shingles long"))
+def similar_rows(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, key, n_shingles, component_id, first for every row of docs (columns doc_id, text).
+
+    key is the row's ``row_key``, first that of its component's first row (by
+    doc_id, null last, then key); null for an empty set.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key().alias("key"))
+    named = saved(rows.mapInArrow(_named(k), "doc_id long, key long, node long, n_shingles long"))
     total = named.agg(F.sum("n_shingles")).first()[0] or 0
     parts = max(-(-total // PART_TOKENS), LEAST_PARTS)
     dealt = rows.select("text").mapInArrow(_dealt(k, parts), _PACK).repartition(parts, "part")
@@ -254,13 +258,37 @@ def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     members = members.select("node", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     links = found.select("node", "n", "tokens").join(members, "node").groupBy("label", "i", "j").applyInArrow(_verified(percent), "a long, b long")
     labels = components(saved(links))
-    named = named.withColumn("row", F.monotonically_increasing_id())
-    of_node = named.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
+    of_node = named.filter("node is not null").groupBy("node").agg(F.min(order).alias("least")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     of_node = saved(of_node)
-    least = of_node.groupBy("label").agg(F.min("least").alias("component_id"))
-    ids = of_node.join(least, "label").select("node", "component_id")
+    least = of_node.groupBy("label").agg(F.min("least").alias("least"))
+    ids = of_node.drop("least").join(least, "label").select("node", F.col("least.doc_id").alias("component_id"), F.col("least.key").alias("first"))
     out = named.join(ids, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "first")
+
+
+def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs (columns doc_id, text)."""
+    return similar_rows(docs, k, percent).drop("key", "first")
+
+
+def keep_first(docs: DataFrame, joined: DataFrame) -> DataFrame:
+    """The first row of each component of docs, whatever its doc_id; joined is ``similar_rows`` of docs.
+
+    Rows are judged by ``row_key``, so rows without a doc_id and different
+    texts under one doc_id are each judged by their text. Of rows equal in
+    doc_id and text one stays. Wordless rows without a doc_id all stay.
+    """
+    keys = joined.filter("doc_id is not null or n_shingles > 0").groupBy("key")
+    keys = keys.agg(F.bool_and(F.coalesce(F.col("key") == F.col("first"), F.lit(True))).alias("stays"), F.count(F.lit(1)).alias("n"))
+    asked = saved(keys.filter("not stays or n > 1").select(F.col("key").alias("__key"), F.col("stays").alias("__stays")))
+    wordless = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").cast("string").rlike(WORD), F.lit(False))
+    marked = docs.withColumn("__key", row_key())
+    own = marked.filter(~wordless)
+    # Equal rows fall together before they are joined: what many rows share is no large key then.
+    near = maybe_among(own, asked, "__key").dropDuplicates(["__key"]).join(asked, "__key", "left").filter("__stays is null or __stays")
+    far = surely_not_among(own, asked, "__key").unionByName(marked.filter(wordless))
+    return far.select(*docs.columns).unionByName(near.select(*docs.columns))
 
 
 def keep_one(docs: DataFrame, joined: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from ridgeline.llm.mixing import cube_mix
 
 
 def op1_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cube_mix(table(spark, sf_dir, "documents")).drop("source")
+    return cube_mix(table(spark, sf_dir, "documents")).drop("source", "key")
 
 
 def op2_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:

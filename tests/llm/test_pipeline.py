@@ -38,3 +38,37 @@ def test_queries_are_registered():
     names = set(entry.queries())
     assert "pipeline" in names and {f"op{n}" for n in range(1, 11)} <= {x.split("_")[0] for x in names}
     assert set(entry.oracle_sql()) <= names
+
+
+def test_stages_judge_rows_without_or_with_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    item = prose(rng, 40)
+    a, b, c, d, e = (prose(rng, 60) for _ in range(5))
+    rows = [(None, item), (None, a), (None, a), (None, a + " end"), (-1, b), (7, c), (7, d), (7, item + " tail"), (8, c + " end"), (None, d), (None, e)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    clean = stages["decontamination"](spark, docs, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in clean) == sorted((str(i), t) for i, t in rows if not t.startswith(item))
+    one = [(r.doc_id, r.text) for r in stages["ngram_jaccard_join"](spark, docs, str(tmp_path)).collect()]
+    assert len(one) == 6 and {(-1, b), (7, c), (7, d), (7, item + " tail"), (None, e)} < set(one)
+    assert [t[: len(a)] for i, t in one if i is None and t != e] == [a]
+
+
+def test_mix_takes_rows_without_ids_by_themselves(spark):
+    from ridgeline.llm.mixing import apply_mix, cube_mix
+
+    rng = random.Random(13)
+    docs = spark.createDataFrame([(None if i % 3 else 5, prose(rng, rng.randint(1, 9)), None, f"s{i % 2}", 0) for i in range(300)], SCHEMA)
+    mix = cube_mix(docs, block_rows=16).collect()
+    assert len({r.key for r in mix}) > 250
+    times, taken = {}, {}
+    for r in mix:
+        times[r.key] = times.get(r.key, 0) + r.times
+    from ridgeline.llm.common import row_key
+
+    for r in apply_mix(docs, cube_mix(docs, block_rows=16)).select(row_key().alias("key")).collect():
+        taken[r.key] = taken.get(r.key, 0) + 1
+    assert taken == {k: n for k, n in times.items() if n}
