@@ -33,9 +33,10 @@ from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"""<!--|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+(?=>)|[^>]*)>|<[!?][^>]*>""")
 _NAMES = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _WORDS = re.compile(r"[a-z]+")
-RAW = frozenset("script style noscript template svg iframe title textarea select option button math object canvas audio video".split())
+RAW = frozenset("script style noscript template svg iframe title textarea select option button annotation annotation-xml object canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINER = frozenset("html body div section article main nav header footer aside form ul ol dl table thead tbody tfoot tr td th figure blockquote details dialog fieldset menu address center".split())
 LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre figcaption caption legend label summary hr".split())
@@ -54,10 +55,20 @@ ADJACENT, SIBLING, APART = 0.8, 0.4, 0.1
 
 
 class _Block:
-    __slots__ = ("parts", "links", "tag", "place", "good", "bad")
+    __slots__ = ("parts", "links", "tag", "place", "good", "bad", "rank", "outer", "inner")
 
-    def __init__(self, tag: str, place: int, good: int, bad: int):
+    def __init__(self, tag: str, place: int, good: int, bad: int, rank: int, outer: tuple[int, ...], inner: tuple[int, ...]):
         self.parts, self.links, self.tag, self.place, self.good, self.bad = [], 0, tag, place, good, bad
+        #: What holds the block (2: article or main, 1: a name for content), and the containers marked as boilerplate outside and inside of that.
+        self.rank, self.outer, self.inner = rank, outer, inner
+
+
+def _hidden(attributes: str) -> bool:
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" and value.lower() != "false" or name == "style" and _NO_DISPLAY.search(value):
+            return True
+    return False
 
 
 def _names(attributes: str) -> tuple[int, int]:
@@ -67,14 +78,53 @@ def _names(attributes: str) -> tuple[int, int]:
         for w in _WORDS.findall((m[1] or m[2] or m[3] or "").lower()):
             good |= w in FOR_NAME
             bad |= w in AGAINST_NAME
-    return good, bad or int(bool(_HIDDEN.search(attributes)))
+    return good, bad
+
+
+def _words(block: _Block) -> int:
+    return len("".join(block.parts).split())
+
+
+def _depth(block: _Block) -> float:
+    """Marks outside; an article's own (negative) is half a one."""
+    return sum(1 if x > 0 else 0.5 for x in block.outer)
+
+
+def _judge(blocks: list[_Block], forms: set[int]) -> None:
+    """Sets bad of the blocks that stand in boilerplate.
+
+    A form that holds most of the page's words is no mark. A mark around the
+    article (or, where there is none, around the part named as content) is no
+    mark on it: that is the part with the fewest marks around it, if it holds
+    as many words as stand on the page without a mark. What is marked inside
+    of the article stays so, and so do articles within further marks, such
+    as teasers and comments.
+    """
+    words = [_words(b) for b in blocks]
+    every = sum(words)
+    wide = {f for f in forms if 2 * sum(w for b, w in zip(blocks, words, strict=True) if f in b.outer or f in b.inner) > every}
+    if wide:
+        for b in blocks:
+            b.outer, b.inner = tuple(x for x in b.outer if x not in wide), tuple(x for x in b.inner if x not in wide)
+    open_ = sum(w for b, w in zip(blocks, words, strict=True) if not (b.bad or b.outer or b.inner))
+    rank = depth = 0
+    for k in (2, 1):
+        part = [(_depth(b), w) for b, w in zip(blocks, words, strict=True) if w and b.rank == k and not b.bad and not b.inner]
+        least = min((n for n, _ in part), default=0)
+        if part and (not least or sum(w for n, w in part if n == least) >= open_):
+            rank, depth = k, least
+            break
+    for b in blocks:
+        b.bad |= bool(b.inner) or _depth(b) > (depth if b.rank == rank else 0)
 
 
 def blocks_of(html: str) -> list[_Block]:
     """The blocks with text, in page order; good and bad say what stands around them."""
     out: list[_Block] = []
-    stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]  # tag, number of the container, good, bad
-    block = _Block("", 0, 0, 0)
+    # tag, number of the container, good, hidden, rank, marks outside and inside
+    stack: list[tuple[str, int, int, int, int, tuple[int, ...], tuple[int, ...]]] = [("", 0, 0, 0, 0, (), ())]
+    forms: set[int] = set()
+    block = _Block("", 0, 0, 0, 0, (), ())
     at, number, in_link, size = 0, 0, 0, len(html)
     own = (0, 0)
 
@@ -90,7 +140,7 @@ def blocks_of(html: str) -> list[_Block]:
         if block.parts:
             out.append(block)
         top = stack[-1]
-        block = _Block(tag, top[1], top[2] | good, top[3] | bad)
+        block = _Block(tag, top[1], top[2] | good, top[3] | bad, *top[4:])
 
     while at < size:
         m = _TOKEN.search(html, at)
@@ -127,15 +177,27 @@ def blocks_of(html: str) -> list[_Block]:
             in_link = 1
         elif tag in CONTAINER:
             number += 1
-            good, bad = _names(m[3]) if m[3] else own
+            page = tag in ("html", "body")  # names there speak of the whole page
+            good, bad = _names(m[3]) if m[3] and not page else own
             inside = stack[-1]
+            hidden = inside[3] | bool(m[3] and not page and _hidden(m[3]))
             against = tag in AGAINST_TAG and not (tag == "header" and inside[0] in FOR_TAG)
-            stack.append((tag, number, inside[2] | (tag in FOR_TAG) | good & (not bad), inside[3] | bad | against))
+            rank, outer, inner = inside[4:]
+            if tag == "form" and not bad:
+                forms.add(number)
+            mark = (number,) if bad or against else ()
+            opens = 2 if tag in FOR_TAG else int(good and not mark)
+            if opens == 2 or opens > rank:
+                rank, outer, inner = opens, outer + inner, ()
+                if good:  # an article named for both, as by its categories, is judged like what is around it
+                    outer, mark = (*outer, *[-x for x in mark]), ()
+            stack.append((tag, number, inside[2] | (tag in FOR_TAG) | good & (not bad), hidden, rank, outer, inner + mark))
             flush("")
         elif tag in LEAF:
             good, bad = _names(m[3]) if m[3] else own
-            flush(tag, good & (not bad), bad)
+            flush(tag, good & (not bad), bad | bool(m[3] and _hidden(m[3])))
     flush("")
+    _judge(out, forms)
     return out
 
 

@@ -299,6 +299,32 @@ def test_html_extraction(spark):
     assert [by[i].text for i in (2, 3, 5)] == ["", "", ""]
 
 
+def test_marks_around_the_article_do_not_drop_it():
+    from ridgeline.llm.html_extract import main_text
+
+    rng = random.Random(9)
+    first, last, teaser, said = (prose(rng, n) for n in (100, 30, 12, 40))
+    menu = "<nav><ul><li><a href=/>Home</a><li><a href=/b>More</a></ul></nav>"
+    article = f"<article><p>{first}</p><p>{last}</p></article>"
+    rest = f'<aside class="related"><article><p>{teaser}</p></article></aside><section class="comments"><article class="comment"><p>{said}</p></article></section><footer>&copy; host</footer>'
+    want = f"{first}\n{last}"
+    for page in (
+        f'<html class="no-widgets"><body class="has-sidebar">{menu}{article}{rest}</body></html>',
+        f'<body>{menu}<div class="layout-sidebar"><div>{article}{rest}</div></div></body>',
+        f"<body><form action=x>{menu}{article}{rest}</form><div>Copyright</div></body>",
+        f'<body><form action=x>{menu}<div class="page"><p>{first}</p><p>{last}</p></div>{rest}</form></body>'.replace("article", "div"),
+        f'<body>{menu}<div class="overflow-hidden" aria-hidden="false">{article}</div>{rest}</body>',
+        f'<body><div class="sidebar-page"><div id="content"><p>{first}</p><p>{last}</p></div></div>{menu}</body>',
+        f'<body>{menu}{article.replace("<article", "<article class='post category-social'")}{rest}</body>',
+        f"<body>{menu}{article}<div hidden><article><p>{said}</p></article></div><div style='display: none'><p>{said}</p></div></body>",
+    ):
+        assert main_text(page) == want, page[:80]
+    math = "<math><semantics><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding=tex>x=2</annotation></semantics></math>"
+    assert main_text(f"<article><p>{first} {math} then</p></article>") == f"{first} x=2 then"
+    assert main_text(f'<body><div><p>{first}</p></div><footer><div class="content"><p>{teaser}</p></div></footer></body>') == first
+    assert main_text(f"<article hidden><p>{first}</p></article><form><label>Name</label><input></form>") == ""
+
+
 def test_min_cut_is_minimal():
     from itertools import product
 
