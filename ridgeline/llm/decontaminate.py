@@ -26,6 +26,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -158,7 +159,15 @@ def _one(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def aligned(doc: tuple, item: tuple, least: float) -> tuple | None:
-    """(windows of the item, matched, containment, slot agreement, verbatim) of the best passage, if it is contaminated."""
+    """(windows of the item, matched, containment, slot agreement, verbatim) of the best passage, if it is contaminated.
+
+    Stretches of the document are as long as the item and half as much again.
+    Wherever one holds enough of the item's different windows, their most
+    frequent offset places a copy of the item, and its slots are compared: each
+    place of the item with the nearest window that it can stand for. Stretches
+    with more different windows than those beside them are also compared
+    whole, in whatever order their windows stand. The best that agrees counts.
+    """
     of_item: dict[int, list[int]] = defaultdict(list)
     for i, h in enumerate(item[0].tolist()):
         of_item[h].append(i)
@@ -166,37 +175,76 @@ def aligned(doc: tuple, item: tuple, least: float) -> tuple | None:
     at = np.flatnonzero(np.isin(doc[0], item[0]))
     if not total or not len(at):
         return None
-    hashes = doc[0][at].tolist()
-    at = at.tolist()
-    # The stretch of the document, as long as the item and half as much again, with most different windows.
-    reach, best, inside, lo = len(item[0]) * 3 // 2 + WINDOW, (0, 0, 0), Counter(), 0
-    for hi, h in enumerate(hashes):
-        inside[h] += 1
-        while at[hi] - at[lo] > reach:
-            inside[hashes[lo]] -= 1
-            if not inside[hashes[lo]]:
-                del inside[hashes[lo]]
-            lo += 1
-        if len(inside) > best[0]:
-            best = (len(inside), lo, hi)
-    matched, lo, hi = best
-    if matched < least * total:
-        return None
+    hashes, size = doc[0][at].tolist(), len(item[0])
+    ends = np.searchsorted(at, at + size * 3 // 2 + WINDOW, side="right").tolist()
+    at, need = at.tolist(), least * total
+    counts, inside, hi = [], Counter(), 0
+    for lo, end in enumerate(ends):
+        while hi < end:
+            inside[hashes[hi]] += 1
+            hi += 1
+        counts.append(len(inside))
+        inside[hashes[lo]] -= 1
+        if not inside[hashes[lo]]:
+            del inside[hashes[lo]]
+    best, offsets, peaks, rise = None, set(), set(), 0
+    for lo, count in enumerate(counts):
+        if lo and count > counts[lo - 1]:
+            rise = lo
+        if rise is not None and (lo + 1 == len(counts) or counts[lo + 1] < count):
+            peaks.add(rise)
+            rise = None
+    for lo, (end, count) in enumerate(zip(ends, counts, strict=True)):
+        if count < need or best == (total, 1.0, True):
+            continue
+        met: set[int] = set()
+        first = last = lo
+        for k in range(lo, end):
+            before = len(met)
+            met.add(hashes[k])
+            if before < need <= len(met):
+                first = k + 1
+            if len(met) == count:
+                last = k + 1
+                break
+        offset = Counter(j - i for j, h in zip(at[lo:first], hashes[lo:first], strict=True) for i in of_item[h]).most_common(1)[0][0]
+        tries = []
+        if lo in peaks:
+            tries.append([(_nearest(of_item[h], j - offset), j) for j, h in zip(at[lo:last], hashes[lo:last], strict=True)])
+        if offset not in offsets:
+            offsets.add(offset)
+            slack = size // 2 + WINDOW
+            x, y = bisect_left(at, offset - slack), bisect_left(at, offset + size + slack)
+            near = [(_nearest(of_item[h], j - offset), j) for j, h in zip(at[x:y], hashes[x:y], strict=True)]
+            taken: dict[int, int] = {}
+            for i, j in sorted(near, key=lambda p: abs(p[1] - offset - p[0])):  # noqa: B023
+                if abs(j - offset - i) <= slack:
+                    taken.setdefault(i, j)
+            tries.append(list(taken.items()))
+        for places in tries:
+            matched = len({int(item[0][i]) for i, _ in places})
+            if matched >= need and (best is None or (matched, 1.0, True) > best):
+                agreement, verbatim = _slots(doc, item, places)
+                if agreement >= least:
+                    best = max(best or (0, 0.0, False), (matched, agreement, verbatim))
+    return best and (total, best[0], best[0] / total, best[1], best[2])
+
+
+def _slots(doc: tuple, item: tuple, places: list[tuple[int, int]]) -> tuple[float, bool]:
+    """(slot agreement, verbatim) of windows of the item and windows of the document that stand for them."""
     pairs: dict[tuple, Counter] = defaultdict(Counter)
-    seen = set()
-    for j, h in zip(at[lo : hi + 1], hashes[lo : hi + 1], strict=True):
-        i = min(of_item[h], key=lambda i: abs((i - of_item[hashes[lo]][0]) - (j - at[lo])))
-        for x in range(WINDOW):
-            if item[1][i + x] and (i + x, j + x) not in seen:
-                seen.add((i + x, j + x))
-                pairs[int(item[1][i + x]), int(item[2][i + x])][int(doc[2][j + x])] += 1
+    for i, j in {(i + x, j + x) for i, j in places for x in range(WINDOW)}:
+        if item[1][i]:
+            pairs[int(item[1][i]), int(item[2][i])][int(doc[2][j])] += 1
     repeated = [c for c in pairs.values() if sum(c.values()) > 1]  # a value that stands once agrees with itself
     slots = sum(sum(c.values()) for c in repeated)
     agreement = sum(max(c.values()) for c in repeated) / slots if slots else 1.0
-    if agreement < least:
-        return None
-    verbatim = all(set(c) == {value} for (_, value), c in pairs.items())
-    return total, matched, matched / total, agreement, verbatim
+    return agreement, all(set(c) == {value} for (_, value), c in pairs.items())
+
+
+def _nearest(places: list[int], want: int) -> int:
+    k = bisect_left(places, want)
+    return min(places[max(k - 1, 0) : k + 1], key=lambda i: abs(i - want))
 
 
 def contaminated_rows(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:

@@ -181,6 +181,25 @@ def test_decontamination(spark, empty):
 # --- n-gram join
 
 
+def test_every_stretch_is_compared():
+    from ridgeline.llm.decontaminate import _one, aligned
+
+    rng = random.Random(6)
+    question = "A train leaves Rome at 9 and covers 120 km in 2 hours while Anna walks 5 km to the station, how far is the train from Rome when Anna arrives there after 3 hours"
+    mangled = question.replace("from Rome", "from Lima").replace("when Anna", "when Carl").replace("while Anna", "while Dora").replace("leaves Rome", "leaves Kiev")
+    other = question.replace("Rome", "Oslo").replace("Anna", "Bert")
+    edited = question.replace("leaves", "is leaving", 1)
+    item = _one(question)
+    found = lambda text: aligned(_one(text), item, 0.8)
+    assert found(mangled) is None and found(mangled + ". " + mangled) is None
+    for text in (mangled + ". " + prose(rng, 200) + ". " + question, question + ". " + prose(rng, 200) + ". " + mangled, mangled + ". " + question, question + ". " + mangled):
+        hit = found(text)
+        assert hit and hit[2] == 1.0 and hit[3] == 1.0 and hit[4], text
+    for text in (edited + ". " + other, other + ". " + edited, edited + ". " + other + ". " + mangled, "while Dora walks 5 km to the " + other):
+        hit = found(text)
+        assert hit and hit[3] >= 0.8, text
+
+
 def brute_components(rows, k, percent):
     sets = []
     for _, t, *_ in rows:
