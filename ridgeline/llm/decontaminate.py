@@ -10,7 +10,8 @@ the places of the values that stand more than once). So questions are
 caught whose numbers and names were changed throughout.
 
 A passage that holds 80 % of an item's windows holds one of any 20 % plus one
-of them. Each item's rarest windows of that number are its keys. All documents
+of them. The rarest windows of each item text, of that number, are its keys;
+what item_ids a text has is looked up in the result. All documents
 are scanned against a bit map of the keys (fixed size, broadcast), what hits
 is hash-joined with the keys, and only documents that share a key with an item
 are read again and aligned with it.
@@ -143,10 +144,10 @@ def _kept(least: float):
                 for x in items:
                     hit = aligned(mine, _one(x["item"]), least)
                     if hit:
-                        out.append((key, doc, x["item_id"], *hit))
+                        out.append((key, doc, x["print"], *hit))
             columns = list(zip(*out, strict=True)) or [()] * 8
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", "doc_id", "item_id", "n_windows", "n_matched", "containment", "slot_agreement", "verbatim"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", "doc_id", "print", "n_windows", "n_matched", "containment", "slot_agreement", "verbatim"])
 
     return align
 
@@ -250,13 +251,15 @@ def _nearest(places: list[int], want: int) -> int:
 def contaminated_rows(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
     """key (``row_key``), doc_id, item_id, n_windows, n_matched, containment, slot_agreement, verbatim of contaminated rows, each judged by its own text."""
     id_ = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-1)).alias("id")
-    items = benchmark.select(id_("item_id"), F.col("text").cast("string").alias("text")).distinct()
-    held = items.mapInArrow(_hashed(), "id long, hash long").withColumnRenamed("id", "item_id").distinct()
+    text = F.col("text").cast("string")
+    named = benchmark.select(id_("item_id").alias("item_id"), F.xxhash64(text).alias("print")).distinct()
+    items = benchmark.select(F.xxhash64(text).alias("id"), text.alias("text")).filter("text is not null").distinct()
+    held = items.mapInArrow(_hashed(), "id long, hash long").withColumnRenamed("id", "print").distinct()
     held = saved(held)
     often = held.groupBy("hash").agg(F.count(F.lit(1)).alias("items"))
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy("items", "hash"))
-    n = F.count(F.lit(1)).over(Window.partitionBy("item_id"))
-    keys = held.join(often, "hash").withColumns({"rank": rank, "n": n}).filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("hash", "item_id")
+    rank = F.row_number().over(Window.partitionBy("print").orderBy("items", "hash"))
+    n = F.count(F.lit(1)).over(Window.partitionBy("print"))
+    keys = held.join(often, "hash").withColumns({"rank": rank, "n": n}).filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("hash", "print")
     keys = saved(keys)
     bits = np.zeros(KEY_BITS // 64, np.uint64)
     spot = F.col("hash").bitwiseAND(F.lit(KEY_BITS - 1))
@@ -265,12 +268,13 @@ def contaminated_rows(docs: DataFrame, benchmark: DataFrame, least: float = 0.8)
     bits[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     rows = docs.select(row_key().alias("id"), id_("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
     hits = rows.select("id", "text").mapInArrow(_hashed(docs.sparkSession.sparkContext.broadcast(bits)), "id long, hash long")
-    pairs = saved(hits.join(keys, "hash").select("id", "item_id").distinct())
-    asked = pairs.join(items.withColumnsRenamed({"id": "item_id", "text": "item"}), "item_id")
-    asked = asked.groupBy("id").agg(F.collect_list(F.struct("item_id", "item")).alias("items"))
+    pairs = saved(hits.join(keys, "hash").select("id", "print").distinct())
+    asked = pairs.join(items.withColumnsRenamed({"id": "print", "text": "item"}), "print")
+    asked = asked.groupBy("id").agg(F.collect_list(F.struct("print", "item")).alias("items"))
     near = maybe_among(rows, pairs, "id").join(asked, "id")
-    schema = "key long, doc_id long, item_id long, n_windows long, n_matched long, containment double, slot_agreement double, verbatim boolean"
-    return near.mapInArrow(_kept(least), schema)
+    schema = "key long, doc_id long, print long, n_windows long, n_matched long, containment double, slot_agreement double, verbatim boolean"
+    out = near.mapInArrow(_kept(least), schema)
+    return out.join(named, "print").select("key", "doc_id", "item_id", *out.columns[3:])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:

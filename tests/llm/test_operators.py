@@ -200,6 +200,17 @@ def test_every_stretch_is_compared():
         assert hit and hit[3] >= 0.8, text
 
 
+def test_items_that_share_an_id_are_each_looked_for(spark):
+    from ridgeline.llm.decontaminate import contaminated
+
+    rng = random.Random(7)
+    texts = [prose(rng, 15) for _ in range(60)]
+    benchmark = spark.createDataFrame([(None if i % 2 else 4, t) for i, t in enumerate(texts)] + [(9, texts[0])], "item_id long, text string")
+    docs = spark.createDataFrame([(i, prose(rng, 20) + " " + t, None, None, 0) for i, t in enumerate(texts)], SCHEMA)
+    got = {(r.doc_id, r.item_id) for r in contaminated(docs, benchmark).collect()}
+    assert got == {(i, -1 if i % 2 else 4) for i in range(60)} | {(0, 9)}
+
+
 def brute_components(rows, k, percent):
     sets = []
     for _, t, *_ in rows:
