@@ -12,7 +12,9 @@ Only DataFrame functions run here. The graph is aggregated to one weighted
 edge per pair of hosts before it is iterated; both directions are one table,
 keyed by (direction, host), so that an iteration is one join and one
 aggregation of rows that are hosts, not pages. Edges are laid out by that key
-once; ranks are checkpointed every few iterations.
+once; ranks are checkpointed every few iterations. It ends where no host is
+newly reached and no rank has changed between checkpoints by more than
+TOLERANCE of itself; ``iterations`` are the steps between those.
 
 Defined results: null url has empty host and path and no rule; a url without
 ``://`` likewise; a host that nothing reaches has no score and is allowed;
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm.common import checkpointed, saved
 
+#: Greatest change of a rank over the steps between two checkpoints, as a share of it.
+TOLERANCE = 1e-7
 #: (verdict, host, path)
 RULES = (
     ("allow", "org", "/"),
@@ -70,7 +74,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.filter("src != ''").groupBy("src", dst.alias("dst")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, iterations: int = 10, keep_every: int = 5) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, iterations: int = 10, tolerance: float = TOLERANCE) -> DataFrame:
     """host, trust, distrust from edges (src, dst, n) and seeds (host, trusted, distrusted: pages).
 
     Ranks are in pages: trust sums to all trusted seeds, distrust to all
@@ -89,12 +93,21 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, iterati
     parts = checkpointed(parts.repartition("way", "host"))
     ranks = start.withColumnRenamed("seed", "rank")
     back = start.select("way", "host", (F.col("seed") * (1 - damping)).alias("rank"))
-    for i in range(iterations):
-        flow = parts.join(ranks, ["way", "host"]).select("way", F.col("to").alias("host"), (F.col("rank") * F.col("part") * damping).alias("rank"))
-        ranks = flow.unionByName(back).groupBy("way", "host").agg(F.sum("rank").alias("rank"))
-        if i % keep_every == keep_every - 1:
-            ranks = checkpointed(ranks)
-    of = lambda way: F.sum(F.when(F.col("way") == way, F.col("rank")).otherwise(0.0))
+
+    def step(now: DataFrame) -> DataFrame:
+        flow = parts.join(now, ["way", "host"]).select("way", F.col("to").alias("host"), (F.col("rank") * F.col("part") * damping).alias("rank"))
+        return flow.unionByName(back).groupBy("way", "host").agg(F.sum("rank").alias("rank"))
+
+    settled = start.isEmpty()
+    while not settled:
+        before = ranks
+        for _ in range(iterations):
+            ranks = step(ranks)
+        ranks = checkpointed(ranks)
+        old = before.select("way", "host", F.col("rank").alias("old"))
+        moved = F.col("old").isNull() | (F.abs(F.col("rank") - F.col("old")) > F.col("rank") * tolerance)
+        settled = ranks.join(old, ["way", "host"], "left").filter(moved).isEmpty()
+    of = lambda way: F.sum(F.when(F.col("way") == way, F.col("rank")))
     return ranks.groupBy("host").agg(of("t").alias("trust"), of("d").alias("distrust"))
 
 
@@ -107,7 +120,9 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     edges = host_edges(named)
     light = named.drop("html", "__url")
     seeds = light.filter("rule is not null").groupBy("host").agg(F.count_if(F.col("by_rule") == "allow").alias("trusted"), F.count_if(F.col("by_rule") == "block").alias("distrusted"))
-    scores = propagate(edges, seeds, damping, iterations).select("host", (F.col("distrust") / (F.col("trust") + F.col("distrust"))).alias("distrust"))
+    # What only one of both reaches has a share of 0 or 1, however small its rank is.
+    share = F.when(F.col("distrust").isNull(), 0.0).when(F.col("trust").isNull(), 1.0).otherwise(F.try_divide("distrust", F.col("trust") + F.col("distrust")))
+    scores = propagate(edges, seeds, damping, iterations).select("host", share.alias("distrust"))
     out = light.join(scores, "host", "left")
     by_host = F.when(F.col("distrust") > threshold, "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_host).alias("verdict"), "distrust")

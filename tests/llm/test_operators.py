@@ -134,6 +134,22 @@ def test_url_filter_rules_and_ranks(spark):
     assert filter_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_ranks_are_settled_and_reach_the_end_of_a_chain(spark):
+    from ridgeline.llm.url_filter import filter_urls
+
+    link = lambda *hosts: "".join(f'<a href="https://{h}/p">t</a>' for h in hosts)
+    rows = [(i, f"http://h{i}.net/", link(f"h{i + 1}.net" if i < 13 else "bad.com")) for i in range(14)]
+    rows += [(20, "http://bad.com/de/", link("mid.net")), (21, "http://good.org/", link("mid.net", "h20.net")), (22, "http://mid.net/", link("bad.com", "mid.net", "good.org"))]
+    got = {r.page_id: r for r in filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {(got[i].verdict, got[i].distrust) for i in range(14)} == {("block", 1.0)}
+    edges = Counter((re.match(r"\w+://([^/]*)", u)[1], h) for _, u, html in rows for h in re.findall(r'href="https://([^/]+)', html))
+    t = brute_rank(edges, {"good.org": 1}, iterations=400)
+    d = brute_rank(Counter({(b, a): n for (a, b), n in edges.items()}), {"bad.com": 1}, iterations=400)
+    for i in (20, 21, 22):
+        h = got[i].host
+        assert got[i].distrust == pytest.approx(d[h] / (t[h] + d[h]), rel=1e-6)
+
+
 # --- language ID
 
 
