@@ -1,10 +1,10 @@
-"""Removal of long repeated byte strings with a logarithmic family of sparse suffix arrays.
+"""Removal of long repeated byte strings with a logarithmic family of levels of sorted anchor hashes.
 
 A string of ``length`` bytes that starts at two places is removed at both.
 Not every suffix is indexed: of each window of ``length`` bytes the anchor is
 the (leftmost) position whose ``HEAD`` bytes hash lowest, so equal windows have
-equal anchors, and about one suffix in (length - HEAD) / 2 is kept. An entry of
-a suffix array is the hash of its suffix's head; sorting by it puts equal heads
+equal anchors, and about one suffix in (length - HEAD) / 2 is kept. Levels are
+no suffix arrays: an entry is the hash of a suffix's head; sorting by it puts equal heads
 side by side, which is all that a merge scan for matches needs.
 
 Documents come in batches. A batch's sorted run of heads is merge-scanned
