@@ -413,6 +413,24 @@ def test_kd_shards(spark, odd, odd_rows, empty):
     assert kd_shards(empty, 40).count() == 0 and with_shard(empty, 40).count() == 0
 
 
+def test_shards_are_balanced_whatever_the_names(spark):
+    from ridgeline.llm.kd_shards import kd_shards, with_shard
+
+    rng = random.Random(14)
+    rows = [(i, prose(rng, rng.choice((5, 40, 400, 900))), None, None, 0) for i in range(1500)]
+    rows += [(3000 + i, "hot text " * 9, None, None, 0) for i in range(9000)] + [(None, None, None, None, None)] * 40
+    docs = spark.createDataFrame(rows, SCHEMA)
+    named = docs.selectExpr("*", "1L as weight", "'n' as node", "0.5 as __t", "7 as cut_node", "1 as lo_v", "2 as __h", "3 as placed", "99 as shard")
+    got = kd_shards(docs, 8).toPandas()
+    sums = got.groupby("shard")["size"].sum()
+    assert sums.max() < 1.01 * sums.mean() and sums.min() > 0.99 * sums.mean()
+    parts = got.groupby("text_crc32").shard.nunique()
+    assert (parts > 1).sum() == 1  # only the texts that together outweigh a shard
+    out = with_shard(named, 8)
+    assert out.columns == named.columns and {r.node for r in out.select("node").collect()} == {"n"}
+    assert out.groupBy("shard").agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 16).alias("n")).toPandas().set_index("shard").n.to_dict() == sums.to_dict()
+
+
 # --- repeated byte strings
 
 
