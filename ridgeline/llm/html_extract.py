@@ -1,27 +1,33 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
-A page is cut into blocks of text at block-level tags. A linear classifier
-over each block's words, link density, tag and the names around it gives a
-score; a positive score is the capacity from the source (content), a negative
-one the capacity to the sink (boilerplate). Neighbouring blocks, and
-consecutive blocks of one container, are joined by smoothness edges. The
-minimum cut is the labelling of least cost: a short line between paragraphs
-stays with them, a long notice in a sidebar goes with its siblings. Blocks
-whose own score outweighs all their edges are fixed first (that is exact), and
-maximum flow runs on the rest.
+A page is cut into blocks of text at block-level tags. The graph has a node for
+each block and for each container around blocks. A linear classifier gives
+every node a score: a block's by its words, link density and tag, a container's
+by its tag and the names in its attributes. A positive score is the capacity
+from the source (content), a negative one the capacity to the sink
+(boilerplate). Smoothness edges join each block to its container, each
+container to the one around it, and consecutive blocks, the weaker the farther
+apart they stand in the document tree. The minimum cut is the labelling of
+least cost: a short line between paragraphs stays with them, a long text in a
+footer goes with the footer. Nodes whose own score outweighs all their edges
+are fixed first (that is exact), and maximum flow runs on the rest.
 
 Pages are independent, so this is one scan: no shuffle, and memory for one
-batch of pages.
+batch of pages. Reading a page takes time in proportion to its length, whatever
+stands in it.
 
 Defined results: null or empty html, and pages whose blocks are all
 boilerplate, give an empty text; unclosed tags end where a container ends; an
-unclosed comment, script or style swallows the rest as browsers do; repeated
-rows are extracted each; extra columns are ignored.
+unclosed comment, script or style swallows the rest as browsers do; a < after
+the last > is text; from an attribute whose quote never closes on, quotes are
+not looked at; repeated rows are extracted each; extra columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 from html import unescape
@@ -31,7 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"""<!--|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+(?=>)|[^>]*)>|<[!?][^>]*>""")
+_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_END = re.compile(r"""[>"']""")
 _NAMES = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
@@ -49,18 +56,38 @@ AGAINST_NAME = frozenset(
 )
 FOR_NAME = frozenset("article content main post entry story body text articlebody".split())
 
-#: Weights of the classifier's features.
-BIAS, PER_LOG_WORD, PER_LINK_SHARE, IN_FOR, IN_AGAINST, PARAGRAPH, ITEM = -1.0, 1.2, -4.0, 5.0, -12.0, 1.0, -0.5
-ADJACENT, SIBLING, APART = 0.8, 0.4, 0.1
+#: The classifier's weights for blocks, and how much text counts.
+BIAS, PER_LOG_WORD, PER_LINK_SHARE, PARAGRAPH, ITEM, MOST_LOG = -1.2, 0.9, -4.0, 0.5, -0.5, 6.0
+#: The classifier's weights for containers: the article, a part named for content, boilerplate.
+ARTICLE, NAMED, MARKED = 6.0, 4.0, -7.0
+#: Smoothness: a block and its container, containers, consecutive blocks of one container.
+INSIDE, AROUND, NEXT = 1.0, 0.5, 1.0
 
 
 class _Block:
-    __slots__ = ("parts", "links", "tag", "place", "good", "bad", "rank", "outer", "inner")
+    __slots__ = ("parts", "links", "tag", "place", "bad", "rank", "outer", "inner", "reset", "form", "apart", "good")
 
-    def __init__(self, tag: str, place: int, good: int, bad: int, rank: int, outer: tuple[int, ...], inner: tuple[int, ...]):
-        self.parts, self.links, self.tag, self.place, self.good, self.bad = [], 0, tag, place, good, bad
-        #: What holds the block (2: article or main, 1: a name for content), and the containers marked as boilerplate outside and inside of that.
-        self.rank, self.outer, self.inner = rank, outer, inner
+    def __init__(self, tag: str, own: int, inside: _Inside, apart: int):
+        self.parts, self.links, self.tag, self.place, self.apart = [], 0, tag, inside.number, apart
+        self.bad, self.good = inside.hidden | own, False
+        #: What holds the block (2: article or main, 1: a name for content), and the marks as boilerplate outside and inside of that.
+        self.rank, self.outer, self.inner, self.reset, self.form = inside.rank, inside.outer, inside.inner, inside.reset, inside.form
+
+
+class _Form:
+    """A form, the form around it, and what is found out about it."""
+
+    def __init__(self, number: int, around: _Form | None):
+        self.number, self.around, self.words, self.wide, self.n_wide = number, around, 0, False, 0
+
+
+class _Inside:
+    """An open container: hidden, what holds it, and its marks."""
+
+    __slots__ = ("tag", "number", "hidden", "rank", "outer", "inner", "reset", "form")
+
+    def __init__(self, tag: str, number: int, hidden: int, rank: int, outer: float, inner: int, reset: int, form: _Form | None):
+        self.tag, self.number, self.hidden, self.rank, self.outer, self.inner, self.reset, self.form = tag, number, hidden, rank, outer, inner, reset, form
 
 
 def _hidden(attributes: str) -> bool:
@@ -81,17 +108,8 @@ def _names(attributes: str) -> tuple[int, int]:
     return good, bad
 
 
-def _words(block: _Block) -> int:
-    return len("".join(block.parts).split())
-
-
-def _depth(block: _Block) -> float:
-    """Marks outside; an article's own (negative) is half a one."""
-    return sum(1 if x > 0 else 0.5 for x in block.outer)
-
-
-def _judge(blocks: list[_Block], forms: set[int]) -> None:
-    """Sets bad of the blocks that stand in boilerplate.
+def _judge(blocks: list[_Block], forms: list[_Form]) -> int:
+    """Sets bad of the blocks that stand in boilerplate and good of the article's; returns the article's rank.
 
     A form that holds most of the page's words is no mark. A mark around the
     article (or, where there is none, around the part named as content) is no
@@ -100,33 +118,48 @@ def _judge(blocks: list[_Block], forms: set[int]) -> None:
     of the article stays so, and so do articles within further marks, such
     as teasers and comments.
     """
-    words = [_words(b) for b in blocks]
-    every = sum(words)
-    wide = {f for f in forms if 2 * sum(w for b, w in zip(blocks, words, strict=True) if f in b.outer or f in b.inner) > every}
-    if wide:
-        for b in blocks:
-            b.outer, b.inner = tuple(x for x in b.outer if x not in wide), tuple(x for x in b.inner if x not in wide)
+    words = [len("".join(b.parts).split()) for b in blocks]
+    half = sum(words) / 2
+    for b, w in zip(blocks, words, strict=True):
+        if b.form:
+            b.form.words += w
+    for f in reversed(forms):
+        if f.around:
+            f.around.words += f.words
+    wide = []  # each lies in the one before
+    for f in forms:
+        f.wide = f.words > half
+        f.n_wide = (f.around.n_wide if f.around else 0) + f.wide
+        if f.wide:
+            wide.append(f.number)
+    for b in blocks:
+        if b.form and b.form.n_wide:
+            outside = bisect_left(wide, b.reset, 0, b.form.n_wide)
+            b.outer, b.inner = b.outer - outside, b.inner - (b.form.n_wide - outside)
     open_ = sum(w for b, w in zip(blocks, words, strict=True) if not (b.bad or b.outer or b.inner))
     rank = depth = 0
     for k in (2, 1):
-        part = [(_depth(b), w) for b, w in zip(blocks, words, strict=True) if w and b.rank == k and not b.bad and not b.inner]
+        part = [(b.outer, w) for b, w in zip(blocks, words, strict=True) if w and b.rank == k and not b.bad and not b.inner]
         least = min((n for n, _ in part), default=0)
         if part and (not least or sum(w for n, w in part if n == least) >= open_):
             rank, depth = k, least
             break
     for b in blocks:
-        b.bad |= bool(b.inner) or _depth(b) > (depth if b.rank == rank else 0)
+        marked = b.inner > 0 or b.outer > (depth if b.rank == rank else 0)
+        b.good = bool(rank) and b.rank == rank and not marked and not b.bad
+        b.bad = 2 if marked else b.bad
+    return rank
 
 
-def blocks_of(html: str) -> list[_Block]:
-    """The blocks with text, in page order; good and bad say what stands around them."""
+def blocks_of(html: str) -> tuple[list[_Block], list[int], int]:
+    """The blocks with text in page order, judged by what stands around them; the container around each container; the article's rank."""
     out: list[_Block] = []
-    # tag, number of the container, good, hidden, rank, marks outside and inside
-    stack: list[tuple[str, int, int, int, int, tuple[int, ...], tuple[int, ...]]] = [("", 0, 0, 0, 0, (), ())]
-    forms: set[int] = set()
-    block = _Block("", 0, 0, 0, 0, (), ())
-    at, number, in_link, size = 0, 0, 0, len(html)
-    own = (0, 0)
+    around = [0]
+    stack = [_Inside("", 0, 0, 0, 0.0, 0, 0, None)]
+    n_open: dict[str, int] = {}
+    forms: list[_Form] = []
+    block = _Block("", 0, stack[0], 0)
+    at, in_link, low, size, end, quoted = 0, 0, 1, len(html), html.rfind(">"), True
 
     def text(a: int, b: int) -> None:
         if b > a:
@@ -135,76 +168,100 @@ def blocks_of(html: str) -> list[_Block]:
             if in_link:
                 block.links += len(s)
 
-    def flush(tag: str, good: int = 0, bad: int = 0) -> None:
-        nonlocal block
+    def flush(tag: str, own: int = 0) -> None:
+        nonlocal block, low
         if block.parts:
             out.append(block)
-        top = stack[-1]
-        block = _Block(tag, top[1], top[2] | good, top[3] | bad, *top[4:])
+            low = len(stack)
+        low = min(low, len(stack))
+        block = _Block(tag, own, stack[-1], len(stack) - low)
 
     while at < size:
-        m = _TOKEN.search(html, at)
-        if m is None:
+        start = html.find("<", at)
+        if start < 0 or start > end:
             text(at, size)
             break
-        text(at, m.start())
-        at = m.end()
-        if m.group() == "<!--":
-            end = html.find("-->", at)
-            at = size if end < 0 else end + 3
+        if html.startswith("<!--", start):
+            text(at, start)
+            close = html.find("-->", start + 4)
+            at = size if close < 0 else close + 3
             continue
-        tag = (m[2] or "").lower()
-        if not tag:
+        m = _TAG.match(html, start + 1)
+        if m is None:
+            if html[start + 1] in "!?":
+                text(at, start)
+                at = html.find(">", start) + 1
+            else:
+                text(at, start + 1)
+                at = start + 1
             continue
+        text(at, start)
+        stop = m.end()
+        while quoted and html[stop] != ">":
+            q = _END.search(html, stop)
+            if q is None or q[0] == ">":
+                stop = q.start() if q else -1
+                break
+            close = html.find(q[0], q.end())
+            quoted = 0 <= close < end
+            stop = close + 1
+        if not quoted or stop < 0:
+            stop = html.find(">", m.end())
+        tag, rest, at = m[2].lower(), html[m.end() : stop], stop + 1
         if m[1]:
             if tag == "a":
                 in_link = 0
             elif tag in CONTAINER:
-                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
-                if k:
-                    del stack[k:]
+                if n_open.get(tag):
                     in_link = 0
+                    closed = ""
+                    while closed != tag:
+                        closed = stack.pop().tag
+                        n_open[closed] -= 1
                 flush("")
             elif tag in LEAF:
                 flush("")
             continue
-        if tag in RAW and not m[3].endswith("/"):
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
+        if tag in RAW and not rest.endswith("/"):
+            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at, end + 1)
             at = size if close is None else close.end()
         elif tag == "br":
             block.parts.append(" ")
         elif tag == "a":
             in_link = 1
         elif tag in CONTAINER:
-            number += 1
+            inside, number = stack[-1], len(around)
+            around.append(inside.number)
             page = tag in ("html", "body")  # names there speak of the whole page
-            good, bad = _names(m[3]) if m[3] and not page else own
-            inside = stack[-1]
-            hidden = inside[3] | bool(m[3] and not page and _hidden(m[3]))
-            against = tag in AGAINST_TAG and not (tag == "header" and inside[0] in FOR_TAG)
-            rank, outer, inner = inside[4:]
+            good, bad = _names(rest) if rest and not page else (0, 0)
+            hidden = inside.hidden | bool(rest and not page and _hidden(rest))
+            against = tag in AGAINST_TAG and not (tag == "header" and inside.tag in FOR_TAG)
+            rank, outer, inner, reset, form = inside.rank, inside.outer, inside.inner, inside.reset, inside.form
             if tag == "form" and not bad:
-                forms.add(number)
-            mark = (number,) if bad or against else ()
+                form = _Form(number, form)
+                forms.append(form)
+            mark = float(bad or against)
             opens = 2 if tag in FOR_TAG else int(good and not mark)
             if opens == 2 or opens > rank:
-                rank, outer, inner = opens, outer + inner, ()
+                rank, outer, inner, reset = opens, outer + inner, 0, number
                 if good:  # an article named for both, as by its categories, is judged like what is around it
-                    outer, mark = (*outer, *[-x for x in mark]), ()
-            stack.append((tag, number, inside[2] | (tag in FOR_TAG) | good & (not bad), hidden, rank, outer, inner + mark))
+                    outer, mark = outer + mark / 2, 0.0
+            stack.append(_Inside(tag, number, hidden, rank, outer, inner + int(mark), reset, form))
+            n_open[tag] = n_open.get(tag, 0) + 1
             flush("")
         elif tag in LEAF:
-            good, bad = _names(m[3]) if m[3] else own
-            flush(tag, good & (not bad), bad | bool(m[3] and _hidden(m[3])))
+            _, bad = _names(rest) if rest else (0, 0)
+            flush(tag, bad | bool(rest and _hidden(rest)))
     flush("")
-    _judge(out, forms)
-    return out
+    return out, around, _judge(out, forms)
 
 
 def score(block: _Block, text: str) -> float:
+    """The classifier's score of a block by itself."""
     share = min(1.0, block.links / max(1, sum(map(len, block.parts))))
-    s = BIAS + PER_LOG_WORD * log1p(text.count(" ") + 1) + PER_LINK_SHARE * share + IN_FOR * block.good + IN_AGAINST * block.bad
-    return s + (PARAGRAPH if block.tag == "p" or block.tag[:1] == "h" and block.good else ITEM if block.tag in ("li", "label", "dt") else 0.0)
+    s = BIAS + PER_LOG_WORD * min(log1p(text.count(" ") + 1), MOST_LOG) + PER_LINK_SHARE * share
+    s += PARAGRAPH if block.tag == "p" or block.tag[:1] == "h" and block.good else ITEM if block.tag in ("li", "label", "dt") else 0.0
+    return s + MARKED if block.bad == 1 else s  # hidden, or a name of its own
 
 
 def min_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -216,13 +273,15 @@ def min_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bo
         near[b][a] = near[b].get(a, 0.0) + w
     own, fixed = list(scores), [None] * n
     # A node whose own capacity outweighs its edges is decided; its edges become capacities of its neighbours.
+    weight = [sum(x.values()) for x in near]
     queue = deque(range(n))
     while queue:
         i = queue.popleft()
-        if fixed[i] is None and abs(own[i]) > sum(near[i].values()):
+        if fixed[i] is None and abs(own[i]) > weight[i] + 1e-9:
             fixed[i] = own[i] > 0
             for j, w in near[i].items():
                 own[j] += w if fixed[i] else -w
+                weight[j] -= w
                 del near[j][i]
                 queue.append(j)
             near[i] = {}
@@ -233,50 +292,80 @@ def min_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bo
     residual: dict[int, dict[int, float]] = {i: dict(near[i]) for i in rest} | {source: {}, sink: {}}
     for i in rest:
         if own[i] > 0:
-            residual[source][i] = own[i]
-            residual[i][source] = 0.0
+            residual[source][i], residual[i][source] = own[i], 0.0
         else:
-            residual[i][sink] = -own[i]
-            residual[sink][i] = 0.0
-    while True:
-        before, queue = {source: source}, deque([source])
-        while queue and sink not in before:
+            residual[i][sink], residual[sink][i] = -own[i], 0.0
+    while True:  # blocking flows in layers of equal distance from the source
+        layer, queue = {source: 0}, deque([source])
+        while queue:
             a = queue.popleft()
             for b, w in residual[a].items():
-                if w > 1e-12 and b not in before:
-                    before[b] = a
+                if w > 1e-12 and b not in layer:
+                    layer[b] = layer[a] + 1
                     queue.append(b)
-        if sink not in before:
-            break
-        path, b = [], sink
-        while b != source:
-            path.append((before[b], b))
-            b = before[b]
-        flow = min(residual[a][b] for a, b in path)
-        for a, b in path:
-            residual[a][b] -= flow
-            residual[b][a] = residual[b].get(a, 0.0) + flow
-    return [bool(fixed[i]) if fixed[i] is not None else i in before for i in range(n)]
+        if sink not in layer:
+            return [bool(fixed[i]) if fixed[i] is not None else i in layer for i in range(n)]
+        _blocking(residual, layer, source, sink)
+
+
+def _blocking(residual: dict[int, dict[int, float]], layer: dict[int, int], source: int, sink: int) -> None:
+    """Pushes flow along the layers until no path is left in them."""
+    steps = {a: iter([b for b in residual[a] if layer.get(b, -1) == layer[a] + 1]) for a in layer}
+    path, now = [source], {a: next(steps[a], None) for a in layer}
+    while path:
+        a = path[-1]
+        if a == sink:
+            hops = list(zip(path, path[1:], strict=False))
+            flow = min(residual[x][y] for x, y in hops)
+            keep = len(path)
+            for k, (x, y) in enumerate(hops):
+                residual[x][y] -= flow
+                residual[y][x] = residual[y].get(x, 0.0) + flow
+                if residual[x][y] <= 1e-12 and keep == len(path):
+                    keep = k + 1
+            del path[keep:]
+            continue
+        while now[a] is not None and residual[a][now[a]] <= 1e-12:
+            now[a] = next(steps[a], None)
+        if now[a] is None:
+            path.pop()
+            if path:
+                now[path[-1]] = next(steps[path[-1]], None)
+        else:
+            path.append(now[a])
 
 
-def main_text(html: str | None) -> str:
-    if not html:
-        return ""
+def labelled(html: str) -> list[tuple[str, float, bool]]:
+    """(text, the classifier's score of the block alone, label of the minimum cut) of the page's blocks."""
+    found, around, rank = blocks_of(html)
     blocks, texts = [], []
-    for b in blocks_of(html):
+    for b in found:
         s = " ".join(unescape("".join(b.parts)).split())
         if s:
             blocks.append(b)
             texts.append(s)
-    edges, last = [], {}
+    scores = [score(b, s) for b, s in zip(blocks, texts, strict=True)]
+    nodes: dict[int, int] = {}  # containers around blocks
+    edges, containers = [], []
     for i, b in enumerate(blocks):
+        c = b.place
+        while c not in nodes:
+            nodes[c] = len(blocks) + len(containers)
+            containers.append(0.0)
+            c = around[c]
+        # A container speaks for each of its blocks, so its weight grows with them.
+        says = MARKED if b.bad == 2 else (ARTICLE if rank == 2 else NAMED) if b.good else 0.0
+        containers[nodes[b.place] - len(blocks)] += says + (says > 0) - (says < 0)
+        edges.append((nodes[b.place], i, max(INSIDE, abs(says))))
         if i:
-            edges.append((i - 1, i, ADJACENT if blocks[i - 1].place == b.place else APART))
-        if b.place in last and last[b.place] != i - 1:
-            edges.append((last[b.place], i, SIBLING))
-        last[b.place] = i
-    keep = min_cut([score(b, s) for b, s in zip(blocks, texts, strict=True)], edges)
-    return "\n".join(s for s, k in zip(texts, keep, strict=True) if k)
+            edges.append((i - 1, i, NEXT / (1 + b.apart)))
+    edges += [(nodes[around[c]], k, AROUND) for c, k in nodes.items() if c]
+    keep = min_cut(scores + containers, edges)
+    return list(zip(texts, scores, keep[: len(blocks)], strict=True))
+
+
+def main_text(html: str | None) -> str:
+    return "\n".join(s for s, _, keep in labelled(html) if keep) if html else ""
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

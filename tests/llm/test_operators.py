@@ -371,6 +371,40 @@ def test_marks_around_the_article_do_not_drop_it():
     assert main_text(f"<article hidden><p>{first}</p></article><form><label>Name</label><input></form>") == ""
 
 
+def test_the_cut_decides_where_a_block_alone_would_not():
+    from ridgeline.llm.html_extract import labelled
+
+    rng = random.Random(15)
+    first, last, long_footer = (prose(rng, n) for n in (60, 30, 90))
+    page = f"<body><div><p>{first}</p><p><a href=x>Read it</a></p><p>{last}</p></div><footer><p>{long_footer}</p></footer></body>"
+    found = labelled(page)
+    assert [k for _, _, k in found] == [True, True, True, False]
+    assert [s > 0 for _, s, _ in found] == [True, False, True, True]
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    from ridgeline.llm.html_extract import main_text
+
+    start = time.time()
+    for page in ("<a " * 400_000, '<a "' * 200_000 + ">", "<a '\"'>" * 100_000, "<div class=ad>" * 50_000 + "x", "<form>w " * 50_000, "<ul>" * 50_000 + "</div>" * 50_000, "</script " * 50_000 + ">", "<p>Of.</p>" * 50_000, "<div><p>word word</p><p>x</p></div><ul><li>a</ul>" * 5_000):
+        main_text(page)
+    assert time.time() - start < 60
+
+
+def test_extraction_of_long_pages_extra_columns_and_no_rows(spark):
+    from ridgeline.llm.html_extract import extract
+
+    rng = random.Random(16)
+    paragraphs = [prose(rng, 12) for _ in range(5000)]
+    page = "<nav><a href=x>Home</a></nav><article>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "</article>"
+    rows = spark.createDataFrame([(1, "u", page), (None, None, page)], "page_id long, url string, html string").selectExpr("*", "'x' as text", "1 as n_chars")
+    got = extract(rows).collect()
+    assert [r.text for r in got] == ["\n".join(paragraphs)] * 2 and got[0].n_chars == len(got[0].text)
+    assert extract(rows.limit(0)).count() == 0
+
+
 def test_min_cut_is_minimal():
     from itertools import product
 
