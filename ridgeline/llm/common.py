@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than space, tab, LF, VT, FF and CR.
@@ -13,9 +13,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder in spark.checkpoint.dir; a temporary one only where that is unset and Spark runs on one machine (tests)."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if folder is None:
         folder = tempfile.mkdtemp(prefix="ridgeline-")
     if sc.getCheckpointDir() is None:
@@ -44,6 +46,33 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """df with, for each name in sums, the sum over the rows before in that order.
+
+    Rows are dealt by ranges of the order; a range adds what the ranges before
+    it hold in all, so no task sees more than its range and one row a range.
+    """
+    ranged = df.withColumns({f"__{n}": c for n, c in sums.items()}).repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
+    ranged = saved(ranged)  # the ranges stay what they are
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("__range").agg(*[F.sum(f"__{n}").alias(f"__{n}_all") for n in sums])
+    totals = totals.select("__range", *[F.coalesce(F.sum(f"__{n}_all").over(before), F.lit(0)).alias(f"__{n}_before") for n in sums])
+    here = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.join(F.broadcast(totals), "__range")  # a row a range
+    out = out.withColumns({n: F.col(f"__{n}_before") + F.coalesce(F.sum(f"__{n}").over(here), F.lit(0)) for n in sums})
+    return out.select(*df.columns, *sums)
+
+
+def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df with the number, from 1, of each row among those of its key; a hot key's rows are counted where they lie."""
+    placed = saved(df.withColumn("__part", F.spark_partition_id()))
+    before = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(key, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    counts = saved(counts.select(key, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")))
+    turn = F.row_number().over(Window.partitionBy(key, "__part").orderBy(key))
+    return placed.withColumn("__turn", turn).join(counts, [key, "__part"]).select(*df.columns, (F.col("__turn") + F.col("__before")).alias(name))
+
+
 def word_count(text: Column | str) -> Column:
     """Number of words as a long; 0 for null."""
     text = F.col(text) if isinstance(text, str) else text

@@ -15,8 +15,9 @@ undecided rows about two-thousandfold.
 
 Defined results: null or wordless text has size 0 (and is sampled like any
 other, taking 0 words); null source is a source of its own, ordered last;
-repeated rows are sampled row by row (rows equal in doc_id and text walk in one
-block; a doc_id alone, or its absence, joins nothing); an empty table gives an empty result;
+repeated rows (equal in source, doc_id and text) are one unit of the walk, which
+shares what it takes among them evenly; a doc_id alone, or its absence, joins
+nothing; an empty table gives an empty result;
 a source without words has target 0. Other columns of the input are ignored
 by ``cube_mix`` and kept by ``apply_mix``.
 """
@@ -28,14 +29,16 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import row_key, saved, word_count
+from ridgeline.llm.common import numbered, row_key, running, saved, word_count
 
 EPS = 1e-9
 #: Documents of each source, spread over the sizes, that wait for the landing.
 LANDING = 12
+#: Copies of a unit that are written out together.
+PIECE = 4096
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), share: float = 1.0, max_repeat: float = 3.0) -> DataFrame:
@@ -48,17 +51,16 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), share
     first source that isn't above its cap fixes the words per weight.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    per = per.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn % len(weights) + 1).cast("int")))
+    by_name = F.col("source").asc_nulls_last()
+    per = running(per, [by_name], {"turn": F.lit(1)})
+    per = per.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("turn") % len(weights) + 1).cast("int")))
     per = per.withColumn("cap", F.col("source_size") * float(max_repeat)).withColumn("ratio", F.col("cap") / F.col("weight"))
-    every = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = Window.orderBy("ratio", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("source_size").over(every) * float(share)
-    rest = total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    rest_weight = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    per = per.withColumn("level", rest / rest_weight)
-    fixed = F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", "level"))).over(every)["level"]
-    per = per.withColumn("target", F.least(F.col("cap"), F.coalesce(F.col("weight") * fixed, F.col("cap"))))
+    per = saved(running(per, [F.col("ratio").asc(), by_name], {"cap_before": F.col("cap"), "weight_before": F.col("weight")}))
+    every = per.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weights"))
+    level = (F.col("words") * float(share) - F.col("cap_before")) / (F.col("weights") - F.col("weight_before"))
+    fixed = per.join(F.broadcast(every)).withColumn("level", level).filter("ratio >= level").agg(F.min(F.struct("ratio", "source", "level"))["level"].alias("fixed"))
+    per = per.join(F.broadcast(fixed))  # one row
+    per = per.withColumn("target", F.least(F.col("cap"), F.coalesce(F.col("weight") * F.col("fixed"), F.col("cap"))))
     return per.select("source", "n_docs", "source_size", "weight", "target")
 
 
@@ -102,22 +104,25 @@ def _flight(seed: int):
         key = f"{seed}|{first['source']}|{first['level']}|{first['block']}|{first['blocks']}"
         rng = np.random.default_rng(zlib.crc32(key.encode()))
         p = _walk(pdf["size"].astype(float).tolist(), pdf["p"].tolist(), rng, first["blocks"] == 1)
-        return pdf.assign(p=p)[["doc_id", "key", "source", "size", "source_size", "target", "whole", "spread", "p"]]
+        return pdf.assign(p=p)[["doc_id", "key", "source", "size", "copies", "source_size", "target", "whole", "spread", "p"]]
 
     return flight
 
 
-_STATE = "doc_id long, key long, source string, size long, source_size long, target double, whole int, spread long, p double"
+_STATE = "doc_id long, key long, source string, size long, copies long, source_size long, target double, whole long, spread long, p double"
 
 
 def cube_mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), share: float = 1.0, max_repeat: float = 3.0, block_rows: int = 4096, seed: int = 7) -> DataFrame:
     """doc_id, key (``row_key``), source, size, source_size, target, times, taken for every row of docs."""
     sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("source").cast("string").alias("source"), word_count("text").alias("size"))
+    # Equal rows are one unit, however many they are: a hot one can't fill a block.
+    sizes = sizes.groupBy("doc_id", "key", "source", "size").agg(F.count(F.lit(1)).alias("copies"))
     sizes = saved(sizes.withColumn("spread", F.xxhash64("key", F.lit(seed))))
-    targets = source_targets(sizes, weights, share, max_repeat).withColumnRenamed("source", "of_source")
+    whole_sizes = sizes.select("source", (F.col("size") * F.col("copies")).alias("size"))
+    targets = source_targets(whole_sizes, weights, share, max_repeat).withColumnRenamed("source", "of_source")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(max_repeat)))).otherwise(0.0)
-    state = sizes.join(targets, sizes["source"].eqNullSafe(targets["of_source"])).withColumn("rate", rate)
-    whole = F.floor(F.col("rate") + EPS).cast("int")
+    state = sizes.join(targets, sizes["source"].eqNullSafe(targets["of_source"])).withColumn("rate", rate * F.col("copies"))
+    whole = F.floor(F.col("rate") + EPS).cast("long")
     state = state.withColumn("whole", whole).withColumn("p", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)))
     state = state.withColumn("p", F.when(F.col("p") < EPS, 0.0).otherwise(F.col("p")))
     columns = [x.split()[0] for x in _STATE.split(", ")]
@@ -140,9 +145,15 @@ def cube_mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), share: float
         level += 1
         if level > 1:
             done = [_union(done)]
-    times = (F.col("whole") + F.col("p").cast("int")).cast("int")
-    out = _union(done).withColumn("times", times)
-    return out.select("doc_id", "key", "source", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).cast("long").alias("taken"))
+    out = saved(_union(done).withColumn("total", F.col("whole") + F.col("p").cast("long")))
+    own = ["doc_id", "key", "source", "size", "source_size", "target"]
+    one = out.filter("copies = 1").select(*own, F.col("total").cast("int").alias("times"))
+    # Copies become rows again a piece at a time; the pieces of a hot unit are dealt to many tasks.
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(PIECE))).alias("first")
+    many = out.filter("copies > 1").select(*own, "copies", "total", first).repartition("key", "first")
+    many = many.select(*own, "copies", "total", F.explode(F.sequence("first", F.least(F.col("first") + PIECE, "copies") - 1)).alias("turn"))
+    many = many.select(*own, (F.floor(F.col("total") / F.col("copies")) + (F.col("turn") < F.col("total") % F.col("copies")).cast("int")).cast("int").alias("times"))
+    return one.unionByName(many).withColumn("taken", (F.col("size") * F.col("times")).cast("long"))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -158,10 +169,10 @@ def apply_mix(docs: DataFrame, mix: DataFrame) -> DataFrame:
     Rows equal in doc_id and text share the repeats of their key evenly.
     """
     per = mix.groupBy(F.col("key").alias("__mix_id")).agg(F.sum("times").alias("__mix_times"), F.count(F.lit(1)).alias("__mix_rows"))
-    per = per.filter(F.col("__mix_times") > 0)
+    per = saved(per.filter(F.col("__mix_times") > 0))
     out = docs.withColumn("__mix_key", row_key()).join(per, F.col("__mix_key") == F.col("__mix_id"))
-    turn = F.row_number().over(Window.partitionBy("__mix_id").orderBy("__mix_id"))
-    out = out.withColumn("__mix_turn", F.when(F.col("__mix_rows") > 1, turn).otherwise(F.lit(1)))
+    one = out.filter("__mix_rows = 1").withColumn("__mix_turn", F.lit(1).cast("long"))
+    many = numbered(out.filter("__mix_rows > 1"), "__mix_id", "__mix_turn")
     own = F.floor(F.col("__mix_times") / F.col("__mix_rows")) + (F.col("__mix_turn") <= F.col("__mix_times") % F.col("__mix_rows")).cast("int")
-    out = out.withColumn("__mix_copy", F.explode(F.when(own > 0, F.sequence(F.lit(1), own.cast("int"))).otherwise(F.array().cast("array<int>"))))
-    return out.select(*docs.columns)
+    again = F.explode(F.when(own > 0, F.sequence(F.lit(1), own.cast("int"))).otherwise(F.array().cast("array<int>"))).alias("__mix_copy")
+    return one.unionByName(many).select(*docs.columns, again).select(*docs.columns)

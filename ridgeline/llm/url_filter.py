@@ -42,8 +42,10 @@ RULES = (
     ("block", "com", "/de/"),
 )
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: An absolute or scheme-relative link, or any other; group 1 is the host of the former.
-LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)|[^"'\s>#])"""
+#: What follows the < of a link: an absolute or scheme-relative address, or any other; group 1 is the host of the former.
+LINK = r"""(?i)^a\s[^>]*?href\s*=\s*["']?\s*(?:(?:[a-z][a-z0-9+.-]{0,30}:)?//([^/?#"'\s>]+)|[^"'\s>#])"""
+#: Edges of a host that are dealt together.
+HUB = 100_000
 
 
 def url_host(url: Column) -> Column:
@@ -69,7 +71,9 @@ def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
 
 def host_edges(pages: DataFrame) -> DataFrame:
     """src, dst, n: links from pages of host src to host dst, one row a pair; relative links stay on the host."""
-    links = pages.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), F.lit(1))).alias("dst"))
+    # Cut at each < first: then a page is searched in time proportional to its length, whatever stands in it.
+    tags = F.filter(F.split(F.coalesce("html", F.lit("")), "<"), lambda x: x.rlike(LINK))
+    links = pages.select(F.col("host").alias("src"), F.explode(F.transform(tags, lambda x: F.regexp_extract(x, LINK, 1))).alias("dst"))
     dst = F.when(F.col("dst") == "", F.col("src")).otherwise(F.translate("dst", _UPPER, _LOWER))
     return links.filter("src != ''").groupBy("src", dst.alias("dst")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -90,12 +94,17 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, iterati
     nodes = both.select("way", F.col("to").alias("host")).unionByName(start.select("way", "host")).distinct()
     ends = nodes.join(out_of, ["way", "host"], "left_anti").select("way", "host", F.col("host").alias("to"), F.lit(1.0).alias("part"))
     parts = both.join(out_of, ["way", "host"]).select("way", "host", "to", (F.col("n") / F.col("all")).alias("part")).unionByName(ends)
-    parts = checkpointed(parts.repartition("way", "host"))
+    # A hub's edges are dealt to as many tasks as they need, and its rank to each of them.
+    hubs = saved(both.groupBy("way", "host").agg(F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("cells")).filter("cells > 1"))
+    cell = F.pmod(F.xxhash64("to"), F.coalesce("cells", F.lit(1))).cast("int").alias("cell")
+    parts = parts.join(hubs, ["way", "host"], "left").select("way", "host", "to", "part", cell)
+    parts = checkpointed(parts.repartition("way", "host", "cell"))
     ranks = start.withColumnRenamed("seed", "rank")
     back = start.select("way", "host", (F.col("seed") * (1 - damping)).alias("rank"))
 
     def step(now: DataFrame) -> DataFrame:
-        flow = parts.join(now, ["way", "host"]).select("way", F.col("to").alias("host"), (F.col("rank") * F.col("part") * damping).alias("rank"))
+        dealt = now.join(hubs, ["way", "host"], "left").select("way", "host", "rank", F.explode(F.sequence(F.lit(0), F.coalesce("cells", F.lit(1)) - 1)).alias("cell"))
+        flow = parts.join(dealt, ["way", "host", "cell"]).select("way", F.col("to").alias("host"), (F.col("rank") * F.col("part") * damping).alias("rank"))
         return flow.unionByName(back).groupBy("way", "host").agg(F.sum("rank").alias("rank"))
 
     settled = start.isEmpty()

@@ -63,6 +63,24 @@ def test_mixing_is_balanced(spark):
     assert ((per.taken - per.target).abs() <= 61).all()
 
 
+def test_many_equal_rows_are_one_unit_of_the_walk(spark, monkeypatch):
+    from ridgeline.llm import mixing
+
+    monkeypatch.setattr(mixing, "PIECE", 16)
+    rng = random.Random(18)
+    rows = [(i, " ".join(["w"] * rng.randint(1, 30)), None, f"s{i % 3}", 0) for i in range(300)]
+    rows += [(None, "all the same", None, "s1", 0)] * 700 + [(7, None, None, None, 0)] * 50
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.cube_mix(docs, block_rows=32).toPandas()
+    assert len(got) == len(rows) and (got.taken == got["size"] * got.times).all() and got.times.between(0, 3).all()
+    per = got.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
+    assert ((per.taken - per.target).abs() <= 31).all()
+    same = got[got.doc_id.isna()].times
+    assert same.max() - same.min() <= 1
+    out = mixing.apply_mix(docs, mixing.cube_mix(docs, block_rows=32))
+    assert out.count() == got.times.sum() and out.filter("text = 'all the same'").count() == same.sum()
+
+
 # --- URL filters
 
 
@@ -150,6 +168,23 @@ def test_ranks_are_settled_and_reach_the_end_of_a_chain(spark):
         assert got[i].distrust == pytest.approx(d[h] / (t[h] + d[h]), rel=1e-6)
 
 
+def test_hub_hosts_odd_columns_and_hostile_pages(spark, monkeypatch):
+    from ridgeline.llm import url_filter
+
+    rng = random.Random(17)
+    hosts = [f"h{i}.net" for i in range(30)] + ["bad.com", "good.org"]
+    link = lambda hs: "".join(f'<A class=x HREF=//{h}/p>t</a>' for h in hs)
+    rows = [(i, f"http://{h}/{'de/' if h == 'bad.com' else ''}", link(hosts if i == 0 else rng.sample(hosts, 2))) for i, h in enumerate(hosts)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {r.page_id: (r.verdict, round(r.distrust, 9)) for r in url_filter.filter_urls(pages).collect()}
+    monkeypatch.setattr(url_filter, "HUB", 4)
+    odd = pages.selectExpr("*", "'x' as host", "1 as rule", "2 as rank", "'d' as way", "3 as cell", "4 as src", "5 as verdict")
+    got = url_filter.filter_urls(odd).collect()
+    assert {r.page_id: (r.verdict, round(r.distrust, 9)) for r in got} == want and len(got) == len(rows)
+    hostile = spark.createDataFrame([(1, "http://a.net", "<a " * 300_000), (2, "http://b.net", "<a href" * 300_000)], "page_id long, url string, html string")
+    assert url_filter.filter_urls(hostile).count() == 2
+
+
 # --- language ID
 
 
