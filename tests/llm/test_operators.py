@@ -530,3 +530,51 @@ def test_repeats(spark, odd_rows, empty, monkeypatch):
     want = sorted(map(str, ((r[0], *x) for r, x in zip(rows, brute_repeats([r[1] for r in rows], 400), strict=True))))
     assert got == want
     assert suffix_levels.remove_repeats(empty).count() == 0
+
+
+def test_a_later_batch_finds_matches_in_levels_that_stand_there(spark, tmp_path):
+    from ridgeline.llm.suffix_levels import _ARRAYS, _INDEX, LevelFamily, _indexed
+
+    rng = random.Random(19)
+    passage = prose(rng, 150)
+
+    def batch(rows):
+        index = spark.createDataFrame(rows, "doc_id long, text string").mapInArrow(_indexed(400), _INDEX)
+        return index.select(F.col("doc_id").alias("id"), "k", F.inline(F.arrays_zip(*_ARRAYS)))
+
+    folder = str(tmp_path / "levels")
+    texts = {i: prose(rng, 200) for i in range(9)}
+    texts[1] += " " + passage
+    texts[8] = passage[7:] + texts[8]
+    for i in range(8):
+        found = LevelFamily(spark, folder).add(batch([(i, texts[i])]))
+        assert found.count() == 0
+    opened = LevelFamily(spark, folder)
+    assert opened.levels == [(0, 7)]
+    level = opened.read((0, 7)).collect()
+    assert [(r.lead, r["head"], r.rgt) for r in level] == sorted((r.lead, r["head"], r.rgt) for r in level)
+    raw = {i: t.encode() for i, t in texts.items()}
+    for r in level:
+        assert int.from_bytes(raw[r.id][r["at"] : r["at"] + 8], "big") == r.lead + (1 << 63)
+    found = opened.add(batch([(8, texts[8])]))
+    assert opened.levels == [(0, 7), (8, 8)] and LevelFamily(spark, folder).levels == opened.levels
+    pairs = {}
+    for r in opened.entries(found).collect():
+        pairs.setdefault(r["head"], {})[r.id] = raw[r.id][r["at"] : r["at"] + 64]
+    assert pairs and all(set(p) == {1, 8} and p[1] == p[8] for p in pairs.values())
+
+
+def test_ladders_drop_only_what_cannot_match(spark, monkeypatch):
+    from ridgeline.llm import suffix_levels
+
+    rng = random.Random(20)
+    common, rows = prose(rng, 90)[:520], []
+    for i in range(60):  # shared pieces of every length around 400, at every distance from the anchor
+        a = rng.randint(0, 200)
+        piece = common[a : a + rng.randint(300, 500)]
+        rows.append((i, prose(rng, rng.randint(0, 60)) + piece + prose(rng, rng.randint(0, 60)), None, None, 0))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = sorted((i, *x) for (i, *_), x in zip(rows, brute_repeats([r[1] for r in rows], 400), strict=True))
+    for spans in (4096, 3):
+        monkeypatch.setattr(suffix_levels, "PART_SPANS", spans)
+        assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_levels.remove_repeats(docs).collect()) == want
