@@ -7,18 +7,22 @@ with enough unique tokens leave at once; then the rarest come first in one
 order, and hashes decide in the others. Candidates must share prefix tokens
 under every order.
 
-Candidates are kept as groups, not pairs: under the first order sets that share
-a prefix token get one label (components of stars around each token's smallest
-set), under the next order only sets with equal labels are joined again, and so
-on; a linked pair always keeps equal labels. Groups are then verified exactly.
-A group of more than BLOCK sets is dealt as pairs of blocks, and a task gives
-back a forest of links, never all pairs.
+Candidates are kept as groups, not pairs. Sets that are linked differ in size by
+less than 1 - t, so each set stands in two views: that of its size class and
+that of the next, whose sets are as large or one class larger. Within a view,
+under the first order sets that share a prefix token get one label (components
+of stars around each token's smallest set), under the next order only sets with
+equal labels are joined again, and so on; a linked pair always keeps equal
+labels in some view. Groups are then verified exactly, from the texts, by the
+64-bit hashes of all their tokens. A group of more than BLOCK sets is dealt as
+pairs of blocks, and a task gives back a forest of links, never all pairs.
 
 Sets with equal tokens are one node from the start, so copies cost one row
-each. The exchange of tokens is packed: tasks send, for each token partition,
-arrays of 4-byte fingerprints, and get back only those that several sets hold.
-A token is told apart by its partition and fingerprint (32 bits and more), a
-set by 64 bits; both orders and intersections count such tokens.
+each. The exchange of tokens that finds the candidates is packed: tasks send,
+for each token partition, arrays of 4-byte fingerprints, and get back only those
+that several sets hold. There a token is told apart by its partition and
+fingerprint; two that fall together can only add candidates. A set's name has
+64 bits.
 
 Defined results: null or wordless text has an empty set, is linked with
 nothing and is its own component; fewer words than n make one token; repeated
@@ -29,6 +33,7 @@ are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +45,9 @@ from ridgeline.llm.graph import components
 from ridgeline.llm.text import mix, shingle_sets
 
 ORDERS = 3
-#: Sets in a block; tokens in a partition of the exchange, and its fewest partitions.
+#: Sets in a block; tokens in a partition of the exchange.
 BLOCK = 512
 PART_TOKENS = 4_500_000
-LEAST_PARTS = 16
 
 
 def _node(tokens: np.ndarray) -> int:
@@ -148,12 +152,12 @@ def _shared(parts: int):
     return share
 
 
-_CANDIDATE = "node long, n long, tokens array<long>, " + ", ".join(f"prefix{i} array<long>" for i in range(ORDERS))
+_CANDIDATE = "node long, n long, " + ", ".join(f"prefix{i} array<long>" for i in range(ORDERS))
 
 
 def _prefixed(percent: int):
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Nodes whose prefixes hold shared tokens, with their shared tokens and the prefixes under each order."""
+        """Nodes whose prefixes hold shared tokens, with those under each order."""
         for rows in _gathered(batches).values():
             sizes = {r["node"]: r["n"] for r in rows if r["node"] is not None}
             packs = [r for r in rows if r["node"] is None]
@@ -178,7 +182,7 @@ def _prefixed(percent: int):
                     mine = tokens[a:b]
                     keys = [mix(mine + np.uint64(i)) for i in range(1, ORDERS)]
                     orders = [np.lexsort((mine, classes[a:b])), *[np.argsort(x) for x in keys]]
-                    out.append((node, n, mine.view(np.int64), *[mine[o[:need]].view(np.int64) for o in orders]))
+                    out.append((node, n, *[mine[o[:need]].view(np.int64) for o in orders]))
                 if len(out) == 2000 or out and i == len(names) - 1:
                     columns = list(zip(*out, strict=True))
                     lists = [pa.array(c, pa.list_(pa.int64())) for c in columns[2:]]
@@ -189,9 +193,23 @@ def _prefixed(percent: int):
 
 
 def _stars(entries: DataFrame, *keys: str) -> DataFrame:
-    """Edges from each node to the smallest node with the same keys."""
-    hubs = entries.groupBy(*keys).agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return entries.join(saved(hubs), list(keys)).select(F.col("node").alias("a"), "b").distinct()
+    """Edges from each member to the smallest one with the same keys."""
+    hubs = entries.groupBy(*keys).agg(F.min("member").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return entries.join(saved(hubs), list(keys)).select(F.col("member").alias("a"), "b").distinct()
+
+
+def _components(edges: DataFrame) -> DataFrame:
+    return components(edges).withColumnRenamed("node", "node_of")
+
+
+def _tokens(k: int):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Names and all tokens of the texts' sets."""
+        for batch in batches:
+            sets = list(shingle_sets(batch.column("text"), k))
+            yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "n", "tokens"])
+
+    return read
 
 
 def _verified(percent: int):
@@ -238,25 +256,34 @@ def similar_rows(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key().alias("key"))
     named = saved(rows.mapInArrow(_named(k), "doc_id long, key long, node long, n_shingles long"))
     total = named.agg(F.sum("n_shingles")).first()[0] or 0
-    parts = max(-(-total // PART_TOKENS), LEAST_PARTS)
+    parts = max(-(-total // PART_TOKENS), 1)
     dealt = rows.select("text").mapInArrow(_dealt(k, parts), _PACK).repartition(parts, "part")
     shared = dealt.mapInArrow(_shared(parts), _PACK)
     sizes = named.filter("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n"))
     none = F.lit(None).cast("binary")
     sizes = sizes.select(F.pmod("node", F.lit(parts)).cast("int").alias("part"), F.lit(-1).alias("at"), "node", "n", *[none.alias(c) for c in ("nodes", "counts", "prints", "classes")])
-    found = saved(shared.unionByName(sizes).repartition(parts, "part").mapInArrow(_prefixed(percent), _CANDIDATE))
-    groups = components(_stars(found.select("node", F.explode("prefix0").alias("token")), "token"))
+    found = shared.unionByName(sizes).repartition(parts, "part").mapInArrow(_prefixed(percent), _CANDIDATE)
+    # A bit more than the least ratio of linked sizes, so that a rounded logarithm never parts a pair by two classes.
+    size_class = F.floor(F.log(F.col("n")) / log(100 / percent + 1e-9)).cast("int") if percent < 100 else F.col("n")
+    view = F.explode(F.array(size_class, size_class + 1))
+    found = saved(found.withColumn("view", view).withColumn("member", F.xxhash64("node", "view")))
+    groups = _components(_stars(found.select("view", "member", F.explode("prefix0").alias("token")), "view", "token"))
     for i in range(1, ORDERS):
-        entries = found.join(saved(groups), "node").select("node", "label", F.explode(f"prefix{i}").alias("token"))
-        groups = components(_stars(entries, "label", "token"))
+        entries = found.join(saved(groups), F.col("member") == F.col("node_of")).select("member", "label", F.explode(f"prefix{i}").alias("token"))
+        groups = _components(_stars(entries, "label", "token"))
     groups = saved(groups)
     sizes = groups.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    members = groups.join(sizes, "label").select("node", "label", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    members = groups.join(sizes, "label").select(F.col("node_of").alias("member"), "label", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")
     other = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: (j != own) | (F.col("blocks") == 1))
-    members = members.select("node", "label", own.alias("own"), F.explode(other).alias("other"))
+    members = found.select("member", "node").join(members, "member").select("node", "label", own.alias("own"), F.explode(other).alias("other"))
     members = members.select("node", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    links = found.select("node", "n", "tokens").join(members, "node").groupBy("label", "i", "j").applyInArrow(_verified(percent), "a long, b long")
+    members = saved(members)
+    # One text for each set that has candidates.
+    asked = saved(named.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("key").alias("key")).select("key"))
+    texts = maybe_among(rows.select("key", "text"), asked, "key").join(asked, "key", "left_semi").dropDuplicates(["key"])
+    sets = saved(texts.select("text").mapInArrow(_tokens(k), "node long, n long, tokens array<long>"))
+    links = sets.join(members, "node").groupBy("label", "i", "j").applyInArrow(_verified(percent), "a long, b long")
     labels = components(saved(links))
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
     of_node = named.filter("node is not null").groupBy("node").agg(F.min(order).alias("least")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
