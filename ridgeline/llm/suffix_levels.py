@@ -365,7 +365,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, batches: int = 4) -> Data
     for b in range(batches):
         arrays = index.filter(F.col("batch") == b).select("id", "k", F.inline(F.arrays_zip(*_ARRAYS)))
         found.append(family.add(arrays))
-    entries = saved(family.entries(_union(found).distinct()))  # written, so that joins can split a hot head
+    heads = saved(_union(found).distinct())  # written, so that the join can split a hot head
+    entries = saved(family.entries(heads))
     one = F.min(F.struct("id", "k", "first", "last", "lft", "rgt")).alias("one")
     spans = saved(entries.groupBy("head", "span").agg(F.count(F.lit(1)).alias("times"), one))
     whole = entries.join(spans.filter("times > 1").select("head", "span"), ["head", "span"], "left_semi").select("id", "k", "first", "last")
