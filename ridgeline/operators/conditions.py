@@ -53,7 +53,7 @@ def _result(test: Test, block: Block, at: str, idx: str) -> Column:
         if test.cmp not in COMPARE:
             raise KeyError(f"a {test.kind} test needs cmp, one of {sorted(COMPARE)}")
         if test.kind == "delta":
-            y = y - F.col("__at_trigger")
+            y = y - F.col(f"__at_{test.column}")
             out = COMPARE[test.cmp](F.max(y) if test.cmp[0] == ">" else F.min(y), F.lit(test.value))
         else:
             out = COMPARE[test.cmp](F.max(y) if test.peak == "max" else F.min(y), F.lit(test.value))
@@ -64,13 +64,11 @@ def _result(test: Test, block: Block, at: str, idx: str) -> Column:
 
 def apply_conditions(windows: DataFrame, keys: Sequence[str], at: str, idx: str, blocks: Sequence[Block]) -> DataFrame:
     """The keys of events whose blocks all hold; windows has each event's samples, ``at`` its trigger's index."""
-    tests = {c.column for b in blocks for c in (*b.all_of, *b.any_of) if c.kind == "delta"}
-    if len(tests) > 1:
-        raise ValueError("delta tests of one event use one column")
+    changing = sorted({c.column for b in blocks for c in (*b.all_of, *b.any_of) if c.kind == "delta"})
     rows = windows
-    if tests:
-        hit = windows.filter(F.col(idx) == F.col(at)).groupBy(*keys).agg(F.first(tests.pop()).alias("__at_trigger"))
-        rows = rows.join(hit, list(keys), "left")
+    if changing:
+        values = [F.first(c).alias(f"__at_{c}") for c in changing]
+        rows = rows.join(windows.filter(F.col(idx) == F.col(at)).groupBy(*keys).agg(*values), list(keys), "left")
     verdicts = []
     for b in blocks:
         every = [_result(x, b, at, idx) for x in b.all_of]

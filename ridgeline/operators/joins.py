@@ -7,7 +7,7 @@ session is many cells.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,35 +39,59 @@ def overlap_join(a: DataFrame, b: DataFrame, keys: Sequence[str], a_ends: tuple[
     return out.drop("__cell", "__from_a", "__from_b")
 
 
-def _bracketed(target: DataFrame, source: DataFrame, keys: Sequence[str], t: str, y: str) -> DataFrame:
-    """target with the last source point at or before t and the first at or after it."""
-    point = F.when(F.col(y).isNotNull(), F.struct(F.col(t).alias("t"), F.col(y).alias("y")))
-    marks = source.select(*keys, t, point.alias("__p")).filter("__p is not null").withColumn("__target", F.lit(False))
+def _bracketed(target: DataFrame, source: DataFrame, keys: Sequence[str], t: str, columns: Sequence[str], cell: float | None = None) -> DataFrame:
+    """target with, for each column, the last known source point at or before t and the first at or after it (__a0, __b0, ...).
+
+    With cell, rows are ordered within (keys, cell of t) only, and each cell
+    takes over the nearest points of the cells before and after it, which is a
+    window over one row a cell: a long session is many tasks.
+    """
+    points = [F.when(F.col(f"`{c}`").isNotNull(), F.struct(F.col(t).alias("t"), F.col(f"`{c}`").cast("double").alias("y"))).alias(f"__p{i}") for i, c in enumerate(columns)]
+    marks = source.select(*keys, t, *points).withColumn("__target", F.lit(False))
     both = target.withColumn("__target", F.lit(True)).unionByName(marks, allowMissingColumns=True)
+    by = list(keys)
+    if cell is not None:
+        both, by = both.withColumn("__cell", F.floor(F.col(t) / cell)), [*keys, "__cell"]
     # Points of one time stand before the target when looking back and after it when looking ahead.
-    back = Window.partitionBy(*keys).orderBy(t, "__target").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy(F.col(t).desc(), "__target").rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumns({"__a": F.last("__p", ignorenulls=True).over(back), "__b": F.last("__p", ignorenulls=True).over(ahead)})
-    return both.filter("__target").drop("__target", "__p")
-
+    back = Window.partitionBy(*by).orderBy(t, "__target").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*by).orderBy(F.col(t).desc(), "__target").rowsBetween(Window.unboundedPreceding, 0)
+    n = range(len(columns))
+    sides = {f"__a{i}": F.last(f"__p{i}", ignorenulls=True).over(back) for i in n} | {f"__b{i}": F.last(f"__p{i}", ignorenulls=True).over(ahead) for i in n}
+    out = both.withColumns(sides).filter("__target").drop("__target", *[f"__p{i}" for i in n])
+    if cell is None:
+        return out
+    ends = [f(f"__p{i}", F.when(F.col(f"__p{i}").isNotNull(), F.col(t))).alias(f"{e}{i}") for i in n for e, f in (("__last", F.max_by), ("__first", F.min_by))]
+    cells = both.groupBy(*by).agg(*ends)
+    before = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*keys).orderBy(F.col("__cell").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    near = {f"__last{i}": F.last(f"__last{i}", ignorenulls=True).over(before) for i in n} | {f"__first{i}": F.last(f"__first{i}", ignorenulls=True).over(after) for i in n}
+    out = out.join(cells.withColumns(near), by)
+    taken = {f"__a{i}": F.coalesce(f"__a{i}", f"__last{i}") for i in n} | {f"__b{i}": F.coalesce(f"__b{i}", f"__first{i}") for i in n}
+    return out.withColumns(taken).drop("__cell", *[f"__{e}{i}" for i in n for e in ("last", "first")])
+
+
+def interp_columns(target: DataFrame, source: DataFrame, keys: Sequence[str], t: str, columns: Mapping[str, str], single_constant: bool = False, cell: float | None = None) -> DataFrame:
+    """target plus columns (name in source: name in the result), each linear between its known points; null outside them.
+
+    A column of fewer than two points gives nulls, or with single_constant its
+    only value everywhere. All columns share one pass.
+    """
+    names = list(columns)
+    out = _bracketed(target, source, keys, t, names, cell)
+    counts = source.groupBy(*keys).agg(*[F.count(F.col(f"`{c}`")).alias(f"__n{i}") for i, c in enumerate(names)], *[F.first(F.col(f"`{c}`"), ignorenulls=True).alias(f"__one{i}") for i, c in enumerate(names)])
+    out = out.join(counts, list(keys), "left")
+    values = {}
+    for i, c in enumerate(names):
+        a, b = F.col(f"__a{i}"), F.col(f"__b{i}")
+        line = F.when(a["t"] == b["t"], a["y"]).otherwise(a["y"] + (b["y"] - a["y"]) * (F.col(t) - a["t"]) / (b["t"] - a["t"]))
+        value = F.when((F.col(f"__n{i}") >= 2) & a.isNotNull() & b.isNotNull(), line)
+        values[columns[c]] = F.when(F.col(f"__n{i}") == 1, F.col(f"__one{i}")).otherwise(value) if single_constant else value
+    return out.withColumns(values).drop(*[f"__{e}{i}" for i in range(len(names)) for e in ("a", "b", "n", "one")])
 
-def interp_join(target: DataFrame, source: DataFrame, keys: Sequence[str], t: str, y: str, name: str | None = None, single_constant: bool = False) -> DataFrame:
-    """target plus y of source, linear between its points; null outside them.
 
-    A source of fewer than two points gives nulls, or with single_constant its
-    only value everywhere.
-    """
-    count = Window.partitionBy(*keys)
-    src = source.withColumn("__points", F.count(y).over(count)).filter(F.col("__points") >= (1 if single_constant else 2))
-    out = _bracketed(target, src.drop("__points"), keys, t, y)
-    a, b = F.col("__a"), F.col("__b")
-    line = F.when(a["t"] == b["t"], a["y"]).otherwise(a["y"] + (b["y"] - a["y"]) * (F.col(t) - a["t"]) / (b["t"] - a["t"]))
-    value = F.when(a.isNotNull() & b.isNotNull(), line)
-    if single_constant:
-        one = src.filter("__points = 1").select(*keys, F.col(y).alias("__one"))
-        out = out.join(one, list(keys), "left")
-        value = F.coalesce(F.col("__one"), value)
-    return out.withColumn(name or y, value).drop("__a", "__b", "__one")
+def interp_join(target: DataFrame, source: DataFrame, keys: Sequence[str], t: str, y: str, name: str | None = None, single_constant: bool = False, cell: float | None = None) -> DataFrame:
+    """``interp_columns`` of one column."""
+    return interp_columns(target, source, keys, t, {y: name or y}, single_constant, cell)
 
 
 def shift_join(target: DataFrame, source: DataFrame, keys: Sequence[str], t: str, y: str, shift: float, name: str) -> DataFrame:
@@ -75,12 +99,12 @@ def shift_join(target: DataFrame, source: DataFrame, keys: Sequence[str], t: str
     return interp_join(target, source.withColumn(t, F.col(t) + shift), keys, t, y, name)
 
 
-def nearest_join(target: DataFrame, source: DataFrame, keys: Sequence[str], t: str, y: str, name: str) -> DataFrame:
+def nearest_join(target: DataFrame, source: DataFrame, keys: Sequence[str], t: str, y: str, name: str, cell: float | None = None) -> DataFrame:
     """target plus y of the source point nearest in time; the earlier one wins ties."""
-    out = _bracketed(target, source, keys, t, y)
-    a, b = F.col("__a"), F.col("__b")
+    out = _bracketed(target, source, keys, t, [y], cell)
+    a, b = F.col("__a0"), F.col("__b0")
     near = F.when(b.isNull() | (F.col(t) - a["t"] <= b["t"] - F.col(t)), a["y"]).otherwise(b["y"])
-    return out.withColumn(name, F.when(a.isNull(), b["y"]).otherwise(near)).drop("__a", "__b")
+    return out.withColumn(name, F.when(a.isNull(), b["y"]).otherwise(near)).drop("__a0", "__b0")
 
 
 def secondary_trigger(primary: DataFrame, cands: DataFrame, keys: Sequence[str], event: str, t: str, cand_t: str, min_delay: float, max_delay: float, pick: str = "forward", width: float | None = None) -> DataFrame:

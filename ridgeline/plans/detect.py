@@ -9,18 +9,23 @@ and one aggregation.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions.naming import sensor_inputs
 from ridgeline.operators import joins, series, signal
 from ridgeline.operators.conditions import Block, Test, apply_conditions, flagged, quality_gate
+from ridgeline.operators.event_metrics import Spec, inline_metrics, segment_metrics
+from ridgeline.operators.series import finite
 from ridgeline.plans.schema import Event, Schema, Trigger
 
 KEYS = ["session_key"]
 VERSION = "1"
+#: Seconds in a cell of the samples that an open search is joined with.
+OPEN_CELL_S = 60.0
 
 
 def _candidates(samples: DataFrame, trigger: Trigger, inputs: Mapping[str, str], dt: float, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -87,12 +92,19 @@ def detect_one(samples: DataFrame, event: Event, sensor: str, inputs: Mapping[st
     names = {event.trigger.id: "trigger"}
     for t in event.secondary:
         base = "trigger_time_s" if names.get(t.base) == "trigger" else f"{t.base}_time_s"
-        most = t.max_delay_s if t.max_delay_s is not None else 3600.0
+        # Without a longest delay the search goes on to the session's end.
+        most = t.max_delay_s if t.max_delay_s is not None else float("inf")
         event_keys = [*KEYS, "trigger_idx"]
         known = out.filter(F.col(base).isNotNull()).select(*event_keys, F.col(base).alias("__base_s"))
         # The search begins afresh in each event's window: arming, prominence and debouncing are local to it.
-        lo, hi = F.col("__base_s") + t.min_delay_s, F.col("__base_s") + most
-        near = joins.window_join(known, samples, KEYS, lo - (0.0 if t.type == "local_extrema" else 1.5 * dt), hi, "time_s", max(most - t.min_delay_s, dt))
+        if t.max_delay_s is None:
+            last = samples.groupBy(*KEYS).agg(F.max("time_s").alias("__until"))
+            known = known.join(last, KEYS)
+        else:
+            known = known.withColumn("__until", F.col("__base_s") + most)
+        lo, hi = F.col("__base_s") + t.min_delay_s, F.col("__until")
+        width = OPEN_CELL_S if t.max_delay_s is None else max(most - t.min_delay_s, dt)
+        near = joins.window_join(known, samples, KEYS, lo - (0.0 if t.type == "local_extrema" else 1.5 * dt), hi, "time_s", width)
         c = _candidates(near, t, inputs, dt, event_keys).join(known, event_keys).filter((F.col("time_s") >= lo) & (F.col("time_s") <= hi))
         c = _debounced(c, t, dt, event_keys)
         rel = F.col("time_s") - F.col("__base_s")
@@ -131,10 +143,11 @@ def detect(samples: DataFrame, schema: Schema, registry: Mapping[str, Mapping],
     """All events of a schema; an event whose inputs a sensor lacks is left out for that sensor."""
     out = None
     for event in schema.events:
-        for sensor in event.sensors or sorted({i["sensor"] for i in registry.values() if i["sensor"]}):
+        for sensor in _sensors(event, registry):
             try:
                 one = detect_one(samples, event, sensor, sensor_inputs(registry, sensor), dt, schema.version)
-            except KeyError:
+            except KeyError as missing:
+                warnings.warn(f"event {event.id!r} is left out for sensor {sensor!r}: {missing.args[0]}", stacklevel=2)
                 continue
             out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     if out is None:
@@ -158,53 +171,46 @@ def segment_arrays(long: DataFrame, roles: Sequence[str]) -> DataFrame:
     return rows.select(*keys, F.col("x.t_rel").alias("t_rel"), *[F.col(f"x.{r}").alias(r) for r in roles])
 
 
-def _between(spec: Mapping, event: Event) -> tuple[Column, Column]:
-    def time(name: str) -> Column:
-        return F.col("trigger_time_s") if name == event.trigger.id else F.col(f"{name}_time_s")
+def _sensors(event: Event, registry: Mapping[str, Mapping]) -> list[str]:
+    """The event's sensors, or all of the registry's where it names none."""
+    return list(event.sensors) or sorted({i["sensor"] for i in registry.values() if i["sensor"]})
 
-    a, b = time(spec["start_trigger"]), time(spec["end_trigger"])
-    lo = F.least(a, b)
-    return F.when(a.isNotNull() & b.isNotNull(), lo + float(spec.get("min_delay_s") or 0.0)), F.when(a.isNotNull() & b.isNotNull(), F.greatest(a, b))
 
+def _specs(schema: Schema, registry: Mapping[str, Mapping]) -> tuple[list[Spec], dict[str, dict[str, str]]]:
+    specs = [Spec(e.id, e.trigger.id, e.metrics, [t.id for t in e.secondary]) for e in schema.events]
+    sensors = sorted({s for e in schema.events for s in _sensors(e, registry)})
+    return specs, {s: sensor_inputs(registry, s) for s in sensors}
 
-def metrics(samples: DataFrame, events: DataFrame, schema: Schema, registry: Mapping[str, Mapping]) -> DataFrame:
-    """session_key, schema_id, event_id and an m_ column per metric: one join and one aggregation per event and sensor."""
-    out = None
-    for event in schema.events:
-        for sensor in event.sensors:
-            inputs = sensor_inputs(registry, sensor)
-            mine = events.filter((F.col("schema_id") == event.id) & (F.col("signal") == sensor))
-            used = {m["signal"] for m in event.metrics if m.get("signal") in inputs}
-            long = samples.select(*KEYS, "sample_idx", "time_s", *[F.col(f"`{inputs[r]}`").alias(f"__{r}") for r in sorted(used)])
-            ends = F.greatest(F.col("end_idx"), *[F.col(f"{t.id}_idx") for t in event.secondary if f"{t.id}_idx" in events.columns], F.lit(0))
-            rows = joins.window_join(mine, long, KEYS, F.col("start_idx"), ends, "sample_idx", 256)
-            w = Window.partitionBy(*KEYS, "event_id").orderBy("sample_idx")
-            aggs: list[Column] = []
-            before = {f"__p_{r}": F.lag(f"__{r}").over(w) for r in sorted(used)} | {"__pt": F.lag("time_s").over(w)}
-            rows = rows.withColumns(before)
-            for n, m in enumerate(event.metrics):
-                role = m.get("signal")
-                name = m.get("id") or f"{m['type']}_{role}" + (f"_{m.get('kind', 'max')}" if m["type"] == "peak" else "")
-                if m["type"] == "trigger_delta":
-                    a, b = (F.col("trigger_time_s") if m[k] == event.trigger.id else F.col(f"{m[k]}_time_s") for k in ("start_trigger", "end_trigger"))
-                    aggs.append(F.first(b - a).alias(f"m_{m.get('id') or f'delta_{n}'}"))
-                    continue
-                if role not in used:
-                    continue
-                y, own = F.col(f"__{role}"), F.col("sample_idx") <= F.col("end_idx")
-                if m["type"] == "peak":
-                    aggs.append((F.max if m.get("kind", "max") == "max" else F.min)(F.when(own, y)).alias(f"m_{name}"))
-                elif m["type"] == "time_above":
-                    aggs.append(F.sum(F.when(own & (y > float(m["value"])), F.col("time_s") - F.col("__pt")).otherwise(0.0)).alias(f"m_{name}"))
-                else:
-                    lo, hi = _between(m, event) if "start_trigger" in m else (F.col("start_time_s"), F.col("end_time_s"))
-                    inside = (F.col("time_s") >= lo) & (F.col("time_s") <= hi)
-                    v, at = F.when(inside, y), F.when(inside & y.isNotNull(), F.col("sample_idx"))
-                    area = F.sum(F.when(inside & (F.col("__pt") >= lo), (y + F.col(f"__p_{role}")) / 2 * (F.col("time_s") - F.col("__pt"))))
-                    ops = {"mean": F.avg(v), "max": F.max(v), "min": F.min(v), "delta": F.max_by(y, at) - F.min_by(y, at), "integral": area}
-                    for op in m.get("ops") or ["integral"]:
-                        if op in ops:
-                            aggs.append(ops[op].alias(f"m_{name}_{op}"))
-            one = rows.groupBy("session_key", "schema_id", "event_id").agg(*(aggs or [F.count(F.lit(1)).alias("m_n")]))
-            out = one if out is None else out.unionByName(one, allowMissingColumns=True)
-    return out
+
+def metrics(samples: DataFrame, events: DataFrame, schema: Schema, registry: Mapping[str, Mapping], dt: float) -> DataFrame:
+    """session_key, schema_id, event_id and the m_ and d_ columns: one join and one aggregation for all events and sensors."""
+    return segment_metrics(samples, _with_triggers(events, schema), *_specs(schema, registry), dt, KEYS)
+
+
+def with_inline_metrics(samples: DataFrame, events: DataFrame, schema: Schema, registry: Mapping[str, Mapping], dt: float) -> DataFrame:
+    """events plus the metrics measured at detection."""
+    return inline_metrics(samples, _with_triggers(events, schema), *_specs(schema, registry), dt, KEYS)
+
+
+def _with_triggers(events: DataFrame, schema: Schema) -> DataFrame:
+    """events with the columns of all secondary triggers, null where no event has them."""
+    wanted = {f"{t.id}_{k}": kind for e in schema.events for t in e.secondary for k, kind in (("idx", "long"), ("time_s", "double"))}
+    return events.withColumns({c: F.lit(None).cast(kind) for c, kind in wanted.items() if c not in events.columns})
+
+
+def secondary_times(events: DataFrame) -> DataFrame:
+    """session_key, event_id, trigger, time_s: the secondary triggers that an event has, found by their columns."""
+    names = [c.removesuffix("_time_s") for c in events.columns if c.endswith("_time_s") and c not in ("trigger_time_s", "start_time_s", "end_time_s")]
+    if not names:
+        return events.select(*KEYS, "event_id", F.lit(None).cast("string").alias("trigger"), F.lit(None).cast("double").alias("time_s")).limit(0)
+    pairs = F.array(*[F.struct(F.lit(n).alias("trigger"), F.col(f"{n}_time_s").cast("double").alias("time_s")) for n in names])
+    return events.select(*KEYS, "event_id", F.inline(pairs)).filter(finite(F.col("time_s")).isNotNull())
+
+
+def relative_slices(samples: DataFrame, events: DataFrame, columns: Mapping[str, str], before_s: float, after_s: float) -> DataFrame:
+    """Samples around each event by time, with t_rel to its trigger, and the offsets of its secondary triggers as an array."""
+    e = events.select(*KEYS, "event_id", "schema_id", "trigger_time_s")
+    marks = secondary_times(events).join(e, [*KEYS, "event_id"]).groupBy(*KEYS, "event_id").agg(F.sort_array(F.collect_list(F.struct((F.col("time_s") - F.col("trigger_time_s")).alias("offset_s"), "trigger"))).alias("secondary"))
+    s = samples.select(*KEYS, "sample_idx", "time_s", *[F.col(f"`{c}`").alias(r) for r, c in columns.items()])
+    out = joins.window_join(e, s, KEYS, F.col("trigger_time_s") - before_s, F.col("trigger_time_s") + after_s, "time_s", max(before_s + after_s, 1e-3))
+    return out.withColumn("t_rel", F.col("time_s") - F.col("trigger_time_s")).join(marks, [*KEYS, "event_id"], "left")

@@ -12,7 +12,8 @@ from ridgeline.functions import naming
 from ridgeline.operators import series, signal, stats
 from ridgeline.plans import contracts, detect
 from ridgeline.plans.schema import Schema, parse
-from ridgeline.sources.logger import Session, read_csv
+from ridgeline.sources import gps
+from ridgeline.sources.logger import Session, read_csv, read_recordings
 
 KEYS = ["session_key"]
 
@@ -70,8 +71,8 @@ def rate_of(session: Session) -> float:
 def preprocess(session: Session, profile: Profile) -> Prepared:
     """Zero, normalise, smooth, derive velocity and acceleration, mark activity.
 
-    Zero and scale of all columns are one aggregation; the filters that need a
-    whole session run as grouped Arrow maps.
+    Each column's zero is an aggregation that joins the samples by session; the
+    filters that need a whole session run as grouped maps.
     """
     rate = rate_of(session)
     df = session.samples
@@ -116,22 +117,59 @@ class Result:
     prepared: Prepared
     events: DataFrame
     metrics: DataFrame
+    gps: gps.Enriched | None = None
 
 
-def run(spark: SparkSession, path: str, schema: str | Schema, profile: Profile | None = None, sidecar_path: str | None = None, check: bool = True) -> Result:
+def _finished(prepared: Prepared, schema: Schema, check: bool, inline: bool, enriched: gps.Enriched | None = None) -> Result:
+    prepared = replace(prepared, samples=prepared.samples.persist())
+    dt = 1 / prepared.rate_hz
+    events = detect.detect(prepared.samples, schema, prepared.registry, dt)
+    if inline:
+        events = detect.with_inline_metrics(prepared.samples, events, schema, prepared.registry, dt)
+    events = events.persist()
+    metrics = detect.metrics(prepared.samples, events, schema, prepared.registry, dt)
+    if check:
+        contracts.check_session(prepared.samples)
+        contracts.check_events(events)
+        contracts.check_metrics(metrics.withColumnRenamed("session_key", "session_id"), events)
+    return Result(prepared, events, metrics, enriched)
+
+
+def run(spark: SparkSession, path: str, schema: str | Schema, profile: Profile | None = None, sidecar_path: str | None = None, check: bool = True, records: DataFrame | None = None, gps_policy: str = "require_binding", bindings: DataFrame | None = None, inline: bool = False) -> Result:
     """One recording through the whole pipeline; schema is YAML text or parsed.
 
-    Samples and events are persisted: every event definition reads the samples
-    several times, and their kernels run once. Unpersist them when done.
+    With GPS records (of ``gps.decode``, or decoded tables) the session's file
+    is looked for and its columns join the samples. inline adds the metrics
+    measured at detection to the events. Samples and events are persisted: every
+    event definition reads the samples several times, and their kernels run
+    once. Unpersist them when done.
     """
     session = canonicalise(read_csv(spark, path, sidecar_path=sidecar_path))
+    enriched = None
+    if records is not None:
+        anchors = spark.range(1).select(F.lit(session.session_key).alias("session_key"), session.anchor().alias("anchor"))
+        enriched = gps.enrich(session.samples, anchors, records, gps_policy, bindings)
+        session = replace(session, samples=enriched.samples)
     prepared = preprocess(session, profile or Profile())
-    prepared = replace(prepared, samples=prepared.samples.persist())
+    return _finished(prepared, parse(schema) if isinstance(schema, str) else schema, check, inline, enriched)
+
+
+def run_many(spark: SparkSession, folders: str | Sequence[str], schema: str | Schema, profile: Profile | None = None, zone: str = "UTC", check: bool = True, records: DataFrame | None = None, gps_policy: str = "require_binding", bindings: DataFrame | None = None, inline: bool = False) -> list[Result]:
+    """All recordings of the folders, a result for each sample rate among them.
+
+    Recordings of one rate go through one plan; a session is a key of it.
+    """
     schema = parse(schema) if isinstance(schema, str) else schema
-    events = detect.detect(prepared.samples, schema, prepared.registry, 1 / prepared.rate_hz).persist()
-    metrics = detect.metrics(prepared.samples, events, schema, prepared.registry)
-    if check:
-        contracts.check_session(prepared.samples)
-        contracts.check_events(events)
-        contracts.check_metrics(metrics.withColumnRenamed("session_key", "session_id"), events)
-    return Result(prepared, events, metrics)
+    found = read_recordings(spark, folders, zone)
+    samples = found.samples.persist()
+    enriched = None
+    if records is not None:
+        enriched = gps.enrich(samples, found.sessions.select("session_key", "anchor"), records, gps_policy, bindings)
+    measured = stats.timebase(samples, KEYS, "time_s").select(*KEYS, "rate")
+    rates = found.sessions.join(measured, KEYS, "left").select(*KEYS, F.round(F.coalesce("rate_hz", "rate"), 3).alias("rate")).persist()
+    out = []
+    for (rate,) in rates.filter("rate is not null").select("rate").distinct().orderBy("rate").collect():  # a row a rate
+        rows = (enriched.samples if enriched else samples).join(rates.filter(F.col("rate") == rate).select(*KEYS), KEYS, "left_semi")
+        prepared = preprocess(canonicalise(Session(rows, "", "", rate)), profile or Profile())
+        out.append(_finished(prepared, schema, check, inline, enriched))
+    return out

@@ -40,7 +40,7 @@ def segment_arrays(spark, sf_dir):
     return out.select(F.col("session_key").alias("user_id"), "event_id", F.concat_ws(",", F.col("y").cast("array<string>")).alias("samples"), F.size("y").cast("long").alias("n"))
 
 
-@query(WINDOWED + " select user_id, event_id, round(sum(case when value > 60 then 0.5 else 0 end), 6) as time_above from j group by 1, 2")
+@query(WINDOWED + " select user_id, event_id, round(sum(case when value > 60 then 0.5::double else 0.0::double end), 6) as time_above from j group by 1, 2")
 def time_above(spark, sf_dir):
     return metrics.time_above(event_windows(spark, sf_dir), [*U, "event_id"], "value", 60.0, F.lit(0.5)).withColumns(r6("time_above"))
 

@@ -7,13 +7,14 @@ to record dicts. Decoded Parquet or CSV is read as it is.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions.scalars import semicircles_to_degrees, speed_class
-from ridgeline.operators import joins, series
+from ridgeline.operators import joins, selection, series
 
 #: Field: canonical column, whether it is in semicircles (fixed names).
 FIELDS = {
@@ -92,13 +93,51 @@ def upsert_binding(bindings: DataFrame, new: DataFrame) -> DataFrame:
     return bindings.join(new, "session_id", "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def onto_samples(samples: DataFrame, gps: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("session_key",)) -> DataFrame:
-    """samples plus the GPS columns, linear between fixes."""
-    out = samples
-    for c in columns:
-        src = gps.select(*keys, "time_s", F.col(f"`{c}`").alias("__y"))
-        out = joins.interp_join(out, src, list(keys), "time_s", "__y", "__v").withColumnRenamed("__v", c)
-    return out
+def onto_samples(samples: DataFrame, gps: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("session_key",), cell_s: float | None = None) -> DataFrame:
+    """samples plus the GPS columns, linear between fixes; with cell_s long sessions are cut into cells of that length."""
+    return joins.interp_columns(samples, gps, list(keys), "time_s", {c: c for c in columns}, cell=cell_s)
+
+
+def candidate_states(sessions: DataFrame, files: DataFrame | None, enabled: bool = True, policy: str = "require_binding", bindings: DataFrame | None = None, contained: bool = False) -> DataFrame:
+    """session_id, status, n_candidates, path for every session (session_id, start, end).
+
+    disabled: no import is wanted; invalid_config: there are no files to look
+    through; missing_anchor: the session has no absolute time; no_match: no file
+    overlaps it; auto_match: one does; bound_match: one of several is chosen, by
+    the policy or a binding; ambiguous: several, and none is chosen.
+    """
+    zero = F.lit(0).cast("long")
+    if not enabled or files is None:
+        return sessions.select("session_id", F.lit("invalid_config" if enabled else "disabled").alias("status"), zero.alias("n_candidates"), F.lit(None).cast("string").alias("path"))
+    cands = candidates(sessions.filter("start is not null and end is not null"), files, contained)
+    n = cands.groupBy("session_id").agg(F.count(F.lit(1)).alias("__n"))
+    out = sessions.join(n, "session_id", "left").join(choose(cands, policy, bindings).select("session_id", "path"), "session_id", "left")
+    status = F.when(F.col("start").isNull() | F.col("end").isNull(), "missing_anchor").when(F.col("__n").isNull(), "no_match").when(F.col("__n") == 1, "auto_match")
+    status = status.when(F.col("path").isNotNull(), "bound_match").otherwise("ambiguous")
+    return out.select("session_id", status.alias("status"), F.coalesce("__n", zero).alias("n_candidates"), "path")
+
+
+@dataclass
+class Enriched:
+    """samples with the GPS columns, the sessions' own GPS streams, and each session's state."""
+
+    samples: DataFrame
+    stream: DataFrame
+    states: DataFrame
+
+
+def enrich(samples: DataFrame, anchors: DataFrame, records: DataFrame, policy: str = "require_binding", bindings: DataFrame | None = None, contained: bool = False, columns: Sequence[str] | None = None, cell_s: float | None = 600.0) -> Enriched:
+    """Finds each session's GPS file, takes its records as a stream of the session, and interpolates them onto the samples.
+
+    anchors has session_key and anchor (the absolute time of time_s 0, or null).
+    Sessions without a chosen file keep their samples, with nulls.
+    """
+    bounds_ = selection.session_bounds(samples, anchors).withColumnRenamed("session_key", "session_id")
+    states = candidate_states(bounds_, file_summary(records), True, policy, bindings, contained)
+    mine = states.filter("path is not null").select(F.col("session_id").alias("session_key"), "path").join(anchors, "session_key")
+    own = stream(records.join(mine, "path"), F.col("anchor"), ("session_key",))
+    held = list(columns) if columns is not None else [c for c, _ in FIELDS.values() if c in own.columns]
+    return Enriched(onto_samples(samples, own, [c for c in held if c in own.columns], cell_s=cell_s), own, states)
 
 
 def route(gps: DataFrame, lat: str, lon: str, keys: Sequence[str] = ("session_key",), lo: Column | None = None, hi: Column | None = None) -> DataFrame:

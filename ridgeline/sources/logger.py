@@ -15,7 +15,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ridgeline.functions.scalars import clean_number, clock_seconds, time_scale
+from ridgeline.functions.scalars import clean_number, clock_seconds, filename_anchor, time_scale
 
 #: Time columns in order of preference, and how they count: ms, a guess by size, or a clock (fixed values).
 TIME_COLUMNS = (("timestamp_ms", "ms"), ("ts_ms", "ms"), ("time_ms", "ms"), ("time_s", "guess"), ("t", "guess"), ("time", "guess"), ("ts", "guess"), ("timestamp", "clock"))
@@ -87,6 +87,13 @@ class Session:
     channels: list[dict[str, Any]] = field(default_factory=list)
     notes: list[str] = field(default_factory=list)
     sidecar: Sidecar | None = None
+    zone: str = "UTC"
+
+    def anchor(self) -> Column:
+        """The absolute time of the first sample: of the sidecar in its time zone, else of the file name in the session's."""
+        about = (self.sidecar.raw.get("session") or {}) if self.sidecar else {}
+        named = filename_anchor(F.lit(re.sub(r"\.[^.]*$", "", self.source.rsplit("/", 1)[-1])), self.zone)
+        return F.coalesce(F.to_utc_timestamp(F.try_to_timestamp(F.lit(about.get("started_at_local"))), about.get("timezone") or self.zone), named)
 
 
 def read_csv(spark: SparkSession, path: str, session_key: str | None = None, sidecar_path: str | None = None, time_columns: Sequence[str] = (), keep_first_sample: bool = False) -> Session:
@@ -127,6 +134,83 @@ def read_csv(spark: SparkSession, path: str, session_key: str | None = None, sid
     return Session(out, key, path, sidecar.rate_hz if sidecar else None, sidecar.channels() if sidecar else [], [], sidecar)
 
 
+@dataclass
+class Recordings:
+    """Samples of many recordings, and a row per recording: session_key, path, anchor, rate_hz."""
+
+    samples: DataFrame
+    sessions: DataFrame
+
+
+def _sidecars(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """stem, session_id, started, zone, rate, time_col of the sidecars in the recordings' folders."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(paths)
+    text = F.col("content").cast("string")
+    get = lambda x: F.get_json_object(text, f"$.{x}")
+    return files.select(
+        _stem(F.col("path")).alias("stem"),
+        get("session.session_id").alias("session_id"),
+        get("session.started_at_local").alias("started"),
+        get("session.timezone").alias("zone"),
+        get("streams.primary.sample_rate_hz").cast("double").alias("rate_hz"),
+        get("streams.primary.time_col").alias("time_col"),
+    )
+
+
+def _stem(path: Column) -> Column:
+    return F.regexp_replace(path, r"\.[^./]*$", "")
+
+
+def read_recordings(spark: SparkSession, folders: str | Sequence[str], zone: str = "UTC", keep_first_sample: bool = False) -> Recordings:
+    """All recordings (CSV) of the folders as one sample frame; the rules of ``read_csv`` hold within each.
+
+    Files are scanned together, whatever their number, and grouped by their
+    header line, so that the plan has one branch a layout. A recording's
+    session_key is its sidecar's session_id, else its file name; its anchor is
+    the time of its first sample in UTC: started_at_local of the sidecar in its
+    time zone, else the name's beginning in zone.
+    """
+    read = spark.read.option("pathGlobFilter", "*.[cC][sS][vV]").option("recursiveFileLookup", True)
+    lines = read.text(folders).select(F.col("_metadata.file_path").alias("path"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("pos"), "value")
+    lines = lines.filter((F.trim("value") != "") & ~F.col("value").startswith("#"))
+    heads = lines.groupBy("path").agg(F.min_by("value", "pos").alias("head"), F.min("pos").alias("first"))
+    side = _sidecars(spark, folders)
+    name = F.element_at(F.split(_stem(F.col("path")), "/"), -1)
+    known = heads.join(side, _stem(F.col("path")) == F.col("stem"), "left")
+    started = F.coalesce(F.to_utc_timestamp(F.try_to_timestamp("started"), F.coalesce("zone", F.lit(zone))), filename_anchor(name, zone))
+    known = known.withColumns({"session_key": F.coalesce("session_id", name), "anchor": started})
+    layouts = known.select("head", "time_col").distinct().collect()  # a row a layout
+    out = None
+    for head, declared in layouts:
+        delimiter = "," if head.count(",") > head.count(";") else ";"
+        names = [c.strip() for c in head.split(delimiter)]
+        order = ([(declared, "guess")] if declared else []) + list(TIME_COLUMNS)
+        time, how = next(((c, h) for c, h in order if c in names), (None, None))
+        if time is None:
+            raise ValueError(f"recordings with the columns {names} have no time column")
+        mine = known.filter((F.col("head") == head) & F.col("time_col").eqNullSafe(F.lit(declared))).select("path", "session_key", "first")
+        rows = lines.join(mine, "path").filter("pos > first")
+        rows = rows.withColumn("c", F.split("value", re.escape(delimiter), -1)).filter(F.size("c") == len(names))
+        cell = {n: clean_number(F.get("c", F.lit(i))) for i, n in enumerate(names)}
+        file = Window.partitionBy("path")
+        if how == "clock":
+            t = clock_seconds(F.get("c", F.lit(names.index(time))))
+        else:
+            t = cell[time] / 1e3 if how == "ms" else time_scale(cell[time], F.max(cell[time]).over(file))
+        signals = [n for n in names if n != time]
+        rows = rows.select("path", "session_key", "pos", t.alias("time_s"), *[cell[n].alias(n) for n in signals]).filter("time_s is not null")
+        zero = F.min_by("time_s", "pos").over(file)
+        rows = rows.withColumn("time_s", F.col("time_s") - zero).dropna(subset=["time_s", *[f"`{n}`" for n in signals]])
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    one = Window.partitionBy("path", "time_s").orderBy("pos")
+    out = out.withColumn("__n", F.row_number().over(one)).filter("__n = 1").drop("__n")
+    by = Window.partitionBy("path").orderBy("pos")
+    out = out.withColumn("__keep", F.coalesce(F.col("time_s") - F.lag("time_s").over(by) > 0, F.lit(keep_first_sample))).filter("__keep")
+    out = out.withColumn("sample_idx", (F.row_number().over(by) - 1).cast("long"))
+    signals = [c for c in out.columns if c not in ("path", "session_key", "pos", "time_s", "__keep", "sample_idx")]
+    return Recordings(out.select("session_key", "sample_idx", "time_s", *[F.col(f"`{c}`") for c in signals]), known.select("session_key", "path", "anchor", "rate_hz"))
+
+
 def run_statistics(spark: SparkSession, paths: str) -> DataFrame:
     """path, key, value of the ``# key=value`` lines between the run_stats marks of each file."""
     lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("n"), "value").filter("value like '#%'")

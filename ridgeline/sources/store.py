@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NullType
 
 
 def folder_name(schema_id: str | None) -> str:
@@ -31,6 +32,35 @@ class ArtifactStore:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def check_new(self, run_id: str, session_id: str | None = None, force: bool = False, tables: Sequence[str] = ("samples", "events", "metrics")) -> None:
+        """An error if a table holds the run (or its session) already, unless force."""
+        held = [t for t in tables if self._exists(f"{self.path(t)}/run_id={run_id}" + (f"/session_id={session_id}" if session_id else ""))]
+        if held and not force:
+            raise FileExistsError(f"run {run_id!r}{f', session {session_id!r}' if session_id else ''} exists in {held}")
+
+    def freeze_schema(self, run_id: str, session_id: str, text: str) -> None:
+        """The event schema's YAML beside the events it found, replaced as a whole."""
+        out = self.spark.createDataFrame([(text,)], "value string").coalesce(1)
+        out.write.mode("overwrite").text(f"{self.path('schemas')}/run_id={run_id}/session_id={session_id}")
+
+    def frozen_schema(self, run_id: str, session_id: str) -> str:
+        return self.spark.read.text(f"{self.path('schemas')}/run_id={run_id}/session_id={session_id}", wholetext=True).first()[0].removesuffix("\n")
+
+    def keep_source(self, path: str, run_id: str, session_id: str, name: str | None = None) -> str:
+        """Copies a raw or auxiliary file into the store, with its SHA-256 beside it; returns the hash."""
+        source, fs = self._fs(path)
+        target, to = self._fs(f"{self.path('sources')}/run_id={run_id}/session_id={session_id}/{name or source.getName()}")
+        self.spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, source, to, target, False, True, self.spark._jsc.hadoopConfiguration())
+        sha = self.hashes(target.toString()).first()["sha256"]
+        mark = to.create(self.spark._jvm.org.apache.hadoop.fs.Path(f"{target.toString()}.sha256"), True)
+        mark.write(bytearray(f"{sha}\n".encode()))
+        mark.close()
+        return sha
+
     def write(self, df: DataFrame, table: str, run_id: str, session_id: str, force: bool = False) -> None:
         """One session's rows; an existing session is an error unless force."""
         out = f"{self.path(table)}/run_id={run_id}/session_id={session_id}"
@@ -43,8 +73,12 @@ class ArtifactStore:
         (rows.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]).write.option("compression", "zstd").mode("overwrite" if force else "errorifexists").partitionBy(*parts).parquet(out))
 
     def read(self, table: str, columns: Sequence[str] | None = None) -> DataFrame:
-        """All sessions of a table, with run_id, session_id and session_key; columns that differ are merged."""
+        """All sessions of a table, with run_id, session_id and session_key; columns that differ are merged.
+
+        Columns without any value, of no type, are left out where they can't be merged.
+        """
         df = self.spark.read.option("mergeSchema", True).parquet(self.path(table))
+        df = df.drop(*[f.name for f in df.schema if isinstance(f.dataType, NullType)])
         df = df.withColumns({"run_id": F.col("run_id").cast("string"), "session_id": F.col("session_id").cast("string")})
         df = df.withColumn("session_key", F.concat_ws("::", "run_id", "session_id"))
         return df.select("session_key", *[F.col(f"`{c}`") for c in columns]) if columns else df

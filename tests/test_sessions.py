@@ -208,3 +208,71 @@ def test_streams_match_batch(spark, tmp_path):
     got = streamed(lambda s: live.crossings(s, "k", "sample_idx", "y", 5.0, 10.0), "cross_out")
     want = series.threshold_crossings(df, ["k"], "y", 5.0, 10.0)
     assert sorted((r.k, r.sample_idx) for r in got.collect()) == sorted((r.k, r.sample_idx) for r in want.collect())
+
+
+def test_many_recordings_with_gps(spark, recording, tmp_path):
+    from datetime import datetime, timezone
+
+    from pyspark.sql import functions as F
+
+    from ridgeline.plans.session import Profile, run, run_many
+    from ridgeline.sources.logger import read_csv, read_recordings
+
+    folder = str(tmp_path)
+    t = np.arange(600) / 100
+    for name, sep in (("2026-02-19_10-00-00_b.csv", ","), ("loose.csv", ";")):
+        lines = [sep.join(("time_s", "rear_shock_dom_suspension [mm]", "mark"))] + [f"{x:.2f}{sep}{60 * max(0, np.sin(2 * np.pi * x / 2)):.6f}{sep}0" for x in t]
+        (tmp_path / name).write_text("\n".join([*lines[:5], "# a note", *lines[5:], "1;2,3;4,5,6"]) + "\n")
+    found = read_recordings(spark, folder, "Australia/Perth")
+    known = {r.session_key: r for r in found.sessions.withColumn("anchor", F.col("anchor").cast("long")).collect()}
+    assert set(known) == {"s1", "2026-02-19_10-00-00_b", "loose"}
+    utc = lambda *a: int(datetime(*a, tzinfo=timezone.utc).timestamp())
+    assert known["2026-02-19_10-00-00_b"].anchor == utc(2026, 2, 19, 2) and known["loose"].anchor is None and known["s1"].anchor == utc(2026, 2, 19, 0, 35, 11)
+    assert (known["s1"].rate_hz, known["loose"].rate_hz) == (100.0, None)
+    got = {r["session_key"]: r["count"] for r in found.samples.groupBy("session_key").count().collect()}
+    assert got == {"s1": 999, "2026-02-19_10-00-00_b": 599, "loose": 599}
+    for key, path in (("s1", recording), ("loose", f"{folder}/loose.csv")):
+        own = [tuple(r) for r in found.samples.filter(F.col("session_key") == key).orderBy("sample_idx").collect()]
+        assert own == [tuple(r) for r in read_csv(spark, path, session_key=key).samples.orderBy("sample_idx").collect()]
+    start = utc(2026, 2, 19, 2)
+    records = spark.createDataFrame([("g/one.fit", i, start + i, float(i), 2.0) for i in range(5)] + [("g/two.fit", 0, start + 10**6, 1.0, 1.0)], "path string, pos long, at long, speed double, altitude double")
+    records = records.withColumn("timestamp", F.timestamp_seconds("at")).drop("at")
+    profile = Profile({"rear_shock_dom_suspension [mm]": 60.0})
+    results = run_many(spark, folder, SCHEMA, profile, "Australia/Perth", records=records, inline=True)
+    assert [r.prepared.rate_hz for r in results] == [100.0]
+    out = results[0]
+    assert {r["session_key"]: r["count"] for r in out.events.groupBy("session_key").count().collect()} == {"s1": 5, "2026-02-19_10-00-00_b": 3, "loose": 3}
+    assert {r.session_id: r.status for r in out.gps.states.collect()} == {"s1": "no_match", "2026-02-19_10-00-00_b": "auto_match", "loose": "missing_anchor"}
+    speed = out.prepared.samples.filter("session_key = '2026-02-19_10-00-00_b' and time_s = 1.5").first()["gps_fit_speed_dom_world [m/s]"]
+    assert speed == pytest.approx(1.5) and "m_peak_disp" in out.events.columns
+    one = run(spark, f"{folder}/2026-02-19_10-00-00_b.csv", SCHEMA, profile, records=records.withColumn("timestamp", F.col("timestamp") + F.expr("interval 8 hours")))
+    assert one.gps.states.first().status == "auto_match" and one.metrics.count() == 3
+
+
+def test_candidate_states_and_store_guards(spark, recording, tmp_path):
+    from pyspark.sql import functions as F
+
+    from ridgeline.sources.gps import candidate_states
+    from ridgeline.sources.store import ArtifactStore
+
+    s = spark.createDataFrame([("a", 1000, 1200), ("b", 9000, 9100), ("c", None, None), ("d", 1000, 1050)], "session_id string, x long, y long")
+    s = s.select("session_id", F.timestamp_seconds("x").alias("start"), F.timestamp_seconds("y").alias("end"))
+    files = spark.createDataFrame([("x/one.fit", 900, 1120), ("x/two.fit", 1090, 1300)], "path string, a long, b long").select("path", F.timestamp_seconds("a").alias("fit_start"), F.timestamp_seconds("b").alias("fit_end"))
+    state = lambda *a, **k: {r.session_id: (r.status, r.n_candidates) for r in candidate_states(s, *a, **k).collect()}
+    assert set(state(files, enabled=False).values()) == {("disabled", 0)} and set(state(None).values()) == {("invalid_config", 0)}
+    assert state(files) == {"a": ("ambiguous", 2), "b": ("no_match", 0), "c": ("missing_anchor", 0), "d": ("auto_match", 1)}
+    assert state(files, policy="largest_overlap")["a"] == ("bound_match", 2)
+    bound = spark.createDataFrame([("a", "two.fit")], "session_id string, path string")
+    assert state(files, bindings=bound)["a"] == ("bound_match", 2)
+    store = ArtifactStore(spark, str(tmp_path / "store"))
+    store.check_new("r1")
+    store.write(spark.range(1), "samples", "r1", "s1")
+    with pytest.raises(FileExistsError):
+        store.check_new("r1", "s1")
+    store.check_new("r1", "s2")
+    store.check_new("r1", force=True)
+    store.freeze_schema("r1", "s1", SCHEMA)
+    assert store.frozen_schema("r1", "s1") == SCHEMA
+    sha = store.keep_source(recording, "r1", "s1")
+    kept = tmp_path / "store/sources/run_id=r1/session_id=s1/2026-02-19_08-35-11.CSV"
+    assert kept.read_bytes() == open(recording, "rb").read() and (kept.parent / (kept.name + ".sha256")).read_text().strip() == sha
