@@ -45,9 +45,10 @@ from ridgeline.llm.graph import components
 from ridgeline.llm.text import mix, shingle_sets
 
 ORDERS = 3
-#: Sets in a block; tokens in a partition of the exchange.
+#: Sets in a block; tokens in a partition of the exchange, which bounds a task's memory, and its fewest partitions.
 BLOCK = 512
 PART_TOKENS = 4_500_000
+LEAST_PARTS = 16
 
 
 def _node(tokens: np.ndarray) -> int:
@@ -256,7 +257,7 @@ def similar_rows(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key().alias("key"))
     named = saved(rows.mapInArrow(_named(k), "doc_id long, key long, node long, n_shingles long"))
     total = named.agg(F.sum("n_shingles")).first()[0] or 0
-    parts = max(-(-total // PART_TOKENS), 1)
+    parts = max(-(-total // PART_TOKENS), LEAST_PARTS)
     dealt = rows.select("text").mapInArrow(_dealt(k, parts), _PACK).repartition(parts, "part")
     shared = dealt.mapInArrow(_shared(parts), _PACK)
     sizes = named.filter("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n"))
