@@ -215,7 +215,7 @@ def test_many_recordings_with_gps(spark, recording, tmp_path):
 
     from pyspark.sql import functions as F
 
-    from ridgeline.plans.session import Profile, run, run_many
+    from ridgeline.plans.session import Profile, run_many
     from ridgeline.sources.logger import read_csv, read_recordings
 
     folder = str(tmp_path)
@@ -238,15 +238,36 @@ def test_many_recordings_with_gps(spark, recording, tmp_path):
     records = spark.createDataFrame([("g/one.fit", i, start + i, float(i), 2.0) for i in range(5)] + [("g/two.fit", 0, start + 10**6, 1.0, 1.0)], "path string, pos long, at long, speed double, altitude double")
     records = records.withColumn("timestamp", F.timestamp_seconds("at")).drop("at")
     profile = Profile({"rear_shock_dom_suspension [mm]": 60.0})
-    results = run_many(spark, folder, SCHEMA, profile, "Australia/Perth", records=records, inline=True)
+    schema = SCHEMA[: SCHEMA.index("  secondary_triggers")].replace(", front_shock", "") + "  metrics:\n  - {type: peak, signal: disp, kind: max}\n"
+    results = run_many(spark, folder, schema, profile, "Australia/Perth", check=False, records=records, inline=True)
     assert [r.prepared.rate_hz for r in results] == [100.0]
     out = results[0]
     assert {r["session_key"]: r["count"] for r in out.events.groupBy("session_key").count().collect()} == {"s1": 5, "2026-02-19_10-00-00_b": 3, "loose": 3}
-    assert {r.session_id: r.status for r in out.gps.states.collect()} == {"s1": "no_match", "2026-02-19_10-00-00_b": "auto_match", "loose": "missing_anchor"}
+    assert {r.session_id: r.status for r in out.gps.states.collect()} == {"s1": "auto_match", "2026-02-19_10-00-00_b": "auto_match", "loose": "missing_anchor"}  # s1's declared time column counts seconds
     speed = out.prepared.samples.filter("session_key = '2026-02-19_10-00-00_b' and time_s = 1.5").first()["gps_fit_speed_dom_world [m/s]"]
     assert speed == pytest.approx(1.5) and "m_peak_disp" in out.events.columns
-    one = run(spark, f"{folder}/2026-02-19_10-00-00_b.csv", SCHEMA, profile, records=records.withColumn("timestamp", F.col("timestamp") + F.expr("interval 8 hours")))
-    assert one.gps.states.first().status == "auto_match" and one.metrics.count() == 3
+    for r in results:
+        r.events.unpersist()
+        r.prepared.samples.unpersist()
+
+
+def test_one_recording_takes_its_gps_stream(spark, recording):
+    from datetime import datetime, timezone
+
+    from pyspark.sql import functions as F
+
+    from ridgeline.sources.gps import enrich
+    from ridgeline.sources.logger import read_csv
+
+    session = read_csv(spark, recording)
+    start = int(datetime(2026, 2, 19, 8, 35, 11, tzinfo=timezone.utc).timestamp())
+    assert spark.range(1).select(session.anchor().cast("long").alias("a")).first().a == start
+    records = spark.createDataFrame([("g/one.fit", i, start + 1000 * i, float(i)) for i in range(5)], "path string, pos long, at long, speed double").withColumn("timestamp", F.timestamp_seconds("at")).drop("at")
+    anchors = spark.range(1).select(F.lit("s1").alias("session_key"), session.anchor().alias("anchor"))
+    out = enrich(session.samples, anchors, records)
+    assert out.states.first().status == "auto_match" and out.stream.count() == 5
+    rows = {round(r.time_s, 2): r["gps_fit_speed_dom_world [m/s]"] for r in out.samples.collect()}
+    assert len(rows) == 999 and rows[2500.0] == pytest.approx(2.5) and rows[4500.0] is None
 
 
 def test_candidate_states_and_store_guards(spark, recording, tmp_path):
