@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ridgeline.operators.signal import find_peaks, savgol
 
@@ -115,7 +116,7 @@ def harmonics(df: DataFrame, keys: Sequence[str], t: str, residual: str, period_
 
 def smooth(df: DataFrame, keys: Sequence[str], y: str, window: int = 11, order: int = 3) -> DataFrame:
     """Adds smooth: the Savitzky-Golay value (derivative 0) of each session."""
-    schema = df.schema.add("smooth", "double")
+    schema = StructType([*df.schema.fields, StructField("smooth", DoubleType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("sample_idx", ignore_index=True)

@@ -1,16 +1,20 @@
 """Operators on ordered sample series: window expressions partitioned by session.
 
 A series is a DataFrame with session columns and ``sample_idx`` (0-based row
-position). All of these are built-in window functions: one exchange by session,
-one sort, and Catalyst shares both between operators that follow one another.
+position). Nearly all of these are built-in window functions: one exchange by
+session, one sort, and Catalyst shares both between operators that follow one
+another.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import floor, isnan
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 ALL = (Window.unboundedPreceding, Window.unboundedFollowing)
 
@@ -234,16 +238,19 @@ def block_average(df: DataFrame, keys: Sequence[str], value: str, t: str, size:
 def ema_deadband(df: DataFrame, keys: Sequence[str], value: str, alpha: float, deadband: float, name: str = "ema") -> DataFrame:
     """Adds the exponential average that holds within its dead band; the output is rounded half up.
 
-    The hold makes it a fold, not a window sum: a session's ordered values are
-    folded by higher-order functions on the JVM.
+    The hold makes it a fold, not a window sum: each session is a grouped map
+    over its ordered values, in time proportional to them.
     """
-    rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("sample_idx", F.col(value).cast("double").alias("x")))).alias("__rows"))
-    state = F.struct(F.lit(None).cast("double").alias("e"), F.array().cast("array<struct<sample_idx:bigint,e:double>>").alias("out"))
 
-    def step(acc: Column, r: Column) -> Column:
-        e = acc["e"]
-        new = F.when(e.isNull(), r["x"]).when(F.abs(e - r["x"]) < deadband, e).otherwise(alpha * r["x"] + (1 - alpha) * e)
-        return F.struct(new.alias("e"), F.concat(acc["out"], F.array(F.struct(r["sample_idx"].alias("sample_idx"), new.alias("e")))).alias("out"))
-
-    folded = rows.select(*keys, F.inline(F.aggregate("__rows", state, step, lambda a: a["out"])))
-    return df.join(folded.select(*keys, "sample_idx", F.floor(F.col("e") + 0.5).alias(name)), [*keys, "sample_idx"])
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("sample_idx", ignore_index=True)
+        out, e = [], None
+        for x in pdf[value].astype(float).tolist():
+            if e is None or isnan(e):
+                e = x
+            elif not abs(e - x) < deadband:
+                e = alpha * x + (1 - alpha) * e
+            out.append(None if isnan(e) else floor(e + 0.5))
+        return pdf.assign(**{name: pd.array(out, "Int64")})
+
+    return df.groupBy(*keys).applyInPandas(run, StructType([*df.schema.fields, StructField(name, LongType())]))

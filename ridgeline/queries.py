@@ -407,19 +407,27 @@ def entity_expansion(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     explicit = c.filter("c_acctbal > 9000").select(F.col("c_custkey").alias("k"), F.lit(-1).alias("entity"))
     members = c.filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("entity"))
-    return explicit.unionByName(members.join(explicit, "k", "left_anti"))
+    from ridgeline.operators.catalog import expand_entities
+
+    sets = members.select(F.concat(F.lit("nation "), F.col("entity")).alias("entity_key"), F.col("k").cast("string").alias("session_key"))
+    chosen = explicit.select(F.col("k").cast("string").alias("entity_key"), F.lit("session").alias("entity_kind"))
+    chosen = chosen.unionByName(sets.select("entity_key", F.lit("aggregation").alias("entity_kind")).distinct())
+    entity = F.when(F.col("entity_kind") == "session", -1).otherwise(F.regexp_extract("entity_key", r"\d+", 0).try_cast("int"))
+    return expand_entities(chosen, sets).select(F.col("session_key").cast("int").alias("k"), entity.alias("entity"))
 
 
 @query("select doc_id from documents where sha256(text) not in (select sha256(text) from documents where source in ('src0', 'src1'))")
 def incremental_antijoin(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
-    return d.join(d.filter(F.col("source").isin("src0", "src1")).select("sha"), "sha", "left_anti").select("doc_id")
+    from ridgeline.sources.store import unknown_files
+
+    return unknown_files(d.withColumnRenamed("sha", "sha256"), d.filter(F.col("source").isin("src0", "src1")).select(F.col("sha").alias("sha256"))).select("doc_id")
 
 
 @query("select event_id from events where list_has_any([event_type, case when value > 50 then 'high' else 'low' end], ['error', 'high'])")
 def tags_overlap(spark, sf_dir):
     tags = F.array("event_type", F.when(F.col("value") > 50, "high").otherwise("low"))
-    return table(spark, sf_dir, "events").filter(F.arrays_overlap(tags, F.array(F.lit("error"), F.lit("high")))).select("event_id")
+    return selection.by_tags(table(spark, sf_dir, "events").withColumn("tags", tags), ["error", "high"]).select("event_id")
 
 
 @query("select event_id, (props->>'k')::int as k from events")

@@ -166,7 +166,8 @@ def read_recordings(spark: SparkSession, folders: str | Sequence[str], zone: str
 
     Files are scanned together, whatever their number, and grouped by their
     header line, so that the plan has one branch a layout. A recording's
-    session_key is its sidecar's session_id, else its file name; its anchor is
+    session_key is its sidecar's session_id, else its file name, or the whole
+    path where several recordings would share that; its anchor is
     the time of its first sample in UTC: started_at_local of the sidecar in its
     time zone, else the name's beginning in zone.
     """
@@ -179,6 +180,7 @@ def read_recordings(spark: SparkSession, folders: str | Sequence[str], zone: str
     known = heads.join(side, _stem(F.col("path")) == F.col("stem"), "left")
     started = F.coalesce(F.to_utc_timestamp(F.try_to_timestamp("started"), F.coalesce("zone", F.lit(zone))), filename_anchor(name, zone))
     known = known.withColumns({"session_key": F.coalesce("session_id", name), "anchor": started})
+    known = known.withColumn("session_key", F.when(F.count(F.lit(1)).over(Window.partitionBy("session_key")) > 1, _stem(F.col("path"))).otherwise(F.col("session_key")))
     layouts = known.select("head", "time_col").distinct().collect()  # a row a layout
     out = None
     for head, declared in layouts:

@@ -21,6 +21,11 @@ def folder_name(schema_id: str | None) -> str:
     return re.sub(r"[^\w-]", "_", schema_id) if schema_id else "null"
 
 
+def unknown_files(files: DataFrame, known: DataFrame) -> DataFrame:
+    """The files whose sha256 isn't among those known."""
+    return files.join(known.select("sha256"), "sha256", "left_anti")
+
+
 class ArtifactStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -121,4 +126,4 @@ class ArtifactStore:
         if not self._exists(self.path("manifests")):
             return new
         text = self.spark.read.option("recursiveFileLookup", True).text(self.path("manifests"))
-        return new.join(text.select(F.get_json_object("value", "$.source.sha256").alias("sha256")), "sha256", "left_anti")
+        return unknown_files(new, text.select(F.get_json_object("value", "$.source.sha256").alias("sha256")))
