@@ -7,15 +7,15 @@ with enough unique tokens leave at once; then the rarest come first in one
 order, and hashes decide in the others. Candidates must share prefix tokens
 under every order.
 
-Candidates are kept as groups, not pairs. Sets that are linked differ in size by
-less than 1 - t, so each set stands in two views: that of its size class and
-that of the next, whose sets are as large or one class larger. Within a view,
-under the first order sets that share a prefix token get one label (components
-of stars around each token's smallest set), under the next order only sets with
-equal labels are joined again, and so on; a linked pair always keeps equal
-labels in some view. Groups are then verified exactly, from the texts, by the
-64-bit hashes of all their tokens. A group of more than BLOCK sets is dealt as
-pairs of blocks, and a task gives back a forest of links, never all pairs.
+Candidates are kept as groups, not pairs: under the first order sets that share
+a prefix token get one label (components of stars around each token's smallest
+set), under the next order only sets with equal labels are joined again, and so
+on; a linked pair always keeps equal labels. Linked sets differ in size by less
+than 1 - t, so a group is cut into views, each of a size class and the next
+smaller one; a set stands in two, and a linked pair in one at least. Views are
+then verified exactly, from the texts, by the 64-bit hashes of all tokens. A
+view of more than BLOCK sets is dealt as pairs of blocks, and a task gives back
+a forest of links, never all pairs.
 
 Sets with equal tokens are one node from the start, so copies cost one row
 each. The exchange of tokens that finds the candidates is packed: tasks send,
@@ -194,13 +194,9 @@ def _prefixed(percent: int):
 
 
 def _stars(entries: DataFrame, *keys: str) -> DataFrame:
-    """Edges from each member to the smallest one with the same keys."""
-    hubs = entries.groupBy(*keys).agg(F.min("member").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return entries.join(saved(hubs), list(keys)).select(F.col("member").alias("a"), "b").distinct()
-
-
-def _components(edges: DataFrame) -> DataFrame:
-    return components(edges).withColumnRenamed("node", "node_of")
+    """Edges from each node to the smallest node with the same keys."""
+    hubs = entries.groupBy(*keys).agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return entries.join(saved(hubs), list(keys)).select(F.col("node").alias("a"), "b").distinct()
 
 
 def _tokens(k: int):
@@ -263,28 +259,26 @@ def similar_rows(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     sizes = named.filter("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n"))
     none = F.lit(None).cast("binary")
     sizes = sizes.select(F.pmod("node", F.lit(parts)).cast("int").alias("part"), F.lit(-1).alias("at"), "node", "n", *[none.alias(c) for c in ("nodes", "counts", "prints", "classes")])
-    found = shared.unionByName(sizes).repartition(parts, "part").mapInArrow(_prefixed(percent), _CANDIDATE)
+    found = saved(shared.unionByName(sizes).repartition(parts, "part").mapInArrow(_prefixed(percent), _CANDIDATE))
+    groups = components(_stars(found.select("node", F.explode("prefix0").alias("token")), "token"))
+    for i in range(1, ORDERS):
+        entries = found.join(saved(groups), "node").select("node", "label", F.explode(f"prefix{i}").alias("token"))
+        groups = components(_stars(entries, "label", "token"))
     # A bit more than the least ratio of linked sizes, so that a rounded logarithm never parts a pair by two classes.
     size_class = F.floor(F.log(F.col("n")) / log(100 / percent + 1e-9)).cast("int") if percent < 100 else F.col("n")
-    view = F.explode(F.array(size_class, size_class + 1))
-    found = saved(found.withColumn("view", view).withColumn("member", F.xxhash64("node", "view")))
-    groups = _components(_stars(found.select("view", "member", F.explode("prefix0").alias("token")), "view", "token"))
-    for i in range(1, ORDERS):
-        entries = found.join(saved(groups), F.col("member") == F.col("node_of")).select("member", "label", F.explode(f"prefix{i}").alias("token"))
-        groups = _components(_stars(entries, "label", "token"))
-    groups = saved(groups)
-    sizes = groups.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    members = groups.join(sizes, "label").select(F.col("node_of").alias("member"), "label", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")
+    views = saved(found.select("node", "n").join(groups, "node").select("node", "label", F.explode(F.array(size_class, size_class + 1)).alias("view")))
+    sizes = views.groupBy("label", "view").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = views.join(saved(sizes), ["label", "view"]).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: (j != own) | (F.col("blocks") == 1))
-    members = found.select("member", "node").join(members, "member").select("node", "label", own.alias("own"), F.explode(other).alias("other"))
-    members = members.select("node", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    members = members.select("node", "label", "view", own.alias("own"), F.explode(other).alias("other"))
+    members = members.select("node", "label", "view", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     members = saved(members)
     # One text for each set that has candidates.
     asked = saved(named.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("key").alias("key")).select("key"))
     texts = maybe_among(rows.select("key", "text"), asked, "key").join(asked, "key", "left_semi").dropDuplicates(["key"])
     sets = saved(texts.select("text").mapInArrow(_tokens(k), "node long, n long, tokens array<long>"))
-    links = sets.join(members, "node").groupBy("label", "i", "j").applyInArrow(_verified(percent), "a long, b long")
+    links = sets.join(members, "node").groupBy("label", "view", "i", "j").applyInArrow(_verified(percent), "a long, b long")
     labels = components(saved(links))
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
     of_node = named.filter("node is not null").groupBy("node").agg(F.min(order).alias("least")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
