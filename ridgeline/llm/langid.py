@@ -9,8 +9,14 @@ over each text's run of n-grams give its log-likelihoods.
 
 Characters are lower-cased; whatever isn't a letter counts as one space.
 
+The posterior of a longer text is 0 or 1 whatever it is written in, so a filter
+also asks how well the language explains the text: the mean log-probability of
+its n-grams must not lie further below that of the learned texts than SLACK and
+six standard errors.
+
 Defined results: null text or text without a letter is ``und`` with score 0;
-if nothing was learned every text is; a tie goes to the first language in code
+if nothing was learned every text is; of more than MOST_LANGS labels those with
+the fewest rows are not learned (ties by code point); a tie goes to the first language in code
 point order; rows without a label are never learned from; repeated rows are
 learned from as often as they stand there.
 """
@@ -24,12 +30,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.llm.common import saved
 from ridgeline.llm.text import mix, pieces
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 ALPHA = 0.5
 UND = "und"
+#: Columns of the matrix at most: it has BUCKETS * MOST_LANGS * 4 bytes then.
+MOST_LANGS = 512
+#: Nats an n-gram of a text may lie below the learned ones on average.
+SLACK = 1.5
 _fold: list[np.ndarray] = []
 
 
@@ -94,13 +105,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])], ["lang", "bucket", "n"])
 
 
-Model = tuple[list[str], np.ndarray, np.ndarray]
+#: Languages, log-probabilities by bucket and language, log-priors, and mean and deviation of the learned n-grams' log-probabilities.
+Model = tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-def learn(labelled: DataFrame) -> Model:
-    """(languages, log-probabilities by bucket and language, log-priors) from the columns text and lang."""
+def learn(labelled: DataFrame, most_langs: int = MOST_LANGS) -> Model:
+    """The model of the columns text and lang."""
     rows = labelled.filter("lang is not null and text is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    counted = rows.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counted = rows.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counted = saved(counted)
+    # Bucket 0 has the rows of each language.
+    known = counted.filter("bucket = 0").orderBy(F.col("n").desc(), "lang").limit(most_langs)
+    counted = counted.join(F.broadcast(known.select("lang")), "lang").toArrow()
     names = sorted(set(counted.column("lang").to_pylist()), key=lambda x: x.encode())
     table = np.zeros((BUCKETS, len(names)))
     at = {x: k for k, x in enumerate(names)}
@@ -108,12 +124,16 @@ def learn(labelled: DataFrame) -> Model:
     docs, table[0] = table[0].copy(), 0
     logs = np.log(table + ALPHA) - np.log(table.sum(0) + ALPHA * BUCKETS)
     logs[0] = 0
-    return names, logs.astype(np.float32), np.log(np.maximum(docs, 1) / max(docs.sum(), 1))
+    total = np.maximum(table.sum(0), 1)
+    mean = (table * logs).sum(0) / total
+    deviation = np.sqrt(np.maximum((table * logs**2).sum(0) / total - mean**2, 0))
+    return names, logs.astype(np.float32), np.log(np.maximum(docs, 1) / max(docs.sum(), 1)), mean, deviation
 
 
-def _predict(text: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
-    names, logs, prior = model
-    langs, scores = [], np.zeros(len(text))
+def _predict(text: pa.Array, model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, posteriors, and whether the language explains the text as it does what it was learned from."""
+    names, logs, prior, mean, deviation = model
+    langs, scores, explained = [], np.zeros(len(text)), np.zeros(len(text), bool)
     for row, data, offsets in pieces(text):
         n = len(offsets) - 1
         if not names or not len(data):
@@ -124,23 +144,27 @@ def _predict(text: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
         total = np.tile(prior, (n, 1))
         letters = np.zeros(n, np.int64)
         letters[filled] = np.add.reduceat(buckets[0] > 0, ends[filled], dtype=np.int64)
+        grams = np.zeros(n, np.int64)
         for b in buckets:
             total[filled] += np.add.reduceat(logs[b], ends[filled], axis=0, dtype=np.float64)
+            grams[filled] += np.add.reduceat(b > 0, ends[filled], dtype=np.int64)
         best = total.argmax(1)
         top = total[np.arange(n), best]
+        m = np.maximum(grams, 1)
+        explained[row : row + n] = (top - prior[best]) / m >= mean[best] - SLACK - 6 * deviation[best] / np.sqrt(m)
         scores[row : row + n] = np.where(letters > 0, 1 / np.exp(total - top[:, None]).sum(1), 0.0)
         langs += [names[k] if has else UND for k, has in zip(best.tolist(), (letters > 0).tolist(), strict=True)]
-    return langs, scores
+    return langs, scores, explained
 
 
 def _scorer(shared, keep: float | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = _predict(batch.column("__text"), shared.value)
+            langs, scores, explained = _predict(batch.column("__text"), shared.value)
             columns = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "__text"]
             names = [n for n in batch.schema.names if n != "__text"]
             if keep is not None:
-                mask = pa.array((np.array(langs, object) != UND) & (scores >= keep))
+                mask = pa.array((np.array(langs, object) != UND) & (scores >= keep) & explained)
                 yield pa.RecordBatch.from_arrays(columns, names).filter(mask)
             else:
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores)], [*names, "lang_pred", "score"])
@@ -158,7 +182,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of docs whose language is found with at least that posterior; texts without a letter go."""
+    """The rows of docs whose language is found with at least that posterior and explains them; texts without a letter go."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(_scorer(shared, least), docs.schema)
 

@@ -208,9 +208,88 @@ def test_language_id(spark, odd, empty):
     assert kept.columns == odd.columns and kept.filter("text is null or text = ''").count() == 0
 
 
+def plain_bayes(rows, texts):
+    """Naive Bayes by loops: {text: (language, posterior)}."""
+    from math import exp, log
+
+    from ridgeline.llm.langid import ALPHA, BUCKETS
+
+    full = (1 << 64) - 1
+
+    def mixed(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & full
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & full
+        return x ^ (x >> 31)
+
+    def grams(text):
+        chars = [ord(c.lower()) if c.isalpha() and len(c.lower()) == 1 else ord(c) if c.isalpha() else 32 for c in text]
+        for n in (1, 2, 3):
+            for i in range(len(chars) - n + 1):
+                gram = chars[i : i + n]
+                if any(c != 32 for c in gram):
+                    code = 0
+                    for c in gram:
+                        code = code * (1 << 21) + c & full
+                    yield mixed(code * 4 + n & full) % (BUCKETS - 1) + 1
+
+    counts, docs = defaultdict(Counter), Counter()
+    for text, lang in rows:
+        counts[lang].update(grams(text))
+        docs[lang] += 1
+    out = {}
+    for text in texts:
+        like = {}
+        for lang in sorted(docs):
+            total = sum(counts[lang].values()) + ALPHA * BUCKETS
+            like[lang] = log(docs[lang] / sum(docs.values())) + sum(log((counts[lang][g] + ALPHA) / total) for g in grams(text))
+        best = max(sorted(like), key=like.get)
+        out[text] = (best, 1 / sum(exp(x - like[best]) for x in like.values()))
+    return out
+
+
+def test_language_id_is_plain_naive_bayes_and_the_filter_rejects_what_was_never_learned(spark):
+    from ridgeline.llm.langid import identify, keep_identified, learn
+
+    rng = random.Random(21)
+    ends = {"en": ("ing", "th", "the"), "fr": ("eau", "é", "que"), "de": ("sch", "ung", "ö")}
+    word = lambda lang: rng.choice("bcdfgm") + rng.choice(ends[lang])
+    rows = [(i, " ".join(word(lang) for _ in range(rng.randint(1, 6))), lang, "s", 0) for i in range(150) for lang in [rng.choice(list(ends))]]
+    rows += [(i, " ".join(word(rng.choice(list(ends))) for _ in range(2)), None, "s", 0) for i in range(150, 200)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    learned = [(t, lang) for i, t, lang, *_ in rows if lang and zlib.crc32(str(i).encode()) % 4 != 2]
+    want = plain_bayes(learned, {r[1] for r in rows})
+    for r in identify(docs.withColumn("lang_pred", F.lit(7))).join(docs.select("doc_id", "text"), "doc_id").collect():
+        assert (r.lang_pred, r.score) == (want[r.text][0], pytest.approx(want[r.text][1], abs=1e-4))
+    strange = spark.createDataFrame([(900, "Это обычный русский текст, который никогда не был выучен", None, "s", 0), (901, "これは日本語の文章です。", None, "s", 0)], SCHEMA)
+    kept = {r.doc_id for r in keep_identified(docs.unionByName(strange), learn(docs)).collect()}
+    assert kept & {900, 901} == set() and len(kept) > 190
+    assert {r.lang_pred for r in identify(docs.limit(0)).collect()} == set()
+    assert len(learn(docs, 2)[0]) == 2
+
+
 # --- decontamination
 
 
+def test_retrieval_loses_no_pair_that_aligns(spark):
+    from ridgeline.llm.decontaminate import _one, aligned, contaminated
+
+    rng = random.Random(22)
+    items = [prose(rng, rng.randint(8, 40)) for _ in range(8)]
+    items += [items[0] + " 5 km", "On day 3 the train to Rome took 7 hours and the bus to Oslo took 9 hours for 20 euro"]
+    texts = [None, "", prose(rng, 300)]
+    for i in range(60):
+        words = rng.choice(items).split()
+        for _ in range(rng.randint(0, len(words) // 4)):
+            words[rng.randrange(len(words))] = rng.choice(("9", "Paris", prose(rng, 1)))
+        texts.append(prose(rng, rng.randint(0, 40)) + " " + " ".join(words) + ". " + prose(rng, rng.randint(0, 40)))
+    docs = spark.createDataFrame([(i if i % 9 else None, t, None, None, 0) for i, t in enumerate(texts)], SCHEMA).selectExpr("*", "1 as id", "2 as print", "3 as hash", "4 as items")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string").selectExpr("*", "9 as id", "8 as doc_id")
+    want = {(i if i % 9 else -1, k) for i, t in enumerate(texts) for k, item in enumerate(items) if t and aligned(_one(t), _one(item), 0.8)}
+    assert {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()} == want and len(want) > 20
+
+
 def test_decontamination(spark, empty):
     from ridgeline.llm.decontaminate import contaminated
 

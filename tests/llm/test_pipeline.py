@@ -72,3 +72,21 @@ def test_mix_takes_rows_without_ids_by_themselves(spark):
     for r in apply_mix(docs, cube_mix(docs, block_rows=16)).select(row_key().alias("key")).collect():
         taken[r.key] = taken.get(r.key, 0) + 1
     assert taken == {k: n for k, n in times.items() if n}
+
+
+def test_pipeline_of_empty_tables_and_extra_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(23)
+    rows = [(i, prose(rng, rng.randint(30, 60)), rng.choice(["en", "fr"]), f"s{i % 2}", 0) for i in range(60)] + [(None, None, None, None, None), (None, prose(rng, 50), None, None, 1), (3, "", "en", "s0", 0)]
+    clashing = "*", "1 as key", "2 as node", "'x' as label", "3 as weight", "4 as __t", "5 as size", "6 as times", "7 as first", "8 as shard"
+    spark.createDataFrame([(1, prose(rng, 30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, docs in (("some", spark.createDataFrame(rows, SCHEMA).selectExpr(*clashing)), ("none", spark.createDataFrame([], SCHEMA))):
+        out = docs
+        for stage, f in corpus_pipeline.STAGES:
+            out = f(spark, out, str(tmp_path))
+            assert set(out.columns) == set(docs.columns) | ({"shard"} if stage == "sharding" else set())
+            out.write.parquet(f"{tmp_path}/{name}_{stage}")
+            out = spark.read.parquet(f"{tmp_path}/{name}_{stage}")
+        n = out.count()
+        assert n == 0 if name == "none" else 40 < n < 100
