@@ -61,6 +61,18 @@ def signals_by_unit(columns: Sequence[str], registry: Mapping[str, Mapping]) ->
     return sorted(columns, key=lambda c: (registry.get(c, {}).get("unit") or "~", c))
 
 
+def signal_columns(samples: DataFrame, registry: Mapping[str, Mapping] = {}, channels: Sequence[str] = (), without: Sequence[str] = ("session_key", "sample_idx", "time_s")) -> list[str]:
+    """The registry's signals among the columns, else the recording's channels among them, else all numeric columns with a finite value."""
+    for known in (registry, channels):
+        if found := [c for c in samples.columns if c in known]:
+            return found
+    numeric = [c for c, t in samples.dtypes if c not in without and (t in ("double", "float", "int", "bigint", "smallint", "tinyint") or t.startswith("decimal"))]
+    if not numeric:
+        return []
+    held = samples.agg(*[F.count(finite(F.col(f"`{c}`").cast("double"))).alias(f"n{i}") for i, c in enumerate(numeric)]).first()
+    return [c for i, c in enumerate(numeric) if held[i]]
+
+
 def default_signal(columns: Sequence[str], registry: Mapping[str, Mapping], previous: str | None = None, unit: str = "mm") -> str | None:
     """The previous choice if it is there, else the first of the unit, else the first."""
     if previous in columns:

@@ -71,8 +71,9 @@ def choose(cands: DataFrame, policy: str = "largest_overlap", bindings: DataFram
     """session_id, status, path: one file per session.
 
     A single candidate is taken. Of several, latest_start and largest_overlap
-    take the best; require_binding takes the one that bindings (session_id,
-    path) names, and else the session is ambiguous.
+    take the best; require_binding takes the one that bindings (session_id, and
+    path or sha256: what is given must fit) name, and else the session is
+    ambiguous.
     """
     name = F.element_at(F.split(F.col("path"), "/"), -1)
     order = {"latest_start": F.struct("fit_start", "path"), "largest_overlap": F.struct("overlap_s", "path"), "require_binding": F.struct("path")}[policy]
@@ -81,8 +82,12 @@ def choose(cands: DataFrame, policy: str = "largest_overlap", bindings: DataFram
         return per.select("session_id", F.lit("auto_match").alias("status"), F.col("best").alias("path"))
     if bindings is None:
         return per.select("session_id", F.when(F.col("n") == 1, "auto_match").otherwise("ambiguous").alias("status"), F.when(F.col("n") == 1, F.col("best")).alias("path"))
-    b = bindings.select("session_id", F.element_at(F.split(F.col("path"), "/"), -1).alias("__name"))
-    bound = cands.withColumn("__name", name).join(b, ["session_id", "__name"]).groupBy("session_id").agg(F.count(F.lit(1)).alias("__bound"), F.first("path").alias("__path"))
+    text = lambda df, c: F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string")
+    b = bindings.select("session_id", F.element_at(F.split(F.col("path"), "/"), -1).alias("__name") if "path" in bindings.columns else F.lit(None).cast("string").alias("__name"), text(bindings, "sha256").alias("__sha"))
+    b = b.filter("__name is not null or __sha is not null")
+    fits = (F.col("__name").isNull() | (F.col("__name") == name)) & (F.col("__sha").isNull() | (F.col("__sha") == F.col("__own")))
+    bound = cands.withColumn("__own", text(cands, "sha256")).join(b, "session_id").filter(F.coalesce(fits, F.lit(False)))
+    bound = bound.groupBy("session_id").agg(F.count_distinct("path").alias("__bound"), F.first("path").alias("__path"))
     out = per.join(bound, "session_id", "left")
     hit = F.col("__bound") == 1
     return out.select("session_id", F.when(F.col("n") == 1, "auto_match").when(hit, "bound_match").otherwise("ambiguous").alias("status"), F.when(F.col("n") == 1, F.col("best")).when(hit, F.col("__path")).alias("path"))

@@ -297,3 +297,17 @@ def test_candidate_states_and_store_guards(spark, recording, tmp_path):
     sha = store.keep_source(recording, "r1", "s1")
     kept = tmp_path / "store/sources/run_id=r1/session_id=s1/2026-02-19_08-35-11.CSV"
     assert kept.read_bytes() == open(recording, "rb").read() and (kept.parent / (kept.name + ".sha256")).read_text().strip() == sha
+
+
+def test_signal_columns_and_bindings_by_hash(spark):
+    from pyspark.sql import functions as F
+
+    from ridgeline.operators.selection import signal_columns
+    from ridgeline.sources.gps import choose
+
+    df = spark.createDataFrame([("s", 0, 0.0, 1.0, None, float("nan"), "t")], "session_key string, sample_idx long, time_s double, a double, b double, c double, d string")
+    assert signal_columns(df, {"b": {}}) == ["b"] and signal_columns(df, {"x": {}}, ["c"]) == ["c"] and signal_columns(df) == ["a"]
+    cands = spark.createDataFrame([("s", "x/one.fit", "h1", 5.0), ("s", "x/two.fit", "h2", 9.0)], "session_id string, path string, sha256 string, overlap_s double").withColumn("fit_start", F.current_timestamp())
+    bind = lambda *r: choose(cands, "require_binding", spark.createDataFrame([r], "session_id string, path string, sha256 string")).first()
+    assert bind("s", None, "h2").path == "x/two.fit" and bind("s", "one.fit", "h1").path == "x/one.fit"
+    assert bind("s", "one.fit", "h2").status == "ambiguous" and bind("s", None, None).status == "ambiguous"
