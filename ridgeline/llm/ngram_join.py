@@ -47,7 +47,7 @@ from ridgeline.llm.text import mix, shingle_sets
 ORDERS = 3
 #: Sets in a block; tokens in a partition of the exchange, which bounds a task's memory, and its fewest partitions.
 BLOCK = 512
-PART_TOKENS = 4_500_000
+PART_TOKENS = 2_000_000
 LEAST_PARTS = 16
 
 
