@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import decontaminate, html_extract, langid, license_scan, line_quality, ngram_join, suffix_levels, url_filter
+from ridgeline.llm import decontaminate, html_extract, importance, langid, license_scan, line_quality, ngram_join, suffix_levels, url_filter
 from ridgeline.llm.common import table
 from ridgeline.llm.kd_shards import kd_shards
 from ridgeline.llm.mixing import cube_mix
@@ -54,9 +54,13 @@ def op10_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_levels.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key", "n_words")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cube_mixing, op2_link_trust, op3_naive_bayes_langid, op4_template_decontamination, op5_prefix_orders_join, op6_minhash_license_scan, op7_line_quality, op8_min_cut_extraction, op9_kd_sharding, op10_suffix_levels)}
+    return {f.__name__: f for f in (op1_cube_mixing, op2_link_trust, op3_naive_bayes_langid, op4_template_decontamination, op5_prefix_orders_join, op6_minhash_license_scan, op7_line_quality, op8_min_cut_extraction, op9_kd_sharding, op10_suffix_levels, op11_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_minhash_license_scan": license_scan.sql(), "op7_line_quality": line_quality.SQL}
+    return {"op6_minhash_license_scan": license_scan.sql(), "op7_line_quality": line_quality.SQL, "op11_importance_resampling": importance.SQL}
