@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import decontaminate, html_extract, importance, langid, license_scan, line_quality, ngram_join, packing, suffix_levels, url_filter
+from ridgeline.llm import decontaminate, html_extract, importance, langid, license_scan, line_quality, negatives, ngram_join, packing, suffix_levels, url_filter
 from ridgeline.llm.common import table
 from ridgeline.llm.kd_shards import kd_shards
 from ridgeline.llm.mixing import cube_mix
@@ -64,9 +64,14 @@ def op12_exact_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("key", "copy")
 
 
+def op13_coordinate_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), "vec_id % 100 = 0")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cube_mixing, op2_link_trust, op3_naive_bayes_langid, op4_template_decontamination, op5_prefix_orders_join, op6_minhash_license_scan, op7_line_quality, op8_min_cut_extraction, op9_kd_sharding, op10_suffix_levels, op11_importance_resampling, op12_exact_complement_packing)}
+    return {f.__name__: f for f in (op1_cube_mixing, op2_link_trust, op3_naive_bayes_langid, op4_template_decontamination, op5_prefix_orders_join, op6_minhash_license_scan, op7_line_quality, op8_min_cut_extraction, op9_kd_sharding, op10_suffix_levels, op11_importance_resampling, op12_exact_complement_packing, op13_coordinate_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_minhash_license_scan": license_scan.sql(), "op7_line_quality": line_quality.SQL, "op11_importance_resampling": importance.SQL}
+    return {"op6_minhash_license_scan": license_scan.sql(), "op7_line_quality": line_quality.SQL, "op11_importance_resampling": importance.SQL, "op13_coordinate_negatives": negatives.SQL}
