@@ -12,9 +12,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ridgeline.operators.signal import find_peaks, savgol
+from ridgeline.operators.signal import find_peaks, savgol_columns
 
 
 def ideal_displacement(theta: np.ndarray, r_mm: float, l_mm: float) -> np.ndarray:
@@ -116,10 +115,4 @@ def harmonics(df: DataFrame, keys: Sequence[str], t: str, residual: str, period_
 
 def smooth(df: DataFrame, keys: Sequence[str], y: str, window: int = 11, order: int = 3) -> DataFrame:
     """Adds smooth: the Savitzky-Golay value (derivative 0) of each session."""
-    schema = StructType([*df.schema.fields, StructField("smooth", DoubleType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample_idx", ignore_index=True)
-        return pdf.assign(smooth=savgol(pdf[y].to_numpy(float), 1.0, 0, window, order))
-
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    return savgol_columns(df, keys, {"smooth": (y, 0)}, 1.0, window, order)

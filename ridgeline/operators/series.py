@@ -8,14 +8,16 @@ another.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from math import floor, isnan
+from collections.abc import Iterator, Sequence
+from math import floor, isnan, nan
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ridgeline.operators.blocks import streamed
+
 ALL = (Window.unboundedPreceding, Window.unboundedFollowing)
 
 
@@ -238,19 +240,24 @@ def block_average(df: DataFrame, keys: Sequence[str], value: str, t: str, size:
 def ema_deadband(df: DataFrame, keys: Sequence[str], value: str, alpha: float, deadband: float, name: str = "ema") -> DataFrame:
     """Adds the exponential average that holds within its dead band; the output is rounded half up.
 
-    The hold makes it a fold, not a window sum: each session is a grouped map
-    over its ordered values, in time proportional to them.
+    The hold makes it a fold, not a window sum. Sessions pass in order through
+    one stream a partition that carries the average from batch to batch, so
+    memory doesn't grow with a session. A missing sample clears the average, and
+    the next one begins it anew.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample_idx", ignore_index=True)
-        out, e = [], None
-        for x in pdf[value].astype(float).tolist():
-            if e is None or isnan(e):
-                e = x
-            elif not abs(e - x) < deadband:
-                e = alpha * x + (1 - alpha) * e
-            out.append(None if isnan(e) else floor(e + 0.5))
-        return pdf.assign(**{name: pd.array(out, "Int64")})
-
-    return df.groupBy(*keys).applyInPandas(run, StructType([*df.schema.fields, StructField(name, LongType())]))
+    own = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = nan
+        for batch in batches:
+            out = []
+            for x, turn in zip(batch.column(value).cast(pa.float64()).to_pylist(), batch.column("__turn").to_pylist(), strict=True):
+                x = nan if x is None else x
+                if turn == 1 or isnan(e):
+                    e = x
+                elif not abs(e - x) < deadband:
+                    e = alpha * x + (1 - alpha) * e
+                out.append(None if isnan(e) else floor(e + 0.5))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in own], pa.array(out, pa.int64())], [*own, name])
+
+    return streamed(df, keys, ["sample_idx"]).mapInArrow(run, StructType([*df.schema.fields, StructField(name, LongType())]))

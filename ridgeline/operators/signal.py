@@ -1,17 +1,22 @@
-"""Sequential kernels on whole sessions, as Arrow-batched grouped maps.
+"""Signal kernels over blocks of a session: derivative filters, zero-phase filters, phased crossings, peaks.
 
-These need a session's samples in order and together: derivative filters with
-edge polynomials, zero-phase filters, peaks with prominence, phased runs. A
-task holds one session at a time.
+A session is cut into blocks (``blocks``), so a long one is many tasks. Each
+kernel gives what it would give over the whole session at once: filters with a
+window take a halo of it; recursive filters, runs and plateaus are composed over
+the blocks from a small summary of each.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ridgeline.operators.blocks import BLOCK, Group, add_columns, block_of, emitted, filled, fills, scanned
+
+# --- Savitzky-Golay
 
 
 def savgol_params(n: int, window: int = 11, order: int = 3) -> tuple[int, int] | None:
@@ -22,44 +27,69 @@ def savgol_params(n: int, window: int = 11, order: int = 3) -> tuple[int, int] |
     return window, min(order, window - 1)
 
 
-def _fill(y: np.ndarray) -> np.ndarray:
-    known = np.isfinite(y)
-    return np.interp(np.arange(len(y)), np.flatnonzero(known), y[known]) if known.any() else y
-
+def _polynomials(window: int, order: int, deriv: int) -> np.ndarray:
+    """Row i: the weights of a window's samples in the derivative, at its sample i, of the polynomial through it (unit steps)."""
+    half = window // 2
+    x = np.arange(-half, half + 1, dtype=float)
+    solve = np.linalg.pinv(np.vander(x, order + 1, increasing=True))
+    powers = np.vander(x, order + 1, increasing=True)
+    out = np.zeros((window, window))
+    for k in range(deriv, order + 1):
+        out += np.prod(np.arange(k - deriv + 1, k + 1, dtype=float)) * np.outer(powers[:, k - deriv], solve[k])
+    return out
 
-def savgol(y: np.ndarray, dt: float, deriv: int, window: int = 11, order: int = 3) -> np.ndarray:
-    """Savitzky-Golay derivative; the edges are the derivatives of polynomials through the outer windows.
 
-    Missing samples are interpolated first. Fewer than three samples fall back
-    to differences.
-    """
-    y = _fill(np.asarray(y, float))
+def _savgol(y: np.ndarray, begins: bool, ends: bool, n: int, dt: float, deriv: int, window: int, order: int) -> np.ndarray:
+    """Derivative of a stretch of a session of n samples; where neither it nor an end polynomial reaches it is NaN."""
     if not np.isfinite(y).all():
         return np.full(len(y), np.nan)
-    fit = savgol_params(len(y), window, order)
+    fit = savgol_params(n, window, order)
     if fit is None:
         for _ in range(deriv):
             y = np.gradient(y, dt) if len(y) > 1 else np.full(len(y), np.nan)
         return y
     window, order = fit
-    half = window // 2
-    x = np.arange(-half, half + 1)
-    solve = np.linalg.pinv(np.vander(x, order + 1, increasing=True))
-    scale = np.prod(np.arange(1, deriv + 1)) / dt**deriv
-    if deriv > order:
-        return np.zeros(len(y))
-    out = np.empty(len(y))
-    out[half : len(y) - half] = np.lib.stride_tricks.sliding_window_view(y, window) @ solve[deriv] * scale
-    for part, rows in ((y[:window], range(half)), (y[-window:], range(half + 1, window))):
-        poly = np.polynomial.Polynomial(solve @ part)
-        edge = poly.deriv(deriv)(x[list(rows)]) / dt**deriv
-        if rows.start == 0:
-            out[:half] = edge
-        else:
-            out[len(y) - half :] = edge
+    weights, half = _polynomials(window, order, deriv) / dt**deriv, window // 2
+    out = np.full(len(y), np.nan)
+    if len(y) >= window:
+        out[half : len(y) - half] = np.lib.stride_tricks.sliding_window_view(y, window) @ weights[half]
+        if begins:
+            out[:half] = weights[:half] @ y[:window]
+        if ends:
+            out[len(y) - half :] = weights[half + 1 :] @ y[-window:]
     return out
 
 
+def savgol_columns(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, int]], rate_hz: float, window: int = 11, order: int = 3, block: int = BLOCK) -> DataFrame:
+    """Adds, for each name in wanted, the derivative of that degree of a uniformly sampled column, all in one pass.
+
+    Missing samples are interpolated first; ends are the derivatives of
+    polynomials through the outer windows; sessions shorter than the window get
+    a shorter one, and below three samples differences.
+    """
+    if window % 2 == 0 or order >= window:
+        raise ValueError("the window must be odd and longer than the order")
+    values = list(dict.fromkeys(v for v, _ in wanted.values()))
+
+    def kernel(g: Group) -> dict[str, np.ndarray]:
+        n, out = g.carry["n"], {}
+        full = {v: filled(g, v, i) for i, v in enumerate(values)}
+        for name, (v, deriv) in wanted.items():
+            out[name] = _savgol(full[v], g.idx[0] == 0, g.idx[-1] == n - 1, n, 1 / rate_hz, deriv, window, order)
+        return out
+
+    halo = window - 1
+    return add_columns(df, keys, values, {n: "double" for n in wanted}, kernel, block, halo, fills(df, keys, values, block, halo))
+
+
+def derivatives(df: DataFrame, keys: Sequence[str], value: str, rate_hz: float, window: int = 11, order: int = 3, names: tuple[str, str] = ("vel", "acc"), block: int = BLOCK) -> DataFrame:
+    """Adds velocity and acceleration of a uniformly sampled column."""
+    return savgol_columns(df, keys, {names[0]: (value, 1), names[1]: (value, 2)}, rate_hz, window, order, block)
+
+
+# --- zero-phase Butterworth
+
+
 def butterworth_sos(order: int, cutoff_hz: float, rate_hz: float) -> np.ndarray:
     """Second-order sections (b0 b1 b2 1 a1 a2) of a digital low-pass, by the bilinear transform."""
     if not 0 < cutoff_hz < rate_hz / 2:
@@ -78,144 +108,466 @@ def butterworth_sos(order: int, cutoff_hz: float, rate_hz: float) -> np.ndarray:
     return np.array(sections)
 
 
-def _run_sos(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """One pass through all sections, each begun in the steady state of its first input."""
-    for b0, b1, b2, _, a1, a2 in sos:
-        gain = (b0 + b1 + b2) / (1 + a1 + a2)
-        first = x[0]
-        s2 = b2 * first - a2 * gain * first
-        s1 = b1 * first - a1 * gain * first + s2
-        out = np.empty_like(x)
-        for i, v in enumerate(x.tolist()):
-            y = b0 * v + s1
-            s1 = b1 * v - a1 * y + s2
-            s2 = b2 * v - a2 * y
-            out[i] = y
-        x = out
-    return x
-
-
-def lowpass(y: np.ndarray, rate_hz: float, cutoff_hz: float, order: int = 4) -> np.ndarray | None:
-    """Zero-phase low-pass: forward and backward over an odd extension; missing samples stay missing.
+class Cascade:
+    """Second-order sections as one linear system: state' = A state + B x, y = C state + D x.
 
-    None where there are fewer than three known samples or no more than the padding.
+    A stretch is an affine map of its entry state, so stretches can be run from
+    the zero state side by side and joined by their maps.
     """
-    y = np.asarray(y, float)
-    known = np.isfinite(y)
-    if known.sum() < 3:
-        return None
-    sos = butterworth_sos(order, cutoff_hz, rate_hz)
-    pad = 3 * (2 * len(sos) + 1 - min((sos[:, 2] == 0).sum(), (sos[:, 5] == 0).sum()))
-    if len(y) <= pad:
-        return None
-    x = _fill(y)
-    x = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
-    x = _run_sos(sos, _run_sos(sos, x)[::-1])[::-1][pad:-pad]
-    return np.where(known, x, np.nan)
-
 
-def find_peaks(y: np.ndarray, distance: int = 1, prominence: float | None = None) -> np.ndarray:
-    """Indices of peaks (middle of plateaus), thinned by distance, highest first, then by prominence."""
-    y = np.asarray(y, float)
-    if len(y) < 3:
-        return np.zeros(0, int)
-    change = np.flatnonzero(np.diff(y) != 0)
-    starts, ends = np.concatenate([[0], change + 1]), np.concatenate([change, [len(y) - 1]])
-    level = y[starts]
-    inner = np.arange(1, len(level) - 1)
-    top = inner[(level[inner] > level[inner - 1]) & (level[inner] > level[inner + 1])]
-    peaks = (starts[top] + ends[top]) // 2
-    if distance > 1 and len(peaks):
-        keep = np.ones(len(peaks), bool)
-        for i in np.argsort(y[peaks], kind="stable")[::-1]:
-            if keep[i]:
-                near = np.abs(peaks - peaks[i]) < distance
-                near[i] = False
-                keep[near] = False
-        peaks = peaks[keep]
-    if prominence is not None:
-        left = [y[p] - y[(np.flatnonzero(y[:p] > y[p])[-1:].tolist() or [-1])[0] + 1 : p + 1].min() for p in peaks]
-        right = [y[p] - y[p : p + (np.flatnonzero(y[p + 1 :] > y[p])[:1].tolist() or [len(y)])[0] + 1].min() for p in peaks]
-        peaks = peaks[np.minimum(left, right) >= prominence] if len(peaks) else peaks
-    return peaks
-
-
-def phased_crossings(y: np.ndarray, low: float, high: float, dwell: tuple[int, int, int] = (1, 1, 1), smooth: int = 1, direction: str = "rising") -> np.ndarray:
-    """First index of the last phase of runs below low, between, above high in that order, each of its least length.
-
-    Falling swaps the phases. The scan is greedy and goes on after the last run
-    of a match; either merges both directions by index.
+    def __init__(self, sos: np.ndarray) -> None:
+        d = 2 * len(sos)
+        self.pad = 3 * (2 * len(sos) + 1 - min((sos[:, 2] == 0).sum(), (sos[:, 5] == 0).sum()))
+        steps = np.array([self._step(sos, s, x) for s, x in [*((row, 0.0) for row in np.eye(d)), (np.zeros(d), 1.0)]])
+        self.A, self.B, self.C, self.D = steps[:d, :d].T, steps[d, :d], steps[:d, d], steps[d, d]
+
+    @staticmethod
+    def _step(sos: np.ndarray, state: np.ndarray, x: float) -> np.ndarray:
+        out = []
+        for (b0, b1, b2, _, a1, a2), s1, s2 in zip(sos.tolist(), state[::2], state[1::2], strict=True):
+            y = b0 * x + s1
+            out += [b1 * x - a1 * y + s2, b2 * x - a2 * y]
+            x = y
+        return np.array([*out, x])
+
+    def steady(self, x: float) -> np.ndarray:
+        """The state that a constant input settles at."""
+        return np.linalg.solve(np.eye(len(self.B)) - self.A, self.B * x)
+
+    def after(self, n: int, state: np.ndarray) -> np.ndarray:
+        """What a state leaves after n samples of zero input."""
+        return np.linalg.matrix_power(self.A, n) @ state
+
+    def run(self, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(output, exit state): rows of about sqrt(n) samples run side by side from zero, then get their entry states."""
+        n, d = len(x), len(self.B)
+        width = max(1, int(np.ceil(np.sqrt(n))))
+        rows = max(1, -(-n // width))
+        grid = np.zeros((rows, width))
+        grid.ravel()[:n] = x
+        out, states, left = np.empty_like(grid), np.zeros((rows, d)), n - (rows - 1) * width
+        ended, answer, power = np.zeros(d), np.empty((width, d)), np.eye(d)
+        for i in range(width):
+            out[:, i] = states @ self.C + grid[:, i] * self.D
+            states = states @ self.A.T + grid[:, i : i + 1] * self.B
+            answer[i] = self.C @ power
+            power = self.A @ power
+            if i + 1 == left:
+                ended = states[-1].copy()
+        entry = np.empty((rows, d))
+        for r in range(rows):
+            entry[r] = state
+            state = self.after(left, state) + ended if r == rows - 1 else power @ state + states[r]
+        out += entry @ answer.T
+        return out.ravel()[:n], state
+
+
+def lowpass_columns(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, float, int]], rate_hz: float, residuals: Mapping[str, str] | None = None, block: int = BLOCK) -> DataFrame:
+    """Adds, for each name in wanted, the zero-phase low-pass (column, cutoff, order), and by residuals (name: new name) what it takes away.
+
+    Filters run forward and backward over an odd extension of the session, both
+    begun in the steady state. Missing samples are interpolated for the filter
+    and stay missing. Null where a session has fewer than three known samples, or
+    no more samples than the extension. Four passes serve all columns: missing
+    samples, forward states, backward states, results.
     """
-    if direction == "either":
-        return np.union1d(phased_crossings(y, low, high, dwell, smooth, "rising"), phased_crossings(y, low, high, dwell, smooth, "falling"))
-    y = np.asarray(y, float)
-    if smooth > 1 and len(y):
-        y = np.convolve(y, np.ones(smooth) / smooth, "same")
-    phase = np.where(y < low, -1, np.where(y > high, 1, 0))
-    phase = np.where(np.isfinite(y), phase if direction == "rising" else -phase, 9)
-    if not len(y):
-        return np.zeros(0, int)
-    first = np.concatenate([[0], np.flatnonzero(np.diff(phase)) + 1])
-    length = np.diff(np.append(first, len(y)))
-    out, i = [], 0
-    while i + 2 < len(first):
-        if all(phase[first[i + k]] == want and length[i + k] >= dwell[k] for k, want in enumerate((-1, 0, 1))):
-            out.append(first[i + 2])
-            i += 3
-        else:
-            i += 1
-    return np.array(out, int)
-
-
-def _mapped(df: DataFrame, keys: Sequence[str], more: str, run) -> DataFrame:
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", " + more
-
-    def apply(pdf: pd.DataFrame) -> pd.DataFrame:
-        return run(pdf.sort_values("sample_idx", ignore_index=True))
-
-    return df.groupBy(*keys).applyInPandas(apply, schema)
-
-
-def derivatives(df: DataFrame, keys: Sequence[str], value: str, rate_hz: float, window: int = 11, order: int = 3, names: tuple[str, str] = ("vel", "acc")) -> DataFrame:
-    """Adds velocity and acceleration of a uniformly sampled column."""
-    if window % 2 == 0 or order >= window:
-        raise ValueError("the window must be odd and longer than the order")
+    values = list(dict.fromkeys(v for v, _, _ in wanted.values()))
+    systems = {name: Cascade(butterworth_sos(order, cut, rate_hz)) for name, (_, cut, order) in wanted.items()}
+    channels = list(systems)
+    halo = max(c.pad for c in systems.values()) + 1
+    if halo > block:
+        raise ValueError("the extension must fit into a block")
+
+    def extended(g: Group, name: str) -> tuple[np.ndarray, bool, bool] | None:
+        """The block's own samples, with the extension at the session's ends."""
+        v, pad = wanted[name][0], systems[name].pad
+        i, n = values.index(v), g.carry["n"]
+        if g.carry[f"known_{i}"] < 3 or n <= pad:
+            return None
+        x = filled(g, v, i)
+        own = np.flatnonzero(g.own)
+        a, b = own[0], own[-1] + 1
+        parts, begins, ends = [x[a:b]], g.idx[a] == 0, g.idx[b - 1] == n - 1
+        if begins:
+            parts.insert(0, 2 * x[a] - x[a + pad : a : -1])
+        if ends:
+            parts.append(2 * x[b - 1] - x[b - 2 : (b - 2 - pad if b - 2 - pad >= 0 else None) : -1])
+        return np.concatenate(parts), begins, ends
+
+    def entry(g: Group, name: str, kind: str) -> np.ndarray:
+        """The block's entry state; zero until the scan has found it."""
+        found = g.carry.get(f"{kind}_{channels.index(name)}")
+        return np.array(found) if found is not None else np.zeros(len(systems[name].B))
+
+    def forward(g: Group, name: str) -> tuple[np.ndarray, np.ndarray, bool, bool] | None:
+        ext = extended(g, name)
+        if ext is None:
+            return None
+        x, begins, ends = ext
+        y, state = systems[name].run(x, systems[name].steady(x[0]) if begins else entry(g, name, "into"))
+        return y, state, begins, ends
+
+    def backward(g: Group, name: str, y: np.ndarray, ends: bool) -> tuple[np.ndarray, np.ndarray]:
+        return systems[name].run(y[::-1], systems[name].steady(y[-1]) if ends else entry(g, name, "back"))
+
+    columns = ", ".join(f"state_{i} array<double>, size_{i} bigint" for i in range(len(channels)))
+
+    def states(g: Group, reverse: bool) -> dict[str, list]:
+        out = {}
+        for i, name in enumerate(channels):
+            found = forward(g, name)
+            state = found and (backward(g, name, found[0], found[3])[1] if reverse else found[1])
+            out[f"state_{i}"] = [None if state is None else state.tolist()]
+            out[f"size_{i}"] = [0 if found is None else len(found[0])]
+        return out
+
+    def composed(reverse: bool):
+        kind = "back" if reverse else "into"
+
+        def compose(rows: list[dict]) -> list[dict]:
+            """Entry states: a block's exit state is that from zero plus what its entry state leaves; the first block's is whole."""
+            out = [{f"{kind}_{i}": None for i in range(len(channels))} for _ in rows]
+            for i, name in enumerate(channels):
+                state = None
+                for k in range(len(rows))[:: -1 if reverse else 1]:
+                    if rows[k][f"state_{i}"] is None:
+                        break
+                    out[k][f"{kind}_{i}"] = None if state is None else state.tolist()
+                    left = 0 if state is None else systems[name].after(rows[k][f"size_{i}"], state)
+                    state = np.array(rows[k][f"state_{i}"]) + left
+            return out
+
+        return compose, ", ".join(f"{kind}_{i} array<double>" for i in range(len(channels)))
+
+    carry = fills(df, keys, values, block, halo)
+    for reverse in (False, True):
+        summed = emitted(df, keys, values, columns, lambda g, r=reverse: states(g, r), block, halo, carry)
+        compose, schema = composed(reverse)
+        carry = carry.join(scanned(summed, keys, schema, compose), [*keys, "__at"])
+
+    def kernel(g: Group) -> dict[str, np.ndarray]:
+        out = {}
+        for name in channels:
+            v, pad = wanted[name][0], systems[name].pad
+            y, found = np.full(len(g.idx), np.nan), forward(g, name)
+            if found is not None:
+                x, _, begins, ends = found
+                z = backward(g, name, x, ends)[0][::-1]
+                y[g.own] = z[pad if begins else 0 : len(z) - (pad if ends else 0)]
+                y[~np.isfinite(g.values[v])] = np.nan
+            out[name] = y
+            if residuals and name in residuals:
+                out[residuals[name]] = g.values[v] - y
+        return out
+
+    new = [x for name in channels for x in (name, *([residuals[name]] if residuals and name in residuals else []))]
+    return add_columns(df, keys, values, {n: "double" for n in new}, kernel, block, halo, carry)
+
+
+def smoothed(df: DataFrame, keys: Sequence[str], value: str, rate_hz: float, cutoff_hz: float, order: int = 4, name: str = "smooth", residual: str | None = None, block: int = BLOCK) -> DataFrame:
+    """Adds the zero-phase low-pass of a column (null where it is skipped), and what it takes away."""
+    return lowpass_columns(df, keys, {name: (value, cutoff_hz, order)}, rate_hz, {name: residual} if residual else None, block)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf[value].to_numpy(float)
-        out = {n: savgol(y, 1 / rate_hz, d, window, order) for d, n in enumerate(names, 1)}
-        return pdf.assign(**{n: pd.Series(x).where(np.isfinite(x), None).astype(float) for n, x in out.items()})
 
-    return _mapped(df, keys, f"`{names[0]}` double, `{names[1]}` double", run)
+# --- phased crossings
 
 
-def smoothed(df: DataFrame, keys: Sequence[str], value: str, rate_hz: float, cutoff_hz: float, order: int = 4, name: str = "smooth", residual: str | None = None) -> DataFrame:
-    """Adds the zero-phase low-pass of a column (null where it is skipped), and what it takes away."""
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.concatenate([[0], np.flatnonzero(np.diff(x)) + 1])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf[value].to_numpy(float)
-        x = lowpass(y, rate_hz, cutoff_hz, order)
-        x = np.full(len(y), np.nan) if x is None else x
-        return pdf.assign(**{name: x} | ({residual: y - x} if residual else {}))
 
-    return _mapped(df, keys, f"`{name}` double" + (f", `{residual}` double" if residual else ""), run)
+def phased(df: DataFrame, keys: Sequence[str], value: str, low: float, high: float, dwell: tuple[int, int, int] = (1, 1, 1), smooth: int = 1, direction: str = "rising", block: int = BLOCK) -> DataFrame:
+    """The rows of df at which a phased crossing is complete, with strength (size of the value).
 
+    A crossing is three runs in a row, below low, between, above high (falling:
+    the other way), each of its least length; its row is the first of the last
+    run. Crossings of one direction never overlap: a run of the middle or the last
+    phase begins none. So each block needs the two runs before it and the one it
+    begins in, and how long its last run goes on.
+    """
 
-def peaks(df: DataFrame, keys: Sequence[str], value: str, kind: str = "max", distance: int = 1, prominence: float | None = None) -> DataFrame:
-    """The rows of df that are peaks (kind min: troughs) of their session."""
+    def phases(g: Group) -> np.ndarray:
+        """Phase of each own sample: -1, 0, 1, or 9 where it is unknown."""
+        y = g.values[value]
+        if smooth > 1:
+            y = np.convolve(y, np.ones(smooth) / smooth)[(smooth - 1) // 2 :][: len(y)]
+        y = y[g.own]
+        return np.where(np.isfinite(y), np.where(y < low, -1, np.where(y > high, 1, 0)), 9)
+
+    def summary(g: Group) -> dict[str, list]:
+        phase = phases(g)
+        first, start = _runs(phase), int(g.idx[g.own][0])
+        kept = first[-3:]
+        return {"starts": [(kept + start).tolist()], "phases": [phase[kept].tolist()], "whole": [len(first) <= 3], "head": [int(phase[0])], "head_n": [int(first[1] if len(first) > 1 else len(phase))], "one": [len(first) == 1]}
+
+    def compose(rows: list[dict]) -> list[dict]:
+        out, before = [{} for _ in rows], []  # up to three runs before, as (start, phase)
+        for k, r in enumerate(rows):
+            out[k] |= {"run_starts": [s for s, _ in before], "run_phases": [p for _, p in before]}
+            mine = list(zip(r["starts"], r["phases"], strict=True))
+            if r["whole"]:
+                mine = before + (mine[1:] if before and mine[0][1] == before[-1][1] else mine)
+            before = mine[-3:]
+        phase, n = None, 0
+        for k in range(len(rows))[::-1]:
+            out[k] |= {"next_phase": phase, "next_n": n}
+            phase, n = rows[k]["head"], rows[k]["head_n"] + (n if rows[k]["one"] and rows[k]["head"] == phase else 0)
+        return out
+
+    def kernel(g: Group) -> dict[str, np.ndarray]:
+        phase, at = phases(g), g.idx[g.own]
+        first = _runs(phase)
+        starts, kinds = [*g.carry["run_starts"]], [*g.carry["run_phases"]]
+        own = first[1:] if kinds and kinds[-1] == phase[0] else first
+        starts, kinds = np.array([*starts, *(own + at[0])], np.int64), np.array([*kinds, *phase[own]], np.int64)
+        length = np.diff(np.append(starts, at[-1] + 1))
+        if g.carry["next_phase"] == kinds[-1]:
+            length[-1] += g.carry["next_n"]
+        hit = np.zeros(len(g.idx), bool)
+        for sign in {"rising": (1,), "falling": (-1,), "either": (1, -1)}[direction]:
+            fits = np.ones(max(len(kinds) - 2, 0), bool)
+            for k, want in enumerate((-sign, 0, sign)):
+                fits &= (kinds[k : k + len(fits)] == want) & (length[k : k + len(fits)] >= dwell[k])
+            ends = starts[2:][fits]
+            hit[np.flatnonzero(g.own)[0] + (ends[ends >= at[0]] - at[0])] = True
+        return {"__hit": hit}
+
+    halo = smooth if smooth > 1 else 0
+    summed = emitted(df, keys, [value], "starts array<bigint>, phases array<bigint>, whole boolean, head bigint, head_n bigint, one boolean", summary, block, halo)
+    carry = scanned(summed, keys, "run_starts array<bigint>, run_phases array<bigint>, next_phase bigint, next_n bigint", compose)
+    out = add_columns(df, keys, [value], {"__hit": "boolean"}, kernel, block, halo, carry)
+    return out.filter("__hit").drop("__hit").withColumn("strength", F.abs(F.col(f"`{value}`").cast("double")))
+
+
+# --- peaks
+
+
+def _sparse(x: np.ndarray, pick) -> list[np.ndarray]:
+    """Entry k: pick over every 2**k values in a row."""
+    out = [x]
+    while 2 << (len(out) - 1) <= len(x):
+        half = 1 << (len(out) - 1)
+        out.append(pick(out[-1][:-half], out[-1][half:]))
+    return out
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = _fill(pdf[value].to_numpy(float))
-        return pdf.iloc[find_peaks(-y if kind == "min" else y, distance, prominence)].assign(strength=lambda x: x[value].abs())
 
-    return _mapped(df, keys, "strength double", run)
+def _reach(tops: list[np.ndarray], at: np.ndarray, height: np.ndarray) -> np.ndarray:
+    """For each position the first index of the stretch to its left (without it) that holds nothing above the height."""
+    at = at.copy()
+    for k in range(len(tops) - 1, -1, -1):
+        fits = at >= 1 << k
+        fits[fits] = tops[k][at[fits] - (1 << k)] <= height[fits]
+        at[fits] -= 1 << k
+    return at
+
+
+def _least(lows: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Minimum over [a, b) of each pair; infinite where it is empty."""
+    out = np.full(len(a), np.inf)
+    some = np.flatnonzero(b > a)
+    level = np.log2(b[some] - a[some]).astype(int) if len(some) else np.zeros(0, int)
+    for k in np.unique(level).tolist():
+        s = some[level == k]
+        out[s] = np.minimum(lows[k][a[s]], lows[k][b[s] - (1 << k)])
+    return out
 
 
-def phased(df: DataFrame, keys: Sequence[str], value: str, low: float, high: float, dwell: tuple[int, int, int] = (1, 1, 1), smooth: int = 1, direction: str = "rising") -> DataFrame:
-    """The rows of df at which a phased crossing is complete."""
+class Valleys:
+    """Range minima and maxima of a row of values, for the lowest point on each side of a peak up to a higher value."""
+
+    def __init__(self, lows: np.ndarray, tops: np.ndarray) -> None:
+        self._sides = [(_sparse(a, np.minimum), _sparse(b, np.maximum)) for a, b in ((lows, tops), (lows[::-1], tops[::-1]))]
+        self.n = len(lows)
+
+    def beside(self, at: np.ndarray, height: np.ndarray, right: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(lowest value, position of the higher one) left or right of each position; the position is -1 or n where there is none."""
+        lows, tops = self._sides[right]
+        at = self.n - 1 - at if right else at
+        first = _reach(tops, at, height)
+        low = _least(lows, first, at)
+        return low, self.n - first if right else first - 1
+
+
+_PEAK = "sample_idx bigint, height double"
+
+
+def _plateaus(rows: DataFrame, keys: Sequence[str], sign: float, block: int, carry: DataFrame) -> DataFrame:
+    """keys, sample_idx, height of every peak: the middle of a run of equal values with lower ones on both sides."""
+
+    def own(g: Group) -> tuple[np.ndarray, np.ndarray]:
+        y = sign * filled(g, "__y")
+        return y, np.flatnonzero(g.own)
+
+    def summary(g: Group) -> dict[str, list]:
+        y, at = own(g)
+        y, idx = y[at], g.idx[at]
+        first = _runs(y)
+        one = len(first) == 1
+        return {"level": [float(y[0])], "end": [int(idx[-1] if one else idx[first[1]] - 1)], "then": [None if one else float(y[first[1]])], "one": [one]}
+
+    def compose(rows: list[dict]) -> list[dict]:
+        """For each block the next one's first run: its level, its end, and what comes then, if anything."""
+        out, later = [], None
+        for r in reversed(rows):
+            out.append({"next_level": later and later[0], "next_end": later and later[1], "next_then": later and later[2]})
+            if not r["one"]:
+                later = (r["level"], r["end"], r["then"])
+            elif later is None:
+                later = (r["level"], r["end"], None)
+            else:
+                later = (r["level"], later[1], later[2]) if later[0] == r["level"] else (r["level"], r["end"], later[0])
+        return out[::-1]
+
+    def kernel(g: Group) -> dict[str, list]:
+        y, at = own(g)
+        if g.carry["known_0"] == 0:
+            return {"sample_idx": [], "height": []}
+        a, b = at[0], at[-1] + 1
+        begin = max(a - 1, 0) if g.idx[a] else a  # with the sample before the block, where there is one
+        line, idx = y[begin:b], g.idx[begin:b]
+        first = _runs(line)
+        level, last = line[first], idx[np.append(first[1:], len(line)) - 1]
+        before = np.append(np.nan, level[:-1])
+        after = np.append(level[1:], np.nan)
+        if g.carry["next_level"] is not None:
+            if g.carry["next_level"] == level[-1]:
+                last[-1] = g.carry["next_end"]
+                after[-1] = np.nan if g.carry["next_then"] is None else g.carry["next_then"]
+            else:
+                after[-1] = g.carry["next_level"]
+        top = (level > before) & (level > after) & (idx[first] >= g.idx[a])
+        return {"sample_idx": ((idx[first] + last) // 2)[top].tolist(), "height": level[top].tolist()}
+
+    columns = "level double, end bigint, then double, one boolean"
+    following = scanned(emitted(rows, keys, ["__y"], columns, summary, block, 1, carry), keys, "next_level double, next_end bigint, next_then double", compose)
+    return emitted(rows, keys, ["__y"], _PEAK, kernel, block, 1, carry.join(following, [*keys, "__at"])).drop("__at")
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """df, computed once: checkpointed where Spark has a folder for it."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
+def _thinned(found: DataFrame, keys: Sequence[str], distance: int, block: int) -> DataFrame:
+    """The peaks that stay when each, highest first (of equal ones the last first), removes those nearer than distance.
+
+    In each round a block decides all peaks that depend only on peaks it has
+    decided; one waits where a higher undecided peak of a neighbour is near.
+    Rounds end when all are decided: one more than a chain of ever higher
+    peaks crosses blocks.
+    """
+    block = max(block, distance)
+
+    def decide(g: Group) -> dict[str, list]:
+        height, state = g.values["height"], g.values["state"].copy()  # 0 open, 1 stays, 2 goes
+        order = np.lexsort((g.idx, height))[::-1]
+        waits = np.zeros(len(state), bool)
+        for i in order.tolist():
+            a, b = np.searchsorted(g.idx, (g.idx[i] - distance + 1, g.idx[i] + distance))
+            if state[i] == 0 and (state[a:b] == 1).any():
+                state[i] = 2
+            elif state[i] == 0:
+                higher = (height[a:b] > height[i]) | ((height[a:b] == height[i]) & (g.idx[a:b] > g.idx[i]))
+                if not g.own[i] or (waits[a:b] & higher).any():
+                    waits[i] = True
+                else:
+                    state[i] = 1
+        keep = g.own & (state != 2)
+        return {"sample_idx": g.idx[keep].tolist(), "height": height[keep].tolist(), "state": state[keep].tolist()}
+
+    now = found.withColumn("state", F.lit(0.0))
+    while True:
+        now = emitted(now, keys, ["height", "state"], f"{_PEAK}, state double", decide, block, distance).drop("__at")
+        now = _kept(now)
+        if now.filter("state = 0").isEmpty():
+            return now.drop("state")
+
+
+def _prominent(rows: DataFrame, found: DataFrame, keys: Sequence[str], sign: float, least: float, block: int, carry: DataFrame) -> DataFrame:
+    """The peaks that stand that far above the higher of the lowest points between them and a higher value on either side.
+
+    A peak first looks within its block, then over the blocks' minima and maxima
+    for the block that holds a higher value, and then within that block.
+    """
+    schema = "sample_idx bigint, height double, low double, side boolean, target bigint"
+
+    def summary(g: Group) -> dict[str, list]:
+        y = sign * filled(g, "__y")
+        return {"low": [float(y.min())], "top": [float(y.max())]}
+
+    def spread(rows: list[dict]) -> list[dict]:
+        """Every block gets the lows and tops of all: a session of n samples has n / block of them."""
+        lows, tops = [r["low"] for r in rows], [r["top"] for r in rows]
+        return [{"lows": lows, "tops": tops} for _ in rows]
+
+    def parted(g: Group) -> tuple[np.ndarray, np.ndarray]:
+        """Which rows are peaks, and the samples."""
+        mine = np.isfinite(g.values["height"])
+        return mine, sign * filled(Group(g.at, g.idx[~mine], g.own[~mine], {"__y": g.values["__y"][~mine]}, g.carry), "__y")
+
+    def first(g: Group) -> dict[str, list]:
+        mine, y = parted(g)
+        at, height = g.idx[mine] - g.idx[~mine][0], g.values["height"][mine]
+        here, all_ = Valleys(y, y), Valleys(np.array(g.carry["lows"]), np.array(g.carry["tops"]))
+        out: dict[str, list] = {n.split()[0]: [] for n in schema.split(", ")}
+        for right in (False, True):
+            low, stop = here.beside(at, height, right)
+            low = np.minimum(low, height)
+            open_ = np.flatnonzero(stop == (len(y) if right else -1))
+            far, target = all_.beside(np.full(len(open_), g.at), height[open_], right)
+            low[open_] = np.minimum(low[open_], far)
+            goal = np.full(len(at), -1)
+            goal[open_] = np.where(target == len(g.carry["lows"]), -1, target)
+            for n, x in zip(out, (g.idx[mine], height, low, np.full(len(at), right), goal), strict=True):
+                out[n] += x.tolist()
+        return out
+
+    def last(g: Group) -> dict[str, list]:
+        mine, y = parted(g)
+        if not mine.any():
+            return {n.split()[0]: [] for n in schema.split(", ")}
+        here, height, right = Valleys(y, y), g.values["height"][mine], g.values["side"][mine] > 0
+        low = g.values["low"][mine]
+        for side in (False, True):
+            at = np.flatnonzero(right == side)
+            edge = np.full(len(at), -1 if side else len(y))
+            low[at] = np.minimum(low[at], here.beside(edge, height[at], side)[0])
+        return {"sample_idx": g.values["peak"][mine].astype(np.int64).tolist(), "height": height.tolist(), "low": low.tolist(), "side": right.tolist(), "target": [-1] * len(low)}
+
+    blocks = scanned(emitted(rows, keys, ["__y"], "low double, top double", summary, block, 0, carry), keys, "lows array<double>, tops array<double>", spread)
+    asked = rows.unionByName(found.select(*keys, "sample_idx", "height"), allowMissingColumns=True)
+    near = emitted(asked, keys, ["__y", "height"], schema, first, block, 0, carry.join(blocks, [*keys, "__at"])).drop("__at")
+    near = _kept(near)
+    # What looks on in a block stands there as a row at its first sample.
+    seek = near.filter("target >= 0").select(*keys, (F.col("target") * block).alias("sample_idx"), "height", "low", F.col("side").cast("double").alias("side"), F.col("sample_idx").cast("double").alias("peak"))
+    far = emitted(rows.unionByName(seek, allowMissingColumns=True), keys, ["__y", "height", "low", "side", "peak"], schema, last, block, 0, carry).drop("__at")
+    both = near.filter("target < 0").unionByName(far).groupBy(*keys, "sample_idx", "height").agg(F.max("low").alias("base"))
+    return both.filter(F.col("height") - F.col("base") >= least).select(*keys, "sample_idx", "height")
+
+
+def peaks(df: DataFrame, keys: Sequence[str], value: str, kind: str = "max", distance: int = 1, prominence: float | None = None, block: int = BLOCK) -> DataFrame:
+    """The rows of df that are peaks (kind min: troughs) of their session, with strength (size of the value).
+
+    A peak is the middle of a run of equal values with lower ones on both sides
+    (missing samples are interpolated); peaks nearer than distance are thinned,
+    highest first, and then those without the prominence go.
+    """
+    sign = -1.0 if kind == "min" else 1.0
+    rows = df.select(*keys, "sample_idx", F.col(f"`{value}`").cast("double").alias("__y"))
+    found = _plateaus(rows, keys, sign, block, fills(rows, keys, ["__y"], block, 1))
+    if distance > 1:
+        found = _thinned(found, keys, distance, block)
+    if prominence is not None:
+        found = _prominent(rows, found, keys, sign, prominence, block, fills(rows, keys, ["__y"], block))
+    return df.join(found.select(*keys, "sample_idx"), [*keys, "sample_idx"], "left_semi").withColumn("strength", F.abs(F.col(f"`{value}`").cast("double")))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = phased_crossings(pdf[value].to_numpy(float), low, high, dwell, smooth, direction)
-        return pdf.iloc[at].assign(strength=lambda x: x[value].abs())
 
-    return _mapped(df, keys, "strength double", run)
+def find_peaks(y: np.ndarray) -> np.ndarray:
+    """Indices of the peaks of a short row of values (middle of plateaus)."""
+    if len(y) < 3:
+        return np.zeros(0, int)
+    first = _runs(y)
+    level, last = y[first], np.append(first[1:], len(y)) - 1
+    top = np.flatnonzero((level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])) + 1
+    return (first[top] + last[top]) // 2

@@ -216,8 +216,8 @@ def _rename(spark: SparkSession, folder: str) -> None:
 def artifact_round_trip(spark, sf_dir):
     store = ArtifactStore(spark, scratch(spark))
     o = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("session_id"), F.col("o_orderpriority").alias("schema_id"), "o_orderkey", F.col("o_totalprice").alias("m_price"))
-    for status in ("F", "O", "P"):
-        store.write(o.filter(F.col("session_id") == status), "metrics", "run1", status)
+    for (status,) in o.select("session_id").distinct().collect():  # a row a status
+        store.write(o.filter(F.col("session_id").eqNullSafe(status)), "metrics", "run1", status)
     back = store.read("metrics", ["session_id", "schema_id", "m_price"])
     return back.groupBy("session_id", "schema_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("m_price"), 2).alias("total"))
 
@@ -225,28 +225,59 @@ def artifact_round_trip(spark, sf_dir):
 # --- kernels
 
 
-def _savgol_sql(d: int, name: str, window: int = 11, order: int = 3) -> str:
-    """Local polynomials by their coefficients: central ones, and those of the first and last window for the ends."""
-    half = window // 2
-    fit = np.linalg.pinv(np.vander(np.arange(-half, half + 1, dtype=float), order + 1, increasing=True))
-    at = lambda x: sum(factorial(k) / factorial(k - d) * float(x) ** (k - d) * fit[k] for k in range(d, order + 1))
+def _savgol_sql(d: int, name: str, digits: int = 5, window: int = 11, order: int = 3) -> str:
+    """Local polynomials by their coefficients: central ones, and those of the first and last window for the ends; shorter windows for short sessions."""
     text = lambda c: "[" + ", ".join(f"{v:.17g}" for v in c) + "]::double[]"
-    ends = lambda xs: "[" + ", ".join(text(at(x)) for x in xs) + "]"
-    return f"""round(case when sample_idx < {half} then list_inner_product(v[1:{window}], {ends(range(-half, 0))}[sample_idx + 1]) when sample_idx >= n - {half} then list_inner_product(v[n - {window - 1}:n], {ends(range(1, half + 1))}[sample_idx - n + {half + 1}]) else list_inner_product(v[sample_idx - {half - 1}:sample_idx + {half + 1}], {text(at(0))}) end, 5) as {name}"""
 
+    def fixed(w: int, k: int) -> str:
+        half = w // 2
+        fit = np.linalg.pinv(np.vander(np.arange(-half, half + 1, dtype=float), k + 1, increasing=True))
+        at = lambda x: sum((factorial(i) / factorial(i - d) * float(x) ** (i - d) * fit[i] for i in range(d, k + 1)), np.zeros(w))
+        ends = lambda xs: "[" + ", ".join(text(at(x)) for x in xs) + "]"
+        return f"case when sample_idx < {half} then list_inner_product(v[1:{w}], {ends(range(-half, 0))}[sample_idx + 1]) when sample_idx >= n - {half} then list_inner_product(v[n - {w - 1}:n], {ends(range(1, half + 1))}[sample_idx - n + {half + 1}]) else list_inner_product(v[sample_idx - {half - 1}:sample_idx + {half + 1}], {text(at(0))}) end"
 
-@query(f"with {S}, a as (select user_id, list(value order by sample_idx) as v, count(*) as n from s group by 1 having count(*) >= 11) select user_id, sample_idx, {_savgol_sql(1, 'vel')}, {_savgol_sql(2, 'acc')} from s join a using (user_id)")
+    cases = "".join(f" when n >= {w} then {fixed(w, min(order, w - 1))}" for w in range(window, 2, -2))
+    return f"round(case{cases} when {d} = 0 then value when n = 2 then {'v[2] - v[1]' if d == 1 else '0'} end, {digits}) + 0.0 as {name}"
+
+
+ARRAYS = f"{S}, a as (select user_id, list(value order by sample_idx) as v, count(*) as n from s group by 1)"
+
+
+@query(f"with {ARRAYS} select user_id, sample_idx, {_savgol_sql(1, 'vel')}, {_savgol_sql(2, 'acc')} from s join a using (user_id)")
 def savgol_by_coefficients(spark, sf_dir):
-    s = samples(spark, sf_dir)
-    s = s.join(s.groupBy(*U).agg(F.count(F.lit(1)).alias("n")).filter("n >= 11").select(*U), U, "left_semi")
-    return signal.derivatives(s, U, "value", 1.0).select(*U, "sample_idx", F.round("vel", 5).alias("vel"), F.round("acc", 5).alias("acc"))
+    return signal.derivatives(samples(spark, sf_dir), U, "value", 1.0).select(*U, "sample_idx", F.round("vel", 5).alias("vel"), F.round("acc", 5).alias("acc"))
 
 
-@query(f"with {S}, a as (select user_id, list(value order by sample_idx) as v, count(*) as n from s group by 1 having count(*) >= 11) select user_id, sample_idx, {_savgol_sql(0, 'smooth')} from s join a using (user_id)")
+ORACLES["savgol_vel_acc"] = f"with {ARRAYS} select user_id, sample_idx, {_savgol_sql(1, 'vel', 6)}, {_savgol_sql(2, 'acc', 6)} from s join a using (user_id)"
+
+
+@query(f"with {ARRAYS} select user_id, sample_idx, {_savgol_sql(0, 'smooth')} from s join a using (user_id)")
 def savgol_smooth(spark, sf_dir):
-    s = samples(spark, sf_dir)
-    s = s.join(s.groupBy(*U).agg(F.count(F.lit(1)).alias("n")).filter("n >= 11").select(*U), U, "left_semi")
-    return bench.smooth(s, U, "value").select(*U, "sample_idx", F.round("smooth", 5).alias("smooth"))
+    return bench.smooth(samples(spark, sf_dir), U, "value").select(*U, "sample_idx", F.round("smooth", 5).alias("smooth"))
+
+
+def _filter_sql(source: str, name: str, sos: np.ndarray) -> str:
+    """A pass of two sections over the lists x of source, a sample a round, begun in the steady state of the first."""
+    (b0, b1, b2, _, a1, a2), (c0, c1, c2, _, d1, d2) = [[f"'{v!r}'::double" for v in row] for row in sos.tolist()]
+    start = ", ".join(f"'{v!r}'::double * x[1]" for v in signal.Cascade(sos).steady(1.0).tolist())
+    return f"""{name}(user_id, i, y, s1, s2, s3, s4) as (
+select user_id, 0::bigint, 0::double, {start} from {source} union all
+select user_id, i + 1, y2, {b1} * x0 - {a1} * y1 + s2, {b2} * x0 - {a2} * y1, {c1} * y1 - {d1} * y2 + s4, {c2} * y1 - {d2} * y2
+from (select *, {c0} * y1 + s3 as y2 from (select r.*, x[i + 1] as x0, {b0} * x[i + 1] + s1 as y1 from {name} r join {source} using (user_id) where i < len(x))))"""
+
+
+SOS = signal.butterworth_sos(4, 1.0, 10.0)
+ORACLES["butterworth"] = f"""with recursive {ARRAYS}, e as (select user_id, n, list_concat(list_transform(range(15), lambda i: 2 * v[1] - v[16 - i]), v, list_transform(range(15), lambda i: 2 * v[n] - v[n - 1 - i])) as x from a where n > 15),
+{_filter_sql('e', 'fwd', SOS)}, h as (select user_id, list(y order by i desc) as x from fwd where i > 0 group by 1), {_filter_sql('h', 'bwd', SOS)}
+select s.user_id, sample_idx, round(y, 6) + 0.0 as smooth from s join a using (user_id) left join bwd on bwd.user_id = s.user_id and i = n + 15 - sample_idx"""
+ORACLES["prominent_peaks"] = f"""with recursive {S}, g as (select *, case when value = lag(value) over (partition by user_id order by sample_idx) then 0 else 1 end as st from s), u as (select *, sum(st) over (partition by user_id order by sample_idx) as run from g),
+l as (select user_id, run, (min(sample_idx) + max(sample_idx)) // 2 as sample_idx, any_value(value) as value from u group by 1, 2), m as (select *, lag(value) over w as p, lead(value) over w as q from l window w as (partition by user_id order by run)),
+pk as (select user_id, sample_idx, value, row_number() over (partition by user_id order by value desc, sample_idx desc) as r from m where value > p and value > q),
+th(user_id, r, kept) as (select distinct user_id, 0::bigint, []::bigint[] from pk union all select pk.user_id, pk.r, case when len(list_filter(kept, lambda x: abs(x - pk.sample_idx) < 3)) = 0 then list_append(kept, pk.sample_idx) else kept end from th join pk on pk.user_id = th.user_id and pk.r = th.r + 1),
+k as (select pk.user_id, sample_idx, value from pk join (select user_id, unnest(arg_max(kept, r)) as sample_idx from th group by 1) using (user_id, sample_idx)),
+b as (select k.user_id, k.sample_idx, k.value, coalesce(max(r.sample_idx) filter (r.sample_idx < k.sample_idx), -1) as lo, coalesce(min(r.sample_idx) filter (r.sample_idx > k.sample_idx), 1000000000) as hi from k left join s r on r.user_id = k.user_id and r.value > k.value group by 1, 2, 3)
+select b.user_id, b.sample_idx, round(abs(b.value), 6) as strength from b join s on s.user_id = b.user_id and s.sample_idx > b.lo and s.sample_idx < b.hi group by b.user_id, b.sample_idx, b.value
+having b.value - greatest(min(s.value) filter (s.sample_idx <= b.sample_idx), min(s.value) filter (s.sample_idx >= b.sample_idx)) >= 20"""
 
 
 ORACLES["phased_crossing"] = f"""with {S}, h as (select *, case when value < 20 then -1 when value > 60 then 1 else 0 end as ph from s), g as (select *, case when ph = lag(ph) over (partition by user_id order by sample_idx) then 0 else 1 end as st from h),

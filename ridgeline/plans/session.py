@@ -71,8 +71,8 @@ def rate_of(session: Session) -> float:
 def preprocess(session: Session, profile: Profile) -> Prepared:
     """Zero, normalise, smooth, derive velocity and acceleration, mark activity.
 
-    Each column's zero is an aggregation that joins the samples by session; the
-    filters that need a whole session run as grouped maps.
+    Each column's zero is an aggregation that joins the samples by session; all
+    columns go through the filters, which work on blocks of a session, together.
     """
     rate = rate_of(session)
     df = session.samples
@@ -90,17 +90,25 @@ def preprocess(session: Session, profile: Profile) -> Prepared:
             s = naming.parse(base)
             name = naming.format_(replace(s, unit="1", ops=(*s.ops, "norm", *(("clip",) if profile.clip else ()))))
             df = series.normalise(df.withColumn("__x", F.col(f"`{base}`")), "__x", F.lit(0.0), float(profile.normalize_ranges[c]), profile.clip, name).drop("__x")
+    soft: dict[str, tuple[str, float, int]] = {}
+    rest: dict[str, str] = {}
     for f in profile.smoothing:
         for c in disp:
-            tag = naming.filter_tag(f.cutoff_hz, f.order)
-            name = naming.format_(replace(naming.parse(c), ops=(tag,)))
-            rest = naming.format_(replace(naming.parse(c), ops=("diff",))) if profile.residuals else None
-            if name not in df.columns:
-                df = signal.smoothed(df, KEYS, c, rate, f.cutoff_hz, f.order, name, rest)
+            name = naming.format_(replace(naming.parse(c), ops=(naming.filter_tag(f.cutoff_hz, f.order),)))
+            left = naming.format_(replace(naming.parse(c), ops=("diff",)))
+            if name not in (*df.columns, *soft):
+                soft[name] = (c, f.cutoff_hz, f.order)
+                if profile.residuals and left not in (*df.columns, *rest.values()):
+                    rest[name] = left
+    if soft:
+        df = signal.lowpass_columns(df, KEYS, soft, rate, rest)
+    slopes: dict[str, tuple[str, int]] = {}
     for c in disp:
         v, a = naming.velocity_name(c), naming.acceleration_name(c)
         if v not in df.columns and a not in df.columns:
-            df = signal.derivatives(df, KEYS, c, rate, profile.savgol_window, profile.savgol_order, (v, a))
+            slopes |= {v: (c, 1), a: (c, 2)}
+    if slopes:
+        df = signal.savgol_columns(df, KEYS, slopes, rate, profile.savgol_window, profile.savgol_order)
     active = profile.active_disp if profile.active_disp in df.columns else None
     if active:
         vel = naming.velocity_name(active)
