@@ -166,11 +166,12 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def apply_mix(docs: DataFrame, mix: DataFrame) -> DataFrame:
     """The rows of docs, each as often as the mix takes it.
 
-    Rows equal in doc_id and text share the repeats of their key evenly.
+    Rows equal in doc_id and text share the repeats of their key evenly. The
+    join is a sort-merge join at every size: what is taken grows with the rows.
     """
     per = mix.groupBy(F.col("key").alias("__mix_id")).agg(F.sum("times").alias("__mix_times"), F.count(F.lit(1)).alias("__mix_rows"))
     per = saved(per.filter(F.col("__mix_times") > 0))
-    out = docs.withColumn("__mix_key", row_key()).join(per, F.col("__mix_key") == F.col("__mix_id"))
+    out = docs.withColumn("__mix_key", row_key()).join(per.hint("merge"), F.col("__mix_key") == F.col("__mix_id"))
     one = out.filter("__mix_rows = 1").withColumn("__mix_turn", F.lit(1).cast("long"))
     many = numbered(out.filter("__mix_rows > 1"), "__mix_id", "__mix_turn")
     own = F.floor(F.col("__mix_times") / F.col("__mix_rows")) + (F.col("__mix_turn") <= F.col("__mix_times") % F.col("__mix_rows")).cast("int")
