@@ -21,8 +21,9 @@ that tables of numbers don't match each other.
 
 Defined results: null texts match nothing; items of fewer than WINDOW tokens
 are not looked for; repeated documents and items are each found, one row per
-(doc_id, item_id); null ids count as -1; extra columns are ignored; an empty
-table gives an empty result.
+(doc_id, item_id); a null id stays null, and documents without one are told
+apart by their text; extra columns are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ from ridgeline.llm.text import rolling as _rolling
 WINDOW = 5
 #: Bits in the map of key windows.
 KEY_BITS = 1 << 26
+#: Items that go to one document row.
+HANDFUL = 64
 #: Words that count as a unit after a number (fixed values).
 UNITS = (
     "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres"
@@ -250,9 +253,8 @@ def _nearest(places: list[int], want: int) -> int:
 
 def contaminated_rows(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
     """key (``row_key``), doc_id, item_id, n_windows, n_matched, containment, slot_agreement, verbatim of contaminated rows, each judged by its own text."""
-    id_ = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-1)).alias("id")
     text = F.col("text").cast("string")
-    named = benchmark.select(id_("item_id").alias("item_id"), F.xxhash64(text).alias("print")).distinct()
+    named = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64(text).alias("print")).distinct()
     items = benchmark.select(F.xxhash64(text).alias("id"), text.alias("text")).filter("text is not null").distinct()
     held = items.mapInArrow(_hashed(), "id long, hash long").withColumnRenamed("id", "print").distinct()
     held = saved(held)
@@ -266,11 +268,13 @@ def contaminated_rows(docs: DataFrame, benchmark: DataFrame, least: float = 0.8)
     words_ = keys.select(F.shiftright(spot, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(spot, F.lit(64)).cast("int")).alias("bit"))
     found = words_.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most KEY_BITS / 64 rows
     bits[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-    rows = docs.select(row_key().alias("id"), id_("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(row_key().alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     hits = rows.select("id", "text").mapInArrow(_hashed(docs.sparkSession.sparkContext.broadcast(bits)), "id long, hash long")
     pairs = saved(hits.join(keys, "hash").select("id", "print").distinct())
-    asked = pairs.join(items.withColumnsRenamed({"id": "print", "text": "item"}), "print")
-    asked = asked.groupBy("id").agg(F.collect_list(F.struct("print", "item")).alias("items"))
+    # A document that shares keys with many items is aligned with them a handful at a time.
+    turn = F.floor((F.row_number().over(Window.partitionBy("id").orderBy("print")) - 1) / HANDFUL).alias("turn")
+    asked = pairs.select("id", "print", turn).join(items.withColumnsRenamed({"id": "print", "text": "item"}), "print")
+    asked = asked.groupBy("id", "turn").agg(F.collect_list(F.struct("print", "item")).alias("items"))
     near = maybe_among(rows, pairs, "id").join(asked, "id")
     schema = "key long, doc_id long, print long, n_windows long, n_matched long, containment double, slot_agreement double, verbatim boolean"
     out = near.mapInArrow(_kept(least), schema)
@@ -281,4 +285,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> D
     """doc_id, item_id, n_windows, n_matched, containment, slot_agreement, verbatim of each contaminated document and item."""
     out = contaminated_rows(docs, benchmark, least)
     best = F.max(F.struct("containment", "slot_agreement", "n_matched", "n_windows", "verbatim")).alias("x")
-    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.n_windows", "x.n_matched", "x.containment", "x.slot_agreement", "x.verbatim")
+    unnamed = F.when(F.col("doc_id").isNull(), F.col("key")).alias("unnamed")
+    return out.groupBy("doc_id", unnamed, "item_id").agg(best).select("doc_id", "item_id", "x.n_windows", "x.n_matched", "x.containment", "x.slot_agreement", "x.verbatim")
