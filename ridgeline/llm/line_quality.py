@@ -16,9 +16,10 @@ Normalised: A-Z lower-cased, digits 1-9 as 0, tab, VT, FF and CR as spaces,
 outer spaces cut. A line without a word doesn't count.
 
 Defined results: null text is empty (0 words, base_failed); null source is one
-host; null doc_id is one document for the line counts; repeated rows are one
-document for the counts and keep rows of their own in the result; an empty
-table gives an empty result; extra columns are ignored.
+host; rows without a doc_id are one document for the line counts if their texts
+are equal; repeated rows are one document for the counts and keep rows of their
+own in the result; an empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -82,14 +83,14 @@ def judge(docs: DataFrame, max_docs: int = 10, least_words: int = 20, least_shar
     or less than least_share of the words are left.
     """
     rows = base_features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text"))
-    rows = rows.withColumns({"lines": line_keys(F.col("__text"), F.col("source")), "row": F.monotonically_increasing_id()})
+    rows = rows.withColumns({"lines": line_keys(F.col("__text"), F.col("source")), "row": F.monotonically_increasing_id(), "who": F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("__text")))})
     rows = saved(rows.drop("text", "__text", "source"))
     keys = rows.select(F.explode(F.array_distinct(F.transform("lines", lambda x: x["k"]))).alias("k"))
     often = keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_docs).select("k")
-    lines = rows.select("row", F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.inline("lines"))
-    hits = saved(lines.join(often, "k").groupBy("row", "doc_id", "k").agg(F.sum("w").alias("w")))
+    lines = rows.select("row", "who", F.inline("lines"))
+    hits = saved(lines.join(often, "k").groupBy("row", "who", "k").agg(F.sum("w").alias("w")))
     # The first count took repeated rows as documents of their own; count them once.
-    common = hits.groupBy("k").agg(F.count_distinct("doc_id").alias("n")).filter(F.col("n") > max_docs).select("k")
+    common = hits.groupBy("k").agg(F.count_distinct("who").alias("n")).filter(F.col("n") > max_docs).select("k")
     removed = hits.join(common, "k").groupBy("row").agg(F.sum("w").alias("n_removed_words"))
     out = rows.drop("lines").join(removed, "row", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long")))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
@@ -107,9 +108,9 @@ r as (select rid, i from (select rid, i, count(*) over (partition by rid, win) a
 rep as (select rid, sum(least(8, coalesce(nxt - i, 8))) as n from (select rid, i, lead(i) over (partition by rid order by i) as nxt from r) group by rid),
 raw as (select rid, unnest(string_split(t, chr(10))) as line from d),
 dup as (select rid, sum(c - 1) as n from (select rid, line, count(*) as c from raw where regexp_matches(line, '[^\x20\x09-\x0D]') group by rid, line) group by rid),
-norm as (select rid, doc_id, source, trim(unnest(string_split(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789' || chr(9) || chr(11) || chr(12) || chr(13), 'abcdefghijklmnopqrstuvwxyz000000000    '), chr(10)))) as line from d),
-kept_lines as (select rid, doc_id, source, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as n from norm where regexp_matches(line, '[^\x20\x09-\x0D]')),
-common as (select source, line from kept_lines group by source, line having count(distinct coalesce(doc_id, -1)) > 10),
+norm as (select rid, coalesce(doc_id::varchar, 'text ' || t) as who, source, trim(unnest(string_split(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789' || chr(9) || chr(11) || chr(12) || chr(13), 'abcdefghijklmnopqrstuvwxyz000000000    '), chr(10)))) as line from d),
+kept_lines as (select rid, who, source, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as n from norm where regexp_matches(line, '[^\x20\x09-\x0D]')),
+common as (select source, line from kept_lines group by source, line having count(distinct who) > 10),
 gone as (select k.rid, sum(k.n) as n from kept_lines k join common c on k.line = c.line and k.source is not distinct from c.source group by k.rid),
 f as (
   select d.doc_id, len(w.ws)::bigint as n_words,
