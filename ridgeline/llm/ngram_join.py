@@ -22,7 +22,10 @@ each. The exchange of tokens that finds the candidates is packed: tasks send,
 for each token partition, arrays of 4-byte fingerprints, and get back only those
 that several sets hold. There a token is told apart by its partition and
 fingerprint; two that fall together can only add candidates. A set's name has
-64 bits.
+64 bits. A task has one token partition. Common tokens, those that more than
+COMMON of a few thousand sets hold, are known to be shared: they skip the
+partition of the token, which they could fill, and go to that of the set. How
+often they stand there decides only their place in the first order.
 
 Defined results: null or wordless text has an empty set, is linked with
 nothing and is its own component; fewer words than n make one token; repeated
@@ -37,7 +40,8 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm.common import WORD, maybe_among, row_key, saved, surely_not_among
@@ -45,10 +49,13 @@ from ridgeline.llm.graph import components
 from ridgeline.llm.text import mix, shingle_sets
 
 ORDERS = 3
-#: Sets in a block; tokens in a partition of the exchange, which bounds a task's memory, and its fewest partitions.
+#: Sets in a block; tokens in a partition of the exchange, and its fewest partitions.
 BLOCK = 512
 PART_TOKENS = 2_000_000
 LEAST_PARTS = 16
+#: Sets that common tokens are looked for in, about, and the share of them that holds one.
+LOOK = 8192
+COMMON = 0.01
 
 
 def _node(tokens: np.ndarray) -> int:
@@ -78,9 +85,10 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in _PACK.split(", ")])
 
 
-def _dealt(k: int, parts: int):
+def _dealt(k: int, parts: int, common: Broadcast):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each batch's sets, cut by token partition: nodes, tokens of each, fingerprints."""
+        """Each batch's sets, cut by token partition: nodes, tokens of each, fingerprints; common tokens by set partition, with their class."""
+        known, classes = common.value
         for batch in batches:
             sets = {}
             for s in shingle_sets(batch.column("text"), k):
@@ -90,9 +98,18 @@ def _dealt(k: int, parts: int):
                 continue
             nodes, sizes = np.fromiter(sets, np.int64, len(sets)), np.array([len(s) for s in sets.values()])
             tokens = np.concatenate(list(sets.values()))
+            of = np.repeat(np.arange(len(nodes)), sizes)
+            if len(known):
+                spot = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+                hot = known[spot] == tokens
+                if hot.any():
+                    yield _batch(_sent_on(nodes, of[hot], tokens[hot], classes[spot[hot]], parts))
+                    of, tokens = of[~hot], tokens[~hot]
+            if not len(tokens):
+                continue
             part = ((tokens >> np.uint64(32)) % np.uint64(parts)).astype(np.uint16 if parts < 65536 else np.uint32)
             order = np.argsort(part, kind="stable")
-            of, part, prints = np.repeat(np.arange(len(nodes)), sizes)[order], part[order], tokens[order].astype(np.uint32)
+            of, part, prints = of[order], part[order], tokens[order].astype(np.uint32)
             new = np.ones(len(order), bool)
             new[1:] = (part[1:] != part[:-1]) | (of[1:] != of[:-1])
             first = np.flatnonzero(new)
@@ -107,6 +124,20 @@ def _dealt(k: int, parts: int):
     return deal
 
 
+def _sent_on(nodes: np.ndarray, of: np.ndarray, tokens: np.ndarray, classes: np.ndarray, parts: int) -> list[tuple]:
+    """Packs for the partitions of the sets, one for each of them and token partition."""
+    to, at = np.mod(nodes, parts)[of], ((tokens >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((of, at, to))
+    of, to, at, prints, classes = of[order], to[order], at[order], tokens[order].astype(np.uint32), classes[order]
+    cuts = np.flatnonzero((np.diff(to, prepend=-1) != 0) | (np.diff(at, prepend=-1) != 0))
+    out = []
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(of)], strict=True):
+        first = np.flatnonzero(np.diff(of[a:b], prepend=-1))
+        counts = np.diff(np.append(first, b - a)).astype(np.uint32)
+        out.append(_pack(int(to[a]), int(at[a]), None, 1, nodes[of[a:b][first]], counts, prints[a:b], classes[a:b]))  # n marks them
+    return out
+
+
 def _gathered(batches: Iterator[pa.RecordBatch]) -> dict[int, list[dict]]:
     out: dict[int, list[dict]] = {}
     for batch in batches:
@@ -123,6 +154,12 @@ def _shared(parts: int):
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each token partition what several nodes hold, sent on by node."""
         for at, rows in _gathered(batches).items():
+            once_known = [r for r in rows if r["classes"] is not None]
+            if once_known:  # common tokens are where they belong
+                yield _batch([tuple(r[x.split()[0]] for x in _PACK.split(", ")) for r in once_known])
+            rows = [r for r in rows if r["classes"] is None]
+            if not rows:
+                continue
             nodes, counts, prints = _joined(rows, "nodes", np.int64), _joined(rows, "counts", np.uint32), _joined(rows, "prints", np.uint32)
             _, once = np.unique(nodes, return_index=True)  # copies in other batches bring the same tokens
             keep = np.zeros(len(nodes), bool)
@@ -172,7 +209,11 @@ def _prefixed(percent: int):
             names = np.zeros(of.max() + 1, np.int64)
             names[of] = nodes
             owner = np.repeat(of, counts)
-            order = np.argsort(owner, kind="stable")
+            hot = np.repeat([r["n"] is not None for r in packs], [len(r["prints"]) // 4 for r in packs])
+            order = np.lexsort((tokens, hot, owner))
+            again = np.zeros(len(order), bool)  # common tokens come from every batch that holds a copy of the set
+            again[1:] = hot[order[1:]] & hot[order[:-1]] & (owner[order[1:]] == owner[order[:-1]]) & (tokens[order[1:]] == tokens[order[:-1]])
+            order = order[~again]
             owner, tokens, classes = owner[order], tokens[order], classes[order]
             edges = np.searchsorted(owner, np.arange(len(names) + 1))
             out = []
@@ -244,6 +285,23 @@ def _verified(percent: int):
     return verify
 
 
+def _common(rows: DataFrame, named: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens that more than COMMON of about LOOK sets hold, in order, and their classes among all sets.
+
+    They are at most 1 / COMMON times the sets' mean size. Which tokens are
+    found changes what is exchanged and the first order, not what is linked.
+    """
+    many = named.count()
+    look = rows.filter(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(max(many // LOOK, 1))) == 0)
+    sets = look.select("text").mapInArrow(_tokens(k), "node long, n long, tokens array<long>").filter("n > 0").dropDuplicates(["node"])
+    sets = saved(sets.select("tokens"))
+    seen = sets.count()
+    held = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(COMMON * seen, 8)).toArrow()
+    tokens, n = held.column("token").to_numpy().view(np.uint64), held.column("n").to_numpy()
+    order = np.argsort(tokens)
+    return tokens[order], np.minimum(np.log2(np.maximum(n[order] * (many / max(seen, 1)), 2)) * 8, 255).astype(np.uint8)
+
+
 def similar_rows(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, key, n_shingles, component_id, first for every row of docs (columns doc_id, text).
 
@@ -254,12 +312,13 @@ def similar_rows(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     named = saved(rows.mapInArrow(_named(k), "doc_id long, key long, node long, n_shingles long"))
     total = named.agg(F.sum("n_shingles")).first()[0] or 0
     parts = max(-(-total // PART_TOKENS), LEAST_PARTS)
-    dealt = rows.select("text").mapInArrow(_dealt(k, parts), _PACK).repartition(parts, "part")
+    common = docs.sparkSession.sparkContext.broadcast(_common(rows, named, k))
+    dealt = rows.select("text").mapInArrow(_dealt(k, parts, common), _PACK).repartitionById(parts, "part")
     shared = dealt.mapInArrow(_shared(parts), _PACK)
     sizes = named.filter("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n"))
     none = F.lit(None).cast("binary")
     sizes = sizes.select(F.pmod("node", F.lit(parts)).cast("int").alias("part"), F.lit(-1).alias("at"), "node", "n", *[none.alias(c) for c in ("nodes", "counts", "prints", "classes")])
-    found = saved(shared.unionByName(sizes).repartition(parts, "part").mapInArrow(_prefixed(percent), _CANDIDATE))
+    found = saved(shared.unionByName(sizes).repartitionById(parts, "part").mapInArrow(_prefixed(percent), _CANDIDATE))
     groups = components(_stars(found.select("node", F.explode("prefix0").alias("token")), "token"))
     for i in range(1, ORDERS):
         entries = found.join(saved(groups), "node").select("node", "label", F.explode(f"prefix{i}").alias("token"))
@@ -311,19 +370,3 @@ def keep_first(docs: DataFrame, joined: DataFrame) -> DataFrame:
     near = maybe_among(own, asked, "__key").dropDuplicates(["__key"]).join(asked, "__key", "left").filter("__stays is null or __stays")
     far = surely_not_among(own, asked, "__key").unionByName(marked.filter(wordless))
     return far.select(*docs.columns).unionByName(near.select(*docs.columns))
-
-
-def keep_one(docs: DataFrame, joined: DataFrame) -> DataFrame:
-    """The rows of docs without those that are not the smallest doc_id of their component.
-
-    Rows that share a doc_id go or stay together, but of equal texts under one
-    doc_id one row stays. Rows with a null doc_id stay.
-    """
-    ids = joined.filter("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count(F.lit(1)).alias("n"))
-    asked = saved(ids.filter("not stays or n > 1").select(F.col("doc_id").alias("__id"), "stays"))
-    marked = docs.withColumn("__id", F.col("doc_id").cast("long"))
-    near = maybe_among(marked, asked, "__id").join(asked.withColumnRenamed("stays", "__stays"), "__id", "left")
-    turn = F.row_number().over(Window.partitionBy("__id", F.xxhash64("text"), F.length("text")).orderBy(F.lit(0)))
-    near = near.withColumn("__turn", turn).filter("__stays is null or __stays and __turn = 1 or __id is null")
-    far = surely_not_among(marked, asked, "__id")
-    return far.select(*docs.columns).unionByName(near.select(*docs.columns))
