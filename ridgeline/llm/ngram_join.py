@@ -52,6 +52,8 @@ ORDERS = 3
 #: Sets in a block; tokens in a partition of the exchange, and its fewest partitions.
 BLOCK = 512
 PART_TOKENS = 2_000_000
+#: Tokens that are packed at a time.
+PACK_TOKENS = 500_000
 LEAST_PARTS = 16
 #: Sets that common tokens are looked for in, about, and the share of them that holds one.
 LOOK = 8192
@@ -97,33 +99,41 @@ def _dealt(k: int, parts: int, common: Broadcast):
             if not sets:
                 continue
             nodes, sizes = np.fromiter(sets, np.int64, len(sets)), np.array([len(s) for s in sets.values()])
-            tokens = np.concatenate(list(sets.values()))
-            of = np.repeat(np.arange(len(nodes)), sizes)
-            if len(known):
-                spot = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-                hot = known[spot] == tokens
-                if hot.any():
-                    yield _batch(_sent_on(nodes, of[hot], tokens[hot], classes[spot[hot]], parts))
-                    of, tokens = of[~hot], tokens[~hot]
-            if not len(tokens):
-                continue
-            part = ((tokens >> np.uint64(32)) % np.uint64(parts)).astype(np.uint16 if parts < 65536 else np.uint32)
-            order = np.argsort(part, kind="stable")
-            of, part, prints = of[order], part[order], tokens[order].astype(np.uint32)
-            new = np.ones(len(order), bool)
-            new[1:] = (part[1:] != part[:-1]) | (of[1:] != of[:-1])
-            first = np.flatnonzero(new)
-            counts = np.diff(np.append(first, len(order))).astype(np.uint32)
-            edges = np.append(np.flatnonzero(np.diff(part[first].astype(np.int64), prepend=-1)), len(first))
-            rows = []
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                end = first[b] if b < len(first) else len(order)
-                rows.append(_pack(int(part[first[a]]), 0, None, None, nodes[of[first[a:b]]], counts[a:b], prints[first[a] : end], None))
-            yield _batch(rows)
+            every = list(sets.values())
+            cuts = np.unique(np.append(np.searchsorted(np.cumsum(sizes), np.arange(0, sizes.sum(), PACK_TOKENS)), len(sizes)))
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                rows = _packs(nodes[lo:hi], every[lo:hi], known, classes, parts)
+                if rows:
+                    yield _batch(rows)
 
     return deal
 
 
+def _packs(nodes: np.ndarray, sets: list[np.ndarray], known: np.ndarray, classes: np.ndarray, parts: int) -> list[tuple]:
+    tokens = np.concatenate(sets)
+    of, out = np.repeat(np.arange(len(nodes)), [len(s) for s in sets]), []
+    if len(known):
+        spot = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+        hot = known[spot] == tokens
+        if hot.any():
+            out = _sent_on(nodes, of[hot], tokens[hot], classes[spot[hot]], parts)
+            of, tokens = of[~hot], tokens[~hot]
+    if not len(tokens):
+        return out
+    part = ((tokens >> np.uint64(32)) % np.uint64(parts)).astype(np.uint16 if parts < 65536 else np.uint32)
+    order = np.argsort(part, kind="stable")
+    of, part, prints = of[order], part[order], tokens[order].astype(np.uint32)
+    new = np.ones(len(order), bool)
+    new[1:] = (part[1:] != part[:-1]) | (of[1:] != of[:-1])
+    first = np.flatnonzero(new)
+    counts = np.diff(np.append(first, len(order))).astype(np.uint32)
+    edges = np.append(np.flatnonzero(np.diff(part[first].astype(np.int64), prepend=-1)), len(first))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        end = first[b] if b < len(first) else len(order)
+        out.append(_pack(int(part[first[a]]), 0, None, None, nodes[of[first[a:b]]], counts[a:b], prints[first[a] : end], None))
+    return out
+
+
 def _sent_on(nodes: np.ndarray, of: np.ndarray, tokens: np.ndarray, classes: np.ndarray, parts: int) -> list[tuple]:
     """Packs for the partitions of the sets, one for each of them and token partition."""
     to, at = np.mod(nodes, parts)[of], ((tokens >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
@@ -210,10 +220,14 @@ def _prefixed(percent: int):
             names[of] = nodes
             owner = np.repeat(of, counts)
             hot = np.repeat([r["n"] is not None for r in packs], [len(r["prints"]) // 4 for r in packs])
-            order = np.lexsort((tokens, hot, owner))
-            again = np.zeros(len(order), bool)  # common tokens come from every batch that holds a copy of the set
-            again[1:] = hot[order[1:]] & hot[order[:-1]] & (owner[order[1:]] == owner[order[:-1]]) & (tokens[order[1:]] == tokens[order[:-1]])
-            order = order[~again]
+            keep = ~hot  # common tokens come from every batch that holds a copy of the set
+            some = np.flatnonzero(hot)
+            some = some[np.lexsort((tokens[some], owner[some]))]
+            new = np.ones(len(some), bool)
+            new[1:] = (owner[some[1:]] != owner[some[:-1]]) | (tokens[some[1:]] != tokens[some[:-1]])
+            keep[some[new]] = True
+            owner, tokens, classes = owner[keep], tokens[keep], classes[keep]
+            order = np.argsort(owner, kind="stable")
             owner, tokens, classes = owner[order], tokens[order], classes[order]
             edges = np.searchsorted(owner, np.arange(len(names) + 1))
             out = []
