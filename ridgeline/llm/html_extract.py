@@ -1,27 +1,38 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
 A page is cut into blocks of text at block-level tags. The graph has a node for
-each block and for each container around blocks. A linear classifier gives
-every node a score: a block's by its words, link density and tag, a container's
-by its tag and the names in its attributes. A positive score is the capacity
-from the source (content), a negative one the capacity to the sink
-(boilerplate). Smoothness edges join each block to its container, each
-container to the one around it, and consecutive blocks, the weaker the farther
-apart they stand in the document tree. The minimum cut is the labelling of
-least cost: a short line between paragraphs stays with them, a long text in a
-footer goes with the footer. Nodes whose own score outweighs all their edges
-are fixed first (that is exact), and maximum flow runs on the rest.
-
-Pages are independent, so this is one scan: no shuffle, and memory for one
+each block and for each container around blocks. A linear classifier gives each
+block a score from its words, links, tag and ending, from whether it stands in
+the page's article or, where there is one, outside of it, and from marks of
+boilerplate around it (tags, and names in attributes). A positive score is the
+capacity from the source (content), a negative one the capacity to the sink
+(boilerplate), MOST at most. Smoothness edges join each block to its container,
+each container to the one around it, and consecutive blocks, the weaker the
+farther apart they stand in the document tree. Containers have no capacity of
+their own. The minimum cut is the labelling of least cost: a short line between
+paragraphs stays with them, a sentence among menu entries goes with them. Within a
+run of blocks the edges of a block together outweigh any score. The cut is found
+by maximum flow over all blocks and containers; only on pages of more than
+FLOW_NODES of them are nodes whose score outweighs their edges fixed first,
+which is exact too.
+
+The weights are fitted (``fit``) on the pages' own structure: pages with an
+article element label their blocks, in it and without a mark or not. Each page
+counts twice, as it is and without what its structure says, so that text alone
+must also tell. The fit starts from PRIOR, which stands for EVIDENCE blocks less
+than the sample; LEARN pages and LEARN_BLOCKS of each, spread evenly, are its bound.
+
+Pages are independent, so extraction is one scan: no shuffle, and memory for one
 batch of pages. Reading a page takes time in proportion to its length, whatever
 stands in it.
 
 Defined results: null or empty html, and pages whose blocks are all
-boilerplate, give an empty text; unclosed tags end where a container ends; an
-unclosed comment, script or style swallows the rest as browsers do; a < after
-the last > is text; from an attribute whose quote never closes on, quotes are
-not looked at; repeated rows are extracted each; extra columns are ignored; an
-empty table gives an empty result.
+boilerplate, give an empty text; hidden parts are no blocks; unclosed tags end
+where a container ends; an unclosed comment, script or style swallows the rest as
+browsers do; a < after the last > is text; from an attribute whose quote never
+closes on, quotes are not looked at; a button within a paragraph, heading or list
+item is text of it; repeated rows are extracted each; extra columns are ignored;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,6 +44,7 @@ from collections.abc import Iterator
 from html import unescape
 from math import log1p
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,33 +55,44 @@ _NAMES = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _WORDS = re.compile(r"[a-z]+")
-RAW = frozenset("script style noscript template svg iframe title textarea select option button annotation annotation-xml object canvas audio video".split())
+RAW = frozenset("script style noscript template svg iframe title textarea select option annotation annotation-xml object canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINER = frozenset("html body div section article main nav header footer aside form ul ol dl table thead tbody tfoot tr td th figure blockquote details dialog fieldset menu address center".split())
 LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre figcaption caption legend label summary hr".split())
 AGAINST_TAG = frozenset("nav header footer aside form menu dialog fieldset".split())
 FOR_TAG = frozenset("article main".split())
+#: Names of boilerplate, and names that parts of an article may have too.
 AGAINST_NAME = frozenset(
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side rail footer header masthead topbar toolbar ad ads adv advert adverts advertisement advertorial banner promo promoted promotion sponsor sponsored"
-    " cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login register share sharing social related recommended recommendations"
-    " comment comments commentlist discussion disqus respond reply replies reactions form search widget widgets pagination pager copyright legal disclaimer complementary contentinfo teaser outbrain taboola".split()
+    "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar footer header topbar toolbar ad ads adv advert adverts advertisement advertorial banner sponsor sponsored"
+    " cookie cookies consent gdpr newsletter subscribe subscription signup login sharing comment comments commentlist disqus pagination pager complementary contentinfo outbrain taboola".split()
+)
+WEAK_NAME = frozenset(
+    "side rail masthead promo promoted promotion notice notices notification alert popup modal overlay register share social related recommended recommendations"
+    " discussion respond reply replies reactions form search widget widgets copyright legal disclaimer teaser".split()
 )
 FOR_NAME = frozenset("article content main post entry story body text articlebody".split())
 
-#: The classifier's weights for blocks, and how much text counts.
-BIAS, PER_LOG_WORD, PER_LINK_SHARE, PARAGRAPH, ITEM, MOST_LOG = -1.2, 0.9, -4.0, 0.5, -0.5, 6.0
-#: The classifier's weights for containers: the article, a part named for content, boilerplate.
-ARTICLE, NAMED, MARKED = 6.0, 4.0, -7.0
-#: Smoothness: a block and its container, containers, consecutive blocks of one container.
-INSIDE, AROUND, NEXT = 1.0, 0.5, 1.0
+#: What the classifier sees of a block; STRUCTURE is what the page's structure says.
+FEATURES = ("bias", "log_words", "link_share", "paragraph", "heading", "item", "ending", "in_article", "outside", "marked", "weakly", "own_mark", "own_weak", "alone")
+STRUCTURE = FEATURES.index("in_article")
+PRIOR = np.array([-1.2, 0.9, -4.0, 0.8, 0.8, -0.6, 0.2, 2.0, -3.0, -12.0, -0.8, -10.0, -0.8, 2.5])
+MOST_LOG = 6.0
+#: Pages and blocks of each that are learned from, the blocks that they count as, and the prior's variance.
+LEARN, LEARN_BLOCKS, EVIDENCE, VARIANCE = 2000, 64, 300.0, 1.0
+#: Largest capacity of a block. Smoothness: a block and its container, containers, consecutive blocks of one container.
+MOST, INSIDE, AROUND, NEXT = 3.0, 0.6, 0.4, 1.4
+#: Nodes that go to maximum flow as they are.
+FLOW_NODES = 1024
 
 
 class _Block:
-    __slots__ = ("parts", "links", "tag", "place", "bad", "rank", "outer", "inner", "reset", "form", "apart", "good")
+    __slots__ = ("parts", "links", "tag", "place", "hidden", "own", "weak", "rank", "outer", "inner", "reset", "form", "apart", "inside", "outside", "marked")
 
-    def __init__(self, tag: str, own: int, inside: _Inside, apart: int):
+    def __init__(self, tag: str, own: tuple[int, int, int], inside: _Inside, apart: int):
         self.parts, self.links, self.tag, self.place, self.apart = [], 0, tag, inside.number, apart
-        self.bad, self.good = inside.hidden | own, False
+        #: Whether it is shown, its own names (of boilerplate, weak ones), and weak names around it.
+        self.hidden, self.own, self.weak = inside.hidden | own[0], own[1:], inside.weak
+        self.inside = self.outside = self.marked = False
         #: What holds the block (2: article or main, 1: a name for content), and the marks as boilerplate outside and inside of that.
         self.rank, self.outer, self.inner, self.reset, self.form = inside.rank, inside.outer, inside.inner, inside.reset, inside.form
 
@@ -82,12 +105,12 @@ class _Form:
 
 
 class _Inside:
-    """An open container: hidden, what holds it, and its marks."""
+    """An open container: hidden, what holds it, its marks, and weak names within what holds it."""
 
-    __slots__ = ("tag", "number", "hidden", "rank", "outer", "inner", "reset", "form")
+    __slots__ = ("tag", "number", "hidden", "rank", "outer", "inner", "reset", "form", "weak")
 
-    def __init__(self, tag: str, number: int, hidden: int, rank: int, outer: float, inner: int, reset: int, form: _Form | None):
-        self.tag, self.number, self.hidden, self.rank, self.outer, self.inner, self.reset, self.form = tag, number, hidden, rank, outer, inner, reset, form
+    def __init__(self, tag: str, number: int, hidden: int, rank: int, outer: float, inner: int, reset: int, form: _Form | None, weak: int):
+        self.tag, self.number, self.hidden, self.rank, self.outer, self.inner, self.reset, self.form, self.weak = tag, number, hidden, rank, outer, inner, reset, form, weak
 
 
 def _hidden(attributes: str) -> bool:
@@ -98,18 +121,19 @@ def _hidden(attributes: str) -> bool:
     return False
 
 
-def _names(attributes: str) -> tuple[int, int]:
-    """(names for content, names for boilerplate) in the attributes."""
-    good = bad = 0
+def _names(attributes: str) -> tuple[int, int, int]:
+    """(names for content, names of boilerplate, weak ones) in the attributes."""
+    good = bad = weak = 0
     for m in _NAMES.finditer(attributes):
         for w in _WORDS.findall((m[1] or m[2] or m[3] or "").lower()):
             good |= w in FOR_NAME
             bad |= w in AGAINST_NAME
-    return good, bad
+            weak |= w in WEAK_NAME
+    return good, bad, weak
 
 
 def _judge(blocks: list[_Block], forms: list[_Form]) -> int:
-    """Sets bad of the blocks that stand in boilerplate and good of the article's; returns the article's rank.
+    """Sets inside of the article's blocks, outside of the others where there is one, and marked; returns the article's rank.
 
     A form that holds most of the page's words is no mark. A mark around the
     article (or, where there is none, around the part named as content) is no
@@ -136,18 +160,18 @@ def _judge(blocks: list[_Block], forms: list[_Form]) -> int:
         if b.form and b.form.n_wide:
             outside = bisect_left(wide, b.reset, 0, b.form.n_wide)
             b.outer, b.inner = b.outer - outside, b.inner - (b.form.n_wide - outside)
-    open_ = sum(w for b, w in zip(blocks, words, strict=True) if not (b.bad or b.outer or b.inner))
+    open_ = sum(w for b, w in zip(blocks, words, strict=True) if not (b.hidden or b.outer or b.inner))
     rank = depth = 0
     for k in (2, 1):
-        part = [(b.outer, w) for b, w in zip(blocks, words, strict=True) if w and b.rank == k and not b.bad and not b.inner]
+        part = [(b.outer, w) for b, w in zip(blocks, words, strict=True) if w and b.rank == k and not b.hidden and not b.inner]
         least = min((n for n, _ in part), default=0)
         if part and (not least or sum(w for n, w in part if n == least) >= open_):
             rank, depth = k, least
             break
     for b in blocks:
-        marked = b.inner > 0 or b.outer > (depth if b.rank == rank else 0)
-        b.good = bool(rank) and b.rank == rank and not marked and not b.bad
-        b.bad = 2 if marked else b.bad
+        b.marked = b.inner > 0 or b.outer > (depth if b.rank == rank else 0)
+        b.inside = bool(rank) and b.rank == rank and b.outer <= depth
+        b.outside = rank == 2 and not b.inside
     return rank
 
 
@@ -155,11 +179,12 @@ def blocks_of(html: str) -> tuple[list[_Block], list[int], int]:
     """The blocks with text in page order, judged by what stands around them; the container around each container; the article's rank."""
     out: list[_Block] = []
     around = [0]
-    stack = [_Inside("", 0, 0, 0, 0.0, 0, 0, None)]
+    stack = [_Inside("", 0, 0, 0, 0.0, 0, 0, None, 0)]
     n_open: dict[str, int] = {}
     forms: list[_Form] = []
-    block = _Block("", 0, stack[0], 0)
-    at, in_link, low, size, end, quoted = 0, 0, 1, len(html), html.rfind(">"), True
+    block = _Block("", (0, 0, 0), stack[0], 0)
+    at, in_link, size, end, quoted = 0, 0, len(html), html.rfind(">"), True
+    low = last = level = 1  # open containers: the fewest since the last block, its own, the next one's
 
     def text(a: int, b: int) -> None:
         if b > a:
@@ -168,13 +193,13 @@ def blocks_of(html: str) -> tuple[list[_Block], list[int], int]:
             if in_link:
                 block.links += len(s)
 
-    def flush(tag: str, own: int = 0) -> None:
-        nonlocal block, low
+    def flush(tag: str, own: tuple[int, int, int] = (0, 0, 0)) -> None:
+        nonlocal block, low, last, level
         if block.parts:
             out.append(block)
-            low = len(stack)
-        low = min(low, len(stack))
-        block = _Block(tag, own, stack[-1], len(stack) - low)
+            last = low = level
+        low, level = min(low, len(stack)), len(stack)
+        block = _Block(tag, own, stack[-1], last - low + level - low)  # steps up and down the tree since the block before
 
     while at < size:
         start = html.find("<", at)
@@ -225,6 +250,9 @@ def blocks_of(html: str) -> tuple[list[_Block], list[int], int]:
         if tag in RAW and not rest.endswith("/"):
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at, end + 1)
             at = size if close is None else close.end()
+        elif tag == "button" and block.tag not in LEAF:
+            close = re.compile(r"</button\b[^>]*>", re.I).search(html, at, end + 1)
+            at = size if close is None else close.end()
         elif tag == "br":
             block.parts.append(" ")
         elif tag == "a":
@@ -233,35 +261,36 @@ def blocks_of(html: str) -> tuple[list[_Block], list[int], int]:
             inside, number = stack[-1], len(around)
             around.append(inside.number)
             page = tag in ("html", "body")  # names there speak of the whole page
-            good, bad = _names(rest) if rest and not page else (0, 0)
+            good, bad, weak = _names(rest) if rest and not page else (0, 0, 0)
             hidden = inside.hidden | bool(rest and not page and _hidden(rest))
-            against = tag in AGAINST_TAG and not (tag == "header" and inside.tag in FOR_TAG)
+            against = tag in AGAINST_TAG and not (tag == "header" and inside.rank == 2)
             rank, outer, inner, reset, form = inside.rank, inside.outer, inside.inner, inside.reset, inside.form
             if tag == "form" and not bad:
                 form = _Form(number, form)
                 forms.append(form)
-            mark = float(bad or against)
+            mark, around_weak = float(bad or against), inside.weak
             opens = 2 if tag in FOR_TAG else int(good and not mark)
             if opens == 2 or opens > rank:
-                rank, outer, inner, reset = opens, outer + inner, 0, number
+                rank, outer, inner, reset, around_weak = opens, outer + inner, 0, number, 0
                 if good:  # an article named for both, as by its categories, is judged like what is around it
                     outer, mark = outer + mark / 2, 0.0
-            stack.append(_Inside(tag, number, hidden, rank, outer, inner + int(mark), reset, form))
+            stack.append(_Inside(tag, number, hidden, rank, outer, inner + int(mark), reset, form, around_weak | weak))
             n_open[tag] = n_open.get(tag, 0) + 1
             flush("")
         elif tag in LEAF:
-            _, bad = _names(rest) if rest else (0, 0)
-            flush(tag, bad | bool(rest and _hidden(rest)))
+            _, bad, weak = _names(rest) if rest else (0, 0, 0)
+            flush(tag, (int(bool(rest and _hidden(rest))), bad, weak))
     flush("")
     return out, around, _judge(out, forms)
 
 
-def score(block: _Block, text: str) -> float:
-    """The classifier's score of a block by itself."""
+def features(block: _Block, text: str, alone: bool) -> list[float]:
+    """The block's FEATURES; alone: the page has no other."""
     share = min(1.0, block.links / max(1, sum(map(len, block.parts))))
-    s = BIAS + PER_LOG_WORD * min(log1p(text.count(" ") + 1), MOST_LOG) + PER_LINK_SHARE * share
-    s += PARAGRAPH if block.tag == "p" or block.tag[:1] == "h" and block.good else ITEM if block.tag in ("li", "label", "dt") else 0.0
-    return s + MARKED if block.bad == 1 else s  # hidden, or a name of its own
+    heading = block.tag[:1] == "h" and block.tag != "hr"
+    ending = text[-1:] in ".!?:;\"'”’»…。"
+    words = min(log1p(text.count(" ") + 1), MOST_LOG)
+    return [1.0, words, share, block.tag == "p", heading, block.tag in ("li", "label", "dt"), ending, block.inside, block.outside, block.marked, block.weak, *block.own, alone]
 
 
 def min_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -274,7 +303,7 @@ def min_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bo
     own, fixed = list(scores), [None] * n
     # A node whose own capacity outweighs its edges is decided; its edges become capacities of its neighbours.
     weight = [sum(x.values()) for x in near]
-    queue = deque(range(n))
+    queue = deque(range(n) if n > FLOW_NODES else ())
     while queue:
         i = queue.popleft()
         if fixed[i] is None and abs(own[i]) > weight[i] + 1e-9:
@@ -335,47 +364,91 @@ def _blocking(residual: dict[int, dict[int, float]], layer: dict[int, int], sour
             path.append(now[a])
 
 
-def labelled(html: str) -> list[tuple[str, float, bool]]:
-    """(text, the classifier's score of the block alone, label of the minimum cut) of the page's blocks."""
+def _shown(html: str) -> tuple[list[_Block], list[str], list[int], int]:
+    """Blocks that are shown and have text, their texts, the container around each container, and the article's rank."""
     found, around, rank = blocks_of(html)
-    blocks, texts = [], []
-    for b in found:
-        s = " ".join(unescape("".join(b.parts)).split())
-        if s:
-            blocks.append(b)
-            texts.append(s)
-    scores = [score(b, s) for b, s in zip(blocks, texts, strict=True)]
+    texts = [" ".join(unescape("".join(b.parts)).split()) if not b.hidden else "" for b in found]
+    kept = [(b, t) for b, t in zip(found, texts, strict=True) if t]
+    return [b for b, _ in kept], [t for _, t in kept], around, rank
+
+
+def labelled(html: str, weights: np.ndarray = PRIOR) -> list[tuple[str, float, bool]]:
+    """(text, the block's score, label of the minimum cut) of the page's blocks."""
+    blocks, texts, around, _ = _shown(html)
+    if not blocks:
+        return []
+    scores = np.clip(np.array([features(b, t, len(blocks) == 1) for b, t in zip(blocks, texts, strict=True)], float) @ weights, -MOST, MOST).tolist()
     nodes: dict[int, int] = {}  # containers around blocks
-    edges, containers = [], []
+    edges = []
     for i, b in enumerate(blocks):
         c = b.place
         while c not in nodes:
-            nodes[c] = len(blocks) + len(containers)
-            containers.append(0.0)
+            nodes[c] = len(blocks) + len(nodes)
             c = around[c]
-        # A container speaks for each of its blocks, so its weight grows with them.
-        says = MARKED if b.bad == 2 else (ARTICLE if rank == 2 else NAMED) if b.good else 0.0
-        containers[nodes[b.place] - len(blocks)] += says + (says > 0) - (says < 0)
-        edges.append((nodes[b.place], i, max(INSIDE, abs(says))))
+        edges.append((nodes[b.place], i, INSIDE))
         if i:
             edges.append((i - 1, i, NEXT / (1 + b.apart)))
     edges += [(nodes[around[c]], k, AROUND) for c, k in nodes.items() if c]
-    keep = min_cut(scores + containers, edges)
+    keep = min_cut(scores + [0.0] * len(nodes), edges)
     return list(zip(texts, scores, keep[: len(blocks)], strict=True))
 
 
-def main_text(html: str | None) -> str:
-    return "\n".join(s for s, _, keep in labelled(html) if keep) if html else ""
+def main_text(html: str | None, weights: np.ndarray = PRIOR) -> str:
+    return "\n".join(s for s, _, keep in labelled(html, weights) if keep) if html else ""
+
+
+def examples(html: str) -> list[tuple[list[float], bool]]:
+    """(features, whether it is content) of blocks of a page with an article element; none of another page."""
+    blocks, texts, _, rank = _shown(html)
+    if rank != 2:
+        return []
+    chosen = sorted({k * len(blocks) // LEARN_BLOCKS for k in range(LEARN_BLOCKS)}) if len(blocks) > LEARN_BLOCKS else range(len(blocks))
+    return [(features(blocks[k], texts[k], len(blocks) == 1), blocks[k].inside and not blocks[k].marked and not any(blocks[k].own)) for k in chosen]
+
+
+def fitted(rows: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """Weights of the logistic classifier around PRIOR; every row counts as it is and without its structure."""
+    bare = rows.copy()
+    bare[:, STRUCTURE:] = 0
+    x, y, w = np.concatenate([rows, bare]), np.concatenate([content, content]).astype(float), PRIOR.copy()
+    if not len(x):
+        return w
+    share = min(1.0, EVIDENCE / len(x))
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = share * (x.T @ (p - y)) + (w - PRIOR) / VARIANCE
+        bend = share * (x.T * (p * (1 - p))) @ x + np.eye(len(w)) / VARIANCE
+        w = w - np.linalg.solve(bend, slope)
+    return w
+
+
+def fit(pages: DataFrame, learn: int = LEARN) -> np.ndarray:
+    """The classifier's weights, from at most that many pages with an article element (those of the lowest hashes)."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [x for html in batch.column("html").to_pylist() for x in examples(html)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.list_(pa.float64())), pa.array([y for _, y in found], pa.bool_())], ["x", "y"])
+
+    html = F.col("html").cast("string")
+    rows = pages.select(html.alias("html"), F.xxhash64(F.col("page_id").cast("long"), html).alias("turn")).filter(F.col("html").rlike(r"(?i)<(article|main)\b"))
+    found = rows.orderBy("turn").limit(learn).select("html").mapInArrow(emit, "x array<double>, y boolean").toArrow()  # learn * LEARN_BLOCKS rows
+    x = found.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES))
+    return fitted(x, found.column("y").to_numpy())
+
 
+def _extracted(weights: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [main_text(x.as_py(), weights) for x in batch.column("html")]
+            chars = pa.array([len(x) for x in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), chars], ["page_id", "url", "text", "n_chars"])
 
-def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [main_text(x.as_py()) for x in batch.column("html")]
-        chars = pa.array([len(x) for x in texts], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), chars], ["page_id", "url", "text", "n_chars"])
+    return run
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars for every row of pages."""
+def extract(pages: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
+    """page_id, url, text, n_chars for every row of pages; weights are those of ``fit`` on the pages themselves unless given."""
+    weights = fit(pages) if weights is None else weights
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(_extracted(weights), "page_id long, url string, text string, n_chars long")

@@ -517,11 +517,62 @@ def test_the_cut_decides_where_a_block_alone_would_not():
     from ridgeline.llm.html_extract import labelled
 
     rng = random.Random(15)
-    first, last, long_footer = (prose(rng, n) for n in (60, 30, 90))
-    page = f"<body><div><p>{first}</p><p>Of.</p><p>{last}</p></div><footer><p>{long_footer}</p></footer></body>"
+    first, last, entry, long_footer = (prose(rng, n) for n in (60, 30, 9, 90))
+    menu = "".join(f"<li><a href=x>{prose(rng, 2)}</a></li>" for _ in range(3))
+    page = f"<body><ul>{menu}<li>{entry}</li>{menu}</ul><div><p>{first}</p>Of<p>{last}</p></div><footer><p>{long_footer}</p></footer></body>"
     found = labelled(page)
-    assert [k for _, _, k in found] == [True, True, True, False]
-    assert [s > 0 for _, s, _ in found] == [True, False, True, True]
+    assert [k for _, _, k in found] == [False] * 7 + [True, True, True, False]
+    assert [s > 0 for _, s, _ in found] == [False] * 3 + [True] + [False] * 3 + [True, False, True, False]
+
+
+INNER = [
+    ('<section class="related-work"><h2>Related work</h2><p>{}</p></section>', 30, "Related work\n{}"),
+    ('<div class="discussion"><p>{}</p></div>', 30, "{}"),
+    ('<p class="legal">{}</p>', 12, "{}"),
+    ("<div><header><h1>{}</h1></header></div>", 5, "{}"),
+    ("<p>Press <button>Save</button> to keep it, {}</p>", 9, "Press Save to keep it, {}"),
+    ('<div class="ad">{}</div>', 12, ""),
+    ('<section class="comments"><p>{}</p></section>', 30, ""),
+    ("<aside><p>{}</p></aside>", 20, ""),
+    ("<form><label>Name</label><button>Send</button></form>", 1, ""),
+]
+
+
+@pytest.mark.parametrize("part", range(len(INNER)))
+@pytest.mark.parametrize("at", [0, 2, 4])
+def test_parts_of_the_article_stay_and_what_stands_in_it_goes(part, at):
+    from ridgeline.llm.html_extract import PRIOR, examples, fitted, main_text
+
+    rng = random.Random(part)
+    html, n, want = INNER[part]
+    own, paragraphs = prose(rng, n), [prose(rng, 40) + "." for _ in range(4)]
+    blocks = [f"<p>{p}</p>" for p in paragraphs]
+    page = "<body><nav><ul><li><a href=x>Home</a></ul></nav><article>" + "".join([*blocks[:at], html.format(own), *blocks[at:]]) + "</article><footer>&copy; host</footer></body>"
+    text = "\n".join([*paragraphs[:at], *([want.format(own)] if want else []), *paragraphs[at:]])
+    plain = "<body><nav><ul><li><a href=x>Home</a><li><a href=y>News</a></ul></nav><div class=ad>Buy this now.</div><article><h1>A title</h1>" + "".join(blocks) + "</article><footer>&copy; host, and a line.</footer></body>"
+    learned = [x for _ in range(200) for x in examples(plain)]
+    import numpy as np
+
+    for weights in (PRIOR, fitted(np.array([x for x, _ in learned], float), np.array([y for _, y in learned]))):
+        assert main_text(page, weights) == text
+
+
+def test_text_alone_tells_once_the_weights_are_fitted(spark):
+    from ridgeline.llm.html_extract import extract, fit
+
+    rng = random.Random(31)
+    pages = []
+    for i in range(60):
+        body = f"<h1>{prose(rng, 6)}</h1>" + "".join(f"<p>{prose(rng, rng.randint(10, 80))}.</p>" for _ in range(rng.randint(1, 6)))
+        menu = "".join(f"<li><a href=x>{prose(rng, 1)}</a></li>" for _ in range(4))
+        pages.append((i, "u", f'<body><nav><ul>{menu}</ul></nav><div class="ad">{prose(rng, 5)}.</div><article>{body}</article><footer>&copy; host {prose(rng, 8)}.</footer></body>'))
+    marked = spark.createDataFrame(pages, "page_id long, url string, html string")
+    weights = fit(marked)
+    assert (fit(marked) == weights).all() and (fit(marked.limit(0)) != weights).any()
+    bare = [(i, u, re.sub(r' class="\w+"', "", re.sub(r"<(/?)(article|nav|footer)\b", r"<\1div", h))) for i, u, h in pages]
+    want = {r.page_id: r.text for r in extract(marked, weights).collect()}
+    assert all(want.values())
+    assert {r.page_id: r.text for r in extract(spark.createDataFrame(bare, marked.schema), weights).collect()} == want
 
 
 def test_hostile_pages_take_linear_time():
