@@ -37,6 +37,12 @@ class Group:
     carry: dict
 
 
+def fitting(samples: DataFrame, block: int = BLOCK) -> int | None:
+    """None where every session fits into a block, so that kernels need no other; else block."""
+    most = samples.agg(F.max("sample_idx")).first()[0]
+    return None if most is None or most < block else block
+
+
 def block_of(block: int) -> Column:
     return F.floor(F.col("sample_idx") / block).cast("long")
 
@@ -68,8 +74,10 @@ def streamed(df: DataFrame, by: Sequence[str], order: Sequence[str | Column]) ->
     return df.withColumn("__turn", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
-def _dealt(df: DataFrame, keys: Sequence[str], block: int, halo: int, carry: DataFrame | None) -> DataFrame:
-    """Rows by block (__at), with copies for the halos (not __own) and carry rows (no sample_idx)."""
+def _dealt(df: DataFrame, keys: Sequence[str], block: int | None, halo: int, carry: DataFrame | None) -> DataFrame:
+    """Rows by block (__at), with copies for the halos (not __own) and carry rows (no sample_idx). Without a block a session is one group."""
+    if block is None:
+        return streamed(df.withColumns({"__at": F.lit(0).cast("long"), "__own": F.lit(True)}), keys, ["sample_idx"])
     here = block_of(block)
     out = df.withColumn("__at", here)
     if halo:
@@ -82,22 +90,26 @@ def _dealt(df: DataFrame, keys: Sequence[str], block: int, halo: int, carry: Dat
     return streamed(out, [*keys, "__at"], [F.col("sample_idx").asc_nulls_first()])
 
 
-def _groups(chunk: pa.RecordBatch, starts: list[int], values: Sequence[str], carried: Sequence[str]) -> Iterator[tuple[int, int, Group]]:
-    """(first row, end, group) of each block; carry rows are left out of it."""
+def _groups(chunk: pa.RecordBatch, starts: list[int], values: Sequence[str], carried: Sequence[str] | None) -> Iterator[tuple[int, int, Group]]:
+    """(first row, end, group) of each block; carry rows are left out of it. A whole session (carried is None) counts from its first sample."""
     numbers = {v: _numbers(chunk.column(v)) for v in values}
     none = chunk.column("sample_idx").is_null().to_numpy(zero_copy_only=False)
     idx = chunk.column("sample_idx").fill_null(-1).to_numpy()
     at, own = chunk.column("__at").to_numpy(), chunk.column("__own").to_numpy(zero_copy_only=False)
     for a, b in zip(starts, [*starts[1:], chunk.num_rows], strict=True):
+        if carried is None:
+            known = {f"known_{i}": int(np.isfinite(x[a:b]).sum()) for i, x in enumerate(numbers.values())}
+            yield a, b, Group(0, idx[a:b] - idx[a], own[a:b], {v: x[a:b] for v, x in numbers.items()}, {"n": b - a, "last": 0, **known})
+            continue
         first = a + int(none[a:b].sum())
         carry = {c: chunk.column(c)[a].as_py() for c in carried} if first > a else {}
         yield first, b, Group(int(at[a]), idx[first:b], own[first:b], {v: x[first:b] for v, x in numbers.items()}, carry)
 
 
-def add_columns(df: DataFrame, keys: Sequence[str], values: Sequence[str], new: dict[str, str], kernel: Callable[[Group], dict[str, np.ndarray]], block: int = BLOCK, halo: int = 0, carry: DataFrame | None = None) -> DataFrame:
+def add_columns(df: DataFrame, keys: Sequence[str], values: Sequence[str], new: dict[str, str], kernel: Callable[[Group], dict[str, np.ndarray]], block: int | None = BLOCK, halo: int = 0, carry: DataFrame | None = None) -> DataFrame:
     """df with new columns (name: type); kernel gives an array over the group's samples for each. NaN becomes null."""
     fields = StructType([*df.schema.fields, *StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in new.items())).fields])
-    carried = [c for c in carry.columns if c not in (*keys, "__at")] if carry is not None else []
+    carried = None if block is None else [c for c in carry.columns if c not in (*keys, "__at")] if carry is not None else []
     own_names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,10 +128,10 @@ def add_columns(df: DataFrame, keys: Sequence[str], values: Sequence[str], new:
     return _dealt(df, keys, block, halo, carry).mapInArrow(run, fields)
 
 
-def emitted(df: DataFrame, keys: Sequence[str], values: Sequence[str], schema: str, kernel: Callable[[Group], dict[str, list]], block: int = BLOCK, halo: int = 0, carry: DataFrame | None = None) -> DataFrame:
+def emitted(df: DataFrame, keys: Sequence[str], values: Sequence[str], schema: str, kernel: Callable[[Group], dict[str, list]], block: int | None = BLOCK, halo: int = 0, carry: DataFrame | None = None) -> DataFrame:
     """keys, __at and the columns of schema: the rows that kernel gives for each block, as a list for each column."""
     kinds = StructType.fromDDL(schema).fields
-    carried = [c for c in carry.columns if c not in (*keys, "__at")] if carry is not None else []
+    carried = None if block is None else [c for c in carry.columns if c not in (*keys, "__at")] if carry is not None else []
     named = {f.name: f for f in df.schema.fields}
     fields = StructType([*[named[k] for k in keys], StructField("__at", LongType()), *kinds])
     arrow = _arrow_types(schema)

@@ -3,7 +3,8 @@
 A session is cut into blocks (``blocks``), so a long one is many tasks. Each
 kernel gives what it would give over the whole session at once: filters with a
 window take a halo of it; recursive filters, runs and plateaus are composed over
-the blocks from a small summary of each.
+the blocks from a small summary of each. With no block a session is one group and
+one pass does it: for series that are known to be short (``blocks.fitting``).
 """
 
 from __future__ import annotations
@@ -60,7 +61,7 @@ def _savgol(y: np.ndarray, begins: bool, ends: bool, n: int, dt: float, deriv: i
     return out
 
 
-def savgol_columns(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, int]], rate_hz: float, window: int = 11, order: int = 3, block: int = BLOCK) -> DataFrame:
+def savgol_columns(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, int]], rate_hz: float, window: int = 11, order: int = 3, block: int | None = BLOCK) -> DataFrame:
     """Adds, for each name in wanted, the derivative of that degree of a uniformly sampled column, all in one pass.
 
     Missing samples are interpolated first; ends are the derivatives of
@@ -78,11 +79,12 @@ def savgol_columns(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tupl
             out[name] = _savgol(full[v], g.idx[0] == 0, g.idx[-1] == n - 1, n, 1 / rate_hz, deriv, window, order)
         return out
 
-    halo = window - 1
-    return add_columns(df, keys, values, {n: "double" for n in wanted}, kernel, block, halo, fills(df, keys, values, block, halo))
+    halo = window - 1 if block else 0
+    carry = fills(df, keys, values, block, halo) if block else None
+    return add_columns(df, keys, values, {n: "double" for n in wanted}, kernel, block, halo, carry)
 
 
-def derivatives(df: DataFrame, keys: Sequence[str], value: str, rate_hz: float, window: int = 11, order: int = 3, names: tuple[str, str] = ("vel", "acc"), block: int = BLOCK) -> DataFrame:
+def derivatives(df: DataFrame, keys: Sequence[str], value: str, rate_hz: float, window: int = 11, order: int = 3, names: tuple[str, str] = ("vel", "acc"), block: int | None = BLOCK) -> DataFrame:
     """Adds velocity and acceleration of a uniformly sampled column."""
     return savgol_columns(df, keys, {names[0]: (value, 1), names[1]: (value, 2)}, rate_hz, window, order, block)
 
@@ -162,7 +164,7 @@ class Cascade:
         return out.ravel()[:n], state
 
 
-def lowpass_columns(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, float, int]], rate_hz: float, residuals: Mapping[str, str] | None = None, block: int = BLOCK) -> DataFrame:
+def lowpass_columns(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, float, int]], rate_hz: float, residuals: Mapping[str, str] | None = None, block: int | None = BLOCK) -> DataFrame:
     """Adds, for each name in wanted, the zero-phase low-pass (column, cutoff, order), and by residuals (name: new name) what it takes away.
 
     Filters run forward and backward over an odd extension of the session, both
@@ -174,8 +176,8 @@ def lowpass_columns(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tup
     values = list(dict.fromkeys(v for v, _, _ in wanted.values()))
     systems = {name: Cascade(butterworth_sos(order, cut, rate_hz)) for name, (_, cut, order) in wanted.items()}
     channels = list(systems)
-    halo = max(c.pad for c in systems.values()) + 1
-    if halo > block:
+    halo = max(c.pad for c in systems.values()) + 1 if block else 0
+    if block and halo > block:
         raise ValueError("the extension must fit into a block")
 
     def extended(g: Group, name: str) -> tuple[np.ndarray, bool, bool] | None:
@@ -239,8 +241,8 @@ def lowpass_columns(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tup
 
         return compose, ", ".join(f"{kind}_{i} array<double>" for i in range(len(channels)))
 
-    carry = fills(df, keys, values, block, halo)
-    for reverse in (False, True):
+    carry = fills(df, keys, values, block, halo) if block else None
+    for reverse in (False, True) if block else ():
         summed = emitted(df, keys, values, columns, lambda g, r=reverse: states(g, r), block, halo, carry)
         compose, schema = composed(reverse)
         carry = carry.join(scanned(summed, keys, schema, compose), [*keys, "__at"])
@@ -264,7 +266,7 @@ def lowpass_columns(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tup
     return add_columns(df, keys, values, {n: "double" for n in new}, kernel, block, halo, carry)
 
 
-def smoothed(df: DataFrame, keys: Sequence[str], value: str, rate_hz: float, cutoff_hz: float, order: int = 4, name: str = "smooth", residual: str | None = None, block: int = BLOCK) -> DataFrame:
+def smoothed(df: DataFrame, keys: Sequence[str], value: str, rate_hz: float, cutoff_hz: float, order: int = 4, name: str = "smooth", residual: str | None = None, block: int | None = BLOCK) -> DataFrame:
     """Adds the zero-phase low-pass of a column (null where it is skipped), and what it takes away."""
     return lowpass_columns(df, keys, {name: (value, cutoff_hz, order)}, rate_hz, {name: residual} if residual else None, block)
 
@@ -277,7 +279,7 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(np.diff(x)) + 1])
 
 
-def phased(df: DataFrame, keys: Sequence[str], value: str, low: float, high: float, dwell: tuple[int, int, int] = (1, 1, 1), smooth: int = 1, direction: str = "rising", block: int = BLOCK) -> DataFrame:
+def phased(df: DataFrame, keys: Sequence[str], value: str, low: float, high: float, dwell: tuple[int, int, int] = (1, 1, 1), smooth: int = 1, direction: str = "rising", block: int | None = BLOCK) -> DataFrame:
     """The rows of df at which a phased crossing is complete, with strength (size of the value).
 
     A crossing is three runs in a row, below low, between, above high (falling:
@@ -318,11 +320,11 @@ def phased(df: DataFrame, keys: Sequence[str], value: str, low: float, high: flo
     def kernel(g: Group) -> dict[str, np.ndarray]:
         phase, at = phases(g), g.idx[g.own]
         first = _runs(phase)
-        starts, kinds = [*g.carry["run_starts"]], [*g.carry["run_phases"]]
+        starts, kinds = [*g.carry.get("run_starts", [])], [*g.carry.get("run_phases", [])]
         own = first[1:] if kinds and kinds[-1] == phase[0] else first
         starts, kinds = np.array([*starts, *(own + at[0])], np.int64), np.array([*kinds, *phase[own]], np.int64)
         length = np.diff(np.append(starts, at[-1] + 1))
-        if g.carry["next_phase"] == kinds[-1]:
+        if g.carry.get("next_phase") == kinds[-1]:
             length[-1] += g.carry["next_n"]
         hit = np.zeros(len(g.idx), bool)
         for sign in {"rising": (1,), "falling": (-1,), "either": (1, -1)}[direction]:
@@ -333,9 +335,10 @@ def phased(df: DataFrame, keys: Sequence[str], value: str, low: float, high: flo
             hit[np.flatnonzero(g.own)[0] + (ends[ends >= at[0]] - at[0])] = True
         return {"__hit": hit}
 
-    halo = smooth if smooth > 1 else 0
-    summed = emitted(df, keys, [value], "starts array<bigint>, phases array<bigint>, whole boolean, head bigint, head_n bigint, one boolean", summary, block, halo)
-    carry = scanned(summed, keys, "run_starts array<bigint>, run_phases array<bigint>, next_phase bigint, next_n bigint", compose)
+    halo, carry = smooth if smooth > 1 and block else 0, None
+    if block:
+        summed = emitted(df, keys, [value], "starts array<bigint>, phases array<bigint>, whole boolean, head bigint, head_n bigint, one boolean", summary, block, halo)
+        carry = scanned(summed, keys, "run_starts array<bigint>, run_phases array<bigint>, next_phase bigint, next_n bigint", compose)
     out = add_columns(df, keys, [value], {"__hit": "boolean"}, kernel, block, halo, carry)
     return out.filter("__hit").drop("__hit").withColumn("strength", F.abs(F.col(f"`{value}`").cast("double")))
 
@@ -449,6 +452,23 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
 
 
+def _decided(idx: np.ndarray, height: np.ndarray, state: np.ndarray, own: np.ndarray, distance: int) -> np.ndarray:
+    """What of each peak can be told here: 1 it stays, 2 it goes, 0 it waits for one that isn't own."""
+    state = state.copy()
+    waits = np.zeros(len(state), bool)
+    for i in np.lexsort((idx, height))[::-1].tolist():
+        a, b = np.searchsorted(idx, (idx[i] - distance + 1, idx[i] + distance))
+        if state[i] == 0 and (state[a:b] == 1).any():
+            state[i] = 2
+        elif state[i] == 0:
+            higher = (height[a:b] > height[i]) | ((height[a:b] == height[i]) & (idx[a:b] > idx[i]))
+            if not own[i] or (waits[a:b] & higher).any():
+                waits[i] = True
+            else:
+                state[i] = 1
+    return state
+
+
 def _thinned(found: DataFrame, keys: Sequence[str], distance: int, block: int) -> DataFrame:
     """The peaks that stay when each, highest first (of equal ones the last first), removes those nearer than distance.
 
@@ -460,19 +480,7 @@ def _thinned(found: DataFrame, keys: Sequence[str], distance: int, block: int) -
     block = max(block, distance)
 
     def decide(g: Group) -> dict[str, list]:
-        height, state = g.values["height"], g.values["state"].copy()  # 0 open, 1 stays, 2 goes
-        order = np.lexsort((g.idx, height))[::-1]
-        waits = np.zeros(len(state), bool)
-        for i in order.tolist():
-            a, b = np.searchsorted(g.idx, (g.idx[i] - distance + 1, g.idx[i] + distance))
-            if state[i] == 0 and (state[a:b] == 1).any():
-                state[i] = 2
-            elif state[i] == 0:
-                higher = (height[a:b] > height[i]) | ((height[a:b] == height[i]) & (g.idx[a:b] > g.idx[i]))
-                if not g.own[i] or (waits[a:b] & higher).any():
-                    waits[i] = True
-                else:
-                    state[i] = 1
+        height, state = g.values["height"], _decided(g.idx, g.values["height"], g.values["state"], g.own, distance)
         keep = g.own & (state != 2)
         return {"sample_idx": g.idx[keep].tolist(), "height": height[keep].tolist(), "state": state[keep].tolist()}
 
@@ -546,7 +554,7 @@ def _prominent(rows: DataFrame, found: DataFrame, keys: Sequence[str], sign: flo
     return both.filter(F.col("height") - F.col("base") >= least).select(*keys, "sample_idx", "height")
 
 
-def peaks(df: DataFrame, keys: Sequence[str], value: str, kind: str = "max", distance: int = 1, prominence: float | None = None, block: int = BLOCK) -> DataFrame:
+def peaks(df: DataFrame, keys: Sequence[str], value: str, kind: str = "max", distance: int = 1, prominence: float | None = None, block: int | None = BLOCK) -> DataFrame:
     """The rows of df that are peaks (kind min: troughs) of their session, with strength (size of the value).
 
     A peak is the middle of a run of equal values with lower ones on both sides
@@ -554,13 +562,30 @@ def peaks(df: DataFrame, keys: Sequence[str], value: str, kind: str = "max", dis
     highest first, and then those without the prominence go.
     """
     sign = -1.0 if kind == "min" else 1.0
+    strength = F.abs(F.col(f"`{value}`").cast("double"))
+
+    def kernel(g: Group) -> dict[str, np.ndarray]:
+        """Of a whole session."""
+        y, hit = sign * filled(g, value), np.zeros(len(g.idx), bool)
+        at = find_peaks(y) if np.isfinite(y).all() else np.zeros(0, int)
+        if distance > 1:
+            at = at[_decided(at, y[at], np.zeros(len(at)), np.ones(len(at), bool), distance) == 1]
+        if prominence is not None and len(at):
+            here = Valleys(y, y)
+            base = np.maximum(*[np.minimum(here.beside(at, y[at], right)[0], y[at]) for right in (False, True)])
+            at = at[y[at] - base >= prominence]
+        hit[at] = True
+        return {"__hit": hit}
+
+    if block is None:
+        return add_columns(df, keys, [value], {"__hit": "boolean"}, kernel, None).filter("__hit").drop("__hit").withColumn("strength", strength)
     rows = df.select(*keys, "sample_idx", F.col(f"`{value}`").cast("double").alias("__y"))
     found = _plateaus(rows, keys, sign, block, fills(rows, keys, ["__y"], block, 1))
     if distance > 1:
         found = _thinned(found, keys, distance, block)
     if prominence is not None:
         found = _prominent(rows, found, keys, sign, prominence, block, fills(rows, keys, ["__y"], block))
-    return df.join(found.select(*keys, "sample_idx"), [*keys, "sample_idx"], "left_semi").withColumn("strength", F.abs(F.col(f"`{value}`").cast("double")))
+    return df.join(found.select(*keys, "sample_idx"), [*keys, "sample_idx"], "left_semi").withColumn("strength", strength)
 
 
 def find_peaks(y: np.ndarray) -> np.ndarray:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions.naming import sensor_inputs
 from ridgeline.operators import joins, series, signal
+from ridgeline.operators.blocks import BLOCK, fitting
 from ridgeline.operators.conditions import Block, Test, apply_conditions, flagged, quality_gate
 from ridgeline.operators.event_metrics import Spec, inline_metrics, segment_metrics
 from ridgeline.operators.series import finite
@@ -28,7 +29,7 @@ VERSION = "1"
 OPEN_CELL_S = 60.0
 
 
-def _candidates(samples: DataFrame, trigger: Trigger, inputs: Mapping[str, str], dt: float, keys: Sequence[str] = KEYS) -> DataFrame:
+def _candidates(samples: DataFrame, trigger: Trigger, inputs: Mapping[str, str], dt: float, keys: Sequence[str] = KEYS, block: int | None = None) -> DataFrame:
     """sample_idx, time_s, strength (and the trigger's displacement as disp) of a trigger's candidates within keys."""
     if trigger.signal not in inputs:
         raise KeyError(f"trigger {trigger.id!r} needs the input {trigger.signal!r}")
@@ -41,7 +42,7 @@ def _candidates(samples: DataFrame, trigger: Trigger, inputs: Mapping[str, str],
         out = series.threshold_crossings(rows, keys, "y", level, float(spec.get("hysteresis") or 0.0), direction)
     elif trigger.type == "local_extrema":
         apart = max(1, round(float(spec.get("distance_s", 0.0)) / dt))
-        out = signal.peaks(rows, keys, "y", str(spec.get("kind", "max")), apart, None if spec.get("prominence") is None else float(spec["prominence"]))
+        out = signal.peaks(rows, keys, "y", str(spec.get("kind", "max")), apart, None if spec.get("prominence") is None else float(spec["prominence"]), block)
         edge = float(spec.get("edge_ignore_s", 0.0))
         if edge:
             ends = samples.groupBy(*keys).agg(F.min("time_s").alias("__a"), F.max("time_s").alias("__b"))
@@ -49,7 +50,7 @@ def _candidates(samples: DataFrame, trigger: Trigger, inputs: Mapping[str, str],
         out = out.withColumn("disp", F.lit(None).cast("double"))  # an extremum carries no displacement for debouncing
     elif trigger.type == "phased_threshold_crossing":
         dwell = tuple(max(1, round(float(spec.get(k, 0.0)) / dt)) for k in ("dwell_neg_s", "dwell_zero_s", "dwell_pos_s"))
-        out = signal.phased(rows, keys, "y", float(spec["low"]), float(spec["high"]), dwell, max(1, round(float(spec.get("smooth_ms", 0.0)) / 1000 / dt)), direction)
+        out = signal.phased(rows, keys, "y", float(spec["low"]), float(spec["high"]), dwell, max(1, round(float(spec.get("smooth_ms", 0.0)) / 1000 / dt)), direction, block)
     else:
         raise KeyError(f"no trigger of type {trigger.type!r}")
     return out.select(*keys, "sample_idx", "time_s", "strength", "disp", "y")
@@ -70,9 +71,9 @@ def _blocks(raw: Sequence[Mapping], inputs: Mapping[str, str], dt: float) -> lis
     return [Block(round(b["within_s"][0] / dt), round(b["within_s"][1] / dt), [test(t) for t in b.get("all_of") or []], [test(t) for t in b.get("any_of") or []]) for b in raw]
 
 
-def detect_one(samples: DataFrame, event: Event, sensor: str, inputs: Mapping[str, str], dt: float, schema_version: str) -> DataFrame:
+def detect_one(samples: DataFrame, event: Event, sensor: str, inputs: Mapping[str, str], dt: float, schema_version: str, block: int | None = BLOCK) -> DataFrame:
     """The events of one definition and sensor."""
-    first = _debounced(_candidates(samples, event.trigger, inputs, dt), event.trigger, dt)
+    first = _debounced(_candidates(samples, event.trigger, inputs, dt, KEYS, block), event.trigger, dt)
     first = first.select(*KEYS, F.col("sample_idx").alias("trigger_idx"), F.col("time_s").alias("trigger_time_s"), F.col("strength").alias("score"))
     blocks = _blocks([*event.preconditions, *event.postconditions], inputs, dt)
     roles = [F.col(f"`{c}`").alias(f"__{r}") for r, c in inputs.items()]
@@ -141,11 +142,11 @@ def detect_one(samples: DataFrame, event: Event, sensor: str, inputs: Mapping[st
 
 def detect(samples: DataFrame, schema: Schema, registry: Mapping[str, Mapping], dt: float) -> DataFrame:
     """All events of a schema; an event whose inputs a sensor lacks is left out for that sensor."""
-    out = None
+    out, block = None, fitting(samples)
     for event in schema.events:
         for sensor in _sensors(event, registry):
             try:
-                one = detect_one(samples, event, sensor, sensor_inputs(registry, sensor), dt, schema.version)
+                one = detect_one(samples, event, sensor, sensor_inputs(registry, sensor), dt, schema.version, block)
             except KeyError as missing:
                 warnings.warn(f"event {event.id!r} is left out for sensor {sensor!r}: {missing.args[0]}", stacklevel=2)
                 continue

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions import naming
 from ridgeline.operators import series, signal, stats
+from ridgeline.operators.blocks import fitting
 from ridgeline.plans import contracts, detect
 from ridgeline.plans.schema import Schema, parse
 from ridgeline.sources import gps
@@ -76,6 +77,7 @@ def preprocess(session: Session, profile: Profile) -> Prepared:
     """
     rate = rate_of(session)
     df = session.samples
+    block = fitting(df)
     reg = naming.registry({c: t for c, t in df.dtypes if c not in KEYS})
     disp = [c for c, i in reg.items() if i["quantity"] == "disp" and not i["op_chain"]]
     t_us = F.round(F.col("time_s") * 1e6).cast("long")
@@ -101,14 +103,14 @@ def preprocess(session: Session, profile: Profile) -> Prepared:
                 if profile.residuals and left not in (*df.columns, *rest.values()):
                     rest[name] = left
     if soft:
-        df = signal.lowpass_columns(df, KEYS, soft, rate, rest)
+        df = signal.lowpass_columns(df, KEYS, soft, rate, rest, block)
     slopes: dict[str, tuple[str, int]] = {}
     for c in disp:
         v, a = naming.velocity_name(c), naming.acceleration_name(c)
         if v not in df.columns and a not in df.columns:
             slopes |= {v: (c, 1), a: (c, 2)}
     if slopes:
-        df = signal.savgol_columns(df, KEYS, slopes, rate, profile.savgol_window, profile.savgol_order)
+        df = signal.savgol_columns(df, KEYS, slopes, rate, profile.savgol_window, profile.savgol_order, block)
     active = profile.active_disp if profile.active_disp in df.columns else None
     if active:
         vel = naming.velocity_name(active)

@@ -1,11 +1,12 @@
 """Logger recordings: CSV with an optional JSON sidecar and run statistics in the footer.
 
 A file is one session. Files are read as lines by Spark (many at once); the
-driver looks at each file's head or sidecar only to learn its columns.
+driver looks at the different header lines, and at a sidecar, only to learn columns.
 """
 
 from __future__ import annotations
 
+import csv
 import json
 import re
 from collections.abc import Mapping, Sequence
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions.scalars import clean_number, clock_seconds, filename_anchor, time_scale
+from ridgeline.operators.series import keep_first
 
 #: Time columns in order of preference, and how they count: ms, a guess by size, or a clock (fixed values).
 TIME_COLUMNS = (("timestamp_ms", "ms"), ("ts_ms", "ms"), ("time_ms", "ms"), ("time_s", "guess"), ("t", "guess"), ("time", "guess"), ("ts", "guess"), ("timestamp", "clock"))
@@ -67,13 +69,22 @@ def read_sidecar(spark: SparkSession, path: str) -> Sidecar | None:
     return Sidecar(raw)
 
 
-def _head(spark: SparkSession, path: str) -> tuple[str, list[str]]:
-    """Delimiter (the more frequent of comma and semicolon in five lines) and column names."""
-    lines = [r[0] for r in spark.read.text(path).filter("trim(value) != ''").limit(50).collect()]
-    sample = "".join(lines[:5])
-    delimiter = "," if sample.count(",") > sample.count(";") else ";"
-    header = next(x for x in lines if not x.startswith("#"))
-    return delimiter, [c.strip() for c in header.split(delimiter)]
+def _cells(line: str, delimiter: str) -> list[str]:
+    return next(csv.reader([line], delimiter=delimiter), [])
+
+
+def layout(head: str) -> tuple[str, list[str]]:
+    """Delimiter (the more frequent of comma and semicolon outside of quotes) and column names of a header line; a name that comes again is numbered."""
+    bare = re.sub(r'"[^"]*"', "", head)
+    delimiter = "," if bare.count(",") > bare.count(";") else ";"
+    names: list[str] = []
+    for name in (c.strip() for c in _cells(head, delimiter)):
+        again, k = name, 0
+        while again in names:
+            k += 1
+            again = f"{name}.{k}"
+        names.append(again)
+    return delimiter, names
 
 
 @dataclass
@@ -105,33 +116,67 @@ def read_csv(spark: SparkSession, path: str, session_key: str | None = None, sid
     dropped from it.
     """
     sidecar = read_sidecar(spark, sidecar_path or path)
-    delimiter, names = _head(spark, path)
-    raw = spark.read.option("sep", delimiter).option("header", True).option("comment", "#").option("mode", "DROPMALFORMED").schema(", ".join(f"`{n}` string" for n in names)).csv(path)
-    raw = raw.withColumn("__row", F.monotonically_increasing_id())
-    declared = [sidecar.time_column] if sidecar and sidecar.time_column else []
-    order = [(c, "guess") for c in (*time_columns, *declared)] + list(TIME_COLUMNS)
-    time, how = next(((c, h) for c, h in order if c in names), (None, None))
-    if time is None:
-        raise ValueError(f"{path} has no time column")
-    if how == "clock":
-        t: Column = clock_seconds(F.col(f"`{time}`"))
-    else:
-        number = clean_number(F.col(f"`{time}`"))
-        t = number / 1e3 if how == "ms" else time_scale(number, F.max(number).over(Window.partitionBy()))
-    signals = [n for n in names if n != time]
-    rows = raw.select("__row", t.alias("time_s"), *[clean_number(F.col(f"`{n}`")).alias(n) for n in signals]).filter("time_s is not null")
-    rows = rows.withColumn("time_s", F.col("time_s") - F.first("time_s").over(Window.partitionBy().orderBy("__row").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    rows = rows.dropna(subset=["time_s", *[f"`{n}`" for n in signals]])
-    one = Window.partitionBy("time_s").orderBy("__row")
-    rows = rows.withColumn("__n", F.row_number().over(one)).filter("__n = 1").drop("__n")
+    lines = _lines(spark.read.text(path))
     key = session_key or (sidecar.session_id if sidecar else None) or re.sub(r"\.[^.]*$", "", path.rsplit("/", 1)[-1])
-    rows = rows.withColumn("session_key", F.lit(key))
-    by = Window.partitionBy("session_key").orderBy("__row")
-    step = F.col("time_s") - F.lag("time_s").over(by)
-    rows = rows.withColumn("__keep", F.coalesce(step > 0, F.lit(keep_first_sample))).filter("__keep")
-    rows = rows.withColumn("sample_idx", (F.row_number().over(by) - 1).cast("long"))
-    out = rows.select("session_key", "sample_idx", "time_s", *[F.col(f"`{n}`") for n in signals])
-    return Session(out, key, path, sidecar.rate_hz if sidecar else None, sidecar.channels() if sidecar else [], [], sidecar)
+    declared = sidecar.time_column if sidecar else None
+    known = _heads(lines).withColumns({"session_key": F.lit(key), "time_col": F.lit(declared).cast("string")})
+    if known.isEmpty():
+        raise ValueError(f"{path} has no header")
+    samples = _parsed(lines, known, time_columns, keep_first_sample)
+    return Session(samples, key, path, sidecar.rate_hz if sidecar else None, sidecar.channels() if sidecar else [], [], sidecar)
+
+
+def _lines(read: DataFrame) -> DataFrame:
+    """path, pos (order in the file) and value of the lines that hold a row or a header; a comment ends a line."""
+    pos = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    text = F.regexp_replace(F.regexp_replace("value", "\\x00", ""), r'^((?:[^"#]|"[^"]*")*)#.*$', "$1")
+    lines = read.select(F.col("_metadata.file_path").alias("path"), pos.alias("pos"), text.alias("value"))
+    return lines.filter(F.trim("value") != "")
+
+
+def _heads(lines: DataFrame) -> DataFrame:
+    """path, head (its first line that is no comment) and first (where that stands)."""
+    return lines.groupBy("path").agg(F.min_by("value", "pos").alias("head"), F.min("pos").alias("first"))
+
+
+def _parsed(lines: DataFrame, known: DataFrame, time_columns: Sequence[str], keep_first_sample: bool) -> DataFrame:
+    """session_key, sample_idx, time_s and signals of the lines; known has path, head, first, session_key and time_col.
+
+    The plan has one branch a layout, that is header line and declared time column.
+    A row with more or fewer cells than the header is dropped.
+    """
+    out = None
+    for head, declared in known.select("head", "time_col").distinct().collect():  # a row a layout
+        delimiter, names = layout(head)
+        order = [(c, "guess") for c in (*time_columns, *([declared] if declared else []))] + list(TIME_COLUMNS)
+        time, how = next(((c, h) for c, h in order if c in names), (None, None))
+        if time is None:
+            raise ValueError(f"recordings with the columns {names} have no time column")
+        mine = known.filter((F.col("head") == head) & F.col("time_col").eqNullSafe(F.lit(declared))).select("path", "session_key", "first")
+        rows = lines.join(mine, "path").filter("pos > first")
+        fields = ", ".join(f"c{i} string" for i in range(len(names)))
+        # A row in quotes as a whole would be one cell; such a row is malformed, as any that has not the header's cells.
+        cells = F.from_csv("value", f"{fields}, broken string", {"sep": delimiter, "columnNameOfCorruptRecord": "broken", "mode": "PERMISSIVE"})
+        rows = rows.withColumn("c", cells).filter("c.broken is null")
+        cell = {n: clean_number(F.col(f"c.c{i}")) for i, n in enumerate(names)}
+        file = Window.partitionBy("path")
+        if how == "clock":
+            t = clock_seconds(F.col(f"c.c{names.index(time)}"))
+        else:
+            t = cell[time] / 1e3 if how == "ms" else time_scale(cell[time], F.max(cell[time]).over(file))
+        signals = [n for n in names if n != time]
+        rows = rows.select("path", "session_key", "pos", t.alias("time_s"), *[cell[n].alias(n) for n in signals]).filter("time_s is not null")
+        zero = F.min_by("time_s", "pos").over(file)
+        rows = rows.withColumn("time_s", F.col("time_s") - zero).dropna(subset=["time_s", *[f"`{n}`" for n in signals]])
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    if out is None:
+        return lines.sparkSession.createDataFrame([], "session_key string, sample_idx long, time_s double")
+    out = keep_first(out, ["path"], "time_s", ["pos"])
+    by = Window.partitionBy("path").orderBy("pos")
+    out = out.withColumn("__keep", F.coalesce(F.col("time_s") - F.lag("time_s").over(by) > 0, F.lit(keep_first_sample))).filter("__keep")
+    out = out.withColumn("sample_idx", (F.row_number().over(by) - 1).cast("long"))
+    signals = [c for c in out.columns if c not in ("path", "session_key", "pos", "time_s", "__keep", "sample_idx")]
+    return out.select("session_key", "sample_idx", "time_s", *[F.col(f"`{c}`") for c in signals])
 
 
 @dataclass
@@ -171,46 +216,14 @@ def read_recordings(spark: SparkSession, folders: str | Sequence[str], zone: str
     the time of its first sample in UTC: started_at_local of the sidecar in its
     time zone, else the name's beginning in zone.
     """
-    read = spark.read.option("pathGlobFilter", "*.[cC][sS][vV]").option("recursiveFileLookup", True)
-    lines = read.text(folders).select(F.col("_metadata.file_path").alias("path"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("pos"), "value")
-    lines = lines.filter((F.trim("value") != "") & ~F.col("value").startswith("#"))
-    heads = lines.groupBy("path").agg(F.min_by("value", "pos").alias("head"), F.min("pos").alias("first"))
+    lines = _lines(spark.read.option("pathGlobFilter", "*.[cC][sS][vV]").option("recursiveFileLookup", True).text(folders))
     side = _sidecars(spark, folders)
     name = F.element_at(F.split(_stem(F.col("path")), "/"), -1)
-    known = heads.join(side, _stem(F.col("path")) == F.col("stem"), "left")
+    known = _heads(lines).join(side, _stem(F.col("path")) == F.col("stem"), "left")
     started = F.coalesce(F.to_utc_timestamp(F.try_to_timestamp("started"), F.coalesce("zone", F.lit(zone))), filename_anchor(name, zone))
     known = known.withColumns({"session_key": F.coalesce("session_id", name), "anchor": started})
     known = known.withColumn("session_key", F.when(F.count(F.lit(1)).over(Window.partitionBy("session_key")) > 1, _stem(F.col("path"))).otherwise(F.col("session_key")))
-    layouts = known.select("head", "time_col").distinct().collect()  # a row a layout
-    out = None
-    for head, declared in layouts:
-        delimiter = "," if head.count(",") > head.count(";") else ";"
-        names = [c.strip() for c in head.split(delimiter)]
-        order = ([(declared, "guess")] if declared else []) + list(TIME_COLUMNS)
-        time, how = next(((c, h) for c, h in order if c in names), (None, None))
-        if time is None:
-            raise ValueError(f"recordings with the columns {names} have no time column")
-        mine = known.filter((F.col("head") == head) & F.col("time_col").eqNullSafe(F.lit(declared))).select("path", "session_key", "first")
-        rows = lines.join(mine, "path").filter("pos > first")
-        rows = rows.withColumn("c", F.split("value", re.escape(delimiter), -1)).filter(F.size("c") == len(names))
-        cell = {n: clean_number(F.get("c", F.lit(i))) for i, n in enumerate(names)}
-        file = Window.partitionBy("path")
-        if how == "clock":
-            t = clock_seconds(F.get("c", F.lit(names.index(time))))
-        else:
-            t = cell[time] / 1e3 if how == "ms" else time_scale(cell[time], F.max(cell[time]).over(file))
-        signals = [n for n in names if n != time]
-        rows = rows.select("path", "session_key", "pos", t.alias("time_s"), *[cell[n].alias(n) for n in signals]).filter("time_s is not null")
-        zero = F.min_by("time_s", "pos").over(file)
-        rows = rows.withColumn("time_s", F.col("time_s") - zero).dropna(subset=["time_s", *[f"`{n}`" for n in signals]])
-        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
-    one = Window.partitionBy("path", "time_s").orderBy("pos")
-    out = out.withColumn("__n", F.row_number().over(one)).filter("__n = 1").drop("__n")
-    by = Window.partitionBy("path").orderBy("pos")
-    out = out.withColumn("__keep", F.coalesce(F.col("time_s") - F.lag("time_s").over(by) > 0, F.lit(keep_first_sample))).filter("__keep")
-    out = out.withColumn("sample_idx", (F.row_number().over(by) - 1).cast("long"))
-    signals = [c for c in out.columns if c not in ("path", "session_key", "pos", "time_s", "__keep", "sample_idx")]
-    return Recordings(out.select("session_key", "sample_idx", "time_s", *[F.col(f"`{c}`") for c in signals]), known.select("session_key", "path", "anchor", "rate_hz"))
+    return Recordings(_parsed(lines, known, (), keep_first_sample), known.select("session_key", "path", "anchor", "rate_hz"))
 
 
 def run_statistics(spark: SparkSession, paths: str) -> DataFrame:
@@ -223,11 +236,28 @@ def run_statistics(spark: SparkSession, paths: str) -> DataFrame:
     return inside.select("path", part(1).alias("key"), part(2).alias("value"))
 
 
-def write_csv(samples: DataFrame, path: str, columns: Sequence[str]) -> None:
-    """Fixed six decimals, header, one file per partition."""
+def write_csv(samples: DataFrame, path: str, columns: Sequence[str], statistics: DataFrame | None = None, key: str = "session_key", order: str = "sample_idx") -> None:
+    """A file a session under path/key=session: header, rows in order with fixed six decimals, and the statistics of the run as a footer.
+
+    statistics has the key, and key-value pairs in columns name and value; without
+    it the footer says how many rows were written. A session is written as a
+    stream by one task; sessions are dealt to tasks.
+    """
     kinds = dict(samples.dtypes)
-    text = [F.format_string("%.6f", F.col(f"`{c}`")).alias(c) if kinds[c] in ("double", "float") else F.col(f"`{c}`") for c in columns]
-    samples.select(*text).write.option("header", True).mode("errorifexists").csv(path)
+    quoted = ",".join(f'"{c}"' if re.search(r'[",#]', c) else c for c in columns)
+    cells = [F.format_string("%.6f", F.col(f"`{c}`")) if kinds[c] in ("double", "float") else F.col(f"`{c}`").cast("string") for c in columns]
+    row = F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in cells])
+    rows = samples.select(key, F.lit(1).alias("part"), F.col(order).cast("long").alias("turn"), row.alias("value"))
+    sessions = samples.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    if statistics is None:
+        statistics = sessions.select(key, F.lit("rows_written").alias("name"), F.col("n").cast("string").alias("value"))
+    foot = statistics.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("name", "value"))).alias("pairs"))
+    pairs = F.transform("pairs", lambda x: F.concat(F.lit("# "), x["name"], F.lit("="), x["value"]))
+    feet = foot.select(key, F.posexplode(F.concat(F.array(F.lit("# run_stats_begin")), pairs, F.array(F.lit("# run_stats_end")))).alias("turn", "value"))
+    heads = sessions.select(key, F.lit(0).alias("part"), F.lit(0).cast("long").alias("turn"), F.lit(quoted).alias("value"))
+    out = heads.unionByName(rows).unionByName(feet.select(key, F.lit(2).alias("part"), F.col("turn").cast("long").alias("turn"), "value"))
+    out = out.repartition(key).sortWithinPartitions(key, "part", "turn").drop("part", "turn")
+    out.write.partitionBy(key).mode("errorifexists").text(path)
 
 
 def typed(values: Mapping[str, str]) -> dict[str, Any]:

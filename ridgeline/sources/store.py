@@ -11,9 +11,62 @@ import json
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import NullType
+from pyspark.sql.types import ArrayType, ByteType, DataType, DateType, DecimalType, DoubleType, FloatType, IntegerType, LongType, NullType, ShortType, StringType, StructField, StructType, TimestampNTZType, TimestampType
+
+#: Types of one line hold every value of those before; long beside float goes to double.
+_NUMBERS = (ByteType(), ShortType(), IntegerType(), LongType(), FloatType(), DoubleType())
+
+
+def widest(a: DataType, b: DataType) -> DataType:
+    """The narrowest type that both can be cast to without loss of meaning: a lattice from no type up to text.
+
+    Whole numbers widen; whole and fractional ones meet in double, decimals with
+    decimals in a decimal that holds both; dates and times in a time; arrays
+    and structs field by field; anything else in text.
+    """
+    if isinstance(a, NullType) or a == b:
+        return b
+    if isinstance(b, NullType):
+        return a
+    if a in _NUMBERS and b in _NUMBERS:
+        low, high = sorted((a, b), key=_NUMBERS.index)
+        return DoubleType() if isinstance(high, FloatType) and isinstance(low, IntegerType | LongType) else high
+    if isinstance(a, DecimalType) and isinstance(b, DecimalType):
+        scale = max(a.scale, b.scale)
+        return DecimalType(min(38, max(a.precision - a.scale, b.precision - b.scale) + scale), scale)
+    if isinstance(a, DecimalType) and b in _NUMBERS or isinstance(b, DecimalType) and a in _NUMBERS:
+        return DoubleType()
+    times = (DateType, TimestampNTZType, TimestampType)
+    if isinstance(a, times) and isinstance(b, times):
+        return a if times.index(type(a)) > times.index(type(b)) else b
+    if isinstance(a, ArrayType) and isinstance(b, ArrayType):
+        return ArrayType(widest(a.elementType, b.elementType))
+    if isinstance(a, StructType) and isinstance(b, StructType):
+        names = dict.fromkeys([*a.names, *b.names])
+        of = lambda t, n: t[n].dataType if n in t.names else NullType()
+        return StructType([StructField(n, widest(of(a, n), of(b, n))) for n in names])
+    return StringType()
+
+
+def _as(x: Column, a: DataType, b: DataType) -> Column:
+    """x of type a as the wider type b; fields that a struct lacks are null."""
+    if isinstance(a, StructType) and isinstance(b, StructType):
+        fields = [(_as(x[f.name], a[f.name].dataType, f.dataType) if f.name in a.names else F.lit(None).cast(f.dataType)).alias(f.name) for f in b]
+        return F.when(x.isNotNull(), F.struct(*fields))
+    if isinstance(a, ArrayType) and isinstance(b, ArrayType):
+        return F.transform(x, lambda e: _as(e, a.elementType, b.elementType))
+    return x.cast(_typed(b))
+
+
+def _typed(t: DataType) -> DataType:
+    """t with text for what has no type anywhere."""
+    if isinstance(t, ArrayType):
+        return ArrayType(_typed(t.elementType))
+    if isinstance(t, StructType):
+        return StructType([StructField(f.name, _typed(f.dataType)) for f in t])
+    return StringType() if isinstance(t, NullType) else t
 
 
 def folder_name(schema_id: str | None) -> str:
@@ -80,13 +133,35 @@ class ArtifactStore:
     def read(self, table: str, columns: Sequence[str] | None = None) -> DataFrame:
         """All sessions of a table, with run_id, session_id and session_key; columns that differ are merged.
 
-        Columns without any value, of no type, are left out where they can't be merged.
+        Files are grouped by the schema of their sessions' folder: one scan a
+        schema, each cast to the widest type of the column (``widest``). Columns
+        without any value, of no type, take the type they have elsewhere, or text.
         """
-        df = self.spark.read.option("mergeSchema", True).parquet(self.path(table))
-        df = df.drop(*[f.name for f in df.schema if isinstance(f.dataType, NullType)])
-        df = df.withColumns({"run_id": F.col("run_id").cast("string"), "session_id": F.col("session_id").cast("string")})
-        df = df.withColumn("session_key", F.concat_ws("::", "run_id", "session_id"))
-        return df.select("session_key", *[F.col(f"`{c}`") for c in columns]) if columns else df
+        groups = self._by_schema(table)
+        merged: dict[str, DataType] = {}
+        for schema in groups:
+            for f in schema:
+                merged[f.name] = widest(merged.get(f.name, NullType()), f.dataType)
+        out = None
+        for schema, paths in groups.items():
+            one = self.spark.read.schema(schema).option("basePath", self.path(table)).parquet(*paths)
+            one = one.select(*[F.col(c).cast("string") for c in ("run_id", "session_id")], *[_as(F.col(f"`{c}`"), schema[c].dataType, _typed(merged[c])).alias(c) for c in schema.names])
+            out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+        if out is None:
+            raise FileNotFoundError(f"table {table!r} holds no session")
+        out = out.withColumn("session_key", F.concat_ws("::", "run_id", "session_id"))
+        return out.select("session_key", *[F.col(f"`{c}`") for c in columns]) if columns else out
+
+    def _by_schema(self, table: str) -> dict[StructType, list[str]]:
+        """The sessions' folders by the schema that their files were written with; a folder is written at once."""
+        root, fs = self._fs(self.path(table))
+        folders = [f.getPath() for run in fs.listStatus(root) if run.isDirectory() and run.getPath().getName().startswith("run_id=") for f in fs.listStatus(run.getPath()) if f.isDirectory()] if fs.exists(root) else []
+        out: dict[str, tuple[StructType, list[str]]] = {}
+        for path in folders:
+            schema = self.spark.read.parquet(path.toString()).schema
+            plain = StructType([f for f in schema if f.name not in ("run_id", "session_id")])
+            out.setdefault(plain.json(), (plain, []))[1].append(path.toString())
+        return {s: p for s, p in out.values()}
 
     def read_selected(self, table: str, members: DataFrame) -> DataFrame:
         """Rows of the sessions in members (session_key, and entity columns if any): a session in two entities comes twice."""

@@ -10,6 +10,7 @@ from . import whole_signal as whole
 
 SIZES = [1, 2, 3, 7, 10, 11, 31, 32, 33, 63, 64, 65, 96, 130, 257]
 BLOCK = 32
+WAYS = [BLOCK, None]
 
 
 def _series(kind, n, seed):
@@ -55,18 +56,19 @@ def _by_session(df, series, *names):
     return out
 
 
+@pytest.mark.parametrize("block", WAYS)
 @pytest.mark.parametrize(("window", "order"), [(11, 3), (5, 2), (31, 4)])
-def test_savgol(spark, frame, series, window, order):
-    got = _by_session(signal.derivatives(frame, ["session"], "y", 20.0, window, order, block=BLOCK), series, "vel", "acc")
+def test_savgol(spark, frame, series, window, order, block):
+    got = _by_session(signal.derivatives(frame, ["session"], "y", 20.0, window, order, block=block), series, "vel", "acc")
     for s, y in series.items():
         for n, d in (("vel", 1), ("acc", 2)):
             assert np.allclose(got[s][n], whole.savgol(y, 1 / 20, d, window, order), rtol=1e-8, atol=1e-6, equal_nan=True), (s, n)
 
 
-@pytest.mark.parametrize("order", [1, 2, 3, 4])
-def test_butterworth(spark, frame, series, order):
+@pytest.mark.parametrize(("order", "block"), [(1, BLOCK), (2, BLOCK), (3, None), (4, BLOCK), (4, None)])
+def test_butterworth(spark, frame, series, order, block):
     wanted = {"soft": ("y", 2.0, order), "softer": ("y", 0.5, 2)}
-    got = _by_session(signal.lowpass_columns(frame, ["session"], wanted, 20.0, {"soft": "rest"}, block=BLOCK), series, "soft", "softer", "rest")
+    got = _by_session(signal.lowpass_columns(frame, ["session"], wanted, 20.0, {"soft": "rest"}, block=block), series, "soft", "softer", "rest")
     for s, y in series.items():
         for n, (_, cut, k) in wanted.items():
             want = whole.lowpass(y, 20.0, cut, k)
@@ -78,17 +80,23 @@ def test_butterworth(spark, frame, series, order):
 @pytest.mark.parametrize("direction", ["rising", "falling", "either"])
 @pytest.mark.parametrize(("dwell", "smooth"), [((1, 1, 1), 1), ((2, 1, 3), 1), ((5, 2, 40), 1), ((1, 1, 2), 4)])
 def test_phased(spark, frame, series, dwell, smooth, direction):
-    got = signal.phased(frame, ["session"], "y", -0.7, 0.8, dwell, smooth, direction, block=BLOCK)
+    _phased(frame, series, dwell, smooth, direction, BLOCK)
+    if direction == "either":
+        _phased(frame, series, dwell, smooth, direction, None)
+
+
+def _phased(frame, series, dwell, smooth, direction, block):
+    got = signal.phased(frame, ["session"], "y", -0.7, 0.8, dwell, smooth, direction, block=block)
     found = {(r.session, r.sample_idx) for r in got.collect()}
     want = {(s, int(i)) for s, y in series.items() if len(y) >= smooth for i in whole.phased_crossings(y, -0.7, 0.8, dwell, smooth, direction)}
     assert {x for x in found if len(series[x[0]]) >= smooth} == want
     assert got.columns == ["session", "sample_idx", "y", "low", "strength"]
 
 
-@pytest.mark.parametrize("kind", ["max", "min"])
+@pytest.mark.parametrize(("kind", "block"), [("max", BLOCK), ("min", BLOCK), ("max", None)])
 @pytest.mark.parametrize(("distance", "prominence"), [(1, None), (3, None), (20, None), (1, 2.0), (4, 3.0), (1, 45.0)])
-def test_peaks(spark, frame, series, kind, distance, prominence):
-    got = {(r.session, r.sample_idx) for r in signal.peaks(frame, ["session"], "y", kind, distance, prominence, block=BLOCK).collect()}
+def test_peaks(spark, frame, series, kind, distance, prominence, block):
+    got = {(r.session, r.sample_idx) for r in signal.peaks(frame, ["session"], "y", kind, distance, prominence, block=block).collect()}
     sign = -1 if kind == "min" else 1
     want = {(s, int(i)) for s, y in series.items() for i in whole.find_peaks(sign * whole._fill(y), distance, prominence)}
     assert got == want
