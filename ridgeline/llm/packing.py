@@ -30,6 +30,7 @@ import os
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,10 @@ CAPACITY = 2048
 END = 0
 #: Characters that are tokenised at a time, but for longer texts.
 CHARS = 1 << 20
+#: Words whose ids a task keeps, and bytes of the longest one that it does.
+WORDS, LONGEST = 1 << 20, 64
+#: Words that are tokenised as one text, and what stands between them: a character for private use.
+TOGETHER, MARK = 256, "\ue000"
 
 
 # --- the plan, from a histogram
@@ -156,12 +161,58 @@ def slots(counts: np.ndarray, capacity: int = CAPACITY) -> dict[str, np.ndarray]
 PIECE = "doc_id long, key long, copy long, piece int, start long, length long, ids_crc32 long, task int, turn long"
 
 
-def _cut(path: str, capacity: int, end: int, with_ids: bool):
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Coder:
+    """A tokeniser's ids of texts; by_word looks up each word (run of bytes without ASCII white space) and tokenises only new ones."""
+
+    def __init__(self, path: str, by_word: bool) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
+        self._tokenizer, self._by_word = Tokenizer.from_file(path), by_word
+        self._known: dict[bytes, bytes] = {}
+
+    def _encoded(self, texts: list[str]) -> Iterator[list[int]]:
+        return (x.ids for x in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The packed ids of each word. Many go through the tokeniser as one text, with a mark between them that no word has."""
+        mark = np.array(next(self._encoded([MARK])), "<u4")
+        plain = [w for w in words if MARK not in w]
+        out: dict[str, bytes] = {}
+        texts = [plain[k : k + TOGETHER] for k in range(0, len(plain), TOGETHER)]
+        for own, coded in zip(texts, self._encoded([f" {MARK} ".join(t) for t in texts]), strict=True):
+            ids = np.array(coded, "<u4")
+            at = np.ones(max(len(ids) - len(mark) + 1, 0), bool)
+            for k, m in enumerate(mark.tolist()):
+                at &= ids[k : k + len(at)] == m
+            cut = np.flatnonzero(at).tolist()
+            packed = ids.tobytes()
+            for w, a, b in zip(own, [0, *(c + len(mark) for c in cut)], [*cut, len(ids)], strict=True):
+                out[w] = packed[4 * a : 4 * b]
+        rest = [w for w in words if MARK in w]
+        out.update(zip(rest, (np.array(x, "<u4").tobytes() for x in self._encoded(rest)), strict=True))
+        return [out[w] for w in words]
+
+    def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
+        if not self._by_word:
+            yield from (np.array(x, "<u4") for x in self._encoded(texts))
+            return
+        known = self._known
+        if len(known) > WORDS:
+            known.clear()
+        split = [t.encode().split() for t in texts]
+        new = list(set(chain.from_iterable(split)) - known.keys())
+        known.update(zip(new, self._words([w.decode() for w in new]), strict=True))
+        for words in split:
+            yield np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
+        for w in new:
+            if len(w) > LONGEST:
+                del known[w]
+
+
+def _cut(path: str, capacity: int, end: int, with_ids: bool, by_word: bool):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder(path, by_word)
         task, turns, row = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), 0
         names = [x.split()[0] for x in PIECE.split(", ")]
         for batch in batches:
@@ -174,8 +225,8 @@ def _cut(path: str, capacity: int, end: int, with_ids: bool):
                     to += 1
                 out: list[list] = [[] for _ in names]
                 tokens = []
-                for k, coded in enumerate(tokenizer.encode_batch_fast([t or "" for t in texts[at:to]], add_special_tokens=False), at):
-                    all_ids = np.append(np.array(coded.ids, "<u4"), np.uint32(end)).astype("<u4")
+                for k, coded in enumerate(coder.ids([t or "" for t in texts[at:to]]), at):
+                    all_ids = np.append(coded, np.uint32(end)).astype("<u4")
                     for piece, start in enumerate(range(0, len(all_ids), capacity)):
                         part = all_ids[start : start + capacity]
                         values = (ids[k], keys[k], (task << 40) + row + k, piece, start, len(part), zlib.crc32(part.tobytes()), task, int(turns[len(part)]))
@@ -195,13 +246,15 @@ def _cut(path: str, capacity: int, end: int, with_ids: bool):
     return cut
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False, by_word: bool = False) -> DataFrame:
     """doc_id, key, copy, piece, start, length, ids_crc32, task, turn, and ids if asked for: each document's ids and the end id, cut where they are longer than a sequence.
 
-    copy tells the rows of docs apart. The tokeniser's file must lie at path on every executor.
+    copy tells the rows of docs apart. The tokeniser's file must lie at path on
+    every executor. by_word may be set for tokenisers that drop white space and
+    have no token across it: words come again and again, and each is tokenised once.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("text").cast("string").alias("text"))
-    return saved(rows.mapInArrow(_cut(path, capacity, end, with_ids), PIECE + ", ids array<int>" * with_ids))
+    return saved(rows.mapInArrow(_cut(path, capacity, end, with_ids, by_word), PIECE + ", ids array<int>" * with_ids))
 
 
 def _assigned(shared):
@@ -237,9 +290,9 @@ def placed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return numbered.select(*names, "number").mapInArrow(_assigned(shared), ", ".join(f"{n} {kinds[n]}" for n in names) + ", sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, by_word: bool = False) -> DataFrame:
     """doc_id, key, copy, piece, start, length, ids_crc32, sequence_id, offset: a row for every piece of every row of docs."""
-    return placed(pieces(docs, path, capacity, end), capacity)
+    return placed(pieces(docs, path, capacity, end, by_word=by_word), capacity)
 
 
 def sequences(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:

@@ -61,7 +61,7 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_exact_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("key", "copy")
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), by_word=True).drop("key", "copy")
 
 
 def op13_coordinate_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -169,6 +169,22 @@ def test_packing_is_a_round_trip(spark, odd, odd_rows, empty, capacity):
     assert pack(empty, TOKENIZER, capacity).count() == 0
 
 
+@pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="no tokenizer file")
+def test_ids_by_word_are_those_of_whole_texts(odd_rows, monkeypatch):
+    from tokenizers import Tokenizer
+
+    from ridgeline.llm import packing
+
+    monkeypatch.setattr(packing, "WORDS", 40)
+    rng = random.Random(8)
+    odd_chars = [" ", " ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x85", "\u00a0", "\u2003", "\u0301", "e", "É", "ß", "İ", "Σ", "ς", "'", "'s", "'LL", "1", "٣", "<|endoftext|>", "<|startoftext|>", "</w>", "\ud55c", "\u1100", "\u1161", "🙂", "#", "...", "\ue000", "\ue001"]
+    texts = [r[1] or "" for r in odd_rows] + ["".join(rng.choice(odd_chars) for _ in range(rng.randrange(60))) for _ in range(600)]
+    whole, coder = Tokenizer.from_file(TOKENIZER), packing.Coder(TOKENIZER, True)
+    for k in range(0, len(texts), 50):
+        for text, got in zip(texts[k : k + 50], coder.ids(texts[k : k + 50]), strict=True):
+            assert got.tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 # --- hard negatives
 
 
