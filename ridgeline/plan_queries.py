@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from dataclasses import replace
 from math import factorial
 
 import numpy as np
@@ -107,51 +108,92 @@ def metric_columns(spark, sf_dir):
     return contracts.metrics_columns(e)
 
 
-SCHEMA_TEXT = """
-version: '2'
-defaults: {window: {pre_s: 0.5, post_s: 1.0}, debounce: {gap_s: 0.2}}
-events:
-- {id: jump, label: Jump, sensors: [rear_shock], trigger: {id: top, type: simple_threshold_crossing, signal: disp, value: 1}, secondary_triggers: [{id: land, type: local_extrema, signal: disp, base_trigger: top}], metrics: [{type: peak, signal: disp}]}
-- {id: dip, sensors: [], window: {pre_s: 2}, trigger: {id: p, type: zero_crossing, signal: vel, debounce: {gap_s: 1}}}
-"""
+#: The definitions that the kinds of events make: a threshold of each kind's mean, windows and gaps by its rank.
+KINDS = """k as (select event_type as kind, row_number() over (order by event_type) as r, round(avg(value), 2) as level from events group by 1)"""
+
+
+def _kinds(spark, sf_dir) -> list[tuple[str, int, float]]:
+    """(kind, rank from 1, mean value) of the kinds of events: a handful."""
+    found = table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.avg("value"), 2)).orderBy("event_type").collect()
+    return [(kind, i, level) for i, (kind, level) in enumerate(found, 1)]
 
 
-@query("""select * from (values ('jump', 'Jump', 'rear_shock', 'simple_threshold_crossing', 'disp', 0.5::double, 1.0::double, 0.2::double, 'land', 1::bigint), ('dip', 'dip', '', 'zero_crossing', 'vel', 2.0, 1.0, 1.0, '', 0)) as t(id, label, sensors, kind, signal, pre_s, post_s, debounce_s, secondary, n_metrics)""")
+def _definitions(spark, sf_dir) -> str:
+    events = [
+        f"""- {{id: {kind}, label: Kind {r}, sensors: [{'rear_shock' if r % 2 else ''}], window: {{pre_s: {r}.5}}, trigger: {{id: top, type: simple_threshold_crossing, signal: disp, value: {level}, debounce: {{gap_s: {r + 2}}}}},
+  secondary_triggers: [{{id: land{r}, type: local_extrema, signal: disp, base_trigger: top, search: {{min_delay_s: 1, max_delay_s: 5}}}}], metrics: [{', '.join(['{type: peak, signal: disp}'] * r)}]}}"""
+        for kind, r, level in _kinds(spark, sf_dir)
+    ]
+    return "version: '2'\ndefaults: {window: {pre_s: 0.5, post_s: 4.0}}\nevents:\n" + "\n".join(events)
+
+
+@query(f"""with {KINDS} select kind as id, 'Kind ' || r as label, case when r % 2 = 1 then 'rear_shock' else '' end as sensors, 'simple_threshold_crossing' as kind, 'disp' as signal, r + 0.5::double as pre_s, 4.0::double as post_s, (r + 2)::double as debounce_s, 'land' || r as secondary, r as n_metrics from k""")
 def schema_summary(spark, sf_dir):
-    rows = [(r["id"], r["label"], ",".join(r["sensors"]), r["trigger_type"], r["signal"], r["pre_s"], r["post_s"], r["debounce_s"], ",".join(r["secondary_ids"]), r["n_metrics"]) for r in schema.summary(schema.parse(SCHEMA_TEXT))]
+    rows = [(r["id"], r["label"], ",".join(r["sensors"]), r["trigger_type"], r["signal"], r["pre_s"], r["post_s"], float(r["debounce_s"]), ",".join(r["secondary_ids"]), r["n_metrics"]) for r in schema.summary(schema.parse(_definitions(spark, sf_dir)))]
     return spark.createDataFrame(rows, "id string, label string, sensors string, kind string, signal string, pre_s double, post_s double, debounce_s double, secondary string, n_metrics long")
 
 
 # --- names and registries
 
-COLUMNS = {"rear_shock_dom_suspension [mm]": "double", "rear_shock_dom_suspension [1]_op_norm": "double", "rear_shock_vel_dom_suspension [mm/s]": "double", "front_shock_raw [counts]": "bigint", "front_shock_dom_suspension [mm]_op_zeroed": "double"}
+#: What a kind's columns are called and hold, as a factor of the sum of its values (its count, where there is none).
+COLUMNS = (("{}_dom_suspension [mm]", 1.0), ("{}_dom_suspension [1]_op_norm", 0.01), ("{}_vel_dom_suspension [mm/s]", 2.0), ("{}_raw [counts]", None), ("{}_dom_suspension [mm]_op_zeroed", 0.5))
+NAMED = f"""{KINDS}, n as (select *, case r when 1 then 'rear_shock' when 2 then 'front_shock' else kind end as sensor from k),
+u as (select user_id, sensor, sum(value) as v, count(*)::double as c from events join n on event_type = kind group by 1, 2)"""
+MEANING = "m(p, kind, domain, unit, ops, role, f) as (values ('_dom_suspension [mm]', '', 'suspension', 'mm', '', 'disp', 1.0::double), ('_dom_suspension [1]_op_norm', '', 'suspension', '1', 'norm', 'disp_norm', 0.01), ('_vel_dom_suspension [mm/s]', '', 'suspension', 'mm/s', '', 'vel', 2.0), ('_raw [counts]', 'raw', null, 'counts', '', 'raw', null), ('_dom_suspension [mm]_op_zeroed', '', 'suspension', 'mm', 'zeroed', 'disp_zeroed', 0.5))"
+
 
+def _wide(spark, sf_dir) -> tuple[DataFrame, dict[str, dict], list[str]]:
+    """A row a user with columns for each kind of event, named as signals; their registry; the sensors."""
+    kinds = _kinds(spark, sf_dir)
+    sensors = [{1: "rear_shock", 2: "front_shock"}.get(r, kind) for kind, r, _ in kinds]
+    own = [F.when(F.col("event_type") == kind, F.col("value")) for kind, _, _ in kinds]
+    aggs = [(F.nullif(F.count(x), F.lit(0)) if f is None else F.sum(x) * f).cast("double").alias(name.format(sensor)) for sensor, x in zip(sensors, own, strict=True) for name, f in COLUMNS]
+    wide = table(spark, sf_dir, "events").groupBy(*U).agg(*aggs)
+    return wide, naming.registry({c: t for c, t in wide.dtypes if c not in U}), sensors
 
-@query("""select * from (values ('rear_shock_dom_suspension [mm]', '', 'suspension', 'mm', '', 'rear_shock'), ('rear_shock_dom_suspension [1]_op_norm', '', 'suspension', '1', 'norm', 'rear_shock'), ('rear_shock_vel_dom_suspension [mm/s]', '', 'suspension', 'mm/s', '', 'rear_shock'),
-('front_shock_raw [counts]', 'raw', null, 'counts', '', 'front_shock'), ('front_shock_dom_suspension [mm]_op_zeroed', '', 'suspension', 'mm', 'zeroed', 'front_shock')) as t(name, kind, domain, unit, ops, sensor)""")
+
+@query(f"""with {NAMED}, {MEANING} select sensor || p as name, m.kind, domain, unit, ops, sensor, count(*) as n, round(sum(coalesce(v * f, c)), 3) as total from u, m group by all""")
 def signal_registry(spark, sf_dir):
-    rows = [(c, i["kind"], i["domain"] or None, i["unit"], ",".join(i["op_chain"]), i["sensor"]) for c, i in naming.registry(COLUMNS).items()]
-    return spark.createDataFrame(rows, "name string, kind string, domain string, unit string, ops string, sensor string")
+    wide, reg, _ = _wide(spark, sf_dir)
+    rows = [F.struct(F.lit(c).alias("name"), *[F.lit(x).alias(n) for n, x in (("kind", i["kind"]), ("domain", i["domain"]), ("unit", i["unit"]), ("ops", ",".join(i["op_chain"])), ("sensor", i["sensor"]))], F.col(f"`{c}`").alias("x")) for c, i in reg.items()]
+    long = wide.select(F.inline(F.array(*rows))).filter("x is not null")
+    return long.groupBy("name", "kind", "domain", "unit", "ops", "sensor").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 3).alias("total"))
 
 
-@query("""select * from (values ('disp', 'rear_shock_dom_suspension [mm]'), ('disp_norm', 'rear_shock_dom_suspension [1]_op_norm'), ('vel', 'rear_shock_vel_dom_suspension [mm/s]')) as t(role, name)""")
+@query(f"""with {NAMED}, {MEANING} select user_id, sensor, role, round(coalesce(v * f, c), 6) as value from u, m""")
 def sensor_roles(spark, sf_dir):
-    return spark.createDataFrame(list(naming.sensor_inputs(naming.registry(COLUMNS), "rear_shock").items()), "role string, name string")
+    wide, reg, sensors = _wide(spark, sf_dir)
+    rows = [F.struct(F.lit(s).alias("sensor"), F.lit(role).alias("role"), F.round(F.col(f"`{c}`"), 6).alias("value")) for s in sensors for role, c in naming.sensor_inputs(reg, s).items()]
+    return wide.select(*U, F.inline(F.array(*rows))).filter("value is not null")
 
 
-@query("""select * from (values ('picked', 'rear_shock_vel_dom_suspension [mm/s]'), ('pair', 'rear_shock_dom_suspension [1]_op_norm|rear_shock_dom_suspension [mm]'), ('columns', 'front_shock_dom_suspension [mm]_op_zeroed'), ('default', 'rear_shock_dom_suspension [mm]'), ('velocity', 'rear_shock_vel_dom_suspension [mm/s]'), ('renamed', 'front_shock [mm]_op_zeroed_norm'), ('filter', 'Butterworth_12p5Hz_4Order')) as t(what, name)""")
+@query(f"""with {NAMED}, {MEANING}, d as (select min(sensor || '_dom_suspension [mm]') as name from n where r = 1), c(what, p) as (values ('picked', '_vel_dom_suspension [mm/s]'), ('columns', '_dom_suspension [mm]_op_zeroed'), ('velocity', '_vel_dom_suspension [mm/s]'), ('normalised', '_dom_suspension [1]_op_norm'), ('in_mm', '_dom_suspension [mm]')),
+w as (select u.sensor, what, u.sensor || m.p as name, round(sum(coalesce(v * f, c)), 3) as total from u, m, c where c.p = m.p and (what not in ('normalised', 'in_mm') or u.sensor = 'rear_shock') group by all)
+select * from w union all select 'any', 'default', d.name, round(sum(v), 3) from d, u where sensor = 'rear_shock' group by 3""")
 def signal_choices(spark, sf_dir):
-    reg = naming.registry(COLUMNS)
-    rows = [
-        ("picked", naming.pick_column(reg, sensor="rear_shock", quantity="vel")),
-        ("pair", "|".join(selection.displacement_pair(reg, "rear"))),
-        ("columns", "|".join(selection.columns_for(reg, "fork", "disp", "mm", "", ["zeroed"]))),
-        ("default", selection.default_signal(list(COLUMNS), reg, "gone")),
-        ("velocity", naming.velocity_name("rear_shock_dom_suspension [mm]")),
-        ("renamed", naming.renamed(["fork [mm]_zeroed_norm"])["fork [mm]_zeroed_norm"]),
-        ("filter", naming.filter_tag(12.5, 4)),
-    ]
-    return spark.createDataFrame(rows, "what string, name string")
+    wide, reg, sensors = _wide(spark, sf_dir)
+    chosen = [("any", "default", selection.default_signal(list(reg), reg, "gone"))]
+    for s in sensors:
+        chosen += [(s, "picked", naming.pick_column(reg, sensor=s, quantity="vel")), (s, "columns", selection.columns_for(reg, s, "disp", "mm", "", ["zeroed"])[0])]
+        chosen.append((s, "velocity", naming.velocity_name(naming.sensor_inputs(reg, s)["disp"])))
+    chosen += zip(["rear_shock"] * 2, ("normalised", "in_mm"), selection.displacement_pair(reg, "rear"), strict=True)
+    sums = wide.agg(*[F.round(F.sum(f"`{c}`"), 3).alias(f"s{i}") for i, (_, _, c) in enumerate(chosen)])
+    return sums.select(F.inline(F.array(*[F.struct(F.lit(s).alias("sensor"), F.lit(what).alias("what"), F.lit(c).alias("name"), F.col(f"s{i}").alias("total")) for i, (s, what, c) in enumerate(chosen)])))
+
+
+@query(f"""with {KINDS}, d as (select kind as event, r, level from k), {S}, j as (select d.event, d.r, d.level, s.*, lag(value) over (partition by event, user_id order by sample_idx) as prev from s, d where r % 2 = 1 and true),
+x as (select *, sum(case when value <= level and sample_idx > 0 then 1 else 0 end) over (partition by event, user_id order by sample_idx rows between unbounded preceding and 1 preceding) as grp from j),
+h as (select *, value - prev as strength, row_number() over (partition by event, user_id, coalesce(grp, 0) order by sample_idx) as nth from x where prev < level and value >= level),
+g as (select *, case when sample_idx - lag(sample_idx) over w < r + 2 then 0 else 1 end as st from h where nth = 1 window w as (partition by event, user_id order by sample_idx)),
+cl as (select *, sum(st) over (partition by event, user_id order by sample_idx) as cluster from g), b as (select *, row_number() over (partition by event, user_id, cluster order by sample_idx) as best from cl)
+select event, user_id, count(*) as n, min(sample_idx) as first_idx, max(sample_idx) as last_idx from b where best = 1 group by 1, 2""")
+def detected_events(spark, sf_dir):
+    """All definitions of a schema that the kinds of events make, detected in one plan."""
+    s = samples(spark, sf_dir).select(F.col("user_id").cast("string").alias("session_key"), "sample_idx", F.col("sample_idx").cast("double").alias("time_s"), F.col("value").alias("rear_shock_dom_suspension [mm]"))
+    parsed = schema.parse(_definitions(spark, sf_dir))
+    parsed = replace(parsed, events=[replace(e, secondary=[]) for e in parsed.events if e.sensors])
+    found = detect.detect(s, parsed, naming.registry({c: t for c, t in s.dtypes if "[" in c}), 1.0)
+    return found.groupBy(F.col("schema_id").alias("event"), F.col("session_key").cast("long").alias("user_id")).agg(F.count(F.lit(1)).alias("n"), F.min("trigger_idx").alias("first_idx"), F.max("trigger_idx").alias("last_idx"))
 
 
 # --- GPS
