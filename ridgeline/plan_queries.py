@@ -335,6 +335,13 @@ def peaks_by_prominence(spark, sf_dir):
     return signal.peaks(samples(spark, sf_dir), U, "value", "max", 1, 20.0).select(*U, "sample_idx", F.round("strength", 6).alias("strength"))
 
 
+ORACLES["capture_period"] = f"""with {S}, a as (select user_id, count(*) as n, list(value order by sample_idx) as v, avg(value) as m from s group by 1), c as (select user_id, n, list_transform(v, lambda x: x - m) as v, least(n - 2, 30) as hi from a where n > 5),
+r as (select user_id, hi, k, list_inner_product(v[1:n - k], v[1 + k:n]) / (n - k) as r from c, unnest(range(0, 32)) as u(k) where k <= hi + 1), l as (select *, lag(r) over w as p, lead(r) over w as q from r window w as (partition by user_id order by k)),
+tops as (select * from l where k between 3 and hi and r > p and r > q), most as (select user_id, max(r) as most from tops group by 1),
+chosen as (select user_id, min(k) as k from tops join most using (user_id) where r >= most - 0.1 * abs(most) group by 1 union all select user_id, arg_max(k, r) from l where k between 3 and hi and user_id not in (select user_id from most) group by 1)
+select user_id, round(k + case when p - 2 * r + q != 0 then 0.5 * (p - q) / (p - 2 * r + q) else 0 end, 5) as period_s from chosen join l using (user_id, k) union all select user_id, null from a where n <= 5"""
+
+
 def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A capture for each nation: a crank of 20 mm seen through a scale of one half, with a period of its own."""
     n = table(spark, sf_dir, "nation").select("n_nationkey", F.explode(F.sequence(F.lit(0), F.lit(1999))).alias("sample_idx"))

@@ -589,4 +589,4 @@ def phased_crossing(spark, sf_dir):
 def capture_period(spark, sf_dir):
     from ridgeline.operators.bench import periods
 
-    return periods(samples(spark, sf_dir).withColumn("n", F.col("sample_idx").cast("double")), U, "n", "value", 2.0, 20.0).select(*U, F.round("period_s", 6).alias("period_s"))
+    return periods(samples(spark, sf_dir).withColumn("n", F.col("sample_idx").cast("double")), U, "n", "value", 2.0, 20.0).select(*U, F.round("period_s", 5).alias("period_s"))

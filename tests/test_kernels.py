@@ -64,6 +64,21 @@ def test_period_and_fit():
     assert p == pytest.approx(1.25, rel=0.002) and scale == pytest.approx(0.02, rel=0.02) and rms < 0.3
 
 
+def test_periods_over_blocks_are_those_of_whole_captures(spark):
+    from ridgeline.operators.bench import periods
+
+    rng = np.random.default_rng(6)
+    series = {f"p{p}n{n}": np.sin(2 * np.pi * np.arange(n) / p + 1) * 5 + rng.normal(size=n) * 0.3 for p, n in ((12.5, 400), (33, 1000), (60, 257), (9, 5), (9, 3), (17, 64))}
+    series |= {"flat": np.full(50, 2.0), "falling": -np.arange(90.0)}
+    rows = [(s, i, i * 0.1, float(v)) for s, y in series.items() for i, v in enumerate(y)]
+    frame = spark.createDataFrame(rows, "s string, sample_idx long, t double, y double").repartition(4)
+    for block in (128, 1 << 16):
+        got = {r.s: r.period_s for r in periods(frame, ["s"], "t", "y", 6.0, 100.0, block).collect()}
+        for s, y in series.items():
+            want = period_of(np.arange(len(y)) * 0.1, y, 6.0, 100.0)
+            assert got[s] is None if np.isnan(want) else got[s] == pytest.approx(want, abs=1e-6), s
+
+
 def machine(y, level, h):
     armed, out = True, []
     for i in range(1, len(y)):
