@@ -177,37 +177,40 @@ def test_catalog(spark):
 
 
 def test_streams_match_batch(spark, tmp_path):
+    """Samples come in any order within the delay, some a batch late, some missing; the result is that of the batch operators."""
+    import json as js
+
+    from pyspark.sql import functions as F
+
     from ridgeline.operators import series
     from ridgeline.streaming import live
 
     rng = np.random.default_rng(2)
-    rows = [(f"k{k}", i, float(v)) for k in range(3) for i, v in enumerate(rng.normal(0, 20, 60).cumsum())]
-    schema = "k string, sample_idx long, y double"
-    for part in range(3):  # three files in order of time
-        spark.createDataFrame([r for r in rows if r[1] // 20 == part], schema).coalesce(1).write.mode("append").json(f"{tmp_path}/in{part}")
-    df = spark.createDataFrame(rows, schema)
+    rows = [(f"k{k}", i, None if rng.random() < 0.08 else float(v)) for k in range(3) for i, v in enumerate(rng.normal(0, 20, 60).cumsum())]
+    df = spark.createDataFrame(rows, "k string, sample_idx long, y double")
+    late = {i for i in range(60) if i % 20 in (18, 19)}  # of each part these come with the next one
+    parts = [[r for r in rows if (r[1] // 20 + (r[1] in late)) == p] for p in range(4)]
+    parts[3] += [("end", 100 + k, 0.0) for k in range(2)]
 
     def streamed(f, name):
-        src = f"{tmp_path}/{name}"
-        import os
-        import shutil
-
-        os.makedirs(src)
-        q = f(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(src)).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{tmp_path}/cp_{name}").start()
-        for part in range(3):
-            for x in sorted(os.listdir(f"{tmp_path}/in{part}")):
-                if x.startswith("part"):
-                    shutil.copy(f"{tmp_path}/in{part}/{x}", f"{src}/{part}_{x}")
+        src = tmp_path / name
+        src.mkdir()
+        stream = spark.readStream.schema("k string, sample_idx long, y double").option("maxFilesPerTrigger", 1).json(str(src)).withColumn("at", F.timestamp_seconds(F.col("sample_idx") + 1000))  # the watermark begins at 0
+        q = f(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{tmp_path}/cp_{name}").start()
+        for p, part in enumerate(parts):
+            order = rng.permutation(len(part))
+            (src / f"{p}.json").write_text("\n".join(js.dumps(dict(zip(("k", "sample_idx", "y"), part[i], strict=True))) for i in order))
             q.processAllAvailable()
         q.stop()
-        return spark.table(name)
-
-    got = streamed(lambda s: live.ema(s, "k", "sample_idx", "y", 0.25, 3.0), "ema_out")
-    want = series.ema_deadband(df, ["k"], "y", 0.25, 3.0)
-    assert sorted((r.k, r.sample_idx, r.ema) for r in got.collect()) == sorted((r.k, r.sample_idx, r.ema) for r in want.collect())
-    got = streamed(lambda s: live.crossings(s, "k", "sample_idx", "y", 5.0, 10.0), "cross_out")
-    want = series.threshold_crossings(df, ["k"], "y", 5.0, 10.0)
-    assert sorted((r.k, r.sample_idx) for r in got.collect()) == sorted((r.k, r.sample_idx) for r in want.collect())
+        return [tuple(r) for r in spark.table(name).filter("k != 'end'").collect()]
+
+    got = streamed(lambda s: live.ema(s, "k", "sample_idx", "y", 0.25, 3.0).select("k", "sample_idx", "ema"), "ema_out")
+    assert sorted(got) == sorted((r.k, r.sample_idx, r.ema) for r in series.ema_deadband(df, ["k"], "y", 0.25, 3.0).collect())
+    got = streamed(lambda s: live.crossings(s, "k", "sample_idx", "y", 5.0, 10.0).select("k", "sample_idx"), "cross_out")
+    assert sorted(got) == sorted((r.k, r.sample_idx) for r in series.threshold_crossings(df, ["k"], "y", 5.0, 10.0).collect())
+    whole = df.withColumn("y", F.floor("y"))
+    got = streamed(lambda s: live.turns(s.withColumn("y", F.floor("y")), "k", "sample_idx", "y", 40, 25, idle_ms=1000).select("k", "sample_idx", "turns", "unwrapped"), "turn_out")
+    assert sorted(got, key=str) == sorted(((r.k, r.sample_idx, r.turns, r.unwrapped) for r in series.wrap_turns(whole, ["k"], "y", 40, 25).collect()), key=str)
 
 
 def test_many_recordings_with_gps(spark, recording, tmp_path):
