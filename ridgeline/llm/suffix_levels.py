@@ -6,12 +6,15 @@ order: of each window of ``length`` bytes the anchor is the (leftmost) position
 whose HEAD bytes hash lowest, so equal windows have equal anchors, and about one
 suffix in (length - HEAD) / 2 is kept. An entry has the document and position,
 the suffix's first 8 bytes and the hash of its first HEAD bytes, which it is
-sorted by, and ladders: short hashes of the text up to 1 to STEPS steps to its
+sorted by (beyond 8 bytes equal prefixes stand together, but not in byte order),
+and ladders: short hashes of the text up to 1 to STEPS steps to its
 right and left, which bound the length of its match with any other.
 
-A new batch's array is merge-scanned against every existing level (merge joins
-of sorted runs), which finds the suffixes whose HEAD bytes stand elsewhere too;
-then equal-sized levels merge, as in a binary counter, so an entry is rewritten
+A new batch's array is scanned against every existing level by a join on (lead,
+head), which finds the suffixes whose HEAD bytes stand elsewhere too. Spark
+plans it: it broadcasts the keys of a level that is small by its statistics and
+sorts both sides of a large one again, since a plain table doesn't tell it their
+order. Then equal-sized levels merge, as in a binary counter, so an entry is rewritten
 log(batches) times. Levels are written tables; a family that is opened again on
 its folder goes on with the levels that stand there.
 
