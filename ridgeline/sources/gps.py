@@ -6,7 +6,7 @@ to record dicts. Decoded Parquet or CSV is read as it is.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions.scalars import semicircles_to_degrees, speed_class
 from ridgeline.operators import joins, selection, series
+from ridgeline.operators.series import finite
 
 #: Field: canonical column, whether it is in semicircles (fixed names).
 FIELDS = {
@@ -60,7 +61,7 @@ def stream(records: DataFrame, start: Column, keys: Sequence[str] = ("path",)) -
 def candidates(sessions: DataFrame, files: DataFrame, contained: bool = False) -> DataFrame:
     """Sessions (session_id, start, end) with the files (path, fit_start, fit_end) that overlap them; a path counts once whatever its case."""
     us = lambda c: F.unix_micros(c).alias(f"__{c}")
-    one = files.withColumn("__low", F.lower("path")).dropDuplicates(["__low"]).drop("__low")
+    one = series.keep_first(files.withColumn("__low", F.lower("path")), [], "__low", ["path"]).drop("__low")
     a = sessions.withColumn("__k", F.lit(0)).select("*", us("start"), us("end"))
     b = one.withColumn("__k", F.lit(0)).select("*", us("fit_start"), us("fit_end"))
     out = joins.overlap_join(a, b, ["__k"], ("__start", "__end"), ("__fit_start", "__fit_end"), 86_400_000_000, contained)
@@ -150,8 +151,43 @@ def route(gps: DataFrame, lat: str, lon: str, keys: Sequence[str] = ("session_ke
     rows = gps.filter(F.col(f"`{lat}`").isNotNull() & F.col(f"`{lon}`").isNotNull())
     rows = rows.filter(F.col("time_s") >= lo) if lo is not None else rows
     rows = rows.filter(F.col("time_s") <= hi) if hi is not None else rows
-    rows = rows.dropDuplicates([*keys, "time_s"])
-    return series.with_sample_idx(rows, list(keys), ["time_s"])
+    held = [F.col(f"`{c}`") for c in rows.columns if c not in (*keys, "time_s")]
+    first = series.keep_first(rows.withColumn("__order", F.to_json(F.struct(*held))), list(keys), "time_s", ["pos" if "pos" in rows.columns else "__order"])
+    return series.with_sample_idx(first.drop("__order"), list(keys), ["time_s"])
+
+
+#: What a route shows, and the columns that it is taken from: the first that a stream has.
+SHOWN = {"lat": ("position_lat",), "lon": ("position_long",), "altitude": ("enhanced_altitude", "altitude"), "speed": ("enhanced_speed", "speed"), "distance": ("distance",)}
+
+
+def route_view(samples: DataFrame, streams: Mapping[str, DataFrame], prefer: str = "gps_fit", cell_s: float | None = 600.0) -> DataFrame:
+    """session_key, stream, sample_idx, time_s, lat, lon, altitude, speed, distance: each session's route.
+
+    A session's route comes from the preferred stream, else the next in order that
+    has a place of it, else from its own samples (stream primary), within the
+    samples' time. Where the route of a session has no altitude, or no speed, at
+    all, it is interpolated from the samples.
+    """
+    names = [*([prefer] if prefer in streams else []), *[n for n in streams if n != prefer]]
+    sources = [*[(n, streams[n]) for n in names], ("primary", samples)]
+    number = lambda df, what: next((finite(F.col(f"`{FIELDS[f][0]}`")) for f in SHOWN[what] if FIELDS[f][0] in df.columns), F.lit(None).cast("double")).alias(what)
+    points = None
+    for turn, (name, df) in enumerate(sources):
+        order = next((F.col(c).cast("long") for c in ("pos", "sample_idx") if c in df.columns), F.lit(0).cast("long"))
+        own = df.select("session_key", F.lit(turn).alias("__turn"), F.lit(name).alias("stream"), order.alias("__order"), finite(F.col("time_s")).alias("time_s"), *[number(df, w) for w in SHOWN])
+        points = own if points is None else points.unionByName(own)
+    points = points.filter("time_s is not null and lat is not null and lon is not null")
+    points = points.withColumn("__first", F.min("__turn").over(Window.partitionBy("session_key"))).filter("__turn = __first")
+    ends = samples.groupBy("session_key").agg(F.min("time_s").alias("__a"), F.max("time_s").alias("__b"))
+    points = points.join(ends, "session_key").filter("time_s between __a and __b")
+    out = series.with_sample_idx(series.keep_first(points, ["session_key"], "time_s", ["__order"]), ["session_key"], ["time_s"])
+    whole = Window.partitionBy("session_key")
+    for what in ("altitude", "speed"):
+        own = samples.select("session_key", "time_s", number(samples, what).alias("__own")).filter("__own is not null")
+        own = series.keep_first(own.withColumn("__o", F.col("__own")), ["session_key"], "time_s", ["__o"]).drop("__o")
+        out = joins.interp_columns(out, own, ["session_key"], "time_s", {"__own": "__fill"}, single_constant=True, cell=cell_s)
+        out = out.withColumn(what, F.when(F.count(what).over(whole) > 0, F.col(what)).otherwise(F.col("__fill"))).drop("__fill")
+    return out.select("session_key", "stream", "sample_idx", "time_s", *SHOWN)
 
 
 def colour_runs(segments: DataFrame, lat: str, lon: str, speed_ms: str, keys: Sequence[str] = ("session_key",)) -> DataFrame:

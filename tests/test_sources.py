@@ -79,3 +79,20 @@ def test_widest_is_a_lattice():
         assert widest(a, b) == widest(b, a) and widest(a, a) == a and widest(widest(a, b), b) == widest(a, b)
     assert widest(LongType(), DoubleType()) == DoubleType() and widest(IntegerType(), FloatType()) == DoubleType()
     assert widest(DecimalType(10, 2), DecimalType(5, 4)) == DecimalType(12, 4) and widest(DateType(), LongType()) == StringType()
+
+
+def test_route_view_chooses_a_stream_and_fills_altitude_and_speed(spark):
+    from ridgeline.sources.gps import route_view
+
+    lat, lon = "gps_fit_position_latitude_dom_world [deg]", "gps_fit_position_longitude_dom_world [deg]"
+    high, fast = "gps_fit_enhanced_altitude_dom_world [m]", "gps_fit_speed_dom_world [m/s]"
+    fields = f"session_key string, pos long, time_s double, `{lat}` double, `{lon}` double"
+    samples = spark.createDataFrame([(s, i, float(i), 1.0 + i, 2.0, 100.0 + 10 * i, float("nan") if i % 2 else 3.0 * i) for s in ("a", "b", "c") for i in range(5)] + [("d", 0, 0.0, None, None, 1.0, 1.0)], f"session_key string, sample_idx long, time_s double, `{lat}` double, `{lon}` double, `{high}` double, `{fast}` double")
+    fit = spark.createDataFrame([("a", 0, 0.5, 7.0, 8.0), ("a", 1, 0.5, 9.0, 9.0), ("a", 2, 2.5, 7.5, 8.5), ("a", 3, 99.0, 1.0, 1.0), ("b", 0, 1.0, None, 8.0)], fields)
+    other = spark.createDataFrame([("a", 0, 1.0, 0.0, 0.0, 5.0), ("b", 0, 1.5, 6.0, 6.0, 7.0)], f"{fields}, `{fast}` double")
+    got = {}
+    for r in route_view(samples, {"other": other, "gps_fit": fit}).orderBy("session_key", "sample_idx").collect():
+        got.setdefault(r.session_key, []).append((r.stream, r.time_s, r.lat, r.lon, r.altitude, r.speed))
+    assert got["a"] == [("gps_fit", 0.5, 7.0, 8.0, 105.0, 1.5), ("gps_fit", 2.5, 7.5, 8.5, 125.0, 7.5)]
+    assert got["b"] == [("other", 1.5, 6.0, 6.0, 115.0, 7.0)]
+    assert [x[0] for x in got["c"]] == ["primary"] * 5 and [x[5] for x in got["c"]] == [0.0, None, 6.0, None, 12.0] and "d" not in got
