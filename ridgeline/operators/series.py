@@ -8,13 +8,15 @@ another.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections import deque
 from collections.abc import Iterator, Sequence
 from math import floor, isnan, nan
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ridgeline.operators.blocks import streamed
 
@@ -151,12 +153,66 @@ def normalise(df: DataFrame, value: str, offset: Column, span: float | Column, c
 
 
 def zero_offset(df: DataFrame, keys: Sequence[str], value: str, t_us: str, window_s: float, min_samples: int = 10, use_median: bool = True) -> DataFrame:
-    """keys, offset: the least median (or mean) over trailing windows with enough samples, else the first value."""
-    w = _by(keys, t_us).rangeBetween(-int(window_s * 1e6), 0)
-    level = F.percentile(value, 0.5).over(w) if use_median else F.avg(value).over(w)
-    out = df.withColumns({"__n": F.count(value).over(w), "__level": level})
-    first = F.min_by(value, F.when(F.col(value).isNotNull(), F.struct(t_us, "sample_idx")))
-    return out.groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("__n") >= min_samples, F.col("__level"))), first).alias("offset"))
+    """keys, offset: the least median (or mean) over trailing windows with enough samples, else the first value.
+
+    A window holds the known samples of up to window_s before a time, all of that
+    time included. Sessions (or segments, where keys name them) pass in order
+    through one stream a partition that keeps the window's values sorted, so the
+    time is linear but for the search in a window, and memory is a window.
+    """
+    rows = df.select(*keys, F.col(t_us).cast("long").alias("__t"), "sample_idx", finite(F.col(value)).alias("__v")).filter("__t is not null")
+    span = int(window_s * 1e6)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: deque[tuple[int, float]] = deque()
+        ordered: list[float] = []
+        total, least, first, now, owner = 0.0, None, None, None, None
+        kinds: list[pa.DataType] = []
+
+        def settle() -> None:
+            """The window that ends at the time now, of which all samples have come."""
+            nonlocal least
+            n = len(ordered)
+            if n and n >= min_samples:
+                level = (ordered[(n - 1) // 2] + ordered[n // 2]) / 2 if use_median else total / n
+                least = level if least is None else min(least, level)
+
+        for batch in batches:
+            out = []
+            kinds = [batch.schema.field(k).type for k in keys]
+            turns, times, values = (batch.column(c).to_pylist() for c in ("__turn", "__t", "__v"))
+            for i, (turn, t, v) in enumerate(zip(turns, times, values, strict=True)):
+                if turn == 1:
+                    if owner is not None:
+                        settle()
+                        out.append((*owner, first if least is None else least))
+                    held.clear()
+                    ordered.clear()
+                    total, least, first, now = 0.0, None, None, None
+                    owner = tuple(batch.column(k)[i].as_py() for k in keys)
+                if now is not None and t != now:
+                    settle()
+                now = t
+                while held and held[0][0] < t - span:
+                    gone = held.popleft()[1]
+                    del ordered[bisect_left(ordered, gone)]
+                    total -= gone
+                if v is not None:
+                    first = v if first is None else first
+                    held.append((t, v))
+                    insort(ordered, v)
+                    total += v
+            yield _columns(out, kinds)
+        if owner is not None:
+            settle()
+            yield _columns([(*owner, first if least is None else least)], kinds)
+
+    def _columns(out: list[tuple], kinds: list[pa.DataType]) -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) or [()] * (len(keys) + 1)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [*kinds, pa.float64()], strict=True)], [*keys, "offset"])
+
+    fields = [*df.select(*keys).schema.fields, StructField("offset", DoubleType())]
+    return streamed(rows, keys, ["__t", "sample_idx"]).mapInArrow(run, StructType(fields))
 
 
 def activity_mask(df: DataFrame, keys: Sequence[str], disp: str, vel: str, t_us: str, disp_min: float, vel_min: float, window_s: float = 0.5, padding_s: float = 1.0, min_s: float = 3.0) -> DataFrame:

@@ -135,3 +135,27 @@ def test_ema_keeps_its_state_across_batches(spark):
             elif e is not None:
                 e = None
             assert got[s, i] == (None if e is None else int(np.floor(e + 0.5))), (s, i)
+
+
+@pytest.mark.parametrize("use_median", [True, False])
+def test_zero_offset_against_every_window(spark, use_median):
+    from ridgeline.operators.series import zero_offset
+
+    rng = np.random.default_rng(9)
+    data = {}
+    for s, n in (("a", 300), ("b", 4), ("c", 1), ("d", 60), (None, 40)):
+        t = np.sort(rng.integers(0, 8 * n, n)) * 100_000
+        data[s] = [(int(a), None if rng.random() < 0.2 else float(v)) for a, v in zip(t, rng.normal(size=n), strict=True)]
+    data["none"] = [(0, None), (100_000, float("nan"))]
+    rows = [(s, i, t, v) for s, x in data.items() for i, (t, v) in enumerate(x)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "23")
+    frame = spark.createDataFrame(rows, "s string, sample_idx long, t long, y double").repartition(3)
+    got = {r.s: r.offset for r in zero_offset(frame, ["s"], "y", "t", 4.0, 5, use_median).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for s, x in data.items():
+        known = [(t, v) for t, v in x if v is not None and v == v]
+        windows = [[v for u, v in known if t - 4_000_000 <= u <= t] for t, _ in x]
+        levels = [float(np.median(w) if use_median else np.mean(w)) for w in windows if len(w) >= 5]
+        want = min(levels) if levels else known[0][1] if known else None
+        assert got[s] is None if want is None else got[s] == pytest.approx(want, abs=1e-9), s
+    assert set(got) == set(data)
