@@ -210,9 +210,14 @@ class Coder:
                 del known[w]
 
 
+_coders: dict[tuple[str, bool], Coder] = {}  # kept by the worker
+
+
 def _cut(path: str, capacity: int, end: int, with_ids: bool, by_word: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(path, by_word)
+        if (path, by_word) not in _coders:
+            _coders[path, by_word] = Coder(path, by_word)
+        coder = _coders[path, by_word]
         task, turns, row = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), 0
         names = [x.split()[0] for x in PIECE.split(", ")]
         for batch in batches:
