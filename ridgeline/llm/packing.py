@@ -30,10 +30,11 @@ import os
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,11 +44,11 @@ from ridgeline.llm.common import row_key, saved
 CAPACITY = 2048
 END = 0
 #: Characters that are tokenised at a time, but for longer texts.
-CHARS = 1 << 20
-#: Words whose ids a task keeps, and bytes of the longest one that it does.
+CHARS = 1 << 23
+#: Words whose ids a worker keeps, and characters of the longest one that it does.
 WORDS, LONGEST = 1 << 20, 64
-#: Words that are tokenised as one text, and what stands between them: a character for private use.
-TOGETHER, MARK = 256, "\ue000"
+#: Words that are tokenised as one text, and what stands between them: a character that is one id, and that no other becomes.
+TOGETHER, MARK = 256, "~"
 
 
 # --- the plan, from a histogram
@@ -162,14 +163,14 @@ PIECE = "doc_id long, key long, copy long, piece int, start long, length long, i
 
 
 class Coder:
-    """A tokeniser's ids of texts; by_word looks up each word (run of bytes without ASCII white space) and tokenises only new ones."""
+    """A tokeniser's ids of texts; by_word looks up each different word (run of bytes without ASCII white space) of the texts at hand once, and tokenises only new ones."""
 
     def __init__(self, path: str, by_word: bool) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer, self._by_word = Tokenizer.from_file(path), by_word
-        self._known: dict[bytes, bytes] = {}
+        self._known: dict[str, bytes] = {}
 
     def _encoded(self, texts: list[str]) -> Iterator[list[int]]:
         return (x.ids for x in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False))
@@ -200,11 +201,21 @@ class Coder:
         known = self._known
         if len(known) > WORDS:
             known.clear()
-        split = [t.encode().split() for t in texts]
-        new = list(set(chain.from_iterable(split)) - known.keys())
-        known.update(zip(new, self._words([w.decode() for w in new]), strict=True))
-        for words in split:
-            yield np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        new = [w for w in words if w not in known]
+        known.update(zip(new, self._words(new), strict=True))
+        packed = [known[w] for w in words]
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        at = coded.indices.to_numpy()
+        many = sizes[at]
+        ends = np.cumsum(many)
+        # A word's ids lie in the table where its kind's begin.
+        shift = (np.cumsum(sizes) - sizes)[at] - ends + many
+        out = np.frombuffer(b"".join(packed), "<u4")[np.repeat(shift, many) + np.arange(many.sum())]
+        bounds = np.append(0, ends)[split.offsets.to_numpy()].tolist()
+        yield from (out[a:b] for a, b in pairwise(bounds))
         for w in new:
             if len(w) > LONGEST:
                 del known[w]

@@ -185,6 +185,26 @@ def test_ids_by_word_are_those_of_whole_texts(odd_rows, monkeypatch):
             assert got.tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="no tokenizer file")
+def test_a_word_is_looked_up_once_for_many_texts():
+    from ridgeline.llm import packing
+
+    class Looked(dict):
+        found = 0
+
+        def __getitem__(self, word):
+            self.found += 1
+            return super().__getitem__(word)
+
+    coder = packing.Coder(TOKENIZER, True)
+    coder._known = Looked()
+    texts = ["Yes~no yes, yes  ~ yes\n"] * 100 + ["", "~", " yes"]
+    got = [x.tolist() for x in coder.ids(texts)]
+    assert got == [x.ids for x in coder._tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert coder._known.found <= 6
+    assert len(coder._tokenizer.encode(packing.MARK, add_special_tokens=False).ids) == 1
+
+
 # --- hard negatives
 
 
