@@ -43,6 +43,15 @@ def fitting(samples: DataFrame, block: int = BLOCK) -> int | None:
     return None if most is None or most < block else block
 
 
+def by_length(df: DataFrame, keys: Sequence[str], kernel: Callable[[DataFrame, int | None], DataFrame], block: int = BLOCK) -> DataFrame:
+    """What kernel(rows, block) gives: sessions that fit into a block go through it with none, in one pass, and only longer ones in blocks."""
+    long = df.groupBy(*keys).agg(F.max("sample_idx").alias("__most")).filter(F.col("__most") >= block).drop("__most")
+    if long.isEmpty():
+        return kernel(df, None)
+    same = [df[k].eqNullSafe(long[k]) for k in keys]
+    return kernel(df.join(long, same, "left_anti"), None).unionByName(kernel(df.join(long, same, "left_semi"), block))
+
+
 def block_of(block: int) -> Column:
     return F.floor(F.col("sample_idx") / block).cast("long")
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions import scalars
 from ridgeline.operators import joins, selection, series, stats
+from ridgeline.operators.blocks import by_length
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -575,7 +576,7 @@ def butterworth(spark, sf_dir):
 def prominent_peaks(spark, sf_dir):
     from ridgeline.operators import signal
 
-    return signal.peaks(samples(spark, sf_dir), U, "value", "max", 3, 20.0).select(*U, "sample_idx", F.round("strength", 6).alias("strength"))
+    return by_length(samples(spark, sf_dir), U, lambda s, b: signal.peaks(s, U, "value", "max", 3, 20.0, block=b)).select(*U, "sample_idx", F.round("strength", 6).alias("strength"))
 
 
 @query()

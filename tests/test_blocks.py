@@ -119,6 +119,29 @@ def test_peaks_by_prominence_takes_no_plateau(spark, tmp_path):
     assert [tuple(r) for r in queries()["peaks_by_prominence"](spark, str(tmp_path)).collect()] == [(1, 4, 60.0)]
 
 
+@pytest.mark.parametrize("block", [1000, BLOCK])
+def test_only_long_sessions_go_in_blocks(frame, series, block):
+    from ridgeline.operators.blocks import by_length
+
+    seen = []
+
+    def kernel(rows, b):
+        seen.append(b)
+        return signal.peaks(rows, ["session"], "y", "max", 3, 2.0, block=b)
+
+    got = {(r.session, r.sample_idx) for r in by_length(frame, ["session"], kernel, block).collect()}
+    assert seen == ([None] if block == 1000 else [None, block])
+    assert got == {(s, int(i)) for s, y in series.items() for i in whole.find_peaks(whole._fill(y), 3, 2.0)}
+
+
+@pytest.mark.parametrize("name", ["prominent_peaks"])
+def test_short_sessions_take_one_python_pass(spark, name):
+    from __spark_entry__ import queries
+
+    plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "LeftSemi" not in plan
+
+
 def test_a_session_is_many_tasks(spark):
     long = spark.range(200_000).select(F.lit("a").alias("session"), F.col("id").alias("sample_idx"), F.sin(F.col("id") / 50).alias("y"))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
