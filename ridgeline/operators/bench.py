@@ -164,6 +164,6 @@ def harmonics(df: DataFrame, keys: Sequence[str], t: str, residual: str, period_
     return per.select(*keys, F.inline(parts)).withColumn("amplitude", F.sqrt(F.col("cosine") * F.col("cosine") + F.col("sine") * F.col("sine")))
 
 
-def smooth(df: DataFrame, keys: Sequence[str], y: str, window: int = 11, order: int = 3) -> DataFrame:
+def smooth(df: DataFrame, keys: Sequence[str], y: str, window: int = 11, order: int = 3, block: int | None = BLOCK) -> DataFrame:
     """Adds smooth: the Savitzky-Golay value (derivative 0) of each session."""
-    return savgol_columns(df, keys, {"smooth": (y, 0)}, 1.0, window, order)
+    return savgol_columns(df, keys, {"smooth": (y, 0)}, 1.0, window, order, block)

@@ -562,14 +562,14 @@ def harmonics(spark, sf_dir):
 def savgol_vel_acc(spark, sf_dir):
     from ridgeline.operators import signal
 
-    return signal.derivatives(samples(spark, sf_dir), U, "value", 1.0).select(*U, "sample_idx", F.round("vel", 6).alias("vel"), F.round("acc", 6).alias("acc"))
+    return by_length(samples(spark, sf_dir), U, lambda s, b: signal.derivatives(s, U, "value", 1.0, block=b)).select(*U, "sample_idx", F.round("vel", 6).alias("vel"), F.round("acc", 6).alias("acc"))
 
 
 @query()
 def butterworth(spark, sf_dir):
     from ridgeline.operators import signal
 
-    return signal.smoothed(samples(spark, sf_dir), U, "value", 10.0, 1.0).select(*U, "sample_idx", F.round("smooth", 6).alias("smooth"))
+    return by_length(samples(spark, sf_dir), U, lambda s, b: signal.smoothed(s, U, "value", 10.0, 1.0, block=b)).select(*U, "sample_idx", F.round("smooth", 6).alias("smooth"))
 
 
 @query()
@@ -583,7 +583,7 @@ def prominent_peaks(spark, sf_dir):
 def phased_crossing(spark, sf_dir):
     from ridgeline.operators import signal
 
-    return signal.phased(samples(spark, sf_dir), U, "value", 20.0, 60.0, direction="either").select(*U, "sample_idx")
+    return by_length(samples(spark, sf_dir), U, lambda s, b: signal.phased(s, U, "value", 20.0, 60.0, direction="either", block=b)).select(*U, "sample_idx")
 
 
 @query()

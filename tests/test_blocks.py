@@ -134,7 +134,7 @@ def test_only_long_sessions_go_in_blocks(frame, series, block):
     assert got == {(s, int(i)) for s, y in series.items() for i in whole.find_peaks(whole._fill(y), 3, 2.0)}
 
 
-@pytest.mark.parametrize("name", ["prominent_peaks"])
+@pytest.mark.parametrize("name", ["prominent_peaks", "butterworth"])
 def test_short_sessions_take_one_python_pass(spark, name):
     from __spark_entry__ import queries
 
