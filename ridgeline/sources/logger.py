@@ -22,6 +22,10 @@ from ridgeline.operators.series import keep_first
 #: Time columns in order of preference, and how they count: ms, a guess by size, or a clock (fixed values).
 TIME_COLUMNS = (("timestamp_ms", "ms"), ("ts_ms", "ms"), ("time_ms", "ms"), ("time_s", "guess"), ("t", "guess"), ("time", "guess"), ("ts", "guess"), ("timestamp", "clock"))
 
+#: Lines that are taken together within a split of a file, and what tells chunks of lines apart and puts them in order.
+CHUNK = 1 << 16
+ORDER = ["path", "block", "chunk"]
+
 
 @dataclass
 class Sidecar:
@@ -119,7 +123,7 @@ def read_csv(spark: SparkSession, path: str, session_key: str | None = None, sid
     lines = _lines(spark.read.text(path))
     key = session_key or (sidecar.session_id if sidecar else None) or re.sub(r"\.[^.]*$", "", path.rsplit("/", 1)[-1])
     declared = sidecar.time_column if sidecar else None
-    known = _heads(lines).withColumns({"session_key": F.lit(key), "time_col": F.lit(declared).cast("string")})
+    known = _heads(lines).withColumns({"session_key": F.lit(key), "time_col": F.lit(declared).cast("string")}).persist()
     if known.isEmpty():
         raise ValueError(f"{path} has no header")
     samples = _parsed(lines, known, time_columns, keep_first_sample)
@@ -136,7 +140,11 @@ def _lines(read: DataFrame) -> DataFrame:
 
 def _heads(lines: DataFrame) -> DataFrame:
     """path, head (its first line that is no comment) and first (where that stands)."""
-    return lines.groupBy("path").agg(F.min_by("value", "pos").alias("head"), F.min("pos").alias("first"))
+    # A split's first line by number, then the file's: no task sorts its lines for it.
+    splits = lines.groupBy("path", F.col("pos.block").alias("block")).agg(F.min("pos.n").alias("n"))
+    first = splits.groupBy("path").agg(F.min(F.struct("block", "n")).alias("first")).select("path", "first", "first.*")
+    at = lines.select("path", "pos.*", F.col("value").alias("head"))
+    return first.join(at, ["path", "block", "n"]).select("path", "head", "first")
 
 
 def _parsed(lines: DataFrame, known: DataFrame, time_columns: Sequence[str], keep_first_sample: bool) -> DataFrame:
@@ -159,26 +167,43 @@ def _parsed(lines: DataFrame, known: DataFrame, time_columns: Sequence[str], kee
         cells = F.from_csv("value", f"{fields}, broken string", {"sep": delimiter, "columnNameOfCorruptRecord": "broken", "mode": "PERMISSIVE"})
         rows = rows.withColumn("c", cells).filter("c.broken is null")
         cell = {n: clean_number(F.col(f"c.c{i}")) for i, n in enumerate(names)}
-        file = Window.partitionBy("path")
         if how == "clock":
             t = clock_seconds(F.col(f"c.c{names.index(time)}"))
         else:
-            t = cell[time] / 1e3 if how == "ms" else time_scale(cell[time], F.max(cell[time]).over(file))
+            t = cell[time] / 1e3 if how == "ms" else cell[time]
         signals = [n for n in names if n != time]
-        rows = rows.select("path", "session_key", "pos", t.alias("time_s"), *[cell[n].alias(n) for n in signals]).filter("time_s is not null")
-        zero = F.min_by("time_s", "pos").over(file)
-        rows = rows.withColumn("time_s", F.col("time_s") - zero).dropna(subset=["time_s", *[f"`{n}`" for n in signals]])
+        rows = rows.select("path", "session_key", "pos.block", (F.col("pos.n") / CHUNK).cast("long").alias("chunk"), "pos.n", t.alias("time_s"), *[cell[n].alias(n) for n in signals]).filter("time_s is not null")
+        chunks = rows.groupBy(*ORDER).agg(F.min_by("time_s", "n").alias("zero"), F.max("time_s").alias("most"))
+        files = chunks.groupBy("path").agg(F.min_by("zero", F.struct("block", "chunk")).alias("zero"), F.max("most").alias("most"))
+        rows = rows.join(chunks.select(*ORDER).join(files, "path"), ORDER)
+        if how == "guess":
+            rows = rows.withColumns({c: time_scale(F.col(c), F.col("most")) for c in ("time_s", "zero")})
+        rows = rows.withColumn("time_s", F.col("time_s") - F.col("zero")).drop("zero", "most").dropna(subset=["time_s", *[f"`{n}`" for n in signals]])
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     if out is None:
         return lines.sparkSession.createDataFrame([], "session_key string, sample_idx long, time_s double")
-    out = keep_first(out, ["path"], "time_s", ["pos"])
-    by = Window.partitionBy("path").orderBy("pos")
-    out = out.withColumn("__keep", F.coalesce(F.col("time_s") - F.lag("time_s").over(by) > 0, F.lit(keep_first_sample))).filter("__keep")
-    out = out.withColumn("sample_idx", (F.row_number().over(by) - 1).cast("long"))
-    signals = [c for c in out.columns if c not in ("path", "session_key", "pos", "time_s", "__keep", "sample_idx")]
+    out = _later(keep_first(out, ["path"], "time_s", ["block", "n"]), keep_first_sample)
+    signals = [c for c in out.columns if c not in (*ORDER, "n", "session_key", "time_s", "sample_idx")]
     return out.select("session_key", "sample_idx", "time_s", *[F.col(f"`{c}`") for c in signals])
 
 
+def _later(rows: DataFrame, keep_first_sample: bool) -> DataFrame:
+    """The rows that are later than the row before, with sample_idx.
+
+    A chunk of a file needs of those before it only the last time and how many
+    rows they keep, so a long file is many tasks.
+    """
+    here, before = Window.partitionBy(*ORDER).orderBy("n"), Window.partitionBy("path").orderBy("block", "chunk")
+    rows = rows.withColumn("__step", F.col("time_s") - F.lag("time_s").over(here))
+    chunks = rows.groupBy(*ORDER).agg(F.min_by("time_s", "n").alias("first"), F.max_by("time_s", "n").alias("last"), F.count(F.when(F.col("__step") > 0, 1)).alias("__many"))
+    begins = F.coalesce(F.col("first") - F.lag("last").over(before) > 0, F.lit(keep_first_sample))
+    chunks = chunks.withColumn("__begins", begins).withColumn("__many", F.col("__many") + F.col("__begins").cast("long"))
+    earlier = F.coalesce(F.sum("__many").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(chunks.select(*ORDER, "__begins", earlier.alias("__earlier")), ORDER)
+    rows = rows.filter(F.coalesce(F.col("__step") > 0, F.col("__begins")))
+    return rows.withColumn("sample_idx", F.col("__earlier") + F.row_number().over(here) - 1).drop("__step", "__begins", "__earlier")
+
+
 @dataclass
 class Recordings:
     """Samples of many recordings, and a row per recording: session_key, path, anchor, rate_hz."""
@@ -222,7 +247,7 @@ def read_recordings(spark: SparkSession, folders: str | Sequence[str], zone: str
     known = _heads(lines).join(side, _stem(F.col("path")) == F.col("stem"), "left")
     started = F.coalesce(F.to_utc_timestamp(F.try_to_timestamp("started"), F.coalesce("zone", F.lit(zone))), filename_anchor(name, zone))
     known = known.withColumns({"session_key": F.coalesce("session_id", name), "anchor": started})
-    known = known.withColumn("session_key", F.when(F.count(F.lit(1)).over(Window.partitionBy("session_key")) > 1, _stem(F.col("path"))).otherwise(F.col("session_key")))
+    known = known.withColumn("session_key", F.when(F.count(F.lit(1)).over(Window.partitionBy("session_key")) > 1, _stem(F.col("path"))).otherwise(F.col("session_key"))).persist()  # a row a file
     return Recordings(_parsed(lines, known, (), keep_first_sample), known.select("session_key", "path", "anchor", "rate_hz"))
 
 

@@ -96,3 +96,19 @@ def test_route_view_chooses_a_stream_and_fills_altitude_and_speed(spark):
     assert got["a"] == [("gps_fit", 0.5, 7.0, 8.0, 105.0, 1.5), ("gps_fit", 2.5, 7.5, 8.5, 125.0, 7.5)]
     assert got["b"] == [("other", 1.5, 6.0, 6.0, 115.0, 7.0)]
     assert [x[0] for x in got["c"]] == ["primary"] * 5 and [x[5] for x in got["c"]] == [0.0, None, 6.0, None, 12.0] and "d" not in got
+
+
+@pytest.mark.parametrize("first", [False, True])
+def test_chunks_of_a_file_give_what_the_whole_file_does(spark, tmp_path, monkeypatch, first):
+    from ridgeline.sources import logger
+
+    monkeypatch.setattr(logger, "CHUNK", 3, raising=False)
+    times = [5, 6, 7, 6, 7, 8, 8, 3, 4, 9, 2, 1, 0, 10, 11, 9, 12, 13, 1, 14]
+    (tmp_path / "a.csv").write_text("# about\ntime_ms,y\n" + "".join(f"{t},{i}\n" for i, t in enumerate(times)))
+    samples = logger.read_csv(spark, str(tmp_path / "a.csv"), keep_first_sample=first).samples
+    kept = [(t, i) for i, t in enumerate(times) if t not in times[:i]]
+    want = [(t, i) for k, (t, i) in enumerate(kept) if (t > kept[k - 1][0] if k else first)]
+    assert [tuple(r) for r in samples.orderBy("sample_idx").select("sample_idx", "time_s", "y").collect()] == [(k, pytest.approx((t - 5) / 1e3), i) for k, (t, i) in enumerate(want)]
+    # no window or sort takes a file whole but those over its chunks
+    plan = samples._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Window [" in line and "[path" in line and "chunk" not in line and "time_s" not in line]
