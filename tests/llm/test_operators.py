@@ -736,3 +736,47 @@ def test_ladders_drop_only_what_cannot_match(spark, monkeypatch):
     for spans in (4096, 3):
         monkeypatch.setattr(suffix_levels, "PART_SPANS", spans)
         assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_levels.remove_repeats(docs).collect()) == want
+
+
+def test_repeats_return_the_kept_text_and_the_removed_spans(spark):
+    from ridgeline.llm import suffix_levels
+
+    rng = random.Random(21)
+    passage = prose(rng, 120)
+    texts = [prose(rng, 60), "é" * 3 + passage, prose(rng, 50) + passage + prose(rng, 20), None, "", "é" * 250 + "!", "x" + "é" * 250 + "?"]
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r for r in suffix_levels.remove_repeats(docs).collect()}
+    assert sorted(got) == list(range(len(texts)))
+    assert got[3].text is None and got[4].text == "" and got[0].text == texts[0] and not got[0].spans
+    for i, (t, want) in enumerate(zip(texts, brute_repeats(texts, 400), strict=True)):
+        raw, r = (t or "").encode(), got[i]
+        left, at = b"", 0
+        for x in r.spans:
+            left, at = left + raw[at : x.start], x.end
+        left += raw[at:]
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want
+        assert (len(raw) - len(left), len(r.spans), hashlib.sha256(left).hexdigest()) == want[1:]
+        assert (r.text or "") == left.decode("utf-8", "replace")
+    assert passage not in got[1].text and passage not in got[2].text
+
+
+def test_entries_of_hot_spans_stay_where_they_lie(spark, monkeypatch):
+    from ridgeline.llm import suffix_levels
+
+    monkeypatch.setattr(suffix_levels, "HOT_TIMES", 50)
+    rng = random.Random(22)
+    lines, passage = (prose(rng, 9) + "\n") * 40, prose(rng, 120)
+    rows = [(i, prose(rng, 20) + lines + prose(rng, 20), None, None, 0) for i in range(12)]
+    rows += [(20 + i, prose(rng, 20) + passage + prose(rng, 20), None, None, 0) for i in range(3)] + [(30, prose(rng, 200), None, None, 0)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    index = docs.select("doc_id", "text").mapInArrow(suffix_levels._indexed(400), suffix_levels._INDEX)
+    entries = suffix_levels.saved(index.select(F.col("doc_id").alias("id"), "k", F.inline(F.arrays_zip(*suffix_levels._ARRAYS))))
+    spans = suffix_levels.saved(entries.groupBy("head", "span").agg(F.count(F.lit(1)).alias("times")))
+    most = spans.orderBy(F.desc("times")).first()
+    assert most.times == 12 * 30
+    whole = suffix_levels._repeated(entries, spans)
+    assert whole.count() == spans.filter("times > 1").agg(F.sum("times")).first()[0]
+    held = whole.filter((F.col("head") == most["head"]) & (F.col("span") == most.span)).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in held) == most.times and max(r["count"] for r in held) < most.times
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_levels.remove_repeats(docs).collect())
+    assert got == sorted((i, *x) for (i, *_), x in zip(rows, brute_repeats([r[1] for r in rows], 400), strict=True))
